@@ -106,11 +106,12 @@ INGESTION_EVENTS = _struct(
     {"error": STR, "embed_tokens": LONG, "embed_cost_usd": DBL},
 )
 
+# Nested members are nullable, as every Parquet read returns them.
 HYBRID_SETTINGS = _struct(
-    {"full_text_weight": DBL, "semantic_weight": DBL, "rrf_k": DBL, "full_text_limit": INT}
+    {}, {"full_text_weight": DBL, "semantic_weight": DBL, "rrf_k": DBL, "full_text_limit": INT}
 )
 RESULT_STAT = _struct(
-    {"source_name": STR, "similarity": DBL, "bm25_score": DBL, "rrf_score": DBL}
+    {}, {"source_name": STR, "similarity": DBL, "bm25_score": DBL, "rrf_score": DBL}
 )
 
 QUERY_EVENTS = _struct(
@@ -147,14 +148,9 @@ QUERY_EVENTS = _struct(
     },
 )
 
-TRACE_CHUNK = T.StructType(
-    [
-        T.StructField("source_name", STR, False),
-        T.StructField("chunk_header", STR, True),
-        T.StructField("chunk_text", STR, False),
-        T.StructField("similarity", DBL, False),
-        T.StructField("bm25_score", DBL, False),
-    ]
+TRACE_CHUNK = _struct(
+    {},
+    {"source_name": STR, "chunk_header": STR, "chunk_text": STR, "similarity": DBL, "bm25_score": DBL},
 )
 QUERY_TRACES = _struct(
     {"event_id": STR, "occurred_at": TS, "chunks": T.ArrayType(TRACE_CHUNK)},
