@@ -12,6 +12,8 @@ from lodestone.functions.text import tokens
 from lodestone.operators.skew import fits_broadcast, lookup_join
 
 K1, B = 1.2, 0.75
+# Scores are sums in no fixed order; at this precision exact copies tie on every run.
+SCORE_DIGITS = 9
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -31,6 +33,10 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return list(row.t)
 
 
+def _equals(term: str):
+    return lambda t: t == F.lit(term)
+
+
 def keyword_search(
     chunks: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "id", text_col: str = "chunk_text"
 ) -> DataFrame:
@@ -44,7 +50,7 @@ def keyword_search(
     if not terms:
         return chunks.where(F.lit(False)).withColumn("keyword_bm25_score", F.lit(0.0))
     counted = chunks.withColumn("_tokens", tokens(F.col(text_col)))
-    tfs = [F.size(F.filter("_tokens", lambda t, term=term: t == F.lit(term))).alias(f"_tf{i}") for i, term in enumerate(terms)]
+    tfs = [F.size(F.filter("_tokens", _equals(term))).alias(f"_tf{i}") for i, term in enumerate(terms)]
     counted = counted.select(*chunks.columns, F.size("_tokens").alias("_len"), *tfs)
 
     dfs = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))]
@@ -62,7 +68,7 @@ def keyword_search(
     hits = counted.where(matching)
     if where is not None:
         hits = hits.where(where)
-    scored = hits.withColumn("keyword_bm25_score", score)
+    scored = hits.withColumn("keyword_bm25_score", F.round(score, SCORE_DIGITS))
     return scored.select(*chunks.columns, "keyword_bm25_score").orderBy(F.col("keyword_bm25_score").desc(), id_col).limit(limit)
 
 
@@ -142,6 +148,6 @@ def search_postings(lists: PostingLists, queries: DataFrame, limit: int, allowed
     corpus = lists.corpus.select(F.struct("n", "average")).scalar()
     matched = lookup_join(hits, weighted, ["term"], "inner", small)
     part = bm25(F.col("tf"), F.col("length"), corpus["n"], F.col("df"), corpus["average"])
-    scored = matched.groupBy("query_id", "id").agg(F.sum(part).alias("keyword_bm25_score"))
+    scored = matched.groupBy("query_id", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("keyword_bm25_score"))
     order = Window.partitionBy("query_id").orderBy(F.col("keyword_bm25_score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)

@@ -66,7 +66,7 @@ QUERY_CTE = """query_events AS (
 TELEMETRY_CTE = f"WITH {INGESTION_CTE},\n{QUERY_CTE}\n"
 
 # The keyword tokenizer, as a list of lower-cased terms.
-TOKENS_SQL = r"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+TOKENS_SQL = r"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 def tokens_sql(text: str) -> str:
