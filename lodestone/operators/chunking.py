@@ -127,7 +127,8 @@ def _stateful_chunks(config: ChunkConfig):
             out.append(None if doc is None or how is None else _chunk_document(doc, how, size, overlap))
         return pa.array(out, to_arrow_type(CHUNK_TEXTS))
 
-    return chunk
+    # Keeps the optimizer from repeating the call in a pushed-down filter.
+    return chunk.asNondeterministic()
 
 
 def _chunk_document(units: list[dict], strategy: str, size: int, overlap: int) -> list[dict]:
@@ -212,6 +213,8 @@ def chunk_documents(parsed: DataFrame, config: ChunkConfig, mime: str = "mime_ty
 
 def explode_chunks(chunked: DataFrame, config: ChunkConfig, *keys: str) -> DataFrame:
     """One row per chunk with its fingerprint."""
-    rows = chunked.select(*keys, F.explode("chunks").alias("c")).select(*keys, "c.*")
+    # Not a bare column: Spark would repeat its whole computation in an added size filter.
+    chunks = F.coalesce("chunks", F.array().cast(T.ArrayType(CHUNK)))
+    rows = chunked.select(*keys, F.explode(chunks).alias("c")).select(*keys, "c.*")
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
     return rows.withColumn("chunk_hash", fingerprint(text, config.strategy, config.size, config.overlap))

@@ -94,7 +94,7 @@ def complete_column(prompt: Column, model: LanguageModel) -> Column:
         for batch in batches:
             yield pa.array([_call(model, p) for p in batch.to_pylist()], to_arrow_type(COMPLETED))
 
-    return complete(prompt)
+    return complete.asNondeterministic()(prompt)
 
 
 def _call(model: LanguageModel, prompt: str | None) -> dict | None:

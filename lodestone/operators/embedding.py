@@ -154,4 +154,5 @@ def embed_column(text: Column, embedder: Embedder, calls_per_second: float | Non
                     }
             yield pa.array(out, to_arrow_type(EMBEDDED))
 
-    return embed(text)
+    # A call costs money: the optimizer must not repeat or move it.
+    return embed.asNondeterministic()(text)

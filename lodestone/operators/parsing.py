@@ -98,8 +98,10 @@ def markdown_title(text: Column) -> Column:
     return F.try_element_at(named, F.lit(1))["title"]
 
 
+# The readers are marked non-deterministic so that the optimizer neither repeats
+# a call in a pushed-down filter nor moves it.
 @F.arrow_udf(PARSED)
-def read_records(content: pa.Array, mime: pa.Array) -> pa.Array:
+def _read_records(content: pa.Array, mime: pa.Array) -> pa.Array:
     out = []
     for body, kind in zip(content, mime):
         if not body.is_valid:
@@ -116,7 +118,7 @@ def read_records(content: pa.Array, mime: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(PAGE)
-def read_page(page: pa.Array) -> pa.Array:
+def _read_page(page: pa.Array) -> pa.Array:
     out = []
     for body in page:
         if not body.is_valid:
@@ -130,6 +132,10 @@ def read_page(page: pa.Array) -> pa.Array:
     return pa.array(out, to_arrow_type(PAGE))
 
 
+read_records = _read_records.asNondeterministic()
+read_page = _read_page.asNondeterministic()
+
+
 def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime_type") -> DataFrame:
     """Add ``units``, ``title`` and ``error`` to a frame of raw files.
 
@@ -174,6 +180,8 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
 
 
 def explode_units(parsed: DataFrame, *keys: str) -> DataFrame:
-    return parsed.select(*keys, F.posexplode("units").alias("unit_index", "unit")).select(
+    # Not a bare column: Spark would repeat its whole computation in an added size filter.
+    units = F.coalesce("units", F.array().cast(UNITS))
+    return parsed.select(*keys, F.posexplode(units).alias("unit_index", "unit")).select(
         *keys, "unit_index", "unit.kind", "unit.text", "unit.metadata"
     )

@@ -48,7 +48,7 @@ CHUNKS = _struct(
         "document_id": STR,
         "chunk_hash": STR,
         "chunk_index": INT,
-        "vector": T.ArrayType(T.FloatType(), False),
+        "vector": T.ArrayType(T.FloatType()),
         "created_at": LONG,
         "updated_at": LONG,
         "mime_type": STR,
