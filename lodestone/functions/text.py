@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode White_Space, the set both Java's (?U)\s and the Python helpers trim.
+# Unicode White_Space, the set both the expressions and the Python helpers trim.
 WHITESPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -15,7 +15,7 @@ PIPELINE_VERSION = "1"
 
 def trim_unicode(c: Column) -> Column:
     """Strip Unicode white space from both ends (``F.trim`` only strips blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def slugify(c: Column) -> Column:
@@ -59,7 +59,7 @@ def breadcrumb(heading: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def hash_api_key(plaintext: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import chunkers
+from lodestone.functions.binding import let
 from lodestone.functions.text import WHITESPACE, breadcrumb, embedded_text, fingerprint, trim_unicode
 from lodestone.schemas import CHUNK
 
@@ -74,9 +75,14 @@ def sliding_windows(units: Column, size: int, overlap: int) -> Column:
     if step <= 0:
         raise ValueError(f"overlap ({overlap}) must be less than chunk size ({size})")
     texts = F.filter(F.transform(units, lambda u: trim_unicode(u["text"])), lambda t: t != "")
-    start = F.struct(
-        F.lit(0).alias("held"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("cuts")
-    )
+    windows = let(texts, lambda t: F.flatten(F.transform(_runs(t, size, overlap), lambda r: _windows(r, size, step))))
+    return F.filter(F.transform(windows, trim_unicode), lambda w: w != "")
+
+
+def _runs(texts: Column, size: int, overlap: int) -> Column:
+    """The texts joined by newlines, cut where a window ended exactly with a text."""
+    step = size - overlap
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("seen"), F.array(F.lit(0)).alias("cuts"))
 
     def advance(acc: Column, length: Column) -> Column:
         total = F.when(acc["held"] > 0, acc["held"] + 1 + length).otherwise(length)
@@ -91,19 +97,16 @@ def sliding_windows(units: Column, size: int, overlap: int) -> Column:
         )
 
     cuts = F.aggregate(F.transform(texts, F.length), start, advance, lambda acc: acc["cuts"])
-    edges = F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.size(texts))))
-    runs = F.filter(
-        F.transform(
-            edges,
-            lambda e, i: F.when(
-                i < F.size(edges) - 1,
-                F.array_join(F.slice(texts, e + 1, F.try_element_at(edges, i + 2) - e), "\n"),
-            ),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    windows = F.flatten(F.transform(runs, lambda r: _windows(r, size, step)))
-    return F.filter(F.transform(windows, trim_unicode), lambda w: w != "")
+    edges = F.array_distinct(F.concat(cuts, F.array(F.size(texts))))
+    return let(edges, lambda e: _between(texts, e))
+
+
+def _between(texts: Column, edges: Column) -> Column:
+    # Pair each edge with the next one; the last edge has no partner and drops out.
+    following = F.slice(edges, 2, F.size(edges))
+    pairs = F.zip_with(edges, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    spans = F.filter(pairs, lambda p: p["b"].isNotNull())
+    return F.transform(spans, lambda p: F.array_join(F.slice(texts, p["a"] + 1, p["b"] - p["a"]), "\n"))
 
 
 def _windows(text: Column, size: int, step: int) -> Column:
@@ -111,9 +114,11 @@ def _windows(text: Column, size: int, step: int) -> Column:
     pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
     span = -(-size // step)
     extra = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step).cast("int")
-    return F.transform(
-        F.sequence(F.lit(1), extra + 1),
-        lambda j: F.substring(F.array_join(F.slice(pieces, j, span), ""), 1, size),
+    return let(
+        pieces,
+        lambda p: F.transform(
+            F.sequence(F.lit(1), extra + 1), lambda j: F.substring(F.array_join(F.slice(p, j, span), ""), 1, size)
+        ),
     )
 
 

@@ -33,10 +33,6 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return list(row.t)
 
 
-def _equals(term: str):
-    return lambda t: t == F.lit(term)
-
-
 def keyword_search(
     chunks: DataFrame, query: str, limit: int, where: Column | None = None, id_col: str = "id", text_col: str = "chunk_text"
 ) -> DataFrame:
@@ -49,13 +45,17 @@ def keyword_search(
     terms = query_terms(chunks.sparkSession, query)
     if not terms:
         return chunks.where(F.lit(False)).withColumn("keyword_bm25_score", F.lit(0.0))
-    counted = chunks.withColumn("_tokens", tokens(F.col(text_col)))
-    tfs = [F.size(F.filter("_tokens", _equals(term))).alias(f"_tf{i}") for i, term in enumerate(terms)]
-    counted = counted.select(*chunks.columns, F.size("_tokens").alias("_len"), *tfs)
+
+    def counted(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = rows.withColumn("_tokens", tokens(F.col(text_col)))
+        size = F.size("_tokens")
+        tfs = [(size - F.size(F.array_remove("_tokens", term))).alias(f"_tf{i}") for i, term in enumerate(terms)]
+        return rows.select(*columns, size.alias("_len"), *tfs)
 
     dfs = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))]
     # An ungrouped aggregate is one row: a scalar subquery, not a join.
-    stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("average"), *dfs).select(F.struct("*")).scalar()
+    stats = counted(chunks).agg(F.count("*").alias("n"), F.avg("_len").alias("average"), *dfs)
+    stats = stats.select(F.struct("*")).scalar()
     parts = [
         F.when(
             F.col(f"_tf{i}") > 0,
@@ -63,13 +63,13 @@ def keyword_search(
         ).otherwise(F.lit(0.0))
         for i in range(len(terms))
     ]
-    score = reduce(lambda a, b: a + b, parts)
-    matching = " or ".join(f"_tf{i} > 0" for i in range(len(terms)))
-    hits = counted.where(matching)
-    if where is not None:
-        hits = hits.where(where)
-    scored = hits.withColumn("keyword_bm25_score", F.round(score, SCORE_DIGITS))
-    return scored.select(*chunks.columns, "keyword_bm25_score").orderBy(F.col("keyword_bm25_score").desc(), id_col).limit(limit)
+    score = F.round(reduce(lambda a, b: a + b, parts), SCORE_DIGITS)
+    hits = counted(chunks if where is None else chunks.where(where), *chunks.columns)
+    best = hits.select(*chunks.columns, score.alias("keyword_bm25_score"))
+    best = best.orderBy(F.col("keyword_bm25_score").desc(), id_col).limit(limit)
+    # A match always scores above 0.  Filtering behind the limit keeps Spark from
+    # pushing the condition down and tokenizing every text once more.
+    return best.where(F.col("keyword_bm25_score") > 0)
 
 
 @dataclass
@@ -90,7 +90,8 @@ def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "chunk
     words = words.withColumn("length", F.size("tokens"))
     corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     postings = (
-        words.select("id", "length", F.explode("tokens").alias("term"))
+        # Not a bare column: Spark would tokenize again in an added size filter.
+        words.select("id", "length", F.explode(F.coalesce("tokens", F.array().cast("array<string>"))).alias("term"))
         .groupBy("id", "term", "length")
         .agg(F.count("*").cast("int").alias("tf"))
     )

@@ -30,3 +30,12 @@ def lookup_join(
     spread = large.withColumn("_salt", salt)
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for heavy per-row work on a table of few, large splits.
+
+    A table with enough splits is returned as it is: nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.pricing import embed_cost, llm_cost
+from lodestone.operators.skew import spread
 from lodestone.schemas import INGESTION_EVENTS, QUERY_EVENTS
 
 EMBED_MODEL = "text-embedding-3-small"
@@ -169,14 +170,14 @@ def order_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as keyword-searchable chunks."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"), "source", "lang"
     )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as plain-text files, ready to ingest."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("upload://doc_"), F.col("doc_id"), F.lit(".txt")).alias("file_uri"),
         F.lit("text/plain").alias("mime_type"),
@@ -185,7 +186,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").cast("string").alias("document_id"),
         F.col("url").alias("file_uri"),
         F.lit("text/html").alias("mime_type"),
