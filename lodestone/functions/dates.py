@@ -9,6 +9,8 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.binding import let
+
 # (shape, Spark pattern, strptime pattern); the first shape that matches wins.
 LAYOUTS = [
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", "%Y-%m-%d"),
@@ -46,7 +48,10 @@ def parse_any_date(text: str) -> int | None:
 
 def unix_seconds_of(text: Column) -> Column:
     """``parse_any_date`` as an expression (session time zone must be UTC)."""
-    s = F.regexp_replace(F.trim(text), FRACTION, "$1$2")
+    return let(F.regexp_replace(F.trim(text), FRACTION, "$1$2"), _seconds)
+
+
+def _seconds(s: Column) -> Column:
     branches = F.when(F.lit(False), F.lit(None).cast("bigint"))
     for digits, divisor in UNIX_DIGITS.items():
         whole = F.floor(F.try_to_number(s, F.lit("9" * digits)) / F.lit(divisor))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.binding import let
 from lodestone.functions.dates import unix_seconds_of
 from lodestone.functions.filters import FALSE_WORDS, TRUE_WORDS
 from lodestone.schemas import SLOT_COLUMNS, SLOT_COUNTS, slot_column
@@ -33,22 +34,6 @@ def metadata_map(json_text: Column) -> Column:
     return F.from_json(json_text, "map<string,variant>")
 
 
-def _text_of(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def _number_of(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
-
-
-def _shape(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is_number(v: Column) -> Column:
-    return _shape(v).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-
-
 def plain_number(x: Column) -> Column:
     """A double without an exponent and without trailing zeros."""
     digits = F.regexp_replace(F.format_string("%.340f", x), r"\.?0+$", "")
@@ -57,83 +42,90 @@ def plain_number(x: Column) -> Column:
     )
 
 
-def _strings_of(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<string>")
+def _seen(v: Column) -> Column:
+    """A JSON value with its type and its scalar readings."""
+    return F.struct(
+        v.alias("value"),
+        F.schema_of_variant(v).alias("shape"),
+        F.try_variant_get(v, "$", "string").alias("text"),
+        F.try_variant_get(v, "$", "double").alias("number"),
+    )
 
 
 def coerce(v: Column, kind: str) -> Column:
     """Ingest rules: cross-type conversions are allowed; a failure gives NULL."""
-    shape = _shape(v)
-    text = _text_of(v)
+    return let(_seen(v), lambda s: _coerced(s, kind))
+
+
+def _coerced(s: Column, kind: str) -> Column:
+    shape, text, number = s["shape"], s["text"], s["number"]
+    is_text, is_bool = shape == "STRING", shape == "BOOLEAN"
+    is_number = shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     if kind == "str":
-        return (
-            F.when(shape == "STRING", text)
-            .when(shape == "BOOLEAN", text)
-            .when(_is_number(v), plain_number(_number_of(v)))
-        )
+        return F.when(is_text | is_bool, text).when(is_number, plain_number(number))
     if kind == "num":
         return (
-            F.when(_is_number(v), _number_of(v))
-            .when(shape == "STRING", F.when(text.rlike(r"^\S+$"), text.try_cast("double")))
-            .when(shape == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
+            F.when(is_number, number)
+            .when(is_text, F.when(text.rlike(r"^\S+$"), text.try_cast("double")))
+            .when(is_bool, F.when(text == "true", 1.0).otherwise(0.0))
         )
     if kind == "bool":
         word = F.lower(text)
         said = F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-        return F.when(shape.isin("STRING", "BOOLEAN"), said).when(_is_number(v), _number_of(v) != 0)
+        return F.when(is_text | is_bool, said).when(is_number, number != 0)
     if kind == "date":
-        whole = F.when(F.abs(_number_of(v)) < 9.2e18, _number_of(v).cast("bigint"))
-        return F.when(_is_number(v), whole).when(shape == "STRING", unix_seconds_of(text))
-    items = _strings_of(v)
+        whole = F.when(F.abs(number) < 9.2e18, number.cast("bigint"))
+        return F.when(is_number, whole).when(is_text, unix_seconds_of(text))
+    items = F.try_variant_get(s["value"], "$", "array<string>")
     all_strings = (shape == "ARRAY<STRING>") & ~F.exists(items, lambda x: x.isNull())
     return F.when(all_strings | (F.size(items) == 0), items)
 
 
 def coerce_patch(v: Column, kind: str) -> Column:
     """Patch rules: types must already agree; arrays drop what is not a string."""
-    shape = _shape(v)
-    if kind == "str":
-        return F.when(shape == "STRING", _text_of(v))
-    if kind == "num":
-        return F.when(_is_number(v), _number_of(v))
-    if kind == "bool":
-        return F.when(shape == "BOOLEAN", _text_of(v) == "true")
     if kind == "date":
-        return coerce(v, "date")
-    members = F.try_variant_get(v, "$", "array<variant>")
-    strings = F.filter(members, lambda m: F.schema_of_variant(m) == "STRING")
-    return F.transform(strings, _text_of)
+        return coerce(v, kind)
+    if kind == "arr":
+        members = F.try_variant_get(v, "$", "array<variant>")
+        strings = F.filter(members, lambda m: F.schema_of_variant(m) == "STRING")
+        return F.transform(strings, lambda m: F.try_variant_get(m, "$", "string"))
+    wanted = {"str": "^STRING$", "num": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "bool": "^BOOLEAN$"}[kind]
+    return F.when(F.schema_of_variant(v).rlike(wanted), coerce(v, kind))
 
 
-def route_slots(json_text: Column, fields: Sequence[MetadataField]) -> dict[str, Column]:
-    """All slot columns of the chunk table, NULL where nothing valid was supplied."""
-    members = metadata_map(json_text)
-    out = {name: F.lit(None).cast(kind) for name, kind in SLOT_COLUMNS.items()}
+def _typed(members: Column, fields: Sequence[MetadataField], rule) -> Column:
+    return F.struct(*[rule(F.try_element_at(members, F.lit(f.name)), f.type).alias(f.column) for f in fields])
+
+
+def with_slots(rows: DataFrame, json_column: str, fields: Sequence[MetadataField]) -> DataFrame:
+    """Add every slot column of the chunk table, NULL where nothing valid was supplied.
+
+    The JSON is read once per row into a struct of the declared fields.
+    """
     for f in fields:
         if f.type not in SLOT_COUNTS:
             raise ValueError(f"unknown metadata field type {f.type!r}")
-        out[f.column] = coerce(F.try_element_at(members, F.lit(f.name)), f.type)
-    return out
+    empty = {c: F.lit(None).cast(kind) for c, kind in SLOT_COLUMNS.items()}
+    if not fields:
+        return rows.withColumns(empty)
+    routed = let(metadata_map(F.col(json_column)), lambda m: _typed(m, fields, coerce))
+    named = {f.column: F.col("_slots")[f.column] for f in fields}
+    return rows.withColumn("_slots", routed).withColumns({**empty, **named}).drop("_slots")
 
 
 def patch_slots(json_text: Column, fields: Sequence[MetadataField]) -> dict[str, Column]:
     """New slot values for a PATCH; absent or ill-typed members keep the old value."""
     members = metadata_map(json_text)
-    out = {}
-    for f in fields:
-        new = coerce_patch(F.try_element_at(members, F.lit(f.name)), f.type)
-        out[f.column] = F.coalesce(new, F.col(f.column))
-    return out
+    return {
+        f.column: F.coalesce(coerce_patch(F.try_element_at(members, F.lit(f.name)), f.type), F.col(f.column)) for f in fields
+    }
 
 
-def rejected_keys(json_text: Column, fields: Sequence[MetadataField]) -> Column:
-    """Names that were supplied but not stored: undeclared, or of the wrong type."""
-    members = metadata_map(json_text)
-    bad = F.map_keys(members)
-    for f in fields:
-        stored = coerce(F.try_element_at(members, F.lit(f.name)), f.type)
-        bad = F.when(stored.isNotNull(), F.array_remove(bad, f.name)).otherwise(bad)
-    return F.array_sort(bad)
+def rejected_keys(json_column: str, fields: Sequence[MetadataField]) -> Column:
+    """Names supplied but not stored (undeclared, or of the wrong type), for rows of ``with_slots``."""
+    bad = F.map_keys(metadata_map(F.col(json_column)))
+    stored = F.array(*[F.when(F.col(f.column).isNotNull(), F.lit(f.name)) for f in fields]).cast("array<string>")
+    return F.array_sort(F.array_except(bad, stored))
 
 
 def reconstruct(fields: Sequence[MetadataField]) -> Column:

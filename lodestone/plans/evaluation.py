@@ -16,7 +16,7 @@ def first_per_document(ranked: DataFrame, query: str = "query_id", doc: str = "d
     sorted; a list is as long as a request's ``top_k``.
     """
     best = ranked.groupBy(query, doc).agg(F.min(rank).alias("_best"))
-    order = Window.partitionBy(query).orderBy("_best")
+    order = Window.partitionBy(query).orderBy("_best", doc)
     return best.withColumn(rank, F.row_number().over(order) - 1).drop("_best")
 
 

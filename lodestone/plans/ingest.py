@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.metadata import MetadataField, route_slots
+from lodestone.functions.metadata import MetadataField, with_slots
 from lodestone.functions.pricing import embed_cost
 from lodestone.functions.text import embedded_text, name_from_uri
 from lodestone.functions.vectors import l2_normalize
@@ -18,7 +18,7 @@ from lodestone.operators.chunking import ChunkConfig, chunk_documents, explode_c
 from lodestone.operators.embedding import Embedder, embed_column
 from lodestone.operators.parsing import parse_documents
 from lodestone.operators.reuse import with_stored_vectors
-from lodestone.schemas import CHUNKS, INGESTION_EVENTS, SLOT_COLUMNS
+from lodestone.schemas import CHUNKS, INGESTION_EVENTS
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
 
@@ -86,18 +86,16 @@ def ingest(
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
     called = embed_column(F.when(F.col("stored_vector").isNull(), text), embedder, calls_per_second, tasks)
     embedded = matched.withColumn("_call", called)
-    slots = route_slots(F.col("metadata"), collection.fields)
+    embedded = with_slots(embedded, "metadata", collection.fields)
     columns = {
         "id": F.uuid(),
         "vector": F.coalesce("stored_vector", l2_normalize(F.col("_call.vector"))),
         "created_at": F.lit(stamp),
         "updated_at": F.lit(stamp),
         "source_name": name_from_uri(F.col("file_uri")),
-        **slots,
     }
     fresh = embedded.select(
-        *[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CHUNKS.fields if f.name not in SLOT_COLUMNS],
-        *[slots[c].alias(c) for c in SLOT_COLUMNS],
+        *[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CHUNKS.fields],
         F.col("stored_vector").isNotNull().alias("_reused"),
         F.coalesce("_call.tokens", F.lit(0)).alias("_tokens"),
         F.coalesce("_call.wait_ms", F.lit(0)).alias("_wait_ms"),
