@@ -21,6 +21,7 @@ from lodestone.operators.reuse import with_stored_vectors
 from lodestone.schemas import CHUNKS, INGESTION_EVENTS
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
+from lodestone.sources.files import delete
 
 CARRIED = ("document_id", "file_uri", "mime_type", "extra_json", "metadata", "external_id")
 
@@ -131,6 +132,8 @@ def ingest(
     inserting = time.monotonic()
     store.replace_documents(replaced, fresh.select(*CHUNKS.fieldNames()), base)
     insert_ms = int((time.monotonic() - inserting) * 1000)
+    for path in (outcome_path, fresh_path):
+        delete(spark, path)
     total_ms = int((time.monotonic() - started) * 1000)
     return IngestReport(report, _events(report, files, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp))
 

@@ -32,7 +32,15 @@ def _shaped(rows: DataFrame, schema, columns: dict[str, Column]) -> DataFrame:
 
 
 def ingestion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error"))
+    return ingestion_from(table(spark, sf_dir, "events"))
+
+
+def query_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries_from(table(spark, sf_dir, "events"))
+
+
+def ingestion_from(events: DataFrame) -> DataFrame:
+    events = events.where(F.col("event_type").isin("signup", "error"))
     k, user = _weight(), F.col("user_id")
     failed = F.col("event_type") == "error"
     tokens = F.when(~failed, k)
@@ -70,8 +78,8 @@ def ingestion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where(~F.col("event_type").isin("signup", "error"))
+def queries_from(events: DataFrame) -> DataFrame:
+    events = events.where(~F.col("event_type").isin("signup", "error"))
     k, user = _weight(), F.col("user_id")
     rag = F.col("event_type") == "purchase"
     slug = F.concat(F.lit("c"), (user % 7).cast("string"))

@@ -1,11 +1,13 @@
 """Append-only Parquet fact tables of usage events.
 
-Rows are stored below ``<root>/<table>/event_date=YYYY-MM-DD``, so a dashboard's
-look-back reaches the scan as partition pruning as well as a pushed filter.
+Rows are stored below ``<root>/<table>/batch=<id>/event_date=YYYY-MM-DD``, so a
+dashboard's look-back reaches the scan as partition pruning as well as a pushed
+filter.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -60,15 +62,18 @@ def prepare_events(events: DataFrame, table: str, redact: bool = False) -> DataF
     return stamped
 
 
-def append_events(events: DataFrame, root: str, table: str) -> None:
-    """Append one batch; a busy day is split over several files by the rebalance."""
+def append_events(events: DataFrame, root: str, table: str, batch: str | None = None) -> None:
+    """Append one batch; a busy day is split over several files by the rebalance.
+
+    A named batch replaces itself, so a retried streaming batch is stored once.
+    """
     fields = TELEMETRY_TABLES[table].fieldNames()
     (
         events.select(*fields, F.to_date("occurred_at").alias("event_date"))
         .hint("rebalance", "event_date")
-        .write.mode("append")
+        .write.mode("overwrite")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy("event_date")
-        .parquet(f"{root}/{table}")
+        .parquet(f"{root}/{table}/batch={batch or uuid.uuid4().hex}")
     )
