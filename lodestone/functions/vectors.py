@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.binding import let
+
 # Up to this width the distance is unrolled into plain arithmetic, which Spark
 # compiles; wider vectors go to numpy in Arrow batches so that the generated
 # method stays below the JIT's size limit.
@@ -22,8 +24,7 @@ def squared_norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy; the zero vector is returned unchanged."""
     norm = F.sqrt(squared_norm(v)).cast("float")
-    unit = F.transform(v, lambda x: (x / norm).cast("float"))
-    return F.when(norm == 0, v).otherwise(unit)
+    return let(norm, lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x / n).cast("float"))))
 
 
 def l2_distance_to(v: Column, query: Sequence[float]) -> Column:

@@ -218,8 +218,7 @@ def chunk_documents(parsed: DataFrame, config: ChunkConfig, mime: str = "mime_ty
 
 def explode_chunks(chunked: DataFrame, config: ChunkConfig, *keys: str) -> DataFrame:
     """One row per chunk with its fingerprint."""
-    # Not a bare column: Spark would repeat its whole computation in an added size filter.
-    chunks = F.coalesce("chunks", F.array().cast(T.ArrayType(CHUNK)))
-    rows = chunked.select(*keys, F.explode(chunks).alias("c")).select(*keys, "c.*")
+    # The outer form: for the inner one Spark adds a size filter that computes the chunks twice.
+    rows = chunked.select(*keys, F.explode_outer("chunks").alias("c")).where(F.col("c").isNotNull()).select(*keys, "c.*")
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
     return rows.withColumn("chunk_hash", fingerprint(text, config.strategy, config.size, config.overlap))

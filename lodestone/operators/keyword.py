@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators.skew import fits_broadcast, lookup_join
+from lodestone.session import work_path
 
 K1, B = 1.2, 0.75
 # Scores are sums in no fixed order; at this precision exact copies tie on every run.
@@ -90,8 +91,9 @@ def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "chunk
     words = words.withColumn("length", F.size("tokens"))
     corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     postings = (
-        # Not a bare column: Spark would tokenize again in an added size filter.
-        words.select("id", "length", F.explode(F.coalesce("tokens", F.array().cast("array<string>"))).alias("term"))
+        # The outer form: for the inner one Spark adds a size filter that tokenizes twice.
+        words.select("id", "length", F.explode_outer("tokens").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("id", "term", "length")
         .agg(F.count("*").cast("int").alias("tf"))
     )
@@ -141,7 +143,11 @@ def search_postings(lists: PostingLists, queries: DataFrame, limit: int, allowed
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
     small = fits_broadcast(asked)
     vocabulary = asked.select("term").distinct()
-    postings = lookup_join(lists.postings, vocabulary, ["term"], "left_semi", small)
+    # Document frequencies and hits both need the asked terms' postings: a table
+    # keeps the texts (or the index) from being read for each of them.
+    path = work_path(queries.sparkSession, "asked-postings")
+    lookup_join(lists.postings, vocabulary, ["term"], "left_semi", small).write.parquet(path)
+    postings = queries.sparkSession.read.parquet(path)
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     # At most one row per asked term, so the same size check covers it.
     weighted = asked.join(frequency, "term")

@@ -180,8 +180,8 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
 
 
 def explode_units(parsed: DataFrame, *keys: str) -> DataFrame:
-    # Not a bare column: Spark would repeat its whole computation in an added size filter.
-    units = F.coalesce("units", F.array().cast(UNITS))
-    return parsed.select(*keys, F.posexplode(units).alias("unit_index", "unit")).select(
+    # The outer form: for the inner one Spark adds a size filter that computes the units twice.
+    rows = parsed.select(*keys, F.posexplode_outer("units").alias("unit_index", "unit"))
+    return rows.where(F.col("unit_index").isNotNull()).select(
         *keys, "unit_index", "unit.kind", "unit.text", "unit.metadata"
     )

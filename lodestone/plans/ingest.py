@@ -42,14 +42,14 @@ class IngestReport:
     events: DataFrame
 
 
-def fresh_chunks(files: DataFrame, config: ChunkConfig) -> tuple[DataFrame, DataFrame]:
-    """``(chunked documents, chunk rows)`` of raw files, without any shuffle."""
-    for c in ("extra_json", "metadata", "external_id"):
+def chunked_documents(files: DataFrame, config: ChunkConfig) -> DataFrame:
+    """Raw files to one row per document with its chunk array, title and error; no shuffle."""
+    for c in CARRIED:
         if c not in files.columns:
             files = files.withColumn(c, F.lit(None).cast("string"))
-    chunked = chunk_documents(parse_documents(files).drop("content"), config)
-    rows = explode_chunks(chunked, config, *CARRIED)
-    return chunked, rows
+    kept = [*CARRIED, *(["job_id"] if "job_id" in files.columns else [])]
+    parsed = parse_documents(files.select(*kept, "content")).drop("content")
+    return chunk_documents(parsed, config)
 
 
 def ingest(
@@ -74,11 +74,12 @@ def ingest(
     stamp = int((now or datetime.now(timezone.utc)).timestamp())
     base = store.manifest()
 
-    chunked, rows = fresh_chunks(files, collection.chunking)
-    # Parsing is the expensive pass; its outcome per document is written once.
-    outcome_path = work_path(spark, "outcome")
-    chunked.select("document_id", "file_uri", "mime_type", "title", "error").write.parquet(outcome_path)
-    outcome = spark.read.parquet(outcome_path)
+    # Parsing is the expensive pass, and three consumers follow: it is done once, into a table.
+    chunked_path = work_path(spark, "chunked")
+    chunked_documents(files, collection.chunking).write.parquet(chunked_path)
+    chunked = spark.read.parquet(chunked_path)
+    outcome = chunked.drop("chunks", "extra_json", "metadata", "external_id")
+    rows = explode_chunks(chunked, collection.chunking, *CARRIED)
     replaced = outcome.where(F.col("error").isNull()).select("document_id")
     touched = store.touched(replaced)
     stored = store.read(touched, base).join(replaced, "document_id", "left_semi")
@@ -132,17 +133,15 @@ def ingest(
     inserting = time.monotonic()
     store.replace_documents(replaced, fresh.select(*CHUNKS.fieldNames()), base)
     insert_ms = int((time.monotonic() - inserting) * 1000)
-    for path in (outcome_path, fresh_path):
+    for path in (chunked_path, fresh_path):
         delete(spark, path)
     total_ms = int((time.monotonic() - started) * 1000)
-    return IngestReport(report, _events(report, files, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp))
+    return IngestReport(report, _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp))
 
 
-def _events(report, files, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp) -> DataFrame:
+def _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp) -> DataFrame:
     """One event per document; stage times are those of the batch it was part of."""
-    if "job_id" in files.columns:
-        report = report.join(files.select("document_id", "job_id"), "document_id", "left")
-    else:
+    if "job_id" not in report.columns:
         report = report.withColumn("job_id", F.lit(""))
     local = [embedder.model] if embedder.local else []
     tokens = F.when(F.col("embed_tokens") > 0, F.col("embed_tokens"))

@@ -14,7 +14,7 @@ from lodestone.functions.metadata import MetadataField, field_map, reconstruct
 from lodestone.operators.fusion import HybridSettings, fuse, ranked
 from lodestone.operators.keyword import PostingLists, build_postings, keyword_search, search_postings
 from lodestone.operators.knn import knn, knn_batch
-from lodestone.operators.skew import lookup_join
+from lodestone.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
 
 QUERY_TOP_K, RAG_TOP_K, MAX_TOP_K = 5, 2, 100
 
@@ -70,9 +70,14 @@ def search_batch(
     return fuse(near, found, request.settings, request.top_k)
 
 
-def attach_chunks(results: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
-    """Texts and metadata for batch results: at most ``top_k`` ids per query."""
-    return lookup_join(chunks.select("id", *columns), results, ["id"])
+def attach_chunks(results: DataFrame, chunks: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
+    """Texts and metadata for batch results.
+
+    Each query has at most 100 results, so counting the queries bounds them
+    without running the search a second time.
+    """
+    small = fits_broadcast(queries, BROADCAST_ROWS // MAX_TOP_K)
+    return lookup_join(chunks.select("id", *columns), results, ["id"], small=small)
 
 
 def at_least(results: DataFrame, min_similarity: float | None, keyword_passes: bool = False) -> DataFrame:

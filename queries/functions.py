@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import display, text
 from lodestone.functions.metadata import MetadataField, reconstruct, rejected_keys, with_slots
 from lodestone.functions.pricing import embed_cost, llm_cost
+from lodestone.operators.skew import spread
 from lodestone.sources.adapters import order_slots, table
 from queries.common import Query, rounded
 
@@ -93,7 +94,7 @@ def _metadata_json():
 
 
 def _routed(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "orders").select("o_orderkey", _metadata_json().alias("metadata"))
+    rows = spread(table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", _metadata_json().alias("metadata"))
     rows = with_slots(rows, "metadata", FIELDS)
     return rows.select(
         "o_orderkey",

@@ -137,7 +137,8 @@ def _hybrid_batch(spark, sf) -> DataFrame:
 
 
 def _shown_results(spark, sf) -> DataFrame:
-    return attach_chunks(_hybrid_batch_hits(spark, sf), _chunks(spark, sf), "source_name", "chunk_header", "chunk_text")
+    shown = ("source_name", "chunk_header", "chunk_text")
+    return attach_chunks(_hybrid_batch_hits(spark, sf), _chunks(spark, sf), _batch_queries(spark, sf), *shown)
 
 
 def _result_stats(spark, sf) -> DataFrame:
