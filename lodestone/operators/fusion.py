@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import top_per_group
+
 
 @dataclass(frozen=True)
 class HybridSettings:
@@ -73,8 +75,7 @@ def fuse(
     )
     both = F.col("_semantic") + F.col("_text")
     scored = merged.withColumn("rrf_score", F.coalesce(both, "_semantic", "_text"))
-    order = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), "id")
-    best = scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_k)
+    best = top_per_group(scored, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], top_k)
     top = F.max("rrf_score").over(Window.partitionBy("query_id"))
     normalized = F.when(top > 0, (F.col("rrf_score") / top).cast("float") * F.lit(100).cast("float"))
     best = best.withColumn("rrf_score_normalized", normalized)

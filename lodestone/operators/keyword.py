@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.operators.ranking import top_per_group
 from lodestone.operators.skew import fits_broadcast, lookup_join
 from lodestone.session import work_path
 
@@ -156,5 +157,4 @@ def search_postings(lists: PostingLists, queries: DataFrame, limit: int, allowed
     matched = lookup_join(hits, weighted, ["term"], "inner", small)
     part = bm25(F.col("tf"), F.col("length"), corpus["n"], F.col("df"), corpus["average"])
     scored = matched.groupBy("query_id", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("keyword_bm25_score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("keyword_bm25_score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+    return top_per_group(scored, ["query_id"], [F.col("keyword_bm25_score").desc(), F.col("id")], limit)

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.vectors import l2_distance_to, similarity_from_distance
+from lodestone.operators.ranking import top_per_group
 
 # A query block is held by every task: its size in float64 values is bounded.
 BLOCK_VALUES = 1_000_000
@@ -71,8 +72,7 @@ def knn_batch(
         partial = _against_block(pairs, block, k, schema)
     else:
         partial = _block_join(pairs, asked, k, dim, block_rows, schema)
-    order = Window.partitionBy("query_id").orderBy("vector_distance", "id")
-    ranked = partial.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    ranked = top_per_group(partial, ["query_id"], [F.col("vector_distance"), F.col("id")], k)
     return ranked.withColumn("vector_similarity", similarity_from_distance(F.col("vector_distance")))
 
 

@@ -6,29 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(rows: DataFrame, value: str, coarse: Column, fine: Column, order: list[Column], name: str) -> DataFrame:
-    """Total of ``value`` up to and including each row in (coarse, fine, order).
+def running_total(rows: DataFrame, value: str, levels: list[Column], order: list[Column], name: str) -> DataFrame:
+    """Total of ``value`` up to and including each row, ordered by the levels and then ``order``.
 
     A single global window would send every row to one task.  Here rows are
-    summed per fine bucket and fine buckets per coarse bucket first; only the
-    coarse totals, one per bucket, pass through an unpartitioned window.
+    summed per innermost bucket, those sums per next outer bucket, and so on;
+    each window then runs within one outer bucket.  Only the outermost totals
+    pass through an unpartitioned window, so the first level should be coarse.
     """
-    keyed = rows.withColumns({"_c": coarse, "_f": fine})
-    per_fine = keyed.groupBy("_c", "_f").agg(F.sum(value).alias("_v"))
-    per_coarse = per_fine.groupBy("_c").agg(F.sum("_v").alias("_v"))
+    keys = [f"_l{i}" for i in range(len(levels))]
+    keyed = rows.withColumns(dict(zip(keys, levels)))
+    sums = {len(keys): keyed.groupBy(*keys).agg(F.sum(value).alias("_v"))}
+    for depth in range(len(keys) - 1, 0, -1):
+        sums[depth] = sums[depth + 1].groupBy(*keys[:depth]).agg(F.sum("_v").alias("_v"))
 
-    def before(window: Window) -> Column:
-        return F.coalesce(F.sum("_v").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = None
+    for depth in range(1, len(keys) + 1):
+        outer, key = keys[: depth - 1], keys[depth - 1]
+        window = (Window.partitionBy(*outer) if outer else Window).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum("_v").over(window), F.lit(0))
+        here = sums[depth].withColumn("_here", offset).drop("_v")
+        if before is None:
+            before = here.withColumnRenamed("_here", "_before")
+        else:
+            before = here.join(before, outer).select(*keys[:depth], (F.col("_before") + F.col("_here")).alias("_before"))
 
-    coarse_before = per_coarse.select("_c", before(Window.orderBy("_c")).alias("_coarse_before"))
-    fine_before = (
-        per_fine.withColumn("_fine_before", before(Window.partitionBy("_c").orderBy("_f")))
-        .join(coarse_before, "_c")
-        .select("_c", "_f", (F.col("_coarse_before") + F.col("_fine_before")).alias("_before"))
-    )
-    inner = Window.partitionBy("_c", "_f").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.join(fine_before, ["_c", "_f"])
+        keyed.join(before, keys)
         .withColumn(name, F.col("_before") + F.sum(value).over(inner))
-        .drop("_c", "_f", "_before")
+        .drop("_before", *keys)
     )

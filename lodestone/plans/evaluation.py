@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import top_per_group
+
 # USD per token of the judge model, (input, output).
 JUDGE_RATES = {"gpt-4o-mini": (0.15 / 1_000_000, 0.60 / 1_000_000)}
 
@@ -37,11 +39,8 @@ def ndcg(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
         .groupBy("query_id")
         .agg(F.sum(_discounted(F.coalesce("relevance", F.lit(0)), F.col("rank"))).alias("dcg"))
     )
-    # row_number under a bound: each task forwards at most k rows per query.
-    best_first = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "doc_id")
     ideal = (
-        judged.withColumn("_r", F.row_number().over(best_first) - 1)
-        .where(F.col("_r") < k)
+        top_per_group(judged, ["query_id"], [F.col("relevance").desc(), F.col("doc_id")], k, "_r")
         .groupBy("query_id")
         .agg(F.sum(_discounted(F.col("relevance"), F.col("_r"))).alias("idcg"))
     )

@@ -23,11 +23,16 @@ def kept_files(listing: DataFrame, now: Column, days: int, max_bytes: int) -> Da
     """
     age = F.unix_timestamp(now) - F.unix_timestamp("modified")
     young = listing.where(age <= F.lit(days * 86400))
-    # Both buckets descend, so the total runs from the newest file to the oldest.
-    day = -F.floor(F.unix_timestamp("modified") / 86400)
-    second = -F.unix_timestamp("modified")
-    order = [F.col("modified").desc(), F.col("path").desc()]
-    total = running_total(young, "bytes", day, second, order, "newer_bytes")
+    # All levels descend, so the total runs from the newest file to the oldest.  Files
+    # of one instant are told apart by a hash: even a bulk copy spreads over tasks.
+    micros = F.unix_micros("modified")
+    levels = [
+        -F.floor(micros / 86_400_000_000),
+        -F.floor(micros / 1_000_000),
+        -micros,
+        F.pmod(F.xxhash64("path"), F.lit(1024)),
+    ]
+    total = running_total(young, "bytes", levels, [F.col("path")], "newer_bytes")
     return total.where(F.col("newer_bytes") <= max_bytes)
 
 

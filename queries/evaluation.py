@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import top_per_group
 from lodestone.plans import evaluation as plan
 from lodestone.sources.adapters import table
 from queries.common import Query, rounded
@@ -14,9 +15,8 @@ DEPTH = 100
 
 def ranked(spark, sf) -> DataFrame:
     """Per source, its documents by length: 100 deep, as a search would return them."""
-    order = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id")
     docs = table(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars")
-    return docs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < DEPTH).drop("n_chars")
+    return top_per_group(docs, ["query_id"], [F.col("n_chars").desc(), F.col("doc_id")], DEPTH).drop("n_chars")
 
 
 def judged(spark, sf) -> DataFrame:
