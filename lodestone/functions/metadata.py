@@ -29,6 +29,10 @@ def field_map(fields: Sequence[MetadataField]) -> dict[str, tuple[str, int]]:
     return {f.name: (f.type, f.slot) for f in fields}
 
 
+def is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
 def metadata_map(json_text: Column) -> Column:
     """Top-level members as ``map<string, variant>``; NULL when it is not an object."""
     return F.from_json(json_text, "map<string,variant>")

@@ -427,6 +427,15 @@ def register_fields(
     return fields.unionByName(_rows(fields.sparkSession, "metadata_fields", values)), added
 
 
+def delete_field(fields: DataFrame, collection_id: str, name: str) -> tuple[DataFrame, MetadataField]:
+    """The remaining fields and the freed one, whose slot the caller then clears."""
+    mine = (F.col("collection_id") == collection_id) & (F.col("name") == name)
+    row = fields.where(mine).select("name", "type", "slot").first()
+    if row is None:
+        raise KeyError(f"field {name!r} is not registered on this collection")
+    return fields.where(~mine), MetadataField(row["name"], row["type"], row["slot"])
+
+
 def collection_fields(fields: DataFrame, collection_id: str) -> list[MetadataField]:
     rows = fields.where(F.col("collection_id") == collection_id).orderBy("type", "slot")
     return [MetadataField(r.name, r.type, r.slot) for r in rows.limit(sum(SLOT_COUNTS.values())).collect()]

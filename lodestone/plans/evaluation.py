@@ -103,3 +103,8 @@ def judge_cost(usage: DataFrame, judge_model: str) -> DataFrame:
         return usage.agg(F.lit(None).cast("double").alias("estimated_usd"))
     spent = F.col("input_tokens") * F.lit(rates[0]) + F.col("output_tokens") * F.lit(rates[1])
     return usage.agg(F.sum(spent).alias("estimated_usd"))
+
+
+def save_run(results: DataFrame, path: str, run: str) -> None:
+    """Append the ``(track, metric, value)`` rows of one evaluation run as JSON."""
+    results.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(path)

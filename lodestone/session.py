@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,7 +36,9 @@ def build_session(
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
@@ -61,3 +65,25 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table that cuts lineage."""
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for name in (os.path.basename(package), "queries"):
+            for folder, _, names in os.walk(os.path.join(root, name)):
+                for file in names:
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)

@@ -61,3 +61,13 @@ class ChunkStore(SnapshotTable):
         """Clear a metadata slot on every chunk before it is given to another field."""
         kind = self.schema[column].dataType
         return self.rewrite(lambda rows: rows.withColumn(column, F.lit(None).cast(kind)))
+
+    def index_slot(self, column: str) -> Manifest:
+        """Clear a slot for its new field and index it from here on."""
+        self.indexed.add(column)
+        return self.null_slot(column)
+
+    def drop_slot(self, column: str) -> Manifest:
+        """Clear the slot of a deleted field and stop indexing it."""
+        self.indexed.discard(column)
+        return self.null_slot(column)

@@ -38,6 +38,8 @@ class SnapshotTable:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
         self.bucket_by, self.buckets = bucket_by, buckets
+        # Columns whose files carry bloom filters, so equality filters skip row groups.
+        self.indexed: set[str] = set()
 
     def bucket(self, key: Column | None = None) -> Column:
         if self.bucket_by is None:
@@ -80,14 +82,10 @@ class SnapshotTable:
         base = base or self.manifest()
         folder = f"commit={base.version + 1}-{uuid.uuid4().hex[:8]}"
         target = f"{self.path}/data/{folder}"
-        (
-            rows.select(*self.schema.fieldNames(), self.bucket().alias("bucket"))
-            .hint("rebalance", "bucket")
-            .write.option("compression", "zstd")
-            .option("maxRecordsPerFile", 1_000_000)
-            .partitionBy("bucket")
-            .parquet(target)
-        )
+        writer = rows.select(*self.schema.fieldNames(), self.bucket().alias("bucket")).hint("rebalance", "bucket").write
+        for column in self.indexed:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(target)
         kept = {} if touched is None else {b: f for b, f in base.folders.items() if b not in set(touched)}
         for name, *_ in files.list_dir(self.spark, target):
             if name.startswith("bucket="):

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import apply_runtime_conf
+from lodestone.session import apply_runtime_conf, ship_package
 
 
 class Query(NamedTuple):
@@ -19,6 +19,7 @@ class Query(NamedTuple):
 def prepared(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         apply_runtime_conf(spark)
+        ship_package(spark)
         return run(spark, sf_dir)
 
     call.__doc__ = run.__doc__
