@@ -13,6 +13,8 @@ SKIPPED |= {"head", "title", "noscript", "template"}
 BLOCKS = {"p", "div", "section", "article", "blockquote", "table"}
 LISTS = {"ul", "ol"}
 EMPHASIS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+# Inline formatting that is reopened when a block boundary cut it off.
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "s", "small", "strike", "strong", "tt", "u"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Opening the key ends a still open element of the values.
 IMPLIED_END = {
@@ -22,8 +24,12 @@ IMPLIED_END = {
     "tr": {"td", "th", "tr"},
     "dt": {"dt", "dd"},
     "dd": {"dt", "dd"},
-    **{tag: {"p"} for tag in BLOCKS | LISTS | {f"h{n}" for n in range(1, 7)} | {"pre", "form", "nav"}},
 }
+HEADINGS = {f"h{n}" for n in range(1, 7)}
+# Opening one of these closes an open paragraph, unless a table cell or the like lies between.
+CLOSES_P = BLOCKS - {"table"} | LISTS | HEADINGS | SKIPPED - {"script", "style", "button", "iframe", "title", "noscript", "template"}
+CLOSES_P |= {"table", "pre", "li", "dl", "dt", "dd", "main", "figure", "figcaption", "hr", "center", "details", "summary", "address"}
+P_SCOPE = {"table", "td", "th", "caption", "button", "html", "template"}
 
 RAW_TEXT = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TOKEN = re.compile(
@@ -47,6 +53,7 @@ class _Article:
     def __init__(self) -> None:
         self.open: list[str] = []
         self.text: list[list[str]] = [[]]
+        self.cut: list[str] = []
         self.skipping = self.verbatim = self.depth = 0
 
     def write(self, piece: str) -> None:
@@ -55,6 +62,25 @@ class _Article:
     def start(self, tag: str, attrs: str) -> None:
         while self.open and self.open[-1] in IMPLIED_END.get(tag, ()):
             self.end(self.open[-1])
+        if tag in CLOSES_P and self._paragraph_open():
+            self.end("p")
+        if tag not in CLOSES_P and tag not in IMPLIED_END:
+            self._reopen()
+        self._enter(tag, attrs)
+
+    def _paragraph_open(self) -> bool:
+        for tag in reversed(self.open):
+            if tag == "p" or tag in P_SCOPE:
+                return tag == "p"
+        return False
+
+    def _reopen(self) -> None:
+        """Formatting cut off by a block boundary goes on around the next inline content."""
+        again, self.cut = self.cut, []
+        for tag in again:
+            self._enter(tag, "")
+
+    def _enter(self, tag: str, attrs: str) -> None:
         if tag in VOID:
             if not self.skipping and not self.verbatim:
                 self._void(tag, attrs)
@@ -93,13 +119,19 @@ class _Article:
                 self.write(words + " ")
 
     def end(self, tag: str) -> None:
+        if tag in self.cut:
+            self.cut.remove(tag)
         if tag not in self.open:
             return
+        cut = []
         while True:
             closing = self.open.pop()
             self._close(closing)
             if closing == tag:
-                return
+                break
+            if closing in FORMATTING:
+                cut.insert(0, closing)
+        self.cut = cut + self.cut
 
     def _close(self, tag: str) -> None:
         hidden = self.skipping
@@ -133,6 +165,7 @@ class _Article:
             self.write(f"\n\n{'#' * int(tag[1])} {inner}\n\n")
 
     def characters(self, raw: str) -> None:
+        self._reopen()
         if self.skipping:
             return
         words = html.unescape(raw)
@@ -142,9 +175,6 @@ class _Article:
             self.write(words.strip(WHITESPACE) + " ")
 
 
-HEADINGS = {f"h{n}" for n in range(1, 7)}
-
-
 def html_to_markdown(page: str) -> str:
     article = _Article()
     for token in TOKEN.finditer(RAW_TEXT.sub("", page)):

@@ -90,6 +90,13 @@ def test_html_nested_skip(spark):
     assert texts(spark, "text/html", page) == ["kept \n\ntail"]
 
 
+def test_html_formatting_survives_block_boundaries(spark):
+    page = "<body><p><b>one<br><p>two</p><p>three</b> four</p><p>five</body>"
+    assert texts(spark, "text/html", page) == ["**one \n**\n\n**two **\n\n**three **four \n\nfive"]
+    assert texts(spark, "text/html", "<div><em>a</div>b") == ["*a *\n\n*b *"]
+    assert texts(spark, "text/html", "<table><tr><td>a<td>b<tr><td>c</table>") == ["a  | b  |\n c  |"]
+
+
 def test_csv(spark):
     units, _, error = parse(spark, "text/csv", 'a,b\n1, "x, ""y"""\n\n , \n2,z\r\n')
     assert error is None
