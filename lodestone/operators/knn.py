@@ -15,6 +15,8 @@ from lodestone.operators.ranking import top_per_group
 
 # A query block is held by every task: its size in float64 values is bounded.
 BLOCK_VALUES = 1_000_000
+# Results one task keeps for a block of queries.
+BLOCK_RESULTS = 500_000
 # Distances held at once by one matrix product.
 TILE_VALUES = 4_000_000
 # Vectors one replicate-join group may hold, as float64 values.
@@ -59,7 +61,7 @@ def knn_batch(
     """
     pairs = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
-    block_rows = max(BLOCK_VALUES // dim, 1)
+    block_rows = max(min(BLOCK_VALUES // dim, BLOCK_RESULTS // k), 1)
     schema = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -84,21 +86,29 @@ def _nearest(query_ids, q: np.ndarray, ids, v: np.ndarray, k: int) -> pd.DataFra
     """The k nearest of ``v`` for each row of ``q``, ties by id."""
     by_id = np.argsort(ids, kind="stable")
     ids, v = np.asarray(ids)[by_id], v[by_id]
-    v_norm = (v * v).sum(1)
+    v_norm, q_norm = (v * v).sum(1), (q * q).sum(1)
     found: list[pd.DataFrame] = []
     tile = max(TILE_VALUES // max(len(ids), 1), 1)
     for at in range(0, len(q), tile):
-        block = q[at : at + tile]
-        squared = (block * block).sum(1)[:, None] + v_norm[None, :] - 2.0 * (block @ v.T)
-        for i, row in enumerate(squared):
-            near = np.arange(len(ids))
-            if len(ids) > k:
-                # The product form loses digits near 0: keep all within rounding of the cut.
-                cut = np.partition(row, k - 1)[k - 1]
-                near = np.flatnonzero(row <= cut + 1e-9 * (1.0 + abs(cut)))
-            exact = np.sqrt(((v[near] - block[i]) ** 2).sum(1))
-            best = np.argsort(exact, kind="stable")[:k]
-            found.append(pd.DataFrame({"query_id": query_ids[at + i], "id": ids[near[best]], "vector_distance": exact[best]}))
+        block, norm = q[at : at + tile], q_norm[at : at + tile, None]
+        squared = norm + v_norm[None, :] - 2.0 * (block @ v.T)
+        near = np.ones(squared.shape, dtype=bool)
+        if len(ids) > k:
+            # The product form loses digits: keep all within rounding of the cut.
+            cut = np.partition(squared, k - 1, axis=1)[:, k - 1 : k]
+            near = squared <= cut + 1e-9 * (1.0 + norm + v_norm.max())
+        qi, vi = np.nonzero(near)
+        exact = np.empty(len(qi))
+        step = max(TILE_VALUES // v.shape[1], 1)
+        for i in range(0, len(qi), step):
+            gap = v[vi[i : i + step]] - block[qi[i : i + step]]
+            exact[i : i + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        order = np.lexsort((vi, exact, qi))
+        qi, vi, exact = qi[order], vi[order], exact[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        found.append(
+            pd.DataFrame({"query_id": query_ids[at + qi[best]], "id": ids[vi[best]], "vector_distance": exact[best]})
+        )
     return pd.concat(found, ignore_index=True)
 
 
