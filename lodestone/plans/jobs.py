@@ -85,6 +85,7 @@ def run_jobs(
     now: datetime,
     uploads: DataFrame | None = None,
     get: Fetch = fetch_any,
+    intent: str = "ingest",
 ) -> IngestReport:
     """Run one collection's unfinished jobs as one batch.
 
@@ -110,7 +111,7 @@ def run_jobs(
     files = content.where(F.col("fetch_error").isNull()).select(
         "document_id", "file_uri", "mime_type", "extra_json", "metadata", F.col("id").alias("job_id"), "content"
     )
-    report = ingest(files, store, collection, embedder, now)
+    report = ingest(files, store, collection, embedder, now, intent)
 
     results = content.drop("content").join(
         report.documents.select("document_id", "name", "chunk_count", F.col("error").alias("read_error")), "document_id", "left"

@@ -103,6 +103,8 @@ class SnapshotTable:
         """Replace the content of some or all buckets by a function of it."""
         base = self.manifest()
         chosen = list(base.folders) if buckets is None else list(buckets)
+        if not chosen:
+            return base
         return self.commit(change(self.read(chosen, base)), chosen, base)
 
     def compact(self) -> Manifest:
