@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 # Largest lookup side that is sent whole to every executor.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the side has at most ``limit`` rows; reads no more than that."""
-    return lookup.limit(limit + 1).count() <= limit
+    """Whether the side is small in rows and in bytes; reads at most ``limit`` + 1 rows."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    seen = lookup.limit(limit + 1).select(width.alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("bytes")).first()
+    return seen.n <= limit and (seen.bytes or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(
@@ -35,7 +38,8 @@ def lookup_join(
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Use every core for heavy per-row work on a table of few, large splits.
 
-    A table with enough splits is returned as it is: nothing is shuffled.
+    A table with splits for more than a quarter of the cores is returned as it
+    is: there the shuffle would cost more than the idle cores.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() * 4 <= cores else rows

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from lodestone.sources import files
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -64,9 +67,21 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def _work_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    return f"{_work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_work(spark: SparkSession, max_age_hours: float = 24.0, name: str = "") -> int:
+    """Delete this application's work tables of that age (and name); how many went."""
+    limit = (time.time() - max_age_hours * 3600) * 1000
+    tables = files.list_dir(spark, _work_root(spark))
+    old = [path for table, path, _, modified in tables if modified < limit and table.startswith(name)]
+    return sum(files.delete(spark, path) for path in old)
 
 
 _shipped: set[str] = set()

@@ -43,14 +43,21 @@ def base_mime(mime: Column) -> Column:
     return F.trim(F.substring_index(mime, ";", 1))
 
 
-def detect_mime(uri: Column, content_type: Column | None = None) -> Column:
-    """By extension before any query string, then the server's answer, then a default."""
+def _by_extension(uri: Column) -> Column:
     path = F.substring_index(F.lower(uri), "?", 1)
     table = F.create_map(*[F.lit(x) for item in EXTENSION_MIME.items() for x in item])
-    by_name = F.try_element_at(table, F.regexp_extract(path, r"\.([a-z]+)$", 1))
+    return F.try_element_at(table, F.regexp_extract(path, r"\.([a-z]+)$", 1))
+
+
+def has_known_extension(uri: Column) -> Column:
+    return _by_extension(uri).isNotNull()
+
+
+def detect_mime(uri: Column, content_type: Column | None = None) -> Column:
+    """By extension before any query string, then the server's answer, then a default."""
     told = F.lit(None).cast("string") if content_type is None else F.nullif(base_mime(content_type), F.lit(""))
     probed = F.when(is_web(uri), F.coalesce(told, F.lit("text/html"))).otherwise(F.lit("text/plain"))
-    return F.coalesce(by_name, probed)
+    return F.coalesce(_by_extension(uri), probed)
 
 
 def upload_error(name: Column, mime: Column, size: Column | None = None, max_mb: int = MAX_UPLOAD_MB) -> Column:

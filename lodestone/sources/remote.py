@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestone.sources.landing import detect_mime, has_known_extension, is_web
+
 TIMEOUT_SECONDS = 60
 USER_AGENT = "lodestone/1.0"
 FETCHED = T.StructType(
@@ -60,6 +62,13 @@ def fetch_http(uri: str, etag: str | None = None, last_modified: str | None = No
         return Fetched(error=f"unexpected status {err.code}")
 
 
+def head_content_type(uri: str) -> str | None:
+    """What the server calls the resource; only a plain 200 is believed."""
+    request = urllib.request.Request(uri, headers={"User-Agent": USER_AGENT}, method="HEAD")
+    with urllib.request.urlopen(request, timeout=5) as reply:
+        return reply.headers.get("Content-Type") if reply.status == 200 else None
+
+
 def fetch_s3(uri: str, etag: str | None = None, last_modified: str | None = None) -> Fetched:
     """Needs ``boto3`` on the executors; whole prefixes are read with ``binaryFile`` instead."""
     try:
@@ -114,3 +123,21 @@ def fetch(rows: DataFrame, get: Fetch = fetch_any, uri: str = "file_uri", etag:
     since = none if seen is None else F.date_format(F.col(seen), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     # A request is a side effect: the optimizer must not repeat it.
     return rows.withColumn("fetched", call.asNondeterministic()(F.col(uri), known, since))
+
+
+def probe_types(rows: DataFrame, head: Callable[[str], str | None] = head_content_type, uri: str = "file_uri") -> DataFrame:
+    """Add ``mime_type``: by extension, or else by asking the server of a web address."""
+
+    @F.arrow_udf(T.StringType())
+    def ask(uris: pa.Array) -> pa.Array:
+        out = []
+        for u in uris.to_pylist():
+            try:
+                out.append(None if u is None else head(u))
+            except Exception:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    unnamed = is_web(F.col(uri)) & ~has_known_extension(F.col(uri))
+    asked = rows.withColumn("_told", ask.asNondeterministic()(F.when(unnamed, F.col(uri))))
+    return asked.withColumn("mime_type", detect_mime(F.col(uri), F.col("_told"))).drop("_told")

@@ -9,7 +9,8 @@ from lodestone.schemas import COLLECTIONS, DOCUMENTS
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.evalsets import read_beir, read_squad
 from lodestone.sources.landing import allowed_scheme, detect_mime, read_landing, stream_landing, upload_error
-from lodestone.sources.remote import Fetched, fetch, fetch_any
+from lodestone.session import clean_work, work_path
+from lodestone.sources.remote import Fetched, fetch, fetch_any, probe_types
 from lodestone.sources.telemetry import read_events
 from lodestone.streaming.ingest import start_ingest
 from lodestone.streaming.refresh import refresh_sweep
@@ -33,6 +34,25 @@ def test_mime_detection(spark):
     assert one(spark, "https://x.org/p", lambda u: detect_mime(u, F.lit("text/csv; charset=utf-8"))) == "text/csv"
 
 
+def test_type_probing(spark):
+    def head(uri):
+        if "down" in uri:
+            raise OSError("no route")
+        return "application/pdf; charset=binary"
+
+    uris = ["https://x/paper", "https://x/down", "https://x/a.md", "s3://b/k"]
+    df = spark.createDataFrame([(u,) for u in uris], "file_uri string")
+    got = {r.file_uri: r.mime_type for r in probe_types(df, head).collect()}
+    assert [got[u] for u in uris] == ["application/pdf", "text/html", "text/markdown", "text/plain"]
+
+
+def test_work_tables_are_cleaned(spark):
+    path = work_path(spark, "scrap")
+    spark.range(1).write.parquet(path)
+    assert clean_work(spark, 1.0, "scrap") == 0 and spark.read.parquet(path).count() == 1
+    assert clean_work(spark, -1.0, "scrap") == 1
+
+
 def test_allow_lists(spark):
     assert one(spark, "a.exe", lambda n: upload_error(n, F.lit("text/plain"))) == "unsupported file extension: .exe"
     assert one(spark, "a.txt", lambda n: upload_error(n, F.lit("image/png"))) == "unsupported file type: image/png"
