@@ -91,7 +91,7 @@ def render_prompt(template: Column, context: Column, question: Column) -> Column
 def echo_answer(prompt: Column) -> Column:
     """The offline completion stub: a fixed lead-in and the prompt's first 40 bytes."""
     head = F.substring(F.encode(prompt, "UTF-8"), 1, 40)
-    return F.concat(F.lit("fake answer for: "), F.decode(head, "UTF-8"))
+    return F.concat(F.lit("fake answer for: "), F.make_valid_utf8(head.cast("string")))
 
 
 def _col(value) -> Column:

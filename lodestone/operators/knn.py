@@ -38,7 +38,7 @@ def knn(
     """
     rows = chunks if where is None else chunks.where(where)
     scored = rows.withColumn("vector_distance", l2_distance_to(F.col(vector_col), query))
-    nearest = scored.orderBy("vector_distance", id_col).limit(k)
+    nearest = scored.orderBy(F.col("vector_distance").asc_nulls_last(), id_col).limit(k)
     return nearest.withColumn("vector_similarity", similarity_from_distance(F.col("vector_distance")))
 
 

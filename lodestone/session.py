@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import time
@@ -94,7 +95,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for name in (os.path.basename(package), "queries"):
             for folder, _, names in os.walk(os.path.join(root, name)):
@@ -102,5 +103,7 @@ def ship_package(spark: SparkSession) -> None:
                     if file.endswith(".py"):
                         path = os.path.join(folder, file)
                         z.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(archive)
+    target = f"{shared_dir(spark)}/lodestone-code/{application}/{uuid.uuid4().hex}/lodestone.zip"
+    files.write_new(spark, target, archive.getvalue())
+    spark.sparkContext.addPyFile(target)
     _shipped.add(application)

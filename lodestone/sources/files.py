@@ -28,14 +28,14 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_new(spark: SparkSession, path: str, text: str) -> bool:
+def write_new(spark: SparkSession, path: str, content: str | bytes) -> bool:
     """Create a file; False when it exists already."""
     fs, p = _open(spark, path)
     if fs.exists(p):
         return False
     stream = fs.create(p, False)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(content.encode() if isinstance(content, str) else content))
     finally:
         stream.close()
     return True

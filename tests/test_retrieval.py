@@ -178,6 +178,12 @@ def test_rag(spark, hits):
     assert all("{{context}}" in p[2] and "{{question}}" in p[2] for p in SYSTEM_PROMPTS.values())
 
 
+def test_echo_cuts_bytes_not_characters(spark):
+    prompt = "x" * 39 + "é and more"
+    got = spark.range(1).select(complete_column(F.lit(prompt), EchoModel()).alias("c")).first().c.answer
+    assert got == "fake answer for: " + "x" * 39 + "\ufffd"
+
+
 def test_chat_models(spark):
     def post(url, body, headers, timeout):
         if "boom" in body["messages"][0]["content"]:
