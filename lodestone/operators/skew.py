@@ -38,8 +38,9 @@ def lookup_join(
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Use every core for heavy per-row work on a table of few, large splits.
 
-    A table with splits for more than a quarter of the cores is returned as it
-    is: there the shuffle would cost more than the idle cores.
+    A table with a split per core is returned as it is: nothing is shuffled.
+    Splits are counted before row groups are known, so one large row group may
+    hide behind several empty splits.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() * 4 <= cores else rows
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
