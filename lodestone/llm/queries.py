@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import quality
+from lodestone.llm import neardup, quality
 from queries.common import Query
 
 
@@ -50,6 +50,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        round(rate, 6) AS host_rate, NOT base_failed AND coalesce(rate <= 0.5, TRUE) AS kept
 FROM judged LEFT JOIN rates USING (source)"""
 
+
+
+def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf, "documents"), neardup.NearDupConfig(shingle=3, percent=85))
+
+
 QUERIES: dict[str, Query] = {
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
+    "op10_near_duplicates": Query(near_duplicates),
 }
