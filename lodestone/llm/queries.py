@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import neardup, quality
+from lodestone.llm import neardup, quality, repeats
 from queries.common import Query
 
 
@@ -56,7 +56,12 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf, "documents"), neardup.NearDupConfig(shingle=3, percent=85))
 
 
+def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.removed_spans(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_suffix_array_dedup": Query(suffix_array_dedup),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
     "op10_near_duplicates": Query(near_duplicates),
 }

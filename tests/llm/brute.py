@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import combinations
 
@@ -46,3 +47,20 @@ def near_duplicates(rows: list[tuple[int, str | None]], size: int, percent: int)
                 links.append((a, b))
     found = components(sets, links)
     return {i: (len(sets[i]), found[i]) for i in sets}
+
+
+def repeated_bytes(rows: list[tuple[int, str | None]], length: int = 100) -> dict[int, tuple[int, int, int, str]]:
+    """``doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)`` with every string looked up."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - length + 1):
+            piece = raw[s : s + length]
+            if piece in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(piece)
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
