@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import neardup, quality, repeats
+from lodestone.llm import neardup, pieces, quality, repeats
 from queries.common import Query
 
 
@@ -60,8 +60,22 @@ def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.removed_spans(_table(spark, sf, "documents"))
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back."""
+    vocabulary = pieces.load_vocabulary(model)
+    docs = _table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("n_bytes"), "text")
+    decoded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    same = (F.xxhash64("text") == F.col("digest")) & (F.octet_length("text") == F.col("n_bytes"))
+    n_pieces = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return decoded.select("doc_id", n_pieces.alias("n_pieces"), "ids", F.when(F.col("ids").isNotNull(), same).alias("round_trip"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_suffix_array_dedup": Query(suffix_array_dedup),
+    "op7_sentencepiece_codec": Query(sentencepiece_codec),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
     "op10_near_duplicates": Query(near_duplicates),
 }
