@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import neardup, pieces, quality, repeats
+from lodestone.llm import decontam, neardup, pieces, quality, repeats
 from queries.common import Query
 
 
@@ -60,6 +60,40 @@ def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.removed_spans(_table(spark, sf, "documents"))
 
 
+def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda i: i.cast("string"))))
+
+
+DECONTAMINATION_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT w, min(item_id) AS item FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
+  GROUP BY w),
+masks AS (SELECT * FROM (VALUES (0, [0, 1, 2, 3, 4, 5]), (1, [0, 1, 3, 4, 7, 8]), (2, [0, 2, 4, 5, 7, 9])) AS m(mask, picks)),
+doc_seeds AS (
+  SELECT doc_id, mask, p, array_to_string(list_transform(picks, lambda i: w[p + i + 1]), ' ') AS seed
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 9)) AS p FROM docs), masks),
+item_seeds AS (
+  SELECT item, mask, p, array_to_string(list_transform(picks, lambda i: w[p + i + 1]), ' ') AS seed
+  FROM (SELECT item, w, unnest(range(0, len(w) - 9)) AS p FROM items), masks),
+aligned AS (
+  SELECT DISTINCT doc_id, item, d.p - i.p AS shift FROM doc_seeds d JOIN item_seeds i USING (mask, seed)),
+places AS (
+  SELECT doc_id, item, shift, least(len(i.w), 20) AS width, d.w AS dw, i.w AS iw,
+         unnest(range(greatest(0, -shift), least(len(i.w), len(d.w) - shift) - least(len(i.w), 20) + 1)) AS s
+  FROM aligned JOIN docs d USING (doc_id) JOIN items i USING (item)),
+scored AS (
+  SELECT doc_id, item, width,
+         list_sum(list_transform(range(s, s + width), lambda k: CASE WHEN dw[k + shift + 1] = iw[k + 1] THEN 1 ELSE 0 END)) AS matched
+  FROM places),
+good AS (SELECT * FROM scored WHERE 100 * matched >= 80 * width)
+SELECT doc_id, TRUE AS contaminated, count(DISTINCT item) AS n_items,
+       array_to_string(list_sort(list_distinct(list(item))), ',') AS item_ids, CAST(max(matched) AS BIGINT) AS matched_words
+FROM good GROUP BY doc_id"""
+
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -74,6 +108,7 @@ def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_benchmark_decontamination": Query(benchmark_decontamination, DECONTAMINATION_SQL),
     "op5_suffix_array_dedup": Query(suffix_array_dedup),
     "op7_sentencepiece_codec": Query(sentencepiece_codec),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
