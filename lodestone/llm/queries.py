@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, neardup, pieces, quality, repeats
+from lodestone.llm import chat, decontam, neardup, pieces, quality, repeats
 from queries.common import Query
 
 
@@ -94,6 +94,30 @@ SELECT doc_id, TRUE AS contaminated, count(DISTINCT item) AS n_items,
        array_to_string(list_sort(list_distinct(list(item))), ',') AS item_ids, CAST(max(matched) AS BIGINT) AS matched_words
 FROM good GROUP BY doc_id"""
 
+def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+        " AS probe(conv_id, turn, role, text)"
+    )
+    return chat.conversation_digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) AS p),
+sized AS (
+  SELECT *, length('<s>[INST]' || role || '[/INST]' || text || '</s>')
+            + len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*(?:/?s>|/?INST\])')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -109,6 +133,7 @@ def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL)
 
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": Query(benchmark_decontamination, DECONTAMINATION_SQL),
+    "op4_chat_formatting": Query(chat_formatting, CHAT_SQL),
     "op5_suffix_array_dedup": Query(suffix_array_dedup),
     "op7_sentencepiece_codec": Query(sentencepiece_codec),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
