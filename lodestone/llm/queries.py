@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, neardup, pieces, quality, repeats
+from lodestone.llm import chat, decontam, neardup, pieces, quality, repeats, warc
 from queries.common import Query
 
 
@@ -118,6 +118,31 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
+def warc_archives(spark: SparkSession, sf: str) -> DataFrame:
+    target = warc.archive_folder(spark)
+    manifest = warc.write_archives(_table(spark, sf, "pages"), target)
+    return warc.read_archives(manifest, target).drop("url")
+
+
+# Base32 from the digest's bits: 32 groups of five.
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM payloads),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+            ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+            [strpos('0123456789abcdef', hex[i])]), '') AS b
+  FROM firsts)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g:
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(16 * CAST(b[5 * g + 1] AS INT) + 8 * CAST(b[5 * g + 2] AS INT)
+           + 4 * CAST(b[5 * g + 3] AS INT) + 2 * CAST(b[5 * g + 4] AS INT) + CAST(b[5 * g + 5] AS INT) AS INT)]), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -135,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": Query(benchmark_decontamination, DECONTAMINATION_SQL),
     "op4_chat_formatting": Query(chat_formatting, CHAT_SQL),
     "op5_suffix_array_dedup": Query(suffix_array_dedup),
+    "op6_warc_archives": Query(warc_archives, WARC_SQL),
     "op7_sentencepiece_codec": Query(sentencepiece_codec),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
     "op10_near_duplicates": Query(near_duplicates),
