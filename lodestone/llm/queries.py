@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, neardup, pieces, quality, repeats, warc
+from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, toxicity, warc
 from queries.common import Query
 
 
@@ -143,6 +143,16 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM bits"""
 
+def language_identification(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf, "labels")))
+
+
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -158,10 +168,12 @@ def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL)
 
 QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": Query(benchmark_decontamination, DECONTAMINATION_SQL),
+    "op3_language_identification": Query(language_identification),
     "op4_chat_formatting": Query(chat_formatting, CHAT_SQL),
     "op5_suffix_array_dedup": Query(suffix_array_dedup),
     "op6_warc_archives": Query(warc_archives, WARC_SQL),
     "op7_sentencepiece_codec": Query(sentencepiece_codec),
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
+    "op9_toxicity_scores": Query(toxicity_scores),
     "op10_near_duplicates": Query(near_duplicates),
 }
