@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, toxicity, warc
+from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, toxicity, urls, warc
 from queries.common import Query
 
 
@@ -60,6 +60,70 @@ def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.removed_spans(_table(spark, sf, "documents"))
 
 
+def _number(text):
+    """A number from a text that every engine computes alike."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
+
+
+def url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page against lists made from the pages' own sites: entries come, go and return over a year."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int"))
+    captures = _table(spark, sf, "pages").select("page_id", "url", day.alias("fetched_at"))
+    host = urls.host_of(F.col("url"))
+    site = F.regexp_replace(host, r"^(www|blog|m)\.", "")
+    directory = F.concat(host, F.lit("/"), F.get(urls.segments_of(F.col("url")), F.lit(0)))
+    sites = captures.select(site.alias("entry"), F.lit("site").alias("kind")).distinct()
+    directories = captures.select(directory.alias("entry"), F.lit("directory").alias("kind")).distinct()
+    named = sites.unionByName(directories).where("entry IS NOT NULL").withColumn("n", _number(F.col("entry").cast("binary")))
+    after = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") % 200 + days).cast("int"))
+    category = F.element_at(F.array(*map(F.lit, ("spam", "malware", "adult", "gambling"))), (F.col("n") % 4 + 1).cast("int"))
+    site_rows = named.where("kind = 'site' AND n % 3 = 0")
+    events = (
+        site_rows.select("entry", after(0).alias("day"), F.lit("block").alias("action"), category.alias("category"))
+        .unionByName(site_rows.where("n % 2 = 0").select("entry", after(60).alias("day"), F.lit("remove").alias("action"), category.alias("category")))
+        .unionByName(site_rows.where("n % 5 < 2").select("entry", after(120).alias("day"), F.lit("block").alias("action"), category.alias("category")))
+        .unionByName(
+            named.where("kind = 'directory' AND n % 4 = 0").select("entry", after(30).alias("day"), F.lit("allow").alias("action"), F.lit("reviewed").alias("category"))
+        )
+    )
+    judged = urls.judge(captures, events)
+    dated = {c: F.col(c).cast("string") for c in ("fetched_at", "valid_from", "valid_to")}
+    return judged.withColumns(dated).drop("url")
+
+
+URL_SQL = r"""
+WITH captures AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INT) AS DATE) AS fetched_at,
+         nullif(lower(regexp_extract(url, '^\w+://([^/?#:]*)', 1)), '') AS host,
+         list_filter(string_split(regexp_extract(url, '^\w+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS seg FROM pages),
+named AS (
+  SELECT DISTINCT regexp_replace(host, '^(www|blog|m)\.', '') AS entry, 'site' AS kind FROM captures WHERE host IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT host || '/' || seg[1], 'directory' FROM captures WHERE host IS NOT NULL AND len(seg) > 0),
+numbered AS (SELECT *, CAST('0x' || substr(md5(entry), 1, 6) AS INT) AS n FROM named),
+events AS (
+  SELECT entry, kind, DATE '2024-01-01' + (n % 200 + d) AS day, action,
+         CASE WHEN kind = 'site' THEN ['spam', 'malware', 'adult', 'gambling'][n % 4 + 1] ELSE 'reviewed' END AS category
+  FROM numbered, (VALUES ('site', 0, 'block'), ('site', 60, 'remove'), ('site', 120, 'block'), ('directory', 30, 'allow')) AS e(k, d, action)
+  WHERE kind = k AND CASE d WHEN 0 THEN n % 3 = 0 WHEN 60 THEN n % 3 = 0 AND n % 2 = 0
+                            WHEN 120 THEN n % 3 = 0 AND n % 5 < 2 ELSE n % 4 = 0 END),
+spans AS (
+  SELECT *, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM events),
+covering AS (
+  SELECT page_id, entry, action, category, day, until,
+         CASE kind WHEN 'directory' THEN 1000 ELSE len(string_split(entry, '.')) END AS rank
+  FROM captures c JOIN spans s
+    ON (s.kind = 'site' AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry))
+        OR s.kind = 'directory' AND s.entry = c.host || '/' || seg[1])
+   AND s.day <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until) AND s.action <> 'remove'),
+best AS (SELECT * FROM covering QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank DESC) = 1)
+SELECT page_id, CAST(fetched_at AS VARCHAR) AS fetched_at, host,
+       CASE WHEN host IS NULL THEN 'invalid' WHEN action = 'block' THEN 'blocked' WHEN action = 'allow' THEN 'allowed'
+            ELSE 'unlisted' END AS verdict,
+       entry, category, CAST(CAST(day AS DATE) AS VARCHAR) AS valid_from, CAST(CAST(until AS DATE) AS VARCHAR) AS valid_to
+FROM captures LEFT JOIN best USING (page_id)"""
+
+
 def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda i: i.cast("string"))))
@@ -167,6 +231,7 @@ def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filters": Query(url_filters, URL_SQL),
     "op2_benchmark_decontamination": Query(benchmark_decontamination, DECONTAMINATION_SQL),
     "op3_language_identification": Query(language_identification),
     "op4_chat_formatting": Query(chat_formatting, CHAT_SQL),
