@@ -151,7 +151,7 @@ def read_archive(stream) -> Iterator[bytes]:
         if frame.eof:
             yield b"".join(record)
             pending, record, frame = frame.unused_data, [], opened.decompressobj()
-    if any(record):
+    if record:
         raise ValueError("the archive ends inside a record")
 
 
