@@ -91,14 +91,14 @@ class FilterCompiler:
             return COMPARISONS[op](c, self._literal(arg, kind))
         if op in ("$in", "$nin"):
             if not isinstance(arg, list):
-                raise FilterError("filter: $in/$nin requires an array")
+                raise FilterError(f"filter: {op} takes a list of values")
             if not arg:
-                raise FilterError(f"filter: {op} requires at least one value")
+                raise FilterError(f"filter: the list after {op} is empty")
             hit = c.isin(*[self._literal(v, kind) for v in arg])
             return hit if op == "$in" else ~hit
         if op == "$exists":
             if not isinstance(arg, bool):
-                raise FilterError("filter: $exists requires a boolean")
+                raise FilterError("filter: $exists takes true or false")
             return c.isNotNull() if arg else c.isNull()
         if op == "$like":
             self._only(op, kind, "str", "timestamp")

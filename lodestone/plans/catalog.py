@@ -161,7 +161,7 @@ def claim_document(documents: DataFrame, document_id: str, job_id: str, now: dat
     mine = F.col("id") == document_id
     held = documents.where(mine).select("status").first()
     if held is None or held.status == "ingesting":
-        raise Conflict("document is already being ingested")
+        raise Conflict("another job holds this document")
     values = {"job_id": job_id, "status": "ingesting", "chunk_count": 0, "updated_at": now}
     return apply_patch(documents, mine, values, clear=["error"])
 

@@ -18,7 +18,7 @@ from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.remote import Fetch, fetch, fetch_any
 from lodestone.sources.snapshots import SnapshotTable
 
-HELD = "document is already being ingested"
+HELD = "another job holds this document"
 
 
 @dataclass

@@ -175,7 +175,7 @@ class Workspace:
         if job is None:
             raise KeyError(f"no such job: {job_id}")
         if not rules.may_delete_job(job.status):
-            raise rules.Conflict("cannot delete an active job")
+            raise rules.Conflict("the job has not ended yet")
         own = self.spark.createDataFrame([(job_id,)], "id string")
         self.work.jobs.rewrite(lambda t: t.where(F.col("id") != job_id), self.work.jobs.touched(own))
 

@@ -65,10 +65,10 @@ def upload_error(name: Column, mime: Column, size: Column | None = None, max_mb:
     extension = F.lower(F.regexp_extract(F.regexp_extract(name, "([^/]*)$", 1), r"\.([^.]*)$", 1))
     dotted = F.regexp_extract(name, "([^/]*)$", 1).contains(".")
     checks = F.when(
-        dotted & ~extension.isin(*EXTENSION_MIME), F.concat(F.lit("unsupported file extension: ."), extension)
-    ).when(~base_mime(mime).isin(*ALLOWED_MIME), F.concat(F.lit("unsupported file type: "), base_mime(mime)))
+        dotted & ~extension.isin(*EXTENSION_MIME), F.concat(F.lit("no reader for the extension ."), extension)
+    ).when(~base_mime(mime).isin(*ALLOWED_MIME), F.concat(F.lit("no reader for the type "), base_mime(mime)))
     if size is not None:
-        checks = F.when(size > max_mb * 1024 * 1024, F.lit("file exceeds max upload size")).otherwise(checks)
+        checks = F.when(size > max_mb * 1024 * 1024, F.lit("the file is larger than an upload may be")).otherwise(checks)
     return checks
 
 

@@ -98,7 +98,7 @@ def fetch_any(uri: str, etag: str | None = None, last_modified: str | None = Non
     if uri.startswith("s3://"):
         return fetch_s3(uri, etag, last_modified)
     if uri.startswith("upload://"):
-        return Fetched(error="uploaded file is no longer available; please re-submit the file")
+        return Fetched(error="the uploaded content is gone; upload the file once more")
     return fetch_local(uri)
 
 

@@ -72,11 +72,14 @@ QUERIES = {
             plan.cost_by_collection(*_both(spark, sf), START), 8, "ingestion_cost_usd", "llm_cost_usd"
         ),
         TELEMETRY_CTE
-        + f"""SELECT collection_slug, round(sum(i), 8) AS ingestion_cost_usd, round(sum(l), 8) AS llm_cost_usd FROM (
-            SELECT collection_slug, coalesce(embed_cost_usd, 0e0) AS i, 0e0 AS l FROM ingestion_events WHERE {AFTER}
-            UNION ALL
-            SELECT collection_slug, 0e0, coalesce(llm_cost_usd, 0e0) FROM query_events WHERE {AFTER})
-          GROUP BY collection_slug""",
+        + f""", spent AS (
+            SELECT collection_slug AS slug, sum(embed_cost_usd) AS embedding FROM ingestion_events
+            WHERE {AFTER} GROUP BY ALL),
+          answered AS (
+            SELECT collection_slug AS slug, sum(llm_cost_usd) AS answers FROM query_events WHERE {AFTER} GROUP BY ALL)
+          SELECT coalesce(spent.slug, answered.slug) AS collection_slug,
+                 round(ifnull(embedding, 0e0), 8) AS ingestion_cost_usd, round(ifnull(answers, 0e0), 8) AS llm_cost_usd
+          FROM spent FULL JOIN answered ON spent.slug = answered.slug""",
     ),
     "latency": Query(
         lambda spark, sf: rounded(plan.latency(query_events(spark, sf), START), 6, "p50_ms", "p95_ms"),
@@ -95,15 +98,18 @@ QUERIES = {
     "token_usage_by_collection": Query(
         lambda spark, sf: plan.token_usage_by_collection(*_both(spark, sf), START),
         TELEMETRY_CTE
-        + f"""SELECT collection_slug, CAST(sum(a) AS BIGINT) AS ingestion_embed_tokens,
-                 CAST(sum(b) AS BIGINT) AS query_embed_tokens, CAST(sum(c) AS BIGINT) AS llm_input_tokens,
-                 CAST(sum(d) AS BIGINT) AS llm_output_tokens FROM (
-            SELECT collection_slug, coalesce(embed_tokens, 0) AS a, 0 AS b, 0 AS c, 0 AS d
-            FROM ingestion_events WHERE {AFTER}
-            UNION ALL
-            SELECT collection_slug, 0, coalesce(embed_query_tokens, 0), coalesce(llm_input_tokens, 0),
-                   coalesce(llm_output_tokens, 0) FROM query_events WHERE {AFTER})
-          GROUP BY collection_slug""",
+        + f""", stored AS (
+            SELECT collection_slug AS slug, sum(embed_tokens) AS embedded FROM ingestion_events
+            WHERE {AFTER} GROUP BY ALL),
+          asked AS (
+            SELECT collection_slug AS slug, sum(embed_query_tokens) AS questions, sum(llm_input_tokens) AS read,
+                   sum(llm_output_tokens) AS written FROM query_events WHERE {AFTER} GROUP BY ALL)
+          SELECT ifnull(stored.slug, asked.slug) AS collection_slug,
+                 CAST(ifnull(embedded, 0) AS BIGINT) AS ingestion_embed_tokens,
+                 CAST(ifnull(questions, 0) AS BIGINT) AS query_embed_tokens,
+                 CAST(ifnull(read, 0) AS BIGINT) AS llm_input_tokens,
+                 CAST(ifnull(written, 0) AS BIGINT) AS llm_output_tokens
+          FROM stored FULL JOIN asked ON stored.slug = asked.slug""",
     ),
     "weekly_spend": Query(
         lambda spark, sf: rounded(plan.weekly_spend(*_both(spark, sf)), 8, "cost_usd"),

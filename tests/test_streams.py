@@ -54,10 +54,10 @@ def test_work_tables_are_cleaned(spark):
 
 
 def test_allow_lists(spark):
-    assert one(spark, "a.exe", lambda n: upload_error(n, F.lit("text/plain"))) == "unsupported file extension: .exe"
-    assert one(spark, "a.txt", lambda n: upload_error(n, F.lit("image/png"))) == "unsupported file type: image/png"
+    assert one(spark, "a.exe", lambda n: upload_error(n, F.lit("text/plain"))) == "no reader for the extension .exe"
+    assert one(spark, "a.txt", lambda n: upload_error(n, F.lit("image/png"))) == "no reader for the type image/png"
     assert one(spark, "noext", lambda n: upload_error(n, F.lit("text/html; charset=x"))) is None
-    assert one(spark, "a.txt", lambda n: upload_error(n, F.lit("text/plain"), F.lit(21 * 1024 * 1024))) == "file exceeds max upload size"
+    assert one(spark, "a.txt", lambda n: upload_error(n, F.lit("text/plain"), F.lit(21 * 1024 * 1024))) == "the file is larger than an upload may be"
     assert [one(spark, u, allowed_scheme) for u in ("HTTPS://x", "s3://b/k", "file:///etc/passwd")] == [True, True, False]
 
 
@@ -91,7 +91,7 @@ def test_fetch_isolates_errors(spark, tmp_path):
     (tmp_path / "f.txt").write_text("hi")
     df = spark.createDataFrame([(str(tmp_path / "f.txt"),), (str(tmp_path / "missing"),), ("upload://x",)], "file_uri string")
     got = [r.fetched for r in fetch(df, fetch_any).collect()]
-    assert bytes(got[0].content) == b"hi" and got[1].error.startswith("fetch:") and "re-submit" in got[2].error
+    assert bytes(got[0].content) == b"hi" and got[1].error.startswith("fetch:") and "upload the file once more" in got[2].error
 
 
 def rows_of(spark, schema, values):
