@@ -10,8 +10,8 @@ Every step is a table in the shared folder:
    once the posterior chance that it reaches the limit falls below ``miss``.
    Survivors are verified on full shingle sets, and verified links merged.
 4. *Rest*: buckets whose classes are still in several components are compared
-   across components, in blocks, until nothing unverified is left.  A group of
-   many copies is one component after step 3 and costs nothing here.
+   across components, in blocks, by the same pruning and verification.  Pairs live
+   inside a task only; a group returns at most one link for each member.
 
 Definitions: a null text or one without words has no shingles and links with
 nothing.  Rows that share a ``doc_id`` are one document: each of their texts can
@@ -28,15 +28,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
+from lodestone.llm.packing import pack_texts, unpacked
 from lodestone.llm.textbytes import LOWER, SubstringHash, blocks, combine, flat, mix, signed, words
 from lodestone.session import work_path
 
 
+PAIRS = 200_000  # compared at once; bounds memory only
+
+
 @dataclass(frozen=True)
 class NearDupConfig:
     shingle: int = 5  # words
@@ -172,6 +175,106 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return raw.reshape(-1, width)
 
 
+def _groups_of(table: pa.Table) -> np.ndarray:
+    """Where each group (key, x, y) of a sorted table begins, and its end."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in ("key", "x", "y"):
+        new[1:] |= np.diff(table.column(c).to_numpy()) != 0
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _bundles(table: pa.Table) -> Iterator[pa.Table]:
+    """Runs of whole groups with about ``PAIRS`` pairs in all."""
+    bounds = _groups_of(table)
+    pairs = np.cumsum(np.diff(bounds).astype(np.int64) ** 2)
+    a = 0
+    while a < len(pairs):
+        b = int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + PAIRS, side="right"))
+        b = max(b, a + 1)
+        yield table.slice(bounds[a], bounds[b] - bounds[a])
+        a = b
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (key, x, y) in small tables that end where a group does."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        cut = int(_groups_of(table)[-2])
+        if cut:
+            yield from _bundles(table.slice(0, cut))
+        held = table.slice(cut).to_batches()
+    if held:
+        yield from _bundles(pa.Table.from_batches(held).combine_chunks())
+
+
+def _surviving_pairs(table: pa.Table, config: NearDupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of one group but different components that survive pruning, and each row's group."""
+    number = {c: table.column(c).to_numpy() for c in ("x", "y", "own", "component", "n_shingles")}
+    sig = _matrix(table.column("sig"), config.values)
+    bounds = _groups_of(table)
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    ends = bounds[1:][group]
+    later = ends - np.arange(len(sig)) - 1  # members after each row in its group
+    left, right, a = [], [], 0
+    while a < len(sig):
+        b = max(int(np.searchsorted(np.cumsum(later[a:]), PAIRS, side="right")) + a, a + 1)
+        i = np.repeat(np.arange(a, b), later[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+        small = np.minimum(number["n_shingles"][i], number["n_shingles"][j])
+        large = np.maximum(number["n_shingles"][i], number["n_shingles"][j])
+        wanted = (number["x"][i] == number["y"][i]) | (number["own"][i] != number["own"][j])
+        wanted &= (number["component"][i] != number["component"][j]) & (100 * small >= config.percent * large)
+        i, j = i[wanted], j[wanted]
+        alive, _ = surviving(sig, sig, i, j, config)
+        left.append(i[alive])
+        right.append(j[alive])
+        a = b
+    return np.concatenate(left), np.concatenate(right), group
+
+
+def _connect(members: pa.Table, left: np.ndarray, right: np.ndarray, a: int, b: int, config: NearDupConfig):
+    """Verified links of the group in rows a to b, one for each join of two components."""
+    at = slice(*np.searchsorted(left, [a, b]))
+    left, right = left[at] - a, right[at] - a
+    if not len(left):
+        return
+    sets = [next(shingle_sets(raw, np.array([0, len(raw)]), config.shingle)) for raw in unpacked(members.column("packed").combine_chunks())]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    posting = owner[np.argsort(shingle, kind="stable")]
+    start = np.searchsorted(np.sort(shingle), np.arange(shingle.max() + 2))
+    first = np.cumsum(size) - size
+    node = members.column("node").to_pylist()
+    parent = {c: c for c in set(members.column("component").to_pylist())}
+    component = members.column("component").to_pylist()
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for i in np.unique(left).tolist():
+        partners = right[slice(*np.searchsorted(left, [i, i + 1]))]
+        if len({root(component[j]) for j in partners.tolist()} | {root(component[i])}) == 1:
+            continue
+        mine = shingle[first[i] : first[i] + size[i]]
+        count = start[mine + 1] - start[mine]
+        places = np.arange(count.sum()) + np.repeat(start[mine] - (np.cumsum(count) - count), count)
+        both = np.bincount(posting[places], minlength=len(sets))[partners]
+        linked = partners[100 * both >= config.percent * (size[i] + size[partners] - both)]
+        for j in linked.tolist():
+            x, y = root(component[i]), root(component[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield max(node[i], node[j]), min(node[i], node[j])
+
+
 # --- steps ---------------------------------------------------------------------
 
 
@@ -184,11 +287,16 @@ class _Run:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def shared_buckets(self, classes: DataFrame) -> DataFrame:
+        """``key, node, head, n`` of every bucket with more than one class; ``head`` is its smallest."""
+        buckets = classes.select("node", F.explode("bands").alias("key"))
+        heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+        return buckets.join(heads, "key").select("key", "node", "head", "n")
+
     def star_pairs(self, buckets: DataFrame, classes: DataFrame) -> DataFrame:
         """Each class with the smallest class of each of its buckets, pruned by size and signature."""
         config = self.config
-        heads = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-        pairs = buckets.join(heads, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+        pairs = buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
         side = classes.select("node", "n_shingles", "sig")
         joined = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
         joined = joined.where(100 * F.least("na", "nb") >= config.percent * F.greatest("na", "nb"))
@@ -205,16 +313,17 @@ class _Run:
 
         return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
-    def rest_pairs(self, buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Surviving pairs across components, of every bucket that holds several.
+    def open_groups(self, buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, in groups to be settled.
 
         A bucket of two was settled by its star.  Buckets with the same members
         are taken once.  A bucket above ``block`` members is cut into blocks, and
-        each pair of blocks is a group of its own: no pair is left out, none is
-        emitted before it survives, and a task holds two blocks at most.
+        each pair of blocks is a group of its own: no pair is left out, and a task
+        holds two blocks at most.  Only members with a surviving pair across
+        components are returned, never the pairs.
         """
         config = self.config
-        known = buckets.join(labels.toDF("node", "component"), "node", "left")
+        known = buckets.where("n > 2").select("key", "node").join(labels.toDF("node", "component"), "node", "left")
         known = known.withColumn("component", F.coalesce("component", "node"))
         open_ = (
             known.groupBy("key")
@@ -224,7 +333,7 @@ class _Run:
                 F.max("component").alias("high"),
                 F.bit_xor(F.xxhash64("node")).alias("members"),
             )
-            .where("n > 2 AND low != high")
+            .where("low != high")
             .groupBy("members", "n")
             .agg(F.min("key").alias("key"))
             .select("key", F.ceil(F.col("n") / config.block).cast("int").alias("parts"))
@@ -236,49 +345,49 @@ class _Run:
             "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component"
         )
         rows = rows.join(classes.select("node", "n_shingles", "sig"), "node")
+        rows = rows.select("key", "x", "y", "own", "node", "component", "n_shingles", "sig")
         rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
 
-        def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            number = {c: table.column(c).to_numpy() for c in ("key", "x", "y", "own", "node", "component", "n_shingles")}
-            sig = _matrix(table.column("sig"), config.values)
-            group = np.ones(len(sig), bool)
-            group[1:] = (np.diff(number["key"]) != 0) | (np.diff(number["x"]) != 0) | (np.diff(number["y"]) != 0)
-            ends = np.append(np.flatnonzero(group)[1:], len(sig))[np.cumsum(group) - 1]
-            later = ends - np.arange(len(sig)) - 1  # members after each row in its group
-            a = 0
-            while a < len(sig):
-                b = max(int(np.searchsorted(np.cumsum(later[a:]), 1_000_000, side="right")) + a, a + 1)
-                i = np.repeat(np.arange(a, b), later[a:b])
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
-                small = np.minimum(number["n_shingles"][i], number["n_shingles"][j])
-                large = np.maximum(number["n_shingles"][i], number["n_shingles"][j])
-                apart = (number["x"][i] == number["y"][i]) | (number["own"][i] != number["own"][j])
-                wanted = apart & (number["component"][i] != number["component"][j]) & (100 * small >= config.percent * large)
-                i, j = i[wanted], j[wanted]
-                alive, matches = surviving(sig, sig, i, j, config)
-                left, right = number["node"][i[alive]], number["node"][j[alive]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(left, right)), pa.array(np.minimum(left, right)), pa.array(matches)],
-                    ["a", "b", "matches"],
-                )
-                a = b
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole_groups(batches):
+                left, right, _ = _surviving_pairs(table, config)
+                used = np.zeros(table.num_rows, bool)
+                used[left] = used[right] = True
+                yield from table.filter(pa.array(used)).combine_chunks().to_batches()
+
+        return rows.mapInArrow(run, rows.schema)
+
+    def settled(self, groups: DataFrame) -> DataFrame:
+        """Links across components inside each group, enough to connect what its pairs connect.
+
+        The surviving pairs of a group are verified on full shingle sets, a member
+        against all its partners at once through the group's postings.  Of the
+        links between two components one is returned.
+        """
+        config = self.config
+        rows = groups.join(self.packed().withColumnRenamed("doc", "node"), "node")
+        rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
+        rows = rows.select("key", "x", "y", "own", "node", "component", "n_shingles", "sig", "packed")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []  # rows of the group that may go on in the next batch
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                table = pa.Table.from_batches([*held, batch])
-                at = np.stack([table.column(c).to_numpy() for c in ("key", "x", "y")])
-                cut = int(np.flatnonzero((at != at[:, -1:]).any(axis=0))[-1]) + 1 if (at != at[:, -1:]).any() else 0
-                if cut:
-                    yield from compare(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-            if held:
-                yield from compare(pa.Table.from_batches(held))
-
-        found = rows.mapInArrow(run, "a long, b long, matches long")
-        return found.distinct()
+            for table in _whole_groups(batches):
+                left, right, group = _surviving_pairs(table, config)
+                order = np.lexsort((right, left))
+                left, right = left[order], right[order]
+                bounds = np.flatnonzero(np.append(True, np.diff(group) != 0)).tolist() + [table.num_rows]
+                links = [
+                    link
+                    for a, b in zip(bounds[:-1], bounds[1:])
+                    for link in _connect(table.slice(a, b - a), left, right, a, b, config)
+                ]
+                x, y = zip(*links) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+        return rows.mapInArrow(run, "a long, b long")
+
+    def packed(self) -> DataFrame:
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+        return pack_texts(texts.where("doc IS NOT NULL AND text IS NOT NULL"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full shingle sets reach the limit.
@@ -295,26 +404,15 @@ class _Run:
             F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role")
         )
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            squeeze = zstandard.ZstdCompressor(level=3)
-            for batch in batches:
-                raw, offsets = flat(batch.column("text"))
-                packed = [squeeze.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], ["doc", "packed"])
-
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-        texts = texts.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(pack, "doc long, packed binary")
-        rows = texts.join(members.unionByName(centers), "doc")
+        rows = self.packed().join(members.unionByName(centers), "doc")
         rows = rows.repartition("b", "share").sortWithinPartitions("b", "share", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            opened = zstandard.ZstdDecompressor()
             center, sets = None, []
             for batch in batches:
                 docs, b, share, role = (batch.column(c).to_pylist() for c in ("doc", "b", "share", "role"))
-                packed, linked = batch.column("packed"), []
-                for k in range(batch.num_rows):
-                    raw = np.frombuffer(opened.decompress(packed[k].as_buffer()), np.uint8)
+                linked = []
+                for k, raw in enumerate(unpacked(batch.column("packed"))):
                     mine = next(shingle_sets(raw, np.array([0, len(raw)]), config.shingle))
                     if center != (b[k], share[k]):
                         center, sets = (b[k], share[k]), []
@@ -359,32 +457,14 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     ties = members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b != most")
     ties = members.join(ties, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
 
-    buckets = run.stored(classes.select("node", F.explode("bands").alias("key")).distinct(), "buckets")
+    buckets = run.stored(run.shared_buckets(classes), "buckets")
     stars = run.stored(run.star_pairs(buckets, classes), "stars")
     links = run.stored(run.verified(stars).unionByName(ties), "links")
     labels = run.stored(connected_components(links), "labels")
 
-    waiting = run.stored(run.rest_pairs(buckets, classes, labels), "rest").join(stars, ["a", "b"], "left_anti")
-    nearest = True  # first the likeliest pairs between two components, then whatever is still open
-    while True:
-        of_a, of_b = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-        waiting = waiting.join(of_a, "a", "left").join(of_b, "b", "left")
-        waiting = waiting.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca != cb")
-        if nearest:
-            best = F.struct("matches", "a", "b")
-            order = [F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")]
-            tried = waiting.groupBy(*order).agg(F.max(best).alias("best")).select("best.a", "best.b")
-        else:
-            tried = waiting.select("a", "b")
-        tried = run.stored(tried, "tried")
-        if tried.isEmpty():
-            break
-        links = run.stored(links.unionByName(run.verified(tried)), "links")
-        labels = run.stored(connected_components(links), "labels")
-        if not nearest:
-            break
-        waiting = waiting.select("a", "b", "matches").join(tried, ["a", "b"], "left_anti")
-        nearest = False
+    rest = run.settled(run.stored(run.open_groups(buckets, classes, labels), "open"))
+    links = run.stored(links.unionByName(rest), "all-links")
+    labels = run.stored(connected_components(links), "all-labels")
 
     placed = members.join(labels.toDF("node", "component"), "node", "left")
     placed = placed.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
