@@ -38,7 +38,7 @@ from lodestone.session import work_path
 # Dictionary entries of one core that are ranked together; more are ranked share by share.
 SHARE = 50_000
 # Dictionary bytes ranked at once.
-BUNDLE_BYTES = 4 * 1024 * 1024
+BUNDLE_BYTES = 1024 * 1024
 
 _LOW = np.int64(0xFFFFFFFF)
 
