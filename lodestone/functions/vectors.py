@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +29,18 @@ def l2_normalize(v: Column) -> Column:
 
 
 def l2_distance_to(v: Column, query: Sequence[float]) -> Column:
-    """Euclidean distance from each row's vector to one query vector."""
+    """Euclidean distance from each row's vector to one query vector.
+
+    NULL where the vector is NULL, has a NULL element or another length.
+    """
     q = [float(x) for x in query]
     if len(q) > UNROLL_LIMIT:
         return _numpy_distance(q)(v)
     total = F.lit(0.0)
     for i, x in enumerate(q):
-        delta = v[i].cast("double") - F.lit(x)
+        delta = F.get(v, F.lit(i)).cast("double") - F.lit(x)
         total = total + delta * delta
-    return F.sqrt(total)
+    return F.when(F.size(v) == len(q), F.sqrt(total))
 
 
 def _numpy_distance(q: list[float]):
@@ -44,9 +48,12 @@ def _numpy_distance(q: list[float]):
 
     @F.arrow_udf("double")
     def distance(batch: pa.Array) -> pa.Array:
-        rows = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(query))
-        delta = rows.astype(np.float64) - query
-        return pa.array(np.sqrt(np.einsum("ij,ij->i", delta, delta)))
+        whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(batch), len(query)), False))
+        kept = batch.filter(pa.array(whole)).flatten().cast(pa.float64())
+        delta = kept.to_numpy(zero_copy_only=False).reshape(-1, len(query)) - query
+        found = np.full(len(batch), np.nan)
+        found[whole] = np.sqrt(np.einsum("ij,ij->i", delta, delta))
+        return pa.array(found, mask=np.isnan(found))
 
     return distance
 

@@ -66,12 +66,14 @@ def keyword_search(
         for i in range(len(terms))
     ]
     score = F.round(reduce(lambda a, b: a + b, parts), SCORE_DIGITS)
+    matched = reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in range(len(terms))])
     hits = counted(chunks if where is None else chunks.where(where), *chunks.columns)
-    best = hits.select(*chunks.columns, score.alias("keyword_bm25_score"))
-    best = best.orderBy(F.col("keyword_bm25_score").desc(), id_col).limit(limit)
-    # A match always scores above 0.  Filtering behind the limit keeps Spark from
-    # pushing the condition down and tokenizing every text once more.
-    return best.where(F.col("keyword_bm25_score") > 0)
+    best = hits.select(*chunks.columns, score.alias("keyword_bm25_score"), matched.alias("_matched"))
+    best = best.orderBy(F.col("_matched").desc(), F.col("keyword_bm25_score").desc(), id_col).limit(limit)
+    # A term of nearly every chunk scores 0 after rounding and still matches.  Filtering
+    # behind the limit keeps Spark from pushing the condition down and tokenizing
+    # every text once more.
+    return best.where("_matched").drop("_matched")
 
 
 @dataclass

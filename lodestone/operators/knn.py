@@ -33,12 +33,15 @@ def knn(
 ) -> DataFrame:
     """The ``k`` nearest rows to one vector, ties by id; the filter runs first.
 
+    A row without a whole vector (NULL, a NULL element, another length) is no neighbour.
+
     A map-only distance followed by a per-task top-k: nothing is shuffled but
     ``k`` rows per task.
     """
     rows = chunks if where is None else chunks.where(where)
     scored = rows.withColumn("vector_distance", l2_distance_to(F.col(vector_col), query))
     nearest = scored.orderBy(F.col("vector_distance").asc_nulls_last(), id_col).limit(k)
+    nearest = nearest.where(F.col("vector_distance").isNotNull())
     return nearest.withColumn("vector_similarity", similarity_from_distance(F.col("vector_distance")))
 
 
@@ -52,15 +55,16 @@ def knn_batch(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
 ) -> DataFrame:
-    """The ``k`` nearest ids for each row of ``queries``.
+    """The ``k`` nearest ids for each row of ``queries``; rows without a whole vector take no part.
 
     Each task scores its vectors against a block of queries with one matrix
     product and keeps ``k`` per query, so pairs are never materialised.  While
     the queries fit one block they travel with the task; beyond that both sides
     are cut into blocks that meet in groups of bounded size.
     """
-    pairs = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
+    whole = (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())
+    pairs = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(whole)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")).where(whole)
     block_rows = max(min(BLOCK_VALUES // dim, BLOCK_RESULTS // k), 1)
     schema = T.StructType(
         [

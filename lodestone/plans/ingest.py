@@ -167,6 +167,30 @@ def _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms,
     )
 
 
+def failed_events(
+    rows: DataFrame, collection: Collection, embedder: Embedder, intent: str, now: datetime | None = None, took_ms: int = 0
+) -> DataFrame:
+    """One failed event for each ``rows(document_id, file_uri, mime_type, error[, job_id])`` that never came to chunks."""
+    values = {
+        "event_id": F.uuid(),
+        "job_id": F.col("job_id") if "job_id" in rows.columns else F.lit(""),
+        "occurred_at": F.current_timestamp() if now is None else F.lit(now),
+        "collection_id": F.lit(collection.id),
+        "collection_slug": F.lit(collection.slug),
+        "intent": F.lit(intent),
+        "embed_model": F.lit(embedder.model),
+        "status": F.lit("failed"),
+        "fetch_ms": F.lit(took_ms),
+        "total_ms": F.lit(took_ms),
+    }
+    zero = {f.name: F.lit(0) for f in INGESTION_EVENTS.fields if f.dataType.typeName() in ("integer", "long") and not f.nullable}
+    known = {c: F.col(c) for c in ("document_id", "file_uri", "mime_type", "error")}
+    values = {**zero, **known, **values}
+    return rows.select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INGESTION_EVENTS.fields]
+    )
+
+
 def patch_document(store: ChunkStore, document_id: str, fields: Sequence[MetadataField], metadata: str | None = None, extra_json: str | None = None):
     """Change metadata or extra JSON on every chunk of a document; ``""`` clears the JSON."""
     from lodestone.functions.metadata import patch_slots

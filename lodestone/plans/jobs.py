@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.embedding import Embedder
 from lodestone.operators.ranking import top_per_group
 from lodestone.plans.catalog import latest_by_uri, skip_completed, upsert
-from lodestone.plans.ingest import Collection, IngestReport, ingest
+from lodestone.plans.ingest import Collection, IngestReport, failed_events, ingest
 from lodestone.schemas import DOCUMENTS, JOBS
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
@@ -106,7 +107,9 @@ def run_jobs(
     _store_jobs(catalog, running.withColumn("new_status", F.lit("processing")), stamp)
 
     content_path = work_path(spark, "content")
+    fetching = time.monotonic()
     _with_content(running, uploads, get).write.parquet(content_path)
+    fetch_ms = int((time.monotonic() - fetching) * 1000)
     content = spark.read.parquet(content_path)
     files = content.where(F.col("fetch_error").isNull()).select(
         "document_id", "file_uri", "mime_type", "extra_json", "metadata", F.col("id").alias("job_id"), "content"
@@ -127,7 +130,14 @@ def run_jobs(
         F.when(F.col("decision") == "held", "failed").otherwise("complete").alias("new_status"),
     )
     _store_jobs(catalog, results.unionByName(others, allowMissingColumns=True), stamp)
-    return report
+    lost = content.where(F.col("fetch_error").isNotNull()).select(
+        "document_id", "file_uri", "mime_type", F.col("fetch_error").alias("error"), F.col("id").alias("job_id")
+    )
+    events = report.events.withColumns(
+        {"fetch_ms": F.lit(fetch_ms).cast("long"), "total_ms": F.col("total_ms") + F.lit(fetch_ms).cast("long")}
+    )
+    lost = failed_events(lost, collection, embedder, intent, now, fetch_ms)
+    return IngestReport(report.documents, events.unionByName(lost))
 
 
 def _with_content(running: DataFrame, uploads: DataFrame | None, get: Fetch) -> DataFrame:

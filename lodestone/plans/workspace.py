@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime
 
@@ -13,7 +14,8 @@ from lodestone.operators.chunking import ChunkConfig
 from lodestone.operators.embedding import Registry
 from lodestone.plans import catalog as rules
 from lodestone.plans.events import query_events, query_traces
-from lodestone.plans.ingest import Collection, IngestReport, patch_document
+from lodestone.plans.guards import admitted
+from lodestone.plans.ingest import Collection, IngestReport, failed_events, patch_document
 from lodestone.plans.jobs import Catalog, run_jobs
 from lodestone.plans.rag import answer
 from lodestone.plans.retrieval import RAG_TOP_K, SearchRequest, at_least, search
@@ -134,16 +136,26 @@ class Workspace:
     ) -> IngestReport:
         """Submit ``files(file_uri, mime_type[, content, metadata, extra_json, etag])`` and run them.
 
-        Rows with content are uploads, rows without are fetched.
+        Rows with content are uploads, rows without are fetched.  Rows that may not
+        be ingested become failed events with the reason, never jobs.
         """
         row = self.collection(slug)
         stamp = F.lit(now).cast("timestamp")
+        judged = admitted(files)
+        files = judged.where(F.col("refused").isNull()).drop("refused")
         asked = files.withColumn("collection_id", F.lit(row.id))
         self.work.submit(rules.new_jobs(asked, intent, stamp, force))
         uploads = files.where(F.col("content").isNotNull()) if "content" in files.columns else None
         embedder = self.embedders.get(row.embed_model)
         report = run_jobs(self.work, self.store(row), self._described(row), embedder, now, uploads, get, intent)
-        self._record("ingestion_events", report.events)
+        refused = judged.where(F.col("refused").isNotNull()).select(
+            F.lit("").alias("document_id"),
+            F.coalesce("file_uri", F.lit("")).alias("file_uri"),
+            F.coalesce("mime_type", F.lit("")).alias("mime_type"),
+            F.col("refused").alias("error"),
+        )
+        lost = failed_events(refused, self._described(row), embedder, intent, now)
+        self._record("ingestion_events", report.events.unionByName(lost))
         return report
 
     def refresh(self, now: datetime, get: Fetch = fetch_any) -> int:
@@ -210,15 +222,26 @@ class Workspace:
 
     # --- search and answers --------------------------------------------------
 
-    def _search(self, row: Row, text: str, request: SearchRequest) -> DataFrame:
+    def _search(self, row: Row, text: str, request: SearchRequest) -> tuple[DataFrame, dict[str, int]]:
+        """The results, and what the question cost: embedding tokens and the time of each stage."""
+        started = time.monotonic()
         embedder = self.embedders.get(row.embed_model)
-        vector = embedder.embed([text])[0][0]
+        vectors, tokens = embedder.embed([text])
+        vector = vectors[0]
+        embedded = time.monotonic()
         norm = sum(x * x for x in vector) ** 0.5
         unit = [x / norm for x in vector] if norm else vector
         path = work_path(self.spark, "results")
         # At most top_k rows: kept so that the answer and the event see the same ones.
         search(self.store(row).read(), text, unit, request).write.parquet(path)
-        return self.spark.read.parquet(path)
+        done = time.monotonic()
+        figures = {
+            "embed_query_tokens": tokens,
+            "embed_ms": int((embedded - started) * 1000),
+            "vector_search_ms": int((done - embedded) * 1000),
+            "total_ms": int((done - started) * 1000),
+        }
+        return self.spark.read.parquet(path), figures
 
     def _request(self, row: Row, **options) -> SearchRequest:
         return SearchRequest(fields=self._described(row).fields, **options)
@@ -226,19 +249,38 @@ class Workspace:
     def _record(self, table: str, events: DataFrame) -> None:
         append_events(prepare_events(events, table, self.redact), f"{self.root}/telemetry", table)
 
-    def _asked(self, text: str, now: datetime, key_id: str | None) -> DataFrame:
+    def _asked(self, text: str, now: datetime, key_id: str | None, figures=None, error: str | None = None) -> DataFrame:
         row = (0, text, str(uuid.uuid4()), now, key_id)
         schema = "query_id int, query_text string, event_id string, occurred_at timestamp, api_key_id string"
-        return self.spark.createDataFrame([row], schema)
+        asked = self.spark.createDataFrame([row], schema)
+        told = {c: F.lit(v).cast("long") for c, v in (figures or {}).items()}
+        return asked.withColumns(told | ({"error": F.lit(error)} if error else {}))
+
+    def _failed(self, row: Row, text: str, now: datetime, key_id: str | None, request: SearchRequest, endpoint: str, error: Exception, filters_json=None, took_ms: int = 0) -> None:
+        """A failed question is an event too."""
+        asked = self._asked(text, now, key_id, {"total_ms": took_ms}, f"{type(error).__name__}: {error}"[:2000])
+        none = self.spark.createDataFrame(
+            [], "query_id int, rank int, source_name string, vector_similarity double, keyword_bm25_score double, rrf_score float"
+        )
+        events = query_events(
+            asked, none, request, self._described(row), endpoint, row.embed_model, filters_json=filters_json
+        )
+        self._record("query_events", events)
 
     def search(self, slug: str, text: str, now: datetime, key_id: str | None = None, **options) -> DataFrame:
         row = self.collection(slug)
         request = self._request(row, **options)
-        results = self._search(row, text, request)
-        asked = self._asked(text, now, key_id)
-        filters = options.get("filters")
+        filters = str(options["filters"]) if options.get("filters") else None
+        started = time.monotonic()
+        try:
+            results, figures = self._search(row, text, request)
+        except Exception as err:
+            took = int((time.monotonic() - started) * 1000)
+            self._failed(row, text, now, key_id, request, "query", err, filters, took)
+            raise
+        asked = self._asked(text, now, key_id, figures)
         events = query_events(
-            asked, results, request, self._described(row), "query", row.embed_model, filters_json=str(filters) if filters else None
+            asked, results, request, self._described(row), "query", row.embed_model, filters_json=filters
         )
         self._record("query_events", events)
         self._record("query_traces", query_traces(asked, results))
@@ -261,13 +303,20 @@ class Workspace:
         template = self._one("prompts", slug=prompt)
         request = self._request(row, top_k=top_k, **options)
         provider = self.models.get(model)
-        kept = at_least(self._search(row, text, request), min_similarity)
-        asked = self._asked(text, now, key_id)
+        started = time.monotonic()
+        try:
+            results, figures = self._search(row, text, request)
+        except Exception as err:
+            self._failed(row, text, now, key_id, request, "rag", err, took_ms=int((time.monotonic() - started) * 1000))
+            raise
+        kept = at_least(results, min_similarity)
+        asked = self._asked(text, now, key_id, figures)
         path = work_path(self.spark, "answers")
         # The completion is paid for once.
         done = answer(asked, kept, template.content, provider).join(asked.drop("query_text"), "query_id")
         done.withColumn("prompt_slug", F.lit(prompt)).write.parquet(path)
-        done = self.spark.read.parquet(path)
+        total_ms = int((time.monotonic() - started) * 1000)
+        done = self.spark.read.parquet(path).withColumn("total_ms", F.lit(total_ms).cast("long"))
         events = query_events(
             done, kept, request, self._described(row), "rag", row.embed_model, self.models.local_models()
         )
@@ -319,9 +368,16 @@ class Workspace:
         plaintext, key, own, admin = rules.new_api_key(
             self.spark, str(uuid.uuid4()), name, now, grants, admin_grants, plaintext
         )
-        self._add("key_grants", own)
-        self._add("admin_grants", admin)
-        self._add("api_keys", key, ["key_hash"])
+        try:
+            self._add("key_grants", own)
+            self._add("admin_grants", admin)
+            self._add("api_keys", key, ["key_hash"])
+        except Exception:
+            # Nothing of a key that could not be stored stays behind.
+            key_id = key.first().id
+            for table in ("key_grants", "admin_grants"):
+                self.tables[table].rewrite(lambda t: t.where(F.col("api_key_id") != key_id))
+            raise
         return plaintext
 
     def key(self, plaintext: str) -> Row | None:

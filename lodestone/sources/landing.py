@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +74,23 @@ def upload_error(name: Column, mime: Column, size: Column | None = None, max_mb:
     return checks
 
 
-def as_uploads(listing: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
-    """``binaryFile`` rows as uploads; oversized files carry an error instead of content."""
-    uri = F.concat(F.lit("upload://"), F.regexp_extract("path", "([^/]*)$", 1))
+_ORIGIN = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def upload_uri(path: Column, root: str) -> Column:
+    """``upload://`` and the path below the landing root, so equal file names stay apart.
+
+    A first folder that begins with ``@`` marks a version and is left out: a
+    landing stream reads a path once, so a changed file lands as ``@2/name``.
+    """
+    below = re.sub(_ORIGIN, "", root).rstrip("/") + "/"
+    relative = F.substring(F.regexp_replace(path, _ORIGIN, ""), F.lit(len(below) + 1), F.length(path))
+    return F.concat(F.lit("upload://"), F.regexp_replace(relative, "^@[^/]*/", ""))
+
+
+def as_uploads(listing: DataFrame, root: str, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
+    """``binaryFile`` rows as uploads; a refused file carries the reason instead of content."""
+    uri = upload_uri(F.col("path"), root)
     mime = detect_mime(F.col("path"))
     rows = listing.select(
         uri.alias("file_uri"),
@@ -88,14 +104,13 @@ def as_uploads(listing: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
 
 def read_landing(spark: SparkSession, path: str, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return as_uploads(listing, max_mb)
+    return as_uploads(listing, path, max_mb)
 
 
 def stream_landing(spark: SparkSession, path: str, max_files: int = 1000, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
     """The landing folder as a stream; ``max_files`` per batch is the back-pressure.
 
-    A path is read once: a new version of a document lands in a folder of its own
-    under the same file name.
+    A path is read once: a new version of ``a/b.md`` lands as ``@2/a/b.md``.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     listing = (
@@ -105,4 +120,4 @@ def stream_landing(spark: SparkSession, path: str, max_files: int = 1000, max_mb
         .option("recursiveFileLookup", True)
         .load(path)
     )
-    return as_uploads(listing, max_mb)
+    return as_uploads(listing, path, max_mb)

@@ -99,7 +99,7 @@ def fetch_any(uri: str, etag: str | None = None, last_modified: str | None = Non
         return fetch_s3(uri, etag, last_modified)
     if uri.startswith("upload://"):
         return Fetched(error="the uploaded content is gone; upload the file once more")
-    return fetch_local(uri)
+    return Fetched(error="fetch: only http, https and s3 addresses are fetched")
 
 
 def fetch(rows: DataFrame, get: Fetch = fetch_any, uri: str = "file_uri", etag: str = "last_etag", seen: str | None = None) -> DataFrame:

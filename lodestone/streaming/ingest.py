@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.embedding import Embedder
-from lodestone.plans.ingest import Collection, ingest
+from lodestone.plans.ingest import Collection, failed_events, ingest
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.telemetry import append_events
 
@@ -35,16 +35,18 @@ def start_ingest(
 ) -> StreamingQuery:
     """Ingest each micro-batch.
 
-    A batch that is replayed after a failure finds its chunks by fingerprint and
+    A refused file (type, size) leaves a failed event with the reason.  A batch that is replayed after a failure finds its chunks by fingerprint and
     embeds nothing again; its event rows replace themselves by batch name.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        files = newest_per_uri(batch.where(F.col("refused").isNull()))
-        files = files.withColumn("document_id", document_id(collection))
-        report = ingest(files.drop("refused", "modified"), store, collection, embedder, intent=intent)
+        files = newest_per_uri(batch).withColumn("document_id", document_id(collection))
+        taken = files.where(F.col("refused").isNull())
+        report = ingest(taken.drop("refused", "modified"), store, collection, embedder, intent=intent)
         if telemetry_root:
-            append_events(report.events, telemetry_root, "ingestion_events", f"{collection.slug}-{batch_id}")
+            refused = files.where(F.col("refused").isNotNull()).withColumn("error", F.col("refused"))
+            events = report.events.unionByName(failed_events(refused, collection, embedder, intent))
+            append_events(events, telemetry_root, "ingestion_events", f"{collection.slug}-{batch_id}")
 
     writer = uploads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     trigger = {"availableNow": True} if once else {"processingTime": interval}

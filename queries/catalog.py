@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.metadata import MetadataField
 from lodestone.plans import catalog as plan
+from lodestone.plans.guards import admitted
 from lodestone.sources.adapters import order_slots, table
 from lodestone.sources.retention import kept_files
 from queries.common import Query, rounded
@@ -43,6 +44,37 @@ DOCS_SQL = """docs AS (
          o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER)) AS updated_at FROM orders)"""
 
 
+def _admission(spark, sf) -> DataFrame:
+    """Requests to ingest: the pages' addresses, and uploads named and filled in eight ways."""
+    kind = F.col("page_id") % 8
+    path = F.regexp_extract("url", "^https?://(.*)$", 1)
+    name = lambda ending: F.concat(F.lit("upload://"), path, F.lit(ending))
+    html = F.col("html").cast("binary")
+    requests = table(spark, sf, "pages").select(
+        "page_id",
+        F.when(kind == 1, F.concat(F.lit("file:///"), path)).when(kind == 2, F.concat(F.lit("FTP://"), path))
+        .when(kind == 3, name(".html")).when(kind == 4, name(".exe")).when(kind == 5, name(".md")).when(kind == 7, F.lit("  "))
+        .otherwise(F.col("url")).alias("file_uri"),
+        F.when(kind == 5, "image/png").otherwise("text/html; charset=utf-8").alias("mime_type"),
+        F.when(kind.isin(3, 4, 5), html).alias("content"),
+        F.when(kind == 6, F.concat(F.lit('{"n": '), F.when(F.col("page_id") % 16 == 6, "1").otherwise("oops"), F.lit("}"))).alias("metadata"),
+    )
+    return admitted(requests, max_mb=1).select("page_id", F.col("refused").isNull().alias("accepted"), F.col("refused").alias("reason"))
+
+
+ADMISSION_SQL = """
+SELECT page_id, reason IS NULL AS accepted, reason FROM (
+  SELECT page_id, CASE page_id % 8
+    WHEN 1 THEN 'the address has no scheme that is fetched' WHEN 2 THEN 'the address has no scheme that is fetched'
+    WHEN 3 THEN CASE WHEN strlen(html) > 1048576 THEN 'the file is larger than an upload may be' END
+    WHEN 4 THEN CASE WHEN strlen(html) > 1048576 THEN 'the file is larger than an upload may be' ELSE 'no reader for the extension .exe' END
+    WHEN 5 THEN CASE WHEN strlen(html) > 1048576 THEN 'the file is larger than an upload may be' ELSE 'no reader for the type image/png' END
+    WHEN 6 THEN CASE WHEN NOT json_valid('{"n": ' || CASE WHEN page_id % 16 = 6 THEN '1' ELSE 'oops' END || '}')
+                     THEN 'the metadata is no JSON object' END
+    WHEN 7 THEN 'the address is empty' END AS reason
+  FROM pages)"""
+
+
 def _overview(spark, sf) -> DataFrame:
     collections = table(spark, sf, "supplier").select(_text("c", F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
     return plan.collection_overview(collections, documents(spark, sf))
@@ -185,6 +217,7 @@ def _retention(spark, sf) -> DataFrame:
 
 
 QUERIES = {
+    "ingest_admission": Query(_admission, ADMISSION_SQL),
     "list_documents": Query(
         lambda spark, sf: plan.list_documents(documents(spark, sf), "created_at", "asc", 20, 40, status="complete").select("id"),
         f"WITH {DOCS_SQL} SELECT id FROM docs WHERE status = 'complete' ORDER BY created_at, id LIMIT 20 OFFSET 40",

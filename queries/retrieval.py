@@ -49,10 +49,14 @@ def _knn_batch(spark, sf) -> DataFrame:
 
 
 def _similarity(spark, sf) -> DataFrame:
-    norm = F.sqrt(squared_norm(l2_normalize(F.col("vector"))))
-    double = F.transform("vector", lambda x: (x * F.lit(3.0)).cast("float"))
-    scaled = F.sqrt(squared_norm(l2_normalize(double)))
-    return rounded(vectors(spark, sf).select("id", norm.alias("norm"), scaled.alias("scaled_norm")), 4, "norm", "scaled_norm")
+    """The normalised vectors by value: their length, and a sum that weighs each element by its place."""
+    unit = l2_normalize(F.col("vector"))
+    scaled = l2_normalize(F.transform("vector", lambda x: (x * F.lit(3.0)).cast("float")))
+    placed = lambda v: F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    shown = vectors(spark, sf).select(
+        "id", F.sqrt(squared_norm(unit)).alias("norm"), placed(unit).alias("weighted"), placed(scaled).alias("scaled_weighted")
+    )
+    return rounded(shown, 3, "norm", "weighted", "scaled_weighted")
 
 
 def _keyword(spark, sf) -> DataFrame:
@@ -75,9 +79,9 @@ def _keyword_batch(spark, sf) -> DataFrame:
 
 
 def _chunks(spark, sf) -> DataFrame:
-    """Each vector with the document of the same id as its text."""
+    """Every document, with the vector of the same id where there is one."""
     docs = corpus(spark, sf)
-    return vectors(spark, sf).join(docs, "id").select(
+    return docs.join(vectors(spark, sf), "id", "left").select(
         "id",
         "vector",
         "chunk_text",
@@ -178,12 +182,11 @@ def _bm25_cte(docs: str, terms: str) -> str:
 ONE_QUERY = f"SELECT DISTINCT 0 AS query_id, unnest({tokens_sql(repr(WORDS))}) AS term"
 BENCH_TERMS = f"SELECT DISTINCT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark"
 ALL_DOCS = "SELECT doc_id AS id, text, source FROM documents"
-PAIRED_DOCS = "SELECT doc_id AS id, text, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)"
 
 
 def _hybrid_sql(top_k: int, text_weight: float, semantic_weight: float, k: float, limit: int) -> str:
     """Ranks from 0, single-precision contributions, normalised to the best score."""
-    return f"""WITH {_bm25_cte(PAIRED_DOCS, ONE_QUERY)},
+    return f"""WITH {_bm25_cte(ALL_DOCS, ONE_QUERY)},
   near AS (SELECT id, d, row_number() OVER (ORDER BY d, id) - 1 AS r FROM ({KNN_SQL}) JOIN docs USING (id)
            QUALIFY r < {top_k}),
   found AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM scored QUALIFY r < {limit}),
@@ -200,7 +203,7 @@ SELECT id, CAST(rank AS BIGINT) AS rank, round(d, 5) AS vector_distance, round(s
        round(CAST(rrf AS DOUBLE), 5) AS rrf_score,
        round(CAST(rrf / max(rrf) OVER () * 100 AS DOUBLE), 2) AS rrf_score_normalized FROM best"""
 
-BATCH_CTE = f"""WITH {_bm25_cte(PAIRED_DOCS, BENCH_TERMS)},
+BATCH_CTE = f"""WITH {_bm25_cte(ALL_DOCS, BENCH_TERMS)},
   near AS (
     SELECT q.vec_id AS query_id, v.vec_id AS id,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, v.vec_id) - 1 AS r
@@ -250,7 +253,11 @@ QUERIES = {
     ),
     "vector_normalize": Query(
         _similarity,
-        """SELECT vec_id AS id, round(1e0, 4) AS norm, round(1e0, 4) AS scaled_norm FROM embeddings""",
+        """WITH sums AS (
+            SELECT vec_id AS id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS length,
+                   list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)) AS placed FROM embeddings)
+          SELECT id, round(length / length, 3) AS norm, round(placed / length, 3) AS weighted,
+                 round(placed / length, 3) AS scaled_weighted FROM sums""",
     ),
     "keyword_search": Query(
         _keyword,

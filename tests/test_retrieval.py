@@ -199,3 +199,13 @@ def test_chat_models(spark):
     assert openai.complete("x") == ("y", 2, 0)
     ollama = ChatModel("ollama", "u", "m", post=lambda *a: {"message": {"content": "z"}, "eval_count": 4})
     assert ollama.complete("x") == ("z", 0, 4)
+
+
+def test_rows_without_a_whole_vector_are_no_neighbours(spark):
+    for dim in (4, 300):
+        unit = [1.0] + [0.0] * (dim - 1)
+        rows = [(1, unit), (2, None), (3, unit[:-1]), (4, [None, *unit[1:]]), (5, [0.0, 1.0, *unit[2:]])]
+        chunks = spark.createDataFrame(rows, "id long, vector array<float>")
+        assert [r.id for r in knn(chunks, unit, 10).collect()] == [1, 5]
+        asked = spark.createDataFrame([(0, unit), (1, None)], "query_id int, query_vector array<float>")
+        assert sorted((r.query_id, r.id) for r in knn_batch(chunks, asked, 10, dim).collect()) == [(0, 1), (0, 5)]

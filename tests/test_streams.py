@@ -10,7 +10,7 @@ from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.evalsets import read_beir, read_squad
 from lodestone.sources.landing import allowed_scheme, detect_mime, read_landing, stream_landing, upload_error
 from lodestone.session import clean_work, work_path
-from lodestone.sources.remote import Fetched, fetch, fetch_any, probe_types
+from lodestone.sources.remote import Fetched, fetch, fetch_any, fetch_local, probe_types
 from lodestone.sources.telemetry import read_events
 from lodestone.streaming.ingest import start_ingest
 from lodestone.streaming.refresh import refresh_sweep
@@ -81,17 +81,30 @@ def test_landing_and_stream(spark, tmp_path):
         return sorted((r.source_name, r.chunk_text) for r in store.read().collect())
 
     assert drain() == [("a", "Alpha paragraph.\nSecond one."), ("b", "body")]
-    (box / "v2").mkdir()
-    (box / "v2" / "a.txt").write_text("Changed.")
+    (box / "@2").mkdir()
+    (box / "@2" / "a.txt").write_text("Changed.")
     assert drain() == [("a", "Changed."), ("b", "body")]
-    assert read_events(spark, str(tmp_path / "events"), "ingestion_events").count() == 3
+    events = read_events(spark, str(tmp_path / "events"), "ingestion_events")
+    assert events.where("status = 'complete'").count() == 3
+    lost = events.where("status = 'failed'").collect()
+    assert [(r.file_uri, r.error) for r in lost] == [("upload://c.exe", "no reader for the extension .exe")]
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b/c", "@7/a"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "readme.md").write_text(folder)
+    uris = sorted(r.file_uri for r in read_landing(spark, f"file://{tmp_path}").select("file_uri").collect())
+    assert uris == ["upload://a/readme.md", "upload://a/readme.md", "upload://b/c/readme.md"]
 
 
 def test_fetch_isolates_errors(spark, tmp_path):
     (tmp_path / "f.txt").write_text("hi")
     df = spark.createDataFrame([(str(tmp_path / "f.txt"),), (str(tmp_path / "missing"),), ("upload://x",)], "file_uri string")
+    local = [r.fetched for r in fetch(df, fetch_local).collect()]
+    assert bytes(local[0].content) == b"hi" and local[1].error.startswith("fetch:")
     got = [r.fetched for r in fetch(df, fetch_any).collect()]
-    assert bytes(got[0].content) == b"hi" and got[1].error.startswith("fetch:") and "upload the file once more" in got[2].error
+    assert got[0].content is None and "only http" in got[0].error and got[1].error.startswith("fetch:") and "upload the file once more" in got[2].error
 
 
 def rows_of(spark, schema, values):

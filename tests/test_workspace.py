@@ -105,3 +105,38 @@ def test_prompts_and_keys(space):
     assert [space.may(*c) for c in checks] == [True, False, False, True, False]
     space.delete_key(space.key(reader).id)
     assert not space.may(reader, "c1", "read")
+
+
+def test_refusals_failures_and_timings_are_events(spark, space):
+    row = space.create_collection("Guarded", NOW)
+    files = spark.createDataFrame(
+        [("file:///etc/passwd", "text/plain", None), ("upload://a.exe", "text/plain", bytearray(b"x")),
+         ("upload://ok.txt", "text/plain", bytearray(b"Cats purr.")), ("https://x/down", "text/html", None)],
+        "file_uri string, mime_type string, content binary",
+    )
+
+    def down(uri, etag, since):
+        return Fetched(error="unexpected status 500")
+
+    space.ingest(row.slug, files, NOW, get=down)
+    events = {r.file_uri: r for r in space.events("ingestion_events").where(F.col("collection_id") == row.id).collect()}
+    assert {u: r.status for u, r in events.items()} == {
+        "file:///etc/passwd": "failed", "upload://a.exe": "failed", "upload://ok.txt": "complete", "https://x/down": "failed"
+    }
+    assert events["https://x/down"].error == "unexpected status 500" and events["upload://ok.txt"].total_ms > 0
+    assert space.list_jobs(row.slug).count() == 2
+
+    space.search(row.slug, "purr", NOW)
+    with pytest.raises(ValueError):
+        space.search(row.slug, "purr", NOW, filters={"nothing": 1})
+    asked = space.events("query_events").where(F.col("collection_id") == row.id).collect()
+    assert sorted(r.status for r in asked) == ["complete", "failed"]
+    assert all(r.total_ms > 0 for r in asked if r.status == "complete") and any("nothing" in (r.error or "") for r in asked)
+
+
+def test_a_key_that_cannot_be_stored_leaves_no_grants(space):
+    space.create_key("first", NOW, [("c9", "read")], plaintext="rp_same")
+    before = space.rows("key_grants").count()
+    with pytest.raises(Conflict):
+        space.create_key("second", NOW, [("c1", "read")], plaintext="rp_same")
+    assert space.rows("key_grants").count() == before
