@@ -48,7 +48,7 @@ class NearDupConfig:
     rows: int = 4  # MinHash values per band
     batch: int = 16  # signature bytes compared before each pruning decision
     miss: float = 1e-6  # chance, per decision, of dropping a pair at the limit
-    block: int = 512  # members of a bucket compared with each other at once
+    block: int = 2048  # members of a bucket compared with each other at once
     center_share: int = 2000  # comparisons with one document per task group
 
     @property
