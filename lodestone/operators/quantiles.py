@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ranges a group's values are counted in before the wanted ones are sorted.
+RANGES = 1024
+
 
 def exact_quantiles(
     rows: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], count_name: str
@@ -14,18 +17,39 @@ def exact_quantiles(
     """``quantile_cont`` per key, one output column per entry of ``quantiles``.
 
     Values are counted first, so a group that holds a third of all rows shrinks
-    to its distinct values before any shuffle by key; the running count over
-    them is a sorted, spillable window rather than an in-memory buffer.
+    to its distinct values before any shuffle.  Each group's values then fall into
+    ``RANGES`` ranges; running counts over the ranges tell which ones hold a wanted
+    position, and only the values of those are sorted, range by range, so no task
+    sees a whole group.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"_upto": F.sum("_n").over(running), "_total": F.sum("_n").over(whole)})
+    safe = {k: f"_key{i}" for i, k in enumerate(keys)}
+    group = list(safe.values())
+    # A null key is a group of its own and has to meet itself in joins.
+    named = rows.where(F.col(value).isNotNull()).select(
+        *[F.struct(F.col(k).alias("k")).alias(s) for k, s in safe.items()], F.col(value).alias("_v")
+    )
+    counted = named.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
+    bounds = counted.groupBy(*group).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.sum("_n").alias("_total"))
+    share = (F.col("_v").cast("double") - F.col("_min")) / (F.col("_max").cast("double") - F.col("_min"))
+    part = F.when(F.col("_max") > F.col("_min"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    ranged = counted.join(bounds, group).withColumn("_part", part.cast("int"))
+
+    parts = ranged.groupBy(*group, "_part", "_total").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    positions = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in quantiles.items()}
+    wanted = F.lit(False)
+    for position in positions.values():
+        for at in (F.floor(position), F.ceil(position)):
+            wanted = wanted | ((at >= F.col("_before")) & (at < F.col("_before") + F.col("_in")))
+    needed = parts.where(wanted).select(*group, "_part", "_before")
+
+    inside = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(needed, [*group, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
     picks = []
-    for name, q in quantiles.items():
-        position = F.lit(float(q)) * (F.col("_total") - 1)
-        at_low = F.min(F.when(F.col("_upto") > F.floor(position), F.col(value))).cast("double")
-        at_high = F.min(F.when(F.col("_upto") > F.ceil(position), F.col(value))).cast("double")
-        share = F.max(position - F.floor(position))
-        picks.append((at_low + (at_high - at_low) * share).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("_total").alias(count_name), *picks)
+    for name, position in positions.items():
+        at_low = F.min(F.when(F.col("_upto") > F.floor(position), F.col("_v"))).cast("double")
+        at_high = F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_v"))).cast("double")
+        picks.append((at_low + (at_high - at_low) * F.max(position - F.floor(position))).alias(name))
+    out = ranked.groupBy(*group).agg(F.max("_total").alias(count_name), *picks)
+    return out.select(*[F.col(s)["k"].alias(k) for k, s in safe.items()], count_name, *quantiles)

@@ -2,9 +2,11 @@ import os
 import time
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans import analytics
 from lodestone.schemas import INGESTION_EVENTS, QUERY_EVENTS, QUERY_TRACES
 from lodestone.sources.retention import enforce, file_listing, kept_files
@@ -151,3 +153,19 @@ def test_janitor_deletes(spark, tmp_path):
     assert enforce(spark, root, F.current_timestamp(), 30, 10) == 1
     assert not os.path.exists(paths[0]) and os.path.exists(paths[1])
     assert enforce(spark, root, F.current_timestamp(), 30, 0) == 2
+
+
+def test_quantiles_of_hot_and_null_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, None if i % 97 == 0 else int(v)) for k, n in (("hot", 3000), ("small", 3), (None, 40), ("one", 1)) for i, v in enumerate(rng.integers(0, 900, n) ** 2)]
+    rows += [("flat", 7)] * 20 + [("empty", None)]
+    frame = spark.createDataFrame(rows, "endpoint string, total_ms long")
+    got = {r.endpoint: r for r in exact_quantiles(frame, ["endpoint"], "total_ms", {"p50": 0.5, "p95": 0.95, "low": 0.0, "high": 1.0}, "n").collect()}
+    values = {}
+    for k, v in rows:
+        if v is not None:
+            values.setdefault(k, []).append(v)
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k].n == len(v)
+        assert [got[k].p50, got[k].p95, got[k].low, got[k].high] == pytest.approx(np.quantile(v, [0.5, 0.95, 0, 1]).tolist())
