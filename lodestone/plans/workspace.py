@@ -100,7 +100,9 @@ class Workspace:
         self.tables["collections"].rewrite(lambda t: t.where(F.col("id") != row.id))
 
     def store(self, collection: Row) -> ChunkStore:
-        return ChunkStore(self.spark, f"{self.root}/chunks", collection.id, self.buckets)
+        """The collection's chunks; the slots of its fields are the indexed columns."""
+        fields = rules.collection_fields(self.rows("metadata_fields"), collection.id)
+        return ChunkStore(self.spark, f"{self.root}/chunks", collection.id, self.buckets, [f.column for f in fields])
 
     def _described(self, row: Row) -> Collection:
         config = self.chunking.override(row.chunk_strategy, row.chunk_size, row.chunk_overlap)
@@ -113,8 +115,7 @@ class Workspace:
         """All or nothing: the catalog is written after every slot was cleared."""
         row = self.collection(slug)
         fields, added = rules.register_fields(self.rows("metadata_fields"), row.id, wanted, now)
-        for f in added:
-            self.store(row).index_slot(f.column)
+        self.store(row).index_slots([f.column for f in added])
         self.tables["metadata_fields"].commit(fields)
 
     def delete_field(self, slug: str, name: str) -> None:

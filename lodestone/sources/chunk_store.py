@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ DEFAULT_BUCKETS = 64
 class ChunkStore(SnapshotTable):
     """Chunks bucketed by document, so a document's change rewrites one bucket."""
 
-    def __init__(self, spark: SparkSession, root: str, collection: str, buckets: int = DEFAULT_BUCKETS) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, collection: str, buckets: int = DEFAULT_BUCKETS, indexed: Iterable[str] = ()
+    ) -> None:
         super().__init__(spark, f"{root}/{collection}", CHUNKS, "document_id", buckets)
+        self.indexed = set(indexed)
 
     def create(self) -> Manifest:
         return self.commit(self.spark.createDataFrame([], self.schema))
@@ -64,8 +69,20 @@ class ChunkStore(SnapshotTable):
 
     def index_slot(self, column: str) -> Manifest:
         """Clear a slot for its new field and index it from here on."""
-        self.indexed.add(column)
-        return self.null_slot(column)
+        return self.index_slots([column])
+
+    def index_slots(self, columns: Sequence[str]) -> Manifest:
+        """Index slots from here on; those that still hold values are cleared in one rewrite, unused ones cost none."""
+        self.indexed |= set(columns)
+        base = self.manifest()
+        if not columns or not base.folders:
+            return base
+        held = self.read(at=base).agg(*[F.count(c).alias(c) for c in columns]).first()
+        used = [c for c in columns if held[c]]
+        if not used:
+            return base
+        blank = {c: F.lit(None).cast(self.schema[c].dataType) for c in used}
+        return self.rewrite(lambda rows: rows.withColumns(blank))
 
     def drop_slot(self, column: str) -> Manifest:
         """Clear the slot of a deleted field and stop indexing it."""

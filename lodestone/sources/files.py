@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,15 +32,32 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_new(spark: SparkSession, path: str, content: str | bytes) -> bool:
-    """Create a file; False when it exists already."""
+    """Create a file; False when it exists already.
+
+    The content is written aside and renamed without overwriting, so a reader
+    never meets half a file and of two writers only one succeeds.
+    """
     fs, p = _open(spark, path)
     if fs.exists(p):
         return False
-    stream = fs.create(p, False)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = hadoop.Path(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
     try:
         stream.write(bytearray(content.encode() if isinstance(content, str) else content))
     finally:
         stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(aside, p, options)
+    except Py4JJavaError as err:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in err.java_exception.getClass().getName():
+            return False
+        raise
     return True
 
 
