@@ -365,11 +365,23 @@ def allowed_admin(requests: DataFrame, admin_grants: DataFrame) -> DataFrame:
 
 
 def free_slots(fields: DataFrame) -> DataFrame:
-    """The lowest free slot of every (collection, type) that has fields; NULL when full."""
-    sizes = F.create_map(*[F.lit(x) for item in SLOT_COUNTS.items() for x in item])
-    used = fields.groupBy("collection_id", "type").agg(F.collect_set("slot").alias("used"))
-    every = F.sequence(F.lit(1), F.try_element_at(sizes, F.col("type")))
-    return used.select("collection_id", "type", F.array_min(F.array_except(every, "used")).alias("slot"))
+    """The lowest free slot of every type in each collection that has fields; NULL when full.
+
+    One row per collection gathers its slots (60 at most); a type without fields
+    begins at 1.
+    """
+    taken = {
+        kind: F.collect_set(F.when(F.col("type") == kind, F.col("slot"))).alias(kind) for kind in SLOT_COUNTS
+    }
+    used = fields.groupBy("collection_id").agg(*taken.values())
+    free = [
+        F.struct(
+            F.lit(kind).alias("type"),
+            F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(size)), F.col(kind))).alias("slot"),
+        )
+        for kind, size in SLOT_COUNTS.items()
+    ]
+    return used.select("collection_id", F.explode(F.array(*free)).alias("f")).select("collection_id", "f.type", "f.slot")
 
 
 def duplicate_names(requested: DataFrame) -> DataFrame:

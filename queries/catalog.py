@@ -274,7 +274,8 @@ QUERIES = {
     ),
     "free_slots": Query(
         lambda spark, sf: plan.free_slots(_fields(spark, sf)),
-        f"""WITH {FIELDS_SQL}, have AS (SELECT DISTINCT collection_id, type FROM fields),
+        f"""WITH {FIELDS_SQL}, have AS (
+                SELECT DISTINCT collection_id, t.type FROM fields, (VALUES ('str'), ('num'), ('bool'), ('date'), ('arr')) AS t(type)),
               slots AS (SELECT collection_id, type, unnest(range(1, CASE WHEN type = 'str' THEN 21 ELSE 11 END)) AS n FROM have)
             SELECT collection_id, type, CAST(min(n) AS INTEGER) AS slot FROM slots s
             WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.collection_id = s.collection_id AND f.type = s.type AND f.slot = s.n)
