@@ -28,8 +28,10 @@ def lookup_join(
     """
     if fits_broadcast(lookup) if small is None else small:
         return large.join(F.broadcast(lookup), on, how)
-    others = [c for c in large.columns if c not in on] or on
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
+    others = [c for c in large.columns if c not in on]
+    # Rows of nothing but the key are told apart by where they are read.
+    place = F.xxhash64(*others) if others else F.spark_partition_id()
+    salt = F.pmod(place, F.lit(salts)).cast("int")
     spread = large.withColumn("_salt", salt)
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
