@@ -30,7 +30,8 @@ from lodestone.llm.textbytes import blocks, flat
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_SEGMENTS = 250_000
+CACHED_SEGMENTS = 200_000
+CACHED_LENGTH = 64  # longer segments are solved where they occur
 
 # Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -84,7 +85,7 @@ class Codec:
         led = all(SPACE not in p.lstrip(SPACE) for p in matched)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if led else None
         self.surface = [self._surface(p, t) for p, t in zip(v.pieces, v.types)]
-        self.solved: dict[str, array] = {}
+        self.solved: dict[str, bytes] = {}
 
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -94,69 +95,82 @@ class Codec:
         return b" \xe2\x81\x87 " if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
 
     def best_path(self, text: str) -> array:
-        """Ids of the best segmentation of one segment; of equal scores the longer last piece."""
+        """Ids of the best segmentation of one segment; of equal scores the longer last piece.
+
+        Pieces that end at one place are reported longest first, and only a better
+        score replaces an earlier one.
+        """
         n = len(text)
-        best = [None] * (n + 1)
+        best = [float("-inf")] * (n + 1)
         best[0] = 0.0
-        back = [(0, -1)] * (n + 1)
-        done = 0
-        for last, (length, score, piece) in self.automaton.iter(text):
+        length, piece = [1] * (n + 1), [-1] * (n + 1)
+        matches = self.automaton.iter(text)
+        if not self.single.issuperset(text):
+            matches = self._with_unknown(text, matches)
+        for last, (size, score, number) in matches:
             end = last + 1
-            while done < end - 1:  # positions where no piece ends
-                done += 1
-                self._relax_unknown(text, done, best, back)
-            if end > done:
-                done = end
-                self._relax_unknown(text, end, best, back)
-            start = best[end - length]
-            if start is None:
-                continue
-            value, held = start + score, best[end]
-            if held is None or value > held or (value == held and length > end - back[end][0]):
+            value = best[end - size] + score
+            if value > best[end]:
                 best[end] = value
-                back[end] = (end - length, piece)
-        while done < n:
-            done += 1
-            self._relax_unknown(text, done, best, back)
-        pieces, end = [], n
+                length[end] = size
+                piece[end] = number
+        path, end = [], n
         while end:
-            start, piece = back[end]
-            pieces.append((start, end, piece))
-            end = start
-        ids, unknown = array("i"), False
-        for start, end, piece in reversed(pieces):
-            if piece >= 0:
-                ids.append(piece)
+            path.append(end)
+            end -= length[end]
+        path.reverse()
+        ids = array("i", [piece[end] for end in path])
+        return self._without_unknown(text, path, ids) if -1 in ids else ids
+
+    def _with_unknown(self, text: str, matches) -> Iterator[tuple]:
+        """The matches, and after those of a place its own character where no one-character piece covers it."""
+        place = 0
+        unknown = (1, self.unknown_score, -1)
+        for match in matches:
+            while place < match[0]:
+                if text[place] not in self.single:
+                    yield place, unknown
+                place += 1
+            yield match
+        for last in range(place, len(text)):
+            if text[last] not in self.single:
+                yield last, unknown
+
+    def _without_unknown(self, text: str, path: list[int], found: array) -> array:
+        """Unknown characters as bytes, or a run of them as one unknown piece."""
+        ids, before = array("i"), False
+        for end, number in zip(path, found):
+            if number >= 0:
+                ids.append(number)
             elif self.byte_ids:
-                ids.extend(self.byte_ids[b] for b in text[start:end].encode())
-            elif not unknown:
+                ids.extend(self.byte_ids[b] for b in text[end - 1].encode())
+            elif not before:
                 ids.append(self.vocabulary.unknown)
-            unknown = piece < 0
+            before = number < 0
         return ids
 
-    def _relax_unknown(self, text: str, end: int, best: list, back: list) -> None:
-        if text[end - 1] not in self.single and best[end - 1] is not None:
-            best[end] = best[end - 1] + self.unknown_score
-            back[end] = (end - 1, -1)
-
     def encode(self, text: str) -> array:
-        ids = array("i")
+        """The ids of a text."""
+        return array("i", self.encoded(text))
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers end to end."""
         if not text:
-            return ids
+            return b""
         text = (SPACE if self.vocabulary.add_dummy_prefix else "") + text.replace(" ", SPACE)
         if self.segments is None:
-            return self.best_path(text)
+            return self.best_path(text).tobytes()
         solved = self.solved
-        for segment in self.segments.findall(text):
-            path = solved.get(segment)
-            if path is None:
-                path = self.best_path(segment)
-                if len(segment) <= 64:
-                    if len(solved) >= CACHED_SEGMENTS:
-                        solved.clear()
-                    solved[segment] = path
-            ids.extend(path)
-        return ids
+        if len(solved) >= CACHED_SEGMENTS:
+            solved.clear()
+        segments = self.segments.findall(text)
+        long = {}
+        for segment in set(segments).difference(solved):
+            path = self.best_path(segment).tobytes()
+            (solved if len(segment) <= CACHED_LENGTH else long)[segment] = path
+        if long:
+            return b"".join([solved.get(s) or long[s] for s in segments])
+        return b"".join(map(solved.__getitem__, segments))
 
     def decode(self, ids) -> bytes:
         """The bytes that the ids stand for, without the space put in front of a text."""
@@ -194,29 +208,38 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of a text column in place of it; no shuffle."""
-    others = [c for c in docs.columns if c not in (text, into)]
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids", checked: str | None = None
+) -> DataFrame:
+    """``docs`` with the piece ids of a text column in place of it; no shuffle.
+
+    ``checked`` names a column that says whether decoding the ids gives the text
+    back (null for a null text), found while both are at hand.
+    """
+    others = [c for c in docs.columns if c not in (text, into, checked)]
     shared = _share(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             column = batch.column(text)
-            _, offsets = flat(column)
+            raw, offsets = flat(column)
             for a, b in blocks(offsets):
-                ids, ends = array("i"), [0]
-                for value in column.slice(a, b - a).to_pylist():
-                    ids.extend(codec.encode(value or ""))
-                    ends.append(len(ids))
+                found = [codec.encoded(value or "") for value in column.slice(a, b - a).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]) // 4
                 mask = column.slice(a, b - a).is_null()
-                values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, b - a) for c in others), lists], [*others, into]
-                )
-
-    schema = ", ".join(filter(None, [_kinds(docs, others), f"`{into}` array<int>"]))
+                values = pa.array(np.frombuffer(b"".join(found), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=mask)
+                columns = [*(batch.column(c).slice(a, b - a) for c in others), lists]
+                if checked:
+                    texts = (raw[x:y].tobytes() for x, y in zip(offsets[a:b], offsets[a + 1 : b + 1]))
+                    same = [codec.decode(array("i", ids)) == value for ids, value in zip(found, texts)]
+                    columns.append(pa.array(same, mask=mask.to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [*others, into, *([checked] if checked else [])]
+    kinds = [_kinds(docs, others), f"`{into}` array<int>", f"`{checked}` boolean" if checked else ""]
+    schema = ", ".join(filter(None, kinds))
     return docs.select(*others, text).mapInArrow(run, schema)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, toxicity, urls, warc
+from lodestone.llm.limits import bound_batches
 from queries.common import Query
 
 
@@ -223,11 +224,20 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def sentencepiece_codec(spark: SparkSession, sf: str, model: str = PIECE_MODEL) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     vocabulary = pieces.load_vocabulary(model)
-    docs = _table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("n_bytes"), "text")
-    decoded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    same = (F.xxhash64("text") == F.col("digest")) & (F.octet_length("text") == F.col("n_bytes"))
-    n_pieces = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
-    return decoded.select("doc_id", n_pieces.alias("n_pieces"), "ids", F.when(F.col("ids").isNotNull(), same).alias("round_trip"))
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, vocabulary, checked="round_trip")
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
+def _bounded(run):
+    """The query with small Arrow batches."""
+
+    def call(spark: SparkSession, sf: str) -> DataFrame:
+        bound_batches(spark)
+        return run(spark, sf)
+
+    call.__doc__ = run.__doc__
+    return call
 
 
 QUERIES: dict[str, Query] = {
@@ -242,3 +252,5 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity_scores": Query(toxicity_scores),
     "op10_near_duplicates": Query(near_duplicates),
 }
+
+QUERIES = {name: Query(_bounded(query.run), query.sql) for name, query in QUERIES.items()}
