@@ -246,7 +246,7 @@ def sampling_held(i):
 
 def test_samples_leave_held_out_documents_alone(spark):
     docs = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id % 400) AS text", "id % 3 AS label")
-    got = sampling.sample(docs, "label", 50, 100, 120).collect()
+    got = sampling.sample(sampling.sized(docs, "label"), "label", 50, 100, 120).collect()
     assert len(got) == 120 and not any(sampling_held(r.doc_id) for r in got)
 
 
@@ -294,3 +294,22 @@ def test_pipeline_on_no_documents(spark, sf):
         stage(spark, docs, sf).write.parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path) if name != pipeline.STAGES[-1][0] else spark.read.parquet(path)
     assert docs.count() == 0
+
+
+def test_native_operators_stay_in_the_jvm(spark, sf):
+    import __spark_entry__ as contract
+
+    for name in ("op1_url_filters", "op2_benchmark_decontamination"):
+        plan = contract.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_registered_queries_return_every_document(spark, sf, name):
+    import __spark_entry__ as contract
+
+    (query,) = [q for n, q in contract.queries().items() if n.startswith(f"{name}_")]
+    table, key, more = {"op4": ("conversations", "conv_id", 1), "op6": ("pages", "page_id", 0)}.get(name, ("documents", "doc_id", 0))
+    got = query(spark, sf)
+    assert got.count() == got.select(key).distinct().count() == spark.read.parquet(f"{sf}/{table}.parquet").select(key).distinct().count() + more

@@ -282,6 +282,9 @@ def test_pieces_in_spark(docs, none):
     for i, text, *_ in corpus():
         assert got[i].text == text and (got[i].ids is None) == (text is None) and got[i].pieces == "own"
     assert pieces.decode(pieces.encode(none, vocabulary), vocabulary).count() == 0
+    marked = docs.sparkSession.createDataFrame([(1, "plain text"), (2, "a▁b"), (3, None), (4, "")], "doc_id long, text string")
+    same = {r.doc_id: r.ok for r in pieces.encode(marked, vocabulary, checked="ok").collect()}
+    assert same == {1: True, 2: False, 3: None, 4: True}  # the piece mark itself is read back as a space
 
 
 def test_pieces_without_byte_fallback_or_led_spaces():
