@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import ChunkConfig
+from lodestone.operators.embedding import HashEmbedder
 from lodestone.plans import analytics, catalog, evaluation
+from lodestone.plans.ingest import Collection, ingest
 from lodestone.schemas import CHUNKS
 from lodestone.session import work_path
 from lodestone.sources.adapters import ingestion_events, query_events, table
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.evalsets import read_beir
 from queries.common import TELEMETRY_CTE, Query, rounded
-from queries.documents import UNIT_OUT, as_files, chunks, trim_sql, units, units_sql
+from queries.documents import DOCX, UNIT_OUT, as_files, chunks, trim_sql, units, units_sql
 
 
 def _joined(rows: DataFrame, key: str, order: str, text, separator: str) -> DataFrame:
@@ -115,6 +117,21 @@ def _chunk_page(spark, sf) -> DataFrame:
     return catalog.list_chunks(lines, most.document_id, limit=3, offset=2).select("id", "document_id", "chunk_index")
 
 
+def _event_statuses(spark, sf) -> DataFrame:
+    """Events of ingesting every document, each tenth of them as a word file that cannot be opened."""
+    broken = F.col("doc_id") % 10 == 0
+    source = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.concat(F.lit("upload://"), F.col("doc_id")).alias("file_uri"),
+        F.when(broken, DOCX).otherwise("text/plain").alias("mime_type"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    store = ChunkStore(spark, work_path(spark, "statuses"), "docs", buckets=8)
+    report = ingest(source, store, Collection("docs", "docs", ChunkConfig("sliding_window", 500, 50)), HashEmbedder(64))
+    counted = report.events.groupBy("status", F.col("error").isNotNull().alias("has_error"))
+    return counted.agg(F.count("*").alias("n"), F.count_if(F.col("chunk_count") > 0).alias("with_chunks"))
+
+
 # --- evaluation ----------------------------------------------------------------
 
 
@@ -175,6 +192,12 @@ QUERIES = {
                   CASE WHEN doc_id <> 5 THEN CAST(n_chars AS DOUBLE) END AS metadata_num_1, CAST(NULL AS DOUBLE) AS metadata_num_2
            FROM documents WHERE doc_id % 10 NOT IN (3, 4)""",
     ),
+    "ingest_event_statuses": Query(
+        _event_statuses,
+        """SELECT CASE WHEN doc_id % 10 = 0 THEN 'failed' ELSE 'complete' END AS status, doc_id % 10 = 0 AS has_error,
+                  count(*) AS n, count(*) FILTER (WHERE doc_id % 10 <> 0 AND regexp_matches(text, '[^\\s]')) AS with_chunks
+           FROM documents GROUP BY ALL""",
+    ),
     "chunk_page": Query(
         _chunk_page,
         """WITH most AS (SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)

@@ -22,7 +22,7 @@ def physical(df) -> str:
 @pytest.fixture(scope="module")
 def plans(spark, sf):
     # These run jobs to build their frame; the training-data operators have tests of their own.
-    eager = {"stream_telemetry", "ingest_twice", "keyword_search_indexed", "store_mutations", "beir_loader"}
+    eager = {"stream_telemetry", "ingest_twice", "keyword_search_indexed", "store_mutations", "beir_loader", "ingest_event_statuses"}
     return {n: physical(q(spark, sf)) for n, q in contract.queries().items() if n not in eager and not OPTIONAL.match(n)}
 
 
