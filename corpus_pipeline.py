@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, neardup, pieces, quality, repeats
+from lodestone.llm.limits import bound_batches
 from lodestone.session import apply_runtime_conf, ship_package, work_path
 from queries.common import Query
 
@@ -23,6 +24,7 @@ def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _prepare(spark: SparkSession) -> None:
     apply_runtime_conf(spark)
+    bound_batches(spark)
     ship_package(spark)
 
 
@@ -54,15 +56,9 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The piece ids of every text; ``round_trip`` says that they decode to it."""
     _prepare(spark)
     vocabulary = pieces.load_vocabulary(PIECE_MODEL)
-    digest = [F.xxhash64("text").alias("_digest"), F.octet_length("text").alias("_bytes")]
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", *digest, "text"), vocabulary)
-    decoded = pieces.decode(encoded, vocabulary)
-    same = (F.xxhash64("text") == F.col("_digest")) & (F.octet_length("text") == F.col("_bytes"))
-    return decoded.select(
-        "doc_id", "lang", "source", "ids",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.when(F.col("ids").isNotNull(), same).alias("round_trip"),
-    )
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, checked="round_trip")
+    n_pieces = F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces")
+    return encoded.select("doc_id", "lang", "source", "ids", n_pieces, "round_trip")
 
 
 STAGES = [
