@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.sampling import held_out, sample
+from lodestone.llm.sampling import held_out, sample, sized
 
 UNDETERMINED = "und"
 _BITS = 19  # n-grams are told apart by so many bits of a hash
@@ -134,7 +134,7 @@ def fit(grams: list[np.ndarray], languages: list[str], config: LanguageConfig) -
 
 def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """A model of ``docs(doc_id, text, lang)``; n-gram sets of the bounded sample reach the driver."""
-    chosen = sample(docs.select("doc_id", "text", "lang"), "lang", config.sample_per_language, config.sample_bytes, config.sample_total)
+    chosen = sample(sized(docs, "lang"), "lang", config.sample_per_language, config.sample_bytes, config.sample_total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Grams()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.sampling import held_out, sample
+from lodestone.llm.sampling import held_out, sample, sized
 from lodestone.llm.textbytes import LOWER, SubstringHash, blocks, flat, signed
 
 
@@ -171,8 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     at most ``2 * sample_per_label`` texts of ``sample_bytes``, reach the driver.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sized = docs.select("doc_id", "text").join(marks, "doc_id")
-    chosen = sample(sized, "toxic", config.sample_per_label, config.sample_bytes, 2 * config.sample_per_label)
+    chosen = sample(sized(docs).join(marks, "doc_id"), "toxic", config.sample_per_label, config.sample_bytes, 2 * config.sample_per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
