@@ -37,7 +37,7 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 DICTIONARY_BYTES = 112 * 1024
-SAMPLE_RECORDS = 2_000  # records the dictionary is built from, at most
+SAMPLE_RECORDS = 1_000  # records the dictionary is built from, at most
 SAMPLE_BYTES = 16 * 1024  # of each
 ARCHIVE_BYTES = 256 * 1024 * 1024  # compressed; a new archive starts beyond
 LEVEL = 6
@@ -184,23 +184,28 @@ def with_first_pages(pages: DataFrame) -> DataFrame:
     return rows.join(again, same, "left").drop("_page", "_digest", "_length", "length")
 
 
+def _examples(pages: DataFrame) -> list[bytes]:
+    """Records of a sample of pages, at most ``SAMPLE_RECORDS`` of ``SAMPLE_BYTES``, the first by a hash of the id.
+
+    Ids are chosen first, below a hash that leaves about twice as many as needed,
+    so what tasks send does not grow with the table; payloads follow for these alone.
+    """
+    share = min(2 * SAMPLE_RECORDS / max(pages.count(), 1), 1.0)
+    place = F.xxhash64("page_id")
+    low = F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))
+    chosen = pages.where(low).select("page_id").orderBy(place, "page_id").limit(SAMPLE_RECORDS)
+    cut = F.substring("html", 1, SAMPLE_BYTES).alias("html")
+    rows = pages.where(low).select("page_id", "url", cut).join(F.broadcast(chosen.distinct()), "page_id").limit(SAMPLE_RECORDS)
+    bodies = [(r.page_id, r.url or "", (r.html or "").encode()) for r in rows.collect()]
+    return [build_record(page, url, html, payload_digest(html), None) for page, url, html in bodies]
+
+
 def write_archives(pages: DataFrame, target: str) -> DataFrame:
     """Write every page as a record; the manifest ``archive, records, bytes`` as a committed table."""
     spark = pages.sparkSession
     target = _normal(target)
     rows = with_first_pages(pages)
-    sample = (
-        pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(SAMPLE_RECORDS)
-        .collect()
-    )
-    examples = [
-        build_record(r.page_id, r.url or "", html, payload_digest(html), None)
-        for r in sample
-        for html in [(r.html or "").encode()]
-    ]
-    dictionary = train_dictionary(examples)
+    dictionary = train_dictionary(_examples(pages))
     files, folder = fs.FileSystem.from_uri(target)
     files.create_dir(folder, recursive=True)
 
