@@ -45,7 +45,7 @@ class NearDupConfig:
     shingle: int = 5  # words
     percent: int = 80  # link when 100 * intersection >= percent * union
     bands: int = 32
-    rows: int = 4  # MinHash values per band
+    rows: int = 5  # MinHash values per band
     batch: int = 16  # signature bytes compared before each pruning decision
     miss: float = 1e-6  # chance, per decision, of dropping a pair at the limit
     block: int = 2048  # members of a bucket compared with each other at once
