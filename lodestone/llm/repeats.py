@@ -285,7 +285,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     edges = found.where("core IS NOT NULL")
     split = edges.where("share > 0").select("core").distinct().withColumn("split", F.lit(True))
-    edges = edges.join(split, "core", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    if split.isEmpty():  # no core is so common: nothing to mark, nothing to shuffle for it
+        edges = edges.withColumn("split", F.lit(False))
+    else:
+        edges = edges.join(split, "core", "left").withColumn("split", F.coalesce("split", F.lit(False)))
     edges = edges.groupBy("key").agg(F.collect_list(F.struct("core", "share", "split", "run")).alias("edges"))
     cut = pack_texts(texts).join(edges, "key").select("key", "packed", "edges")
     cut = cut.mapInArrow(_contexts, "core long, share long, split boolean, key long, run long, context binary")
