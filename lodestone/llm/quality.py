@@ -30,7 +30,7 @@ class QualityRules:
     max_repeat_percent: int = 50
     host_limit: float = 0.5  # highest shrunk failure rate of a host that is kept
     max_strength: float = 1e6  # prior weight, in documents, when hosts do not differ
-    broadcast_hosts: int = 50_000  # refused hosts sent whole to every task, at most
+    broadcast_hosts: int = 50_000  # hosts sent whole to every task, at most (names of hosts are short)
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -149,11 +149,18 @@ def _metrics_table(docs: DataFrame, rules: QualityRules) -> DataFrame:
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts, ``base_failed``, ``host_rate`` and the verdict ``kept`` of each document.
 
-    Host verdicts come back by an equi-join on the host; the document side holds
-    counts only, and the adaptive join splits a host with many documents.
+    Host verdicts come back by an equi-join on the host.  While there are at most
+    ``broadcast_hosts`` of them they are sent to the documents, so a host with a
+    third of all documents is not brought together; more are joined by shuffling
+    counts, and the adaptive join splits such a host.
     """
     metrics = _metrics_table(docs, rules)
     hosts = host_rates(metrics, rules).select("host", "host_rate", "host_kept")
+    path = work_path(docs.sparkSession, "host-rates")
+    hosts.write.parquet(path)
+    hosts = docs.sparkSession.read.schema(hosts.schema).parquet(path)
+    if hosts.count() <= rules.broadcast_hosts:
+        hosts = F.broadcast(hosts)
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
     return metrics.join(hosts, "host", "left").select(
         "doc_id", *METRICS, "base_failed", "host", "host_rate", kept.alias("kept")
