@@ -1,20 +1,23 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame expressions only.
-
-Words (lower-cased runs of letters and digits) are hashed once.  At every word
-position each mask of :data:`MASKS` selects some of ``span`` words and hashes them
-together; the words under zeros may differ.  An equi-join of these seeds between
-documents and benchmark items proposes alignments (document, item, shift), and each
-alignment is verified on the words themselves: somewhere on it, a window of
-``window`` words (the whole item, if shorter) must agree in ``percent`` of its words.
-
-A null text has no words.  Items with fewer than ``span`` words are no evidence and
-are ignored, as are null ones; items with equal words count as one, under the
+"""Benchmark decontamination by counted word seeds, in DataFrame expressions only.
+
+Words (lower-cased runs of letters and digits) are hashed once, and every run of
+``seed`` words is hashed together.  An equi-join of these seeds between documents and
+benchmark items counts the seeds that agree on each alignment (document, item, shift).
+A substituted word spoils ``seed`` seeds at most, so an alignment that satisfies the
+rule keeps :meth:`DecontamRules.sure_seeds` of them whatever words are substituted;
+those with as many are verified on the words themselves: somewhere on the alignment, a
+window of ``window`` words (the whole item, if shorter) must agree in ``percent`` of
+its words, or in all of them if the item has fewer than ``whole_below`` words.
+
+A null text has no words.  Items with fewer than ``least_words`` words are no evidence
+and are ignored, as are null ones; items with equal words count as one, under the
 smallest id.  Documents are verified row by row, so rows that repeat an id do no
 harm.  Other columns of ``docs`` are ignored, or kept by :func:`clean_documents`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,20 +26,35 @@ from pyspark.sql import functions as F
 from lodestone.functions.binding import let
 from lodestone.session import work_path
 
-# Seeds of six words among ten: one contiguous, two that bridge substitutions.
-MASKS = ("1111110000", "1101100110", "1010110101")
-
 
 @dataclass(frozen=True)
 class DecontamRules:
-    masks: tuple[str, ...] = MASKS
+    seed: int = 3  # words hashed together
     window: int = 20  # words that have to be aligned
     percent: int = 80  # of them that have to agree
+    whole_below: int = 10  # shorter items have to agree in all words
+    least_words: int = 6  # shorter items are no evidence
     broadcast_seeds: int = 1_000_000  # benchmark seeds (16 bytes each) sent whole to every task, at most
 
-    @property
-    def span(self) -> int:
-        return len(self.masks[0])
+    def __post_init__(self) -> None:
+        unsure = [n for n in range(self.least_words, max(self.window, self.least_words) + 1) if self.sure_seeds(n) < 1]
+        if unsure:
+            raise ValueError(f"items of {unsure} words can agree as demanded without a common seed of {self.seed} words")
+
+    def agreeing(self, n: int) -> int:
+        """Words of a window that have to agree for an item of ``n`` words."""
+        width = min(n, self.window)
+        return width if n < self.whole_below else -(-self.percent * width // 100)
+
+    def sure_seeds(self, n: int) -> int:
+        """Seeds that agree at least on an alignment with an item of ``n`` words that satisfies the rule."""
+        width = min(n, self.window)
+        return width - self.seed + 1 - self.seed * (width - self.agreeing(n))
+
+    def of_size(self, size: Column, value: Callable[[int], int]) -> Column:
+        """``value`` (:meth:`agreeing` or :meth:`sure_seeds`) for a column of item sizes."""
+        by_width = F.array(*(F.lit(value(n)) for n in range(self.least_words, max(self.window, self.whole_below, self.least_words) + 1)))
+        return F.element_at(by_width, F.least(size - (self.least_words - 1), F.size(by_width)))
 
 
 def word_hashes(text: Column) -> Column:
@@ -46,29 +64,18 @@ def word_hashes(text: Column) -> Column:
 
 
 def seed_hashes(hashes: Column, rules: DecontamRules) -> Column:
-    """The seeds of all positions under the first mask, then those under the second, and so on.
-
-    Mask m at position p stands at index ``m * positions + p``.
-    """
-    span = rules.span
-    chosen = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in rules.masks]
+    """The seeds at all positions, null where there are fewer words than a seed has."""
 
-    def of(h: Column, mask: int) -> Column:
-        def seed(p: Column) -> Column:
-            return F.xxhash64(F.lit(mask), *(F.get(h, p + F.lit(i)) for i in chosen[mask]))
+    def of(h: Column) -> Column:
+        seed = lambda p: F.xxhash64(*(F.get(h, p + F.lit(i)) for i in range(rules.seed)))
+        return F.transform(F.sequence(F.lit(0), F.size(h) - rules.seed), seed)
 
-        return F.transform(F.sequence(F.lit(0), F.size(h) - span), seed)
-
-    return F.when(
-        F.size(hashes) >= span, let(hashes, lambda h: F.concat(*(of(h, m) for m in range(len(rules.masks)))))
-    )
+    return F.when(F.size(hashes) >= rules.seed, let(hashes, of))
 
 
 def _positions(rows: DataFrame, rules: DecontamRules, *keys: str) -> DataFrame:
-    """``keys, seed, position`` for every seed of ``rows(keys, hashes)``."""
-    counted = rows.withColumn("positions", F.size("hashes") - rules.span + 1).where("positions > 0")
-    seeds = counted.select(*keys, "positions", F.posexplode(seed_hashes(F.col("hashes"), rules)).alias("index", "seed"))
-    return seeds.select(*keys, "seed", F.expr("index % positions").alias("position"))
+    """``keys, position, seed`` for every seed of ``rows(keys, hashes)``."""
+    return rows.select(*keys, F.posexplode_outer(seed_hashes(F.col("hashes"), rules)).alias("position", "seed"))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -86,17 +93,21 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def alignments(docs: DataFrame, items: DataFrame, rules: DecontamRules) -> DataFrame:
     """``doc_id, item, shift``: where a document's words may repeat an item's.
 
-    Benchmark seeds are stored and counted first.  Within ``broadcast_seeds`` they
+    Only those with as many common seeds as the rule behind them makes sure of
+    (repeated rows and ids add to the count, never the reverse).  Benchmark seeds are stored and counted first.  Within ``broadcast_seeds`` they
     are sent to the documents; more of them are joined by shuffling both sides.
-    Documents with the same seed in the same places are not multiplied: only
-    distinct alignments are kept, combined before they are shuffled.
+    Hits are counted by alignment, and combined before they are shuffled.
     """
-    known = _positions(items.select("item", F.col("words").alias("hashes")), rules, "item")
+    evidence = items.where(F.size("words") >= rules.least_words)
+    sure = rules.of_size(F.size("words"), rules.sure_seeds).alias("sure")
+    known = _positions(evidence.select("item", sure, F.col("words").alias("hashes")), rules, "item", "sure")
     known = _stored(known.withColumnRenamed("position", "item_position"), "benchmark-seeds")
     seeds = _positions(docs.select("doc_id", word_hashes(F.col("text")).alias("hashes")), rules, "doc_id")
     small = known.count() <= rules.broadcast_seeds
     hits = seeds.join(F.broadcast(known) if small else known, "seed")
-    return hits.select("doc_id", "item", (F.col("position") - F.col("item_position")).alias("shift")).distinct()
+    shift = (F.col("position") - F.col("item_position")).alias("shift")
+    counted = hits.groupBy("doc_id", "item", "sure", shift).agg(F.count("*").alias("common"))
+    return counted.where("common >= sure").select("doc_id", "item", "shift")
 
 
 def _most_agreeing(words: Column, item: Column, shift: Column, rules: DecontamRules) -> Column:
@@ -131,10 +142,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = Decon
                 p["item"].alias("item"),
                 _most_agreeing(words, p["words"], p["shift"], rules).alias("matched"),
                 p["shift"].alias("shift"),
-                F.least(F.size(p["words"]), F.lit(rules.window)).alias("width"),
+                rules.of_size(F.size(p["words"]), rules.agreeing).alias("needed"),
             ),
         )
-        good = F.filter(checked, lambda c: 100 * c["matched"] >= rules.percent * c["width"])
+        good = F.filter(checked, lambda c: c["matched"] >= c["needed"])
         return F.array_sort(F.transform(good, lambda c: F.struct(c["item"], c["matched"], c["shift"])))
 
     found = F.when(F.col("_proposed").isNotNull(), let(word_hashes(F.col("text")), verify))

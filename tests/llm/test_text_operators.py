@@ -1,8 +1,10 @@
 """Quality, repeats, near duplicates, decontamination and pieces on small fixtures."""
 
+import itertools
 import os
 import sys
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -223,6 +225,70 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(docs, benchmark(spark).limit(0)).count() == 0
 
 
+# The rule without seeds: every shift of every item along every document.
+OVERLAPS_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS dw FROM documents),
+items AS (
+  SELECT min(item_id) AS item, iw, len(iw) AS n, least(len(iw), 20) AS width FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark)
+  WHERE len(iw) >= 6 GROUP BY iw),
+shifted AS (SELECT *, unnest(range(width - n, len(dw) - width + 1)) AS shift FROM docs, items),
+places AS (SELECT *, unnest(range(greatest(0, -shift), least(n, len(dw) - shift) - width + 1)) AS s FROM shifted),
+scored AS (
+  SELECT *, len(list_filter(range(s, s + width), lambda k: dw[k + shift + 1] = iw[k + 1])) AS matched FROM places)
+SELECT doc_id, list_sort(list(DISTINCT item)) AS item_ids, max(matched) AS matched_words
+FROM scored WHERE matched >= CASE WHEN n < 10 THEN width ELSE 0.8 * width END GROUP BY doc_id ORDER BY doc_id"""
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontamination_against_the_rule_without_seeds(spark, broadcast):
+    """Copies of items of 5 to 45 words with more and more words substituted, between other words or alone."""
+    rng = np.random.default_rng(80)
+    items = [(n, prose(800 + n, n)) for n in [*range(5, 24), 30, 45]] + [(99, prose(810, 10))]
+    rows = []
+    for n, text in items:
+        for k in range(min(len(text.split(" ")), 20) // 4 + 1):
+            for sides in ((0, 0), (4, 9)):
+                changed = edited(text, rng.choice(len(text.split(" ")), k, replace=False))
+                rows.append((len(rows), " ".join([prose(900 + len(rows), sides[0]), changed, prose(9, sides[1])]).strip()))
+        rows += [(len(rows), " ".join(text.split(" ")[:-2])), (len(rows) + 1, " ".join(text.split(" ")[5:]))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    con.register("benchmark", pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}))
+    got = decontam.contaminated(docs, benchmark, decontam.DecontamRules(broadcast_seeds=broadcast)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.item_ids, r.matched_words) for r in got] == con.execute(OVERLAPS_SQL).fetchall()
+    assert any(r.item_ids == [6] for r in got) and not any(5 in r.item_ids for r in got)
+
+
+def patterns(n, rules):
+    return itertools.combinations(range(n), n - rules.agreeing(n))
+
+
+def test_no_pattern_of_substitutions_escapes_the_seeds():
+    rules = decontam.DecontamRules()
+    for n in range(rules.least_words, rules.window + 1):
+        seeds = [set(range(p, p + rules.seed)) for p in range(n - rules.seed + 1)]
+        fewest = min(sum(not s & set(changed) for s in seeds) for changed in patterns(n, rules))
+        assert fewest >= rules.sure_seeds(n) >= 1
+    with pytest.raises(ValueError, match="without a common seed"):
+        decontam.DecontamRules(least_words=2)
+    with pytest.raises(ValueError, match="without a common seed"):
+        decontam.DecontamRules(percent=60)
+
+
+def test_every_pattern_of_substitutions_is_found(spark):
+    """All patterns within the rule for items of 10, 12, 15, 16 and 20 words, alone in their document."""
+    rules = decontam.DecontamRules()
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (10, 12, 15, 16, 20)]
+    rows = [(n, edited(text, changed)) for n, text in items for changed in patterns(n, rules)]
+    assert len(rows) == 45 + 66 + 455 + 560 + 4845
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), rules).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {i: [n] for i, (n, _) in enumerate(rows)}
+
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HARD = ["Hello  world\n é 漢 \t x ", "", "   ", " a", "😀😀 ok", "日本語テキスト", "a\0b", "x" * 500, "end　 .", "one▁two"]
 
