@@ -12,7 +12,9 @@ its words, or in all of them if the item has fewer than ``whole_below`` words.
 A null text has no words.  Items with fewer than ``least_words`` words are no evidence
 and are ignored, as are null ones; items with equal words count as one, under the
 smallest id.  Documents are verified row by row, so rows that repeat an id do no
-harm.  Other columns of ``docs`` are ignored, or kept by :func:`clean_documents`.
+harm, and neither do rows without one: they are reported under a null ``doc_id``, or
+left out by :func:`clean_documents`, like any other.  Other columns of ``docs`` are
+ignored, or kept by :func:`clean_documents`.
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = Decon
     items = _stored(benchmark_items(benchmark), "benchmark-items")
     proposed = alignments(docs, items, rules).join(items, "item")
     proposed = proposed.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "words")).alias("_proposed"))
-    joined = docs.join(proposed.withColumnRenamed("doc_id", "_doc"), docs["doc_id"] == F.col("_doc"), "left")
+    joined = docs.join(proposed.withColumnRenamed("doc_id", "_doc"), docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
 
     def verify(words: Column) -> Column:
         checked = F.transform(

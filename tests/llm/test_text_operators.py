@@ -225,6 +225,15 @@ def test_decontamination(spark, none):
     assert decontam.contaminated(docs, benchmark(spark).limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_without_id(spark):
+    rows = [(None, f"{prose(74, 30)} {ITEM}"), (None, prose(75, 60)), (None, ITEM), (1, ITEM), (2, prose(76, 60)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contaminated(docs, benchmark(spark)).collect()
+    assert sorted((r.doc_id or -1, r.item_ids) for r in got) == [(-1, [2]), (-1, [2]), (1, [2])]
+    clean = decontam.clean_documents(docs, benchmark(spark)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in clean) == sorted([(-1, rows[1][1]), (2, rows[4][1]), (-1, "")])
+
+
 # The rule without seeds: every shift of every item along every document.
 OVERLAPS_SQL = r"""
 WITH docs AS (
