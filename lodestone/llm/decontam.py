@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.binding import let
@@ -37,6 +37,8 @@ class DecontamRules:
     whole_below: int = 10  # shorter items have to agree in all words
     least_words: int = 6  # shorter items are no evidence
     broadcast_seeds: int = 1_000_000  # benchmark seeds (16 bytes each) sent whole to every task, at most
+    broadcast_found: int = 200_000  # documents, or shares of their alignments, sent whole to every task, at most
+    at_once: int = 256  # alignments (item, shift and size) of a document in one row, at most
 
     def __post_init__(self) -> None:
         unsure = [n for n in range(self.least_words, max(self.window, self.least_words) + 1) if self.sure_seeds(n) < 1]
@@ -92,24 +94,44 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with one id are told apart by their texts, which also spreads rows without id."""
+    return docs.select("text", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+
+
+def _with_key(keyed: DataFrame, few: DataFrame, rules: DecontamRules, how: str) -> DataFrame:
+    """``keyed`` joined by (_doc, _text) with a stored table, which is sent to its rows if it is small."""
+    same = keyed["_doc"].eqNullSafe(few["_doc"]) & (keyed["_text"] == few["_text"])
+    return keyed.join(F.broadcast(few) if few.count() <= rules.broadcast_found else few, same, how)
+
+
 def alignments(docs: DataFrame, items: DataFrame, rules: DecontamRules) -> DataFrame:
-    """``doc_id, item, shift``: where a document's words may repeat an item's.
+    """``_doc, _text, item, shift, size``: where a document's words may repeat an item's ``size`` words.
 
     Only those with as many common seeds as the rule behind them makes sure of
-    (repeated rows and ids add to the count, never the reverse).  Benchmark seeds are stored and counted first.  Within ``broadcast_seeds`` they
-    are sent to the documents; more of them are joined by shuffling both sides.
-    Hits are counted by alignment, and combined before they are shuffled.
+    (repeated rows add to the count, never the reverse).  Benchmark seeds are stored
+    and counted first.  Within ``broadcast_seeds`` they are sent to the documents;
+    more of them are joined by shuffling both sides.  Hits are counted by alignment,
+    and combined before they are shuffled.
     """
-    evidence = items.where(F.size("words") >= rules.least_words)
-    sure = rules.of_size(F.size("words"), rules.sure_seeds).alias("sure")
-    known = _positions(evidence.select("item", sure, F.col("words").alias("hashes")), rules, "item", "sure")
+    evidence = items.select("item", F.size("words").alias("size"), F.col("words").alias("hashes"))
+    known = _positions(evidence.where(F.col("size") >= rules.least_words), rules, "item", "size")
     known = _stored(known.withColumnRenamed("position", "item_position"), "benchmark-seeds")
-    seeds = _positions(docs.select("doc_id", word_hashes(F.col("text")).alias("hashes")), rules, "doc_id")
+    texts = _keyed(docs).select("_doc", "_text", word_hashes(F.col("text")).alias("hashes"))
+    seeds = _positions(texts, rules, "_doc", "_text")
     small = known.count() <= rules.broadcast_seeds
     hits = seeds.join(F.broadcast(known) if small else known, "seed")
     shift = (F.col("position") - F.col("item_position")).alias("shift")
-    counted = hits.groupBy("doc_id", "item", "sure", shift).agg(F.count("*").alias("common"))
-    return counted.where("common >= sure").select("doc_id", "item", "shift")
+    counted = hits.groupBy("_doc", "_text", "item", "size", shift).agg(F.count("*").alias("common"))
+    return counted.where(F.col("common") >= rules.of_size(F.col("size"), rules.sure_seeds)).drop("common")
+
+
+def shares(proposed: DataFrame, rules: DecontamRules) -> DataFrame:
+    """``_doc, _text, proposed``: the alignments of a document, ``at_once`` in a row at most."""
+    place = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("item", "shift"))
+    numbered = proposed.withColumn("share", F.floor((place - 1) / rules.at_once))
+    gathered = numbered.groupBy("_doc", "_text", "share").agg(F.collect_list(F.struct("item", "shift", "size")).alias("proposed"))
+    return gathered.drop("share")
 
 
 def _most_agreeing(words: Column, item: Column, shift: Column, rules: DecontamRules) -> Column:
@@ -127,31 +149,37 @@ def _most_agreeing(words: Column, item: Column, shift: Column, rules: DecontamRu
     return F.when(last >= first, let(agrees, window)).otherwise(-1)
 
 
+def _verified(docs: DataFrame, items: DataFrame, rules: DecontamRules) -> DataFrame:
+    """``_doc, _text, overlaps``: the alignments of documents that satisfy the rule, each checked in a row of its own.
+
+    A row takes along the words below the item only.
+    """
+    keyed = _keyed(docs)
+    gathered = _stored(shares(alignments(docs, items, rules), rules), "benchmark-alignments")
+    met = _with_key(keyed, gathered, rules, "inner").select(
+        keyed["_doc"], keyed["_text"], word_hashes(F.col("text")).alias("words"), "proposed"
+    )
+    rows = met.select("_doc", "_text", "words", F.explode_outer("proposed").alias("p")).select("_doc", "_text", "words", "p.*")
+    outside = F.least(F.col("shift"), F.lit(0))  # less than 0 where the item starts before the document
+    below = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("size") + outside)
+    rows = rows.select("_doc", "_text", "item", "shift", "size", below.alias("below")).join(items, "item")
+    matched = _most_agreeing(F.col("below"), F.col("words"), outside, rules).alias("matched")
+    checked = rows.select("_doc", "_text", "item", matched, "shift", "size")
+    good = checked.where(F.col("matched") >= rules.of_size(F.col("size"), rules.agreeing))
+    overlap = F.struct("item", "matched", "shift")
+    return good.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set(overlap)).alias("overlaps"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:
     """``docs`` with ``overlaps``: the verified (item, matched, shift), smallest item first, or null.
 
-    One shuffle of the documents, by id; the alignments are few.
+    Documents are shuffled only where more than ``broadcast_found`` of them have
+    alignments, and only verified alignments meet in a document's row.
     """
     items = _stored(benchmark_items(benchmark), "benchmark-items")
-    proposed = alignments(docs, items, rules).join(items, "item")
-    proposed = proposed.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "words")).alias("_proposed"))
-    joined = docs.join(proposed.withColumnRenamed("doc_id", "_doc"), docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
-
-    def verify(words: Column) -> Column:
-        checked = F.transform(
-            F.col("_proposed"),
-            lambda p: F.struct(
-                p["item"].alias("item"),
-                _most_agreeing(words, p["words"], p["shift"], rules).alias("matched"),
-                p["shift"].alias("shift"),
-                rules.of_size(F.size(p["words"]), rules.agreeing).alias("needed"),
-            ),
-        )
-        good = F.filter(checked, lambda c: c["matched"] >= c["needed"])
-        return F.array_sort(F.transform(good, lambda c: F.struct(c["item"], c["matched"], c["shift"])))
-
-    found = F.when(F.col("_proposed").isNotNull(), let(word_hashes(F.col("text")), verify))
-    return joined.select(*(docs[c] for c in docs.columns), F.when(F.size(found) > 0, found).alias("overlaps"))
+    found = _stored(_verified(docs, items, rules).withColumnRenamed("overlaps", "_found"), "benchmark-overlaps")
+    keyed = docs.withColumns({"_doc": F.col("doc_id"), "_text": F.xxhash64("text")})
+    return _with_key(keyed, found, rules, "left").select(*(keyed[c] for c in docs.columns), F.col("_found").alias("overlaps"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:

@@ -234,6 +234,24 @@ def test_decontamination_of_documents_without_id(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in clean) == sorted([(-1, rows[1][1]), (2, rows[4][1]), (-1, "")])
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination_with_a_prompt_that_many_items_share(spark, broadcast):
+    """However many items a document is aligned with, a row holds a bounded number of them and none of their words."""
+    prompt, ends = prose(77, 12), [prose(820 + k, 9) for k in range(30)]
+    items = spark.createDataFrame([(k, f"{prompt} {end}") for k, end in enumerate(ends)], "item_id long, text string")
+    rows = [(1, f"{prompt} {ends[3]} {prose(78, 20)} {prompt} {ends[20]}"), (2, f"{prose(79, 5)} {prompt} {prose(80, 40)}")]
+    docs = spark.createDataFrame([*rows, (1, rows[1][1]), rows[0], (None, rows[0][1])], "doc_id long, text string")
+    rules = decontam.DecontamRules(at_once=7, broadcast_found=broadcast)
+    proposed = decontam.alignments(docs, decontam.benchmark_items(items), rules)
+    assert proposed.count() >= 4 * 30 and "words" not in proposed.columns
+    held = [len(r.proposed) for r in decontam.shares(proposed, rules).collect()]
+    assert max(held) == 7 and sum(held) == proposed.count()
+    got = [(r.doc_id, r.item_ids, r.matched_words) for r in decontam.contaminated(docs, items, rules).collect()]
+    assert sorted(got, key=str) == [(1, [3, 20], 20)] * 2 + [(None, [3, 20], 20)]
+    clean = decontam.clean_documents(docs, items, rules).collect()
+    assert sorted(r.doc_id for r in clean) == [1, 2] and {r.text for r in clean} == {rows[1][1]}
+
+
 # The rule without seeds: every shift of every item along every document.
 OVERLAPS_SQL = r"""
 WITH docs AS (
