@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, toxicity, urls, warc
+from lodestone.llm import chat, decontam, language, neardup, pieces, quality, repeats, structure_queries, toxicity, urls, warc
 from lodestone.llm.limits import bound_batches
 from queries.common import Query
 
@@ -251,6 +251,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": Query(quality_rules, QUALITY_SQL),
     "op9_toxicity_scores": Query(toxicity_scores),
     "op10_near_duplicates": Query(near_duplicates),
+    **structure_queries.QUERIES,
 }
 
 QUERIES = {name: Query(_bounded(query.run), query.sql) for name, query in QUERIES.items()}
