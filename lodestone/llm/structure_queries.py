@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import merkle
+from lodestone.llm import merkle, ngrams, trie
 from queries.common import Query
 
 # CRC-32 by table: entry i is i after eight steps of the polynomial.
@@ -78,6 +78,55 @@ SELECT n.doc_id, n.d AS leaf, lf.top AS subroot, uf.top AS root, sha256(uf.proof
 FROM nodes n JOIN lower_fold lf USING (rid) JOIN upper_fold uf USING (rid)"""
 
 
+def prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    return trie.prefix_trie(turns, trie.prefix_of_first_in_five)
+
+
+# Subtrees by the prefixes of each node's smallest member.
+TRIE_SQL = f"""
+WITH {CRC_TABLE_SQL},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+counted AS (SELECT conv_id, conv_id - conv_id % 5 AS head, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (SELECT *, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM counted, crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.i AS depth, role, said FROM convs c JOIN turns t ON t.conv_id = c.head AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(f.n, 0)) + t.i - c.h, role, said
+  FROM convs c LEFT JOIN convs f ON f.conv_id = c.head JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+listed AS (
+  SELECT c.conv_id, coalesce(list(sha256(strlen(role) || ':' || role || said) ORDER BY depth) FILTER (WHERE depth > 0), []) AS keys,
+         coalesce(list(strlen(said) ORDER BY depth) FILTER (WHERE depth > 0), []) AS sizes
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+prefixes AS (
+  SELECT conv_id, d, keys[1:d] AS pre, keys[1:d - 1] AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(keys) AS ends
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM listed)),
+nodes AS (
+  SELECT d, pre, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, pre),
+children AS (SELECT d - 1 AS d, above AS pre, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved
+  FROM nodes n LEFT JOIN children c ON n.d = c.d AND n.pre = c.pre),
+sums AS (
+  SELECT a.d, a.pre, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, CAST(sum(o.saved) AS BIGINT) AS saved_tokens
+  FROM own o JOIN prefixes a ON a.conv_id = o.conv_id AND a.d <= o.d GROUP BY a.d, a.pre)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM own o JOIN sums s ON o.d = s.d AND o.pre = s.pre LEFT JOIN nodes p ON o.d > 0 AND p.d = o.d - 1 AND p.pre = o.above"""
+
+
+def language_model(spark: SparkSession, sf: str) -> DataFrame:
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scores = ngrams.language_model_scores(spark.read.parquet(f"{sf}/documents.parquet"), unseen)
+    return scores.withColumnRenamed("unseen", "held_out")
+
+
 QUERIES: dict[str, Query] = {
+    "op11_prefix_trie": Query(prefix_trie, TRIE_SQL),
     "op12_merkle_manifest": Query(merkle_manifest, MERKLE_SQL),
+    "op13_language_model": Query(language_model),
 }

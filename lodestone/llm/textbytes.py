@@ -7,6 +7,7 @@ few MB, so the temporary arrays stay small whatever the batch holds.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,32 @@ class SubstringHash:
         return mix((self.total[length:] - self.total[:n]) * self.down[:n] + np.uint64(length))
 
 
+_LONG_SPAN = 512
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``[start, end)`` of one block.
+
+    A span is read eight bytes at a time and mixed after each; different spans meet
+    by chance only.  The few spans over ``_LONG_SPAN`` bytes are hashed one by one.
+    """
+    size = (end - start).astype(np.int64)
+    eight = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).data, 0, (1,))
+    out = mix(size.astype(np.uint64) + _BASE)
+    within = size <= _LONG_SPAN
+    for at in range(0, int(size[within].max(initial=0)), 8):
+        left = np.flatnonzero(within & (size > at))
+        part = eight[start[left] + at]
+        rest = size[left] - at
+        cut = rest < 8
+        part[cut] &= (np.uint64(1) << (rest[cut].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[left] = mix(out[left] * _BASE_INVERSE + part)
+    for i in np.flatnonzero(~within):
+        digest = hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without white space) and words before each row."""
     if len(raw) == 0:
