@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.sampling import held_out, sample, sized
+from lodestone.llm.sampling import held_out, sample, sampled_texts, sized
 
 UNDETERMINED = "und"
 _BITS = 19  # n-grams are told apart by so many bits of a hash
@@ -146,8 +146,7 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Languag
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= config.sample_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
+    rows = sampled_texts(docs, chosen, "lang", config.sample_bytes)
     rows = rows.mapInArrow(run, f"doc_id {kind}, lang string, grams array<int>").where("grams IS NOT NULL")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))
     return fit([np.array(r.grams, np.int64) for r in got], [r.lang for r in got], config)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbytes import SubstringHash, blocks, combine, flat, row_of, words
+from lodestone.llm.textbytes import blocks, combine, flat, row_of, span_hashes, words
 from lodestone.session import work_path
 
 
@@ -49,7 +49,6 @@ def _block_metrics(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     rows = len(offsets) - 1
     starts, ends, first = words(raw, offsets)
     n_words = np.diff(first)
-    hashed = SubstringHash(raw)
 
     lead = (raw & 0xC0) != 0x80  # first byte of a code point
     running = np.zeros(len(raw) + 1, np.int64)
@@ -67,13 +66,13 @@ def _block_metrics(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     end[last] = offsets[1:]
     lines = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     line_row = begin_row[lines]
-    line_key = combine([line_row.astype(np.uint64), hashed(begin[lines], end[lines])])
+    line_key = combine([line_row.astype(np.uint64), span_hashes(raw, begin[lines], end[lines])])
     _, kept = np.unique(line_key, return_index=True)
     n_dup_lines = np.bincount(line_row, minlength=rows) - np.bincount(line_row[kept], minlength=rows)
 
     repeated = np.zeros(len(starts), bool)
     if len(starts) >= 3:
-        word_hash = hashed(starts, ends)
+        word_hash = span_hashes(raw, starts, ends)
         window = np.flatnonzero(word_row[2:] == word_row[:-2])
         key = combine([word_row[window].astype(np.uint64), word_hash[window], word_hash[window + 1], word_hash[window + 2]])
         _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)

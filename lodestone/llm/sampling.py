@@ -20,7 +20,7 @@ def sized(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, label: str, per_label: int, max_bytes: int, total: int) -> DataFrame:
-    """From ``sized`` documents with a label: ``doc_id, <label>`` of at most ``per_label`` documents of each label and ``total`` in all.
+    """From ``sized`` documents with a label: ``doc_id, <label>, _text`` of at most ``per_label`` documents of each label and ``total`` in all.
 
     Documents are taken in the order of a hash of their id, among those with a
     label, an id and a text of 1 to ``max_bytes`` bytes, held-out ones excepted;
@@ -37,6 +37,13 @@ def sample(docs: DataFrame, label: str, per_label: int, max_bytes: int, total: i
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
     rank_in_share = F.row_number().over(Window.partitionBy(label, "_share").orderBy(*order))
     distinct = usable.groupBy(label, "_text").agg(F.min("doc_id").alias("doc_id"))
-    shared = distinct.select("doc_id", label, share.alias("_share")).withColumn("_rank", rank_in_share)
+    shared = distinct.select("doc_id", label, "_text", share.alias("_share")).withColumn("_rank", rank_in_share)
     chosen = shared.where(F.col("_rank") <= per_label).withColumn("_rank", rank).where(F.col("_rank") <= per_label)
-    return chosen.orderBy("_rank", *order).limit(total).select("doc_id", label).dropDuplicates(["doc_id"])
+    return chosen.orderBy("_rank", *order).limit(total).select("doc_id", label, "_text").dropDuplicates(["doc_id"])
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, label: str, max_bytes: int) -> DataFrame:
+    """``doc_id, <label>, text`` of the chosen documents, one row each however often an id is repeated."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).where(F.octet_length("text") <= max_bytes)
+    met = texts.join(F.broadcast(chosen), ["doc_id", "_text"]).select("doc_id", label, "text")
+    return met.groupBy("doc_id").agg(F.first(label).alias(label), F.first("text").alias("text"))

@@ -83,7 +83,8 @@ class SubstringHash:
 
     The sum of (byte + 1) * base**position is kept as a running total modulo
     2**64.  The base is odd, so dividing by its power moves a substring to
-    position 0.
+    position 0.  For short windows only: there are texts of 1,024 bytes that such a
+    hash cannot tell apart, whatever the base; spans of any length have :func:`span_hashes`.
     """
 
     def __init__(self, raw: np.ndarray) -> None:

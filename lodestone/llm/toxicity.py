@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.sampling import held_out, sample, sized
-from lodestone.llm.textbytes import LOWER, SubstringHash, blocks, flat, signed
+from lodestone.llm.sampling import held_out, sample, sampled_texts, sized
+from lodestone.llm.textbytes import LOWER, blocks, flat, signed, span_hashes
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,22 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
 
+_WIDE_STOPS = [sign.encode() for sign in "。！？．｡।۔"]
+
+
+def _stops(raw: np.ndarray) -> np.ndarray:
+    """The bytes of signs that end a sentence, ASCII or not."""
+    stop = _STOP[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    for sign in _WIDE_STOPS:
+        at = lead[lead + len(sign) <= len(raw)]
+        for i, byte in enumerate(sign):
+            at = at[raw[at + i] == byte]
+        for i in range(len(sign)):
+            stop[at + i] = True
+    return stop
+
+
 @dataclass(frozen=True)
 class Sentences:
     """Distinct words of each sentence of a block; sentences without words are left out."""
@@ -55,7 +71,8 @@ class Sentences:
 
 def sentences(raw: np.ndarray, offsets: np.ndarray) -> Sentences:
     raw = LOWER[raw]
-    inside = _WORD[raw]
+    stop = _stops(raw)
+    inside = _WORD[raw] & ~stop
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
     if not len(raw):
@@ -64,14 +81,14 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> Sentences:
     starts = np.flatnonzero(inside & (~np.append(False, inside[:-1]) | cut[:-1]))
     ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | cut[1:])) + 1
     stops = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(_STOP[raw], out=stops[1:])
+    np.cumsum(stop, out=stops[1:])
     rows = np.searchsorted(offsets, starts, side="right") - 1
     new = np.ones(len(starts), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (stops[starts[1:]] != stops[starts[:-1]])
     owner = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    word = SubstringHash(raw)(starts, ends)
+    word = span_hashes(raw, starts, ends)
     order = np.lexsort((word, owner))
     distinct = np.ones(len(order), bool)
     distinct[1:] = (word[order][1:] != word[order][:-1]) | (owner[order][1:] != owner[order][:-1])
@@ -190,8 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= config.sample_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = sampled_texts(docs, chosen, "toxic", config.sample_bytes)
     got = rows.mapInArrow(run, f"doc_id {kind}, toxic int, sentence long, word long").toArrow()
     if not got.num_rows:
         return fit(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), config)

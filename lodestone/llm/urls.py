@@ -15,7 +15,8 @@ A URL that is null or has no host has verdict ``invalid``; one without a holding
 entry, or without a fetch day, is ``unlisted``.  Events with a null entry, day or
 unknown action are no events; of several on one day the strictest counts (block,
 allow, remove).  Rows with equal ids are judged one by one.  Other columns of the
-captures are kept, except those named like a result column.
+captures are kept, except those named like a result column.  A URL of any length is
+read whole.  No captures give no rows; no events leave every host unlisted.
 """
 
 from __future__ import annotations
@@ -99,8 +100,9 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
 
     kept = [c for c in captures.columns if c not in RESULT]
     lead = F.slice(segments_of(F.col(url)), F.lit(1), F.lit(depth)) if depth else F.array().cast("array<string>")
+    row = F.struct(*[f"`{c}`" for c in kept]).alias("row")  # one value, so that the captures' columns may have any names
     known = captures.select(
-        *kept, host_of(F.col(url)).alias("host"), F.array_join(lead, "/").alias("_lead"), F.col(fetched).cast("date").alias("_day")
+        row, host_of(F.col(url)).alias("host"), F.array_join(lead, "/").alias("_lead"), F.col(fetched).cast("date").alias("_day")
     )
     places = known.where("host IS NOT NULL AND _day IS NOT NULL").select("host", "_lead", "_day").distinct()
     split_lead = F.array_remove(F.split("_lead", "/"), "")
@@ -131,7 +133,7 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
         .otherwise("unlisted")
     )
     return out.select(
-        *kept,
+        *[F.col("row").getField(c).alias(c) for c in kept],
         "host",
         verdict.alias("verdict"),
         F.col("best.entry").alias("entry"),
