@@ -13,10 +13,17 @@ Every step is a table in the shared folder:
    across components, in blocks, by the same pruning and verification.  Pairs live
    inside a task only; a group returns at most one link for each member.
 
+Texts are compared in the few tasks that verify pairs: those of other documents are
+left out before they are packed or moved.  Each work table goes when its successor is
+written; the result reads two narrow ones.
+
 Definitions: a null text or one without words has no shingles and links with
 nothing.  Rows that share a ``doc_id`` are one document: each of their texts can
 link it.  A row with null ``doc_id`` cannot be named and is linked with nothing.
-Other columns are ignored.
+Of a group the smallest id stays.  A text of any length is one row in every step.
+An empty table has an empty result.  Other columns are ignored, or kept by
+:func:`first_of_each_group`, whatever their names.  Words are told apart by 64-bit
+hashes that mix eight bytes at a time.
 """
 
 from __future__ import annotations
@@ -32,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
+from lodestone.llm.membership import with_ids, without_ids
 from lodestone.llm.packing import pack_texts, unpacked
-from lodestone.llm.textbytes import LOWER, SubstringHash, blocks, combine, flat, mix, signed, words
-from lodestone.session import work_path
+from lodestone.llm.tables import WorkTables
+from lodestone.llm.textbytes import LOWER, blocks, combine, flat, mix, signed, span_hashes, words
 
 
 PAIRS = 200_000  # compared at once; bounds memory only
@@ -50,6 +58,7 @@ class NearDupConfig:
     miss: float = 1e-6  # chance, per decision, of dropping a pair at the limit
     block: int = 2048  # members of a bucket compared with each other at once
     center_share: int = 2000  # comparisons with one document per task group
+    few_ids: int = 500_000  # ids sent whole to every task, at most; of more a bitmap of 4 MB is sent
 
     @property
     def values(self) -> int:
@@ -79,7 +88,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np
     """The sorted distinct shingle hashes of each row of a block."""
     raw = LOWER[raw]
     starts, ends, first = words(raw, offsets)
-    hashes = SubstringHash(raw)(starts, ends)
+    hashes = span_hashes(raw, starts, ends)
     count = len(hashes) - size + 1
     windows = combine([hashes[i : i + count] for i in range(size)]) if count > 0 else hashes[:0]
     for a, b in zip(first[:-1], first[1:]):
@@ -281,11 +290,7 @@ def _connect(members: pa.Table, left: np.ndarray, right: np.ndarray, a: int, b:
 class _Run:
     def __init__(self, docs: DataFrame, config: NearDupConfig) -> None:
         self.docs, self.config, self.spark = docs, config, docs.sparkSession
-
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        path = work_path(self.spark, f"neardup-{name}")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.tables = WorkTables(self.spark, "neardup")
 
     def shared_buckets(self, classes: DataFrame) -> DataFrame:
         """``key, node, head, n`` of every bucket with more than one class; ``head`` is its smallest."""
@@ -365,7 +370,8 @@ class _Run:
         links between two components one is returned.
         """
         config = self.config
-        rows = groups.join(self.packed().withColumnRenamed("doc", "node"), "node")
+        texts = self.packed(groups.select(F.col("node").alias("id")))
+        rows = groups.join(texts.withColumnRenamed("doc", "node"), "node")
         rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "node")
         rows = rows.select("key", "x", "y", "own", "node", "component", "n_shingles", "sig", "packed")
 
@@ -385,9 +391,12 @@ class _Run:
 
         return rows.mapInArrow(run, "a long, b long")
 
-    def packed(self) -> DataFrame:
+    def packed(self, wanted: DataFrame) -> DataFrame:
+        """``doc, packed`` of the documents in ``wanted(id)``; the others are left out before anything moves."""
+        ids = self.tables.write(wanted.distinct(), "wanted")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-        return pack_texts(texts.where("doc IS NOT NULL AND text IS NOT NULL"))
+        texts = texts.where("doc IS NOT NULL AND text IS NOT NULL")
+        return pack_texts(with_ids(texts, "doc", ids, self.config.few_ids))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full shingle sets reach the limit.
@@ -404,7 +413,8 @@ class _Run:
             F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role")
         )
 
-        rows = self.packed().join(members.unionByName(centers), "doc")
+        placed = members.unionByName(centers)
+        rows = self.packed(placed.select(F.col("doc").alias("id"))).join(placed, "doc")
         rows = rows.repartition("b", "share").sortWithinPartitions("b", "share", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,48 +444,65 @@ class _Run:
         return rows.select("doc", "b", "share", "role", "packed").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept`` marks
-    the document of that id.  A null ``doc_id`` has a null component and is kept.
-    """
+def _grouped(docs: DataFrame, config: NearDupConfig) -> tuple[DataFrame, WorkTables]:
+    """The rows of :func:`near_duplicates`, and the tables they are read from."""
     run = _Run(docs, config)
-    sigs = run.stored(signatures(docs, config), "signatures")
-    named = sigs.where("doc_id IS NOT NULL")
+    tables = run.tables
+    sigs = tables.write(signatures(docs, config), "signatures")
     same = ["h1", "h2", "n_shingles"]
-    classes = run.stored(
-        named.where("n_shingles > 0")
+    classes = tables.write(
+        sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy(*same)
         .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "classes",
     )
-    members = named.where("n_shingles > 0").select("doc_id", *same).join(classes.select("node", *same), same)
-    members = run.stored(members.select("doc_id", "node"), "members")
+    nodes = sigs.select("doc_id", *same).join(classes.select("node", *same), same, "left")
+    nodes = nodes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    members = tables.write(nodes, "members")
+    tables.drop(sigs)
 
     # Rows that repeat an id tie the classes of their texts together.
-    ties = members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b != most")
-    ties = members.join(ties, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
+    placed = members.where("node IS NOT NULL")
+    ties = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b != most")
+    ties = placed.join(ties, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
+
+    buckets = tables.write(run.shared_buckets(classes), "buckets")
+    stars = tables.write(run.star_pairs(buckets, classes), "stars")
+    links = tables.write(run.verified(stars).unionByName(ties), "links")
+    labels = tables.write(connected_components(links), "labels")
+    tables.drop_others(members, classes, buckets, links, labels)
+
+    open_ = tables.write(run.open_groups(buckets, classes, labels), "open")
+    tables.drop(classes, buckets, labels)
+    links = tables.write(links.unionByName(run.settled(open_)), "all-links")
+    labels = tables.write(connected_components(links), "all-labels")
+    tables.drop_others(members, labels)
+
+    component = F.coalesce("component", "node")
+    named = placed.join(labels.toDF("node", "component"), "node", "left").select("doc_id", component.alias("component"))
+    named = named.groupBy("doc_id").agg(F.min("component").alias("component_id"))
+    out = members.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), tables
 
-    buckets = run.stored(run.shared_buckets(classes), "buckets")
-    stars = run.stored(run.star_pairs(buckets, classes), "stars")
-    links = run.stored(run.verified(stars).unionByName(ties), "links")
-    labels = run.stored(connected_components(links), "labels")
 
-    rest = run.settled(run.stored(run.open_groups(buckets, classes, labels), "open"))
-    links = run.stored(links.unionByName(rest), "all-links")
-    labels = run.stored(connected_components(links), "all-labels")
+def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    placed = members.join(labels.toDF("node", "component"), "node", "left")
-    placed = placed.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept`` marks
+    the document of that id.  A null ``doc_id`` has a null component and is kept.
+    """
+    return _grouped(docs, config)[0]
 
 
 def first_of_each_group(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, with all their columns."""
-    dropped = near_duplicates(docs, config).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    """The documents that :func:`near_duplicates` keeps, with all their columns.
+
+    Only the ids that go are kept as a table, and only texts that may be among them
+    are ever shuffled.
+    """
+    rows, tables = _grouped(docs, config)
+    dropped = tables.write(rows.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    tables.drop_others(dropped)
+    return without_ids(docs, "doc_id", dropped, config.few_ids)

@@ -18,15 +18,30 @@ class WorkTables:
 
     def __init__(self, spark: SparkSession, prefix: str) -> None:
         self.spark, self.prefix = spark, prefix
-        self._paths: dict[int, str] = {}
+        self._written: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = work_path(self.spark, f"{self.prefix}-{name}")
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
+        self._written.append((table, path))
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            files.delete(self.spark, self._paths.pop(id(table)))
+        self.drop_others(*[t for t, _ in self._written if not any(t is gone for gone in tables)])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Drop every table but these."""
+        stays = [(t, path) for t, path in self._written if any(t is k for k in kept)]
+        for _, path in self._written:
+            if path not in {p for _, p in stays}:
+                files.delete(self.spark, path)
+        self._written = stays
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
