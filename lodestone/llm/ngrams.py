@@ -56,8 +56,8 @@ class NgramConfig:
     folds: int = 16  # one of them is held out
     iterations: int = 15
     prior: float = 0.5  # cases that every component of a bucket has in advance
-    bundle_tokens: int = 2_000_000
-    part_grams: int = 1_000_000
+    bundle_tokens: int = 600_000
+    part_grams: int = 600_000
 
 
 # --- packed arrays ------------------------------------------------------------------
