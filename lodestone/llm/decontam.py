@@ -1,20 +1,24 @@
-"""Benchmark decontamination by counted word seeds, in DataFrame expressions only.
-
-Words (lower-cased runs of letters and digits) are hashed once, and every run of
-``seed`` words is hashed together.  An equi-join of these seeds between documents and
-benchmark items counts the seeds that agree on each alignment (document, item, shift).
-A substituted word spoils ``seed`` seeds at most, so an alignment that satisfies the
-rule keeps :meth:`DecontamRules.sure_seeds` of them whatever words are substituted;
-those with as many are verified on the words themselves: somewhere on the alignment, a
-window of ``window`` words (the whole item, if shorter) must agree in ``percent`` of
-its words, or in all of them if the item has fewer than ``whole_below`` words.
-
-A null text has no words.  Items with fewer than ``least_words`` words are no evidence
-and are ignored, as are null ones; items with equal words count as one, under the
-smallest id.  Documents are verified row by row, so rows that repeat an id do no
+"""Benchmark decontamination by counted spaced seeds, in DataFrame expressions only.
+
+Words (lower-cased runs of letters and digits) are hashed once.  A *mask* picks some
+places of a short run and ignores the others; at every position the words that a mask
+picks are hashed together as a spaced seed.  An equi-join of these seeds between
+documents and benchmark items counts the seeds that agree on each alignment (document,
+item, shift).  A substituted word spoils one seed for each place of each mask at most,
+so an alignment that satisfies the rule keeps :meth:`DecontamRules.sure_seeds` of them
+whatever words are substituted; those with as many are verified on the words
+themselves: somewhere on the alignment, a window of ``window`` words (the whole item,
+if shorter) must agree in ``percent`` of its words, or in all of them if the item has
+fewer than ``whole_below`` words.
+
+A null or empty text has no words; one of any length is hashed whole.  Items with
+fewer than ``least_words`` words are no evidence and are ignored, as are null ones
+(:func:`items_without_evidence` lists them); items with equal words count as one, under
+the smallest id.  Documents are verified row by row, so rows that repeat an id do no
 harm, and neither do rows without one: they are reported under a null ``doc_id``, or
-left out by :func:`clean_documents`, like any other.  Other columns of ``docs`` are
-ignored, or kept by :func:`clean_documents`.
+left out by :func:`clean_documents`, like any other.  No documents, or no items, give
+no overlaps.  Other columns of ``docs`` are ignored, or kept by
+:func:`clean_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from lodestone.session import work_path
 
 @dataclass(frozen=True)
 class DecontamRules:
-    seed: int = 3  # words hashed together
+    masks: tuple[tuple[int, ...], ...] = ((0, 1, 3), (0, 2, 3))  # places hashed together, of one span
     window: int = 20  # words that have to be aligned
     percent: int = 80  # of them that have to agree
     whole_below: int = 10  # shorter items have to agree in all words
@@ -42,8 +46,14 @@ class DecontamRules:
 
     def __post_init__(self) -> None:
         unsure = [n for n in range(self.least_words, max(self.window, self.least_words) + 1) if self.sure_seeds(n) < 1]
+        if len({max(mask) for mask in self.masks}) != 1 or any(min(mask) for mask in self.masks):
+            raise ValueError("all masks begin at 0 and have one span")
         if unsure:
-            raise ValueError(f"items of {unsure} words can agree as demanded without a common seed of {self.seed} words")
+            raise ValueError(f"items of {unsure} words can agree as demanded without a common seed of masks {self.masks}")
+
+    @property
+    def span(self) -> int:
+        return max(self.masks[0]) + 1
 
     def agreeing(self, n: int) -> int:
         """Words of a window that have to agree for an item of ``n`` words."""
@@ -53,7 +63,8 @@ class DecontamRules:
     def sure_seeds(self, n: int) -> int:
         """Seeds that agree at least on an alignment with an item of ``n`` words that satisfies the rule."""
         width = min(n, self.window)
-        return width - self.seed + 1 - self.seed * (width - self.agreeing(n))
+        spoilt = sum(map(len, self.masks)) * (width - self.agreeing(n))
+        return len(self.masks) * (width - self.span + 1) - spoilt
 
     def of_size(self, size: Column, value: Callable[[int], int]) -> Column:
         """``value`` (:meth:`agreeing` or :meth:`sure_seeds`) for a column of item sizes."""
@@ -68,18 +79,22 @@ def word_hashes(text: Column) -> Column:
 
 
 def seed_hashes(hashes: Column, rules: DecontamRules) -> Column:
-    """The seeds at all positions, null where there are fewer words than a seed has."""
+    """The seeds of the masks in turn, each at all positions; null where there are fewer words than the span."""
 
     def of(h: Column) -> Column:
-        seed = lambda p: F.xxhash64(*(F.get(h, p + F.lit(i)) for i in range(rules.seed)))
-        return F.transform(F.sequence(F.lit(0), F.size(h) - rules.seed), seed)
+        picked = lambda k, p: [F.get(h, p + F.lit(i)) for i in rules.masks[k]]
+        places = F.sequence(F.lit(0), F.size(h) - rules.span)
+        of_mask = lambda k: F.transform(places, lambda p: F.xxhash64(F.lit(k), *picked(k, p)))
+        return F.concat(*map(of_mask, range(len(rules.masks))))
 
-    return F.when(F.size(hashes) >= rules.seed, let(hashes, of))
+    return F.when(F.size(hashes) >= rules.span, let(hashes, of))
 
 
 def _positions(rows: DataFrame, rules: DecontamRules, *keys: str) -> DataFrame:
     """``keys, position, seed`` for every seed of ``rows(keys, hashes)``."""
-    return rows.select(*keys, F.posexplode_outer(seed_hashes(F.col("hashes"), rules)).alias("position", "seed"))
+    places = F.size("hashes") - (rules.span - 1)
+    listed = rows.select(*keys, places.alias("places"), F.posexplode_outer(seed_hashes(F.col("hashes"), rules)).alias("at", "seed"))
+    return listed.select(*keys, F.when(F.col("places") > 0, F.try_mod("at", "places")).alias("position"), "seed")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -88,6 +103,12 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.groupBy("words").agg(F.min("item_id").alias("item"))
 
 
+def items_without_evidence(benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:
+    """``item_id, n_words`` of the items that no document is compared with, since they have too few words."""
+    n_words = F.coalesce(F.size(word_hashes(F.col("text"))), F.lit(0)).cast("long")
+    return benchmark.select("item_id", n_words.alias("n_words")).where(F.col("n_words") < rules.least_words)
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -170,16 +191,23 @@ def _verified(docs: DataFrame, items: DataFrame, rules: DecontamRules) -> DataFr
     return good.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set(overlap)).alias("overlaps"))
 
 
+def _with_overlaps(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules) -> DataFrame:
+    """``row, overlaps``: every row of ``docs`` as one value, so that its columns may have any names."""
+    items = _stored(benchmark_items(benchmark), "benchmark-items")
+    found = _stored(_verified(docs, items, rules), "benchmark-overlaps")
+    keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    return _with_key(keyed, found, rules, "left").select(keyed["row"], found["overlaps"])
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:
     """``docs`` with ``overlaps``: the verified (item, matched, shift), smallest item first, or null.
 
     Documents are shuffled only where more than ``broadcast_found`` of them have
-    alignments, and only verified alignments meet in a document's row.
+    alignments, and only verified alignments meet in a document's row.  A column of
+    ``docs`` that is called ``overlaps`` itself gives way.
     """
-    items = _stored(benchmark_items(benchmark), "benchmark-items")
-    found = _stored(_verified(docs, items, rules).withColumnRenamed("overlaps", "_found"), "benchmark-overlaps")
-    keyed = docs.withColumns({"_doc": F.col("doc_id"), "_text": F.xxhash64("text")})
-    return _with_key(keyed, found, rules, "left").select(*(keyed[c] for c in docs.columns), F.col("_found").alias("overlaps"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "overlaps"]
+    return _with_overlaps(docs, benchmark, rules).select(*kept, "overlaps")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:
@@ -197,4 +225,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = D
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rules: DecontamRules = DecontamRules()) -> DataFrame:
     """The documents without a verified overlap, with all their columns."""
-    return overlaps(docs, benchmark, rules).where("overlaps IS NULL").drop("overlaps")
+    return _with_overlaps(docs, benchmark, rules).where("overlaps IS NULL").select("row.*")

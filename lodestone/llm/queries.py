@@ -130,34 +130,26 @@ def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda i: i.cast("string"))))
 
 
+# The rule without seeds: every shift of every item along every document.
 DECONTAMINATION_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS dw FROM documents),
 items AS (
-  SELECT w, min(item_id) AS item FROM (
-    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
-  GROUP BY w),
-masks AS (SELECT * FROM (VALUES (0, [0, 1, 2, 3, 4, 5]), (1, [0, 1, 3, 4, 7, 8]), (2, [0, 2, 4, 5, 7, 9])) AS m(mask, picks)),
-doc_seeds AS (
-  SELECT doc_id, mask, p, array_to_string(list_transform(picks, lambda i: w[p + i + 1]), ' ') AS seed
-  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 9)) AS p FROM docs), masks),
-item_seeds AS (
-  SELECT item, mask, p, array_to_string(list_transform(picks, lambda i: w[p + i + 1]), ' ') AS seed
-  FROM (SELECT item, w, unnest(range(0, len(w) - 9)) AS p FROM items), masks),
+  SELECT min(item_id) AS item, iw, len(iw) AS n, least(len(iw), 20) AS width FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS iw FROM benchmark)
+  WHERE len(iw) >= 6 GROUP BY iw),
+shifted AS (SELECT *, unnest(range(width - n, len(dw) - width + 1)) AS shift FROM docs, items),
 aligned AS (
-  SELECT DISTINCT doc_id, item, d.p - i.p AS shift FROM doc_seeds d JOIN item_seeds i USING (mask, seed)),
-places AS (
-  SELECT doc_id, item, shift, least(len(i.w), 20) AS width, d.w AS dw, i.w AS iw,
-         unnest(range(greatest(0, -shift), least(len(i.w), len(d.w) - shift) - least(len(i.w), 20) + 1)) AS s
-  FROM aligned JOIN docs d USING (doc_id) JOIN items i USING (item)),
-scored AS (
-  SELECT doc_id, item, width,
-         list_sum(list_transform(range(s, s + width), lambda k: CASE WHEN dw[k + shift + 1] = iw[k + 1] THEN 1 ELSE 0 END)) AS matched
-  FROM places),
-good AS (SELECT * FROM scored WHERE 100 * matched >= 80 * width)
+  SELECT *, greatest(0, -shift) AS a, least(n, len(dw) - shift) AS b,
+         list_transform(range(greatest(0, -shift), least(n, len(dw) - shift)),
+                        lambda k: CASE WHEN dw[k + shift + 1] = iw[k + 1] THEN 1 ELSE 0 END) AS same FROM shifted),
+likely AS (
+  SELECT doc_id, item, n, width, same, unnest(range(0, b - a - width + 1)) AS s FROM aligned
+  WHERE list_sum(same) >= CASE WHEN n < 10 THEN width ELSE 0.8 * width END),
+scored AS (SELECT doc_id, item, n, width, list_sum(same[s + 1:s + width]) AS matched FROM likely)
 SELECT doc_id, TRUE AS contaminated, count(DISTINCT item) AS n_items,
        array_to_string(list_sort(list_distinct(list(item))), ',') AS item_ids, CAST(max(matched) AS BIGINT) AS matched_words
-FROM good GROUP BY doc_id"""
+FROM scored WHERE matched >= CASE WHEN n < 10 THEN width ELSE 0.8 * width END GROUP BY doc_id"""
 
 def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
