@@ -118,7 +118,8 @@ class ArchiveWriter:
     def write(self, record: bytes) -> None:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.warc.zst"
-            self.out = self.files.open_output_stream(f"{self.folder}/{self.name}")
+            # Left to detect it, the file system would compress the archive once more, for its ending.
+            self.out = self.files.open_output_stream(f"{self.folder}/{self.name}", compression=None)
             self.out.write(self.frame)
             self.size, self.records = len(self.frame), 0
         packed = self.compressor.compress(record)
@@ -185,7 +186,9 @@ def with_first_pages(pages: DataFrame) -> DataFrame:
 
 
 def _examples(pages: DataFrame) -> list[bytes]:
-    """Records of a sample of pages, at most ``SAMPLE_RECORDS`` of ``SAMPLE_BYTES``, the first by a hash of the id.
+    """Records of a sample of pages, at most ``SAMPLE_RECORDS`` of ``SAMPLE_BYTES`` from anywhere in the page.
+
+    The first pages by a hash of the id are taken, from a place that another hash of it gives.
 
     Ids are chosen first, below a hash that leaves about twice as many as needed,
     so what tasks send does not grow with the table; payloads follow for these alone.
@@ -194,7 +197,9 @@ def _examples(pages: DataFrame) -> list[bytes]:
     place = F.xxhash64("page_id")
     low = F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))
     chosen = pages.where(low).select("page_id").orderBy(place, "page_id").limit(SAMPLE_RECORDS)
-    cut = F.substring("html", 1, SAMPLE_BYTES).alias("html")
+    room = F.greatest(F.length("html") - SAMPLE_BYTES, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("page_id", F.lit("place")), room) + 1).cast("int")
+    cut = F.substr("html", start, F.lit(SAMPLE_BYTES)).alias("html")
     rows = pages.where(low).select("page_id", "url", cut).join(F.broadcast(chosen.distinct()), "page_id").limit(SAMPLE_RECORDS)
     bodies = [(r.page_id, r.url or "", (r.html or "").encode()) for r in rows.collect()]
     return [build_record(page, url, html, payload_digest(html), None) for page, url, html in bodies]
@@ -239,7 +244,7 @@ def read_archives(manifest: DataFrame, target: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("archive").to_pylist():
                 rows = []
-                with files.open_input_stream(f"{folder}/{name}") as stream:
+                with files.open_input_stream(f"{folder}/{name}", compression=None) as stream:
                     for raw in read_archive(stream):
                         head, body = parse_record(raw)
                         digest, length = head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
@@ -254,7 +259,8 @@ def read_archives(manifest: DataFrame, target: str) -> DataFrame:
                             rows = []
                 yield _batch(rows)
 
-    archives = manifest.select("archive").repartition(F.col("archive"))
+    # A number of tasks is left alone by the adaptive planner, which would merge so small a table into one.
+    archives = manifest.select("archive").repartition(max(manifest.count(), 1))
     return archives.mapInArrow(
         run,
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long",
