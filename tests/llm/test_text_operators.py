@@ -296,13 +296,16 @@ def patterns(n, rules):
 def test_no_pattern_of_substitutions_escapes_the_seeds():
     rules = decontam.DecontamRules()
     for n in range(rules.least_words, rules.window + 1):
-        seeds = [set(range(p, p + rules.seed)) for p in range(n - rules.seed + 1)]
+        seeds = [{p + i for i in mask} for mask in rules.masks for p in range(n - rules.span + 1)]
         fewest = min(sum(not s & set(changed) for s in seeds) for changed in patterns(n, rules))
         assert fewest >= rules.sure_seeds(n) >= 1
     with pytest.raises(ValueError, match="without a common seed"):
         decontam.DecontamRules(least_words=2)
     with pytest.raises(ValueError, match="without a common seed"):
         decontam.DecontamRules(percent=60)
+    with pytest.raises(ValueError, match="one span"):
+        decontam.DecontamRules(masks=((0, 1, 3), (0, 1)))
+    assert all(set(range(rules.span)) - set(mask) for mask in rules.masks)  # every mask ignores a place
 
 
 def test_every_pattern_of_substitutions_is_found(spark):
