@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import html
 import io
-import json
 import re
 import shutil
 import subprocess
 import tempfile
 import zipfile
-from decimal import Decimal
 from xml.parsers import expat
 
 from lodestone.functions.text import WHITESPACE
@@ -56,48 +54,6 @@ def _csv_records(text: str):
         yield record
 
 
-def json_units(content: bytes) -> list[Unit]:
-    root = json.loads(content, parse_int=_finite, parse_float=_finite, parse_constant=_no_constant)
-    elements = root if isinstance(root, list) else [root]
-    texts = ["\n".join(_flatten("", e)).strip(WHITESPACE) for e in elements]
-    return [_row(t) for t in texts if t]
-
-
-def _finite(digits: str) -> float:
-    number = float(digits)
-    if number in (float("inf"), float("-inf")):
-        raise ValueError(f"json: number {digits} is out of range")
-    return number
-
-
-def _no_constant(name: str):
-    raise ValueError(f"json: {name} is not a JSON value")
-
-
-def _flatten(path: str, value):
-    if isinstance(value, dict):
-        members = sorted(value.items())
-    elif isinstance(value, list):
-        members = [(str(i), v) for i, v in enumerate(value)]
-    else:
-        shown = _scalar(value)
-        if shown:
-            yield f"{path}: {shown}"
-        return
-    for key, member in members:
-        yield from _flatten(f"{path}.{key}" if path else key, member)
-
-
-def _scalar(value) -> str:
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float):
-        if value == 0:
-            return "0"
-        return format(Decimal(repr(value)).normalize(), "f")
-    return value or ""
-
-
 def _scan_xml(content: bytes, start, end, text) -> None:
     parser = expat.ParserCreate()
     parser.buffer_text = True
@@ -239,7 +195,6 @@ def _pdftohtml(content: bytes) -> bytes:
 
 READERS = {
     "text/csv": csv_units,
-    "application/json": json_units,
     "application/xml": xml_units,
     "text/xml": xml_units,
     "application/pdf": pdf_units,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import chunkers
 from lodestone.functions.binding import let
-from lodestone.functions.text import WHITESPACE, breadcrumb, embedded_text, fingerprint, trim_unicode
+from lodestone.functions.text import breadcrumb, embedded_text, fingerprint, trim_unicode
 from lodestone.schemas import CHUNK
 
 STRATEGIES = ("auto", "unit", "paragraph", "sliding_window", "section", "row_group")
@@ -126,28 +129,62 @@ def _stateful_chunks(config: ChunkConfig):
     size, overlap = config.size, config.overlap
 
     @F.arrow_udf(CHUNK_TEXTS)
-    def chunk(units: pa.Array, strategy: pa.Array) -> pa.Array:
-        out = []
-        for doc, how in zip(units.to_pylist(maps_as_pydicts="strict"), strategy.to_pylist()):
-            out.append(None if doc is None or how is None else _chunk_document(doc, how, size, overlap))
-        return pa.array(out, to_arrow_type(CHUNK_TEXTS))
+    def chunk(texts: pa.Array, heads: pa.Array, sheets: pa.Array, strategy: pa.Array) -> pa.Array:
+        told = np.array(["" if s is None else s for s in strategy.to_pylist()], object)
+        told[~texts.is_valid().to_numpy(zero_copy_only=False)] = ""
+        parts: list = [None] * len(told)
+        for how, cut in (("row_group", _rows), ("paragraph", _paragraphs), ("per unit", _units)):
+            mine = np.flatnonzero(np.isin(told, ["section", "unit"]) if how == "per unit" else told == how)
+            if len(mine):
+                chosen = pa.array(mine)
+                pieces = cut(texts.take(chosen), heads.take(chosen), sheets.take(chosen), size, overlap)
+                for i, own in zip(mine.tolist(), pieces):
+                    parts[i] = own
+        return pa.array(parts, to_arrow_type(CHUNK_TEXTS))
 
     # Keeps the optimizer from repeating the call in a pushed-down filter.
     return chunk.asNondeterministic()
 
 
-def _chunk_document(units: list[dict], strategy: str, size: int, overlap: int) -> list[dict]:
-    texts = [(u["text"] or "").strip(WHITESPACE) for u in units]
-    tags = [u["metadata"] or {} for u in units]
-    if strategy == "row_group":
-        rows = [(m.get("sheet", ""), m.get("headers", ""), t) for t, m in zip(texts, tags)]
-        pairs = chunkers.row_group_chunks(rows, size)
-    elif strategy == "paragraph":
-        pairs = chunkers.paragraph_chunks([t for t in texts if t], size, overlap)
-    else:
-        kept = [(t, m.get("crumb")) for t, m in zip(texts, tags) if t]
-        pairs = chunkers.section_chunks([t for t, _ in kept], [h for _, h in kept], size, overlap)
-    return [{"chunk_text": t, "chunk_header": h} for t, h in pairs]
+def _flat(column: pa.ListArray) -> tuple[list, np.ndarray]:
+    """The values of all lists, and where each list begins."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy()
+    return column.flatten().to_pylist(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _dealt(texts: list[str], heads: list[str | None] | None, counts: np.ndarray) -> Iterator[list[dict]]:
+    at = 0
+    for n in counts.tolist():
+        yield [{"chunk_text": texts[i], "chunk_header": heads[i] if heads else None} for i in range(at, at + n)]
+        at += n
+
+
+def _rows(texts, heads, sheets, size: int, overlap: int) -> Iterator[list[dict]]:
+    (lines, first), (names, _), (tops, _) = _flat(texts), _flat(sheets), _flat(heads)
+    pieces, counts = chunkers.row_chunks(lines, [s or "" for s in names], [h or "" for h in tops], first, size)
+    return _dealt(pieces, None, counts)
+
+
+def _without_empty(values: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the texts that are not empty, and where each list of them begins."""
+    kept = np.array([bool(v) for v in values], bool)
+    return np.flatnonzero(kept), np.concatenate([[0], np.cumsum(kept)])[first]
+
+
+def _paragraphs(texts, heads, sheets, size: int, overlap: int) -> Iterator[list[dict]]:
+    values, first = _flat(texts)
+    kept, first = _without_empty(values, first)
+    pieces, counts = chunkers.paragraph_chunks([values[i] for i in kept], first, size, overlap)
+    return _dealt(pieces, None, counts)
+
+
+def _units(texts, heads, sheets, size: int, overlap: int) -> Iterator[list[dict]]:
+    (values, first), (crumbs, _) = _flat(texts), _flat(heads)
+    kept, first = _without_empty(values, first)
+    pieces, counts = chunkers.split_texts([values[i] for i in kept], size, overlap)
+    tops = [crumbs[i] for i, n in zip(kept.tolist(), counts.tolist()) for _ in range(n)]
+    running = np.concatenate([[0], np.cumsum(counts)])
+    return _dealt(pieces, tops, np.diff(running[first]))
 
 
 def _with_crumbs(units: Column) -> Column:
@@ -198,7 +235,11 @@ def chunk_documents(parsed: DataFrame, config: ChunkConfig, mime: str = "mime_ty
             texts, lambda t: F.struct(t.alias("chunk_text"), F.lit(None).cast("string").alias("chunk_header"))
         )
     else:
-        staged = staged.withColumn("_state", _stateful_chunks(config)(F.when(needs_state, F.col("units")), strategy))
+        tag = lambda name: F.transform("units", lambda u: F.try_element_at(u["metadata"], F.lit(name)))
+        texts = F.transform("units", lambda u: trim_unicode(F.coalesce(u["text"], F.lit(""))))
+        heads = F.when(strategy == "row_group", tag("headers")).otherwise(tag("crumb"))
+        columns = [F.when(needs_state, c) for c in (texts, heads, tag("sheet"))]
+        staged = staged.withColumn("_state", _stateful_chunks(config)(*columns, strategy))
         pairs = F.when(needs_state, F.col("_state")).when(per_unit, _whole_units(F.col("units")))
     chunks = F.transform(
         pairs,

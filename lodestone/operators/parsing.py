@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.functions import markup, records
+from lodestone.functions import json_text, markup, records
 from lodestone.functions.text import trim_unicode
 from lodestone.schemas import UNITS
 
@@ -145,6 +145,7 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
     kind = F.col(mime)
     structured = kind.isin(*records.READERS)
     is_html = kind == "text/html"
+    is_json = kind == "application/json"
     is_markdown = kind == "text/markdown"
     is_text = kind.startswith("text/") & ~structured & ~is_html & ~is_markdown
     text = F.make_valid_utf8(F.col(content).cast("string"))
@@ -153,6 +154,7 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
         {
             "_records": read_records(F.when(structured, F.col(content).cast("binary")), kind),
             "_page": read_page(F.when(is_html, text)),
+            "_json": json_text.parsed_json(F.when(is_json, text)),
         }
     )
     page = F.col("_page.markdown")
@@ -161,6 +163,7 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
         .when(is_markdown, markdown_units(text))
         .when(is_html, F.when(page != "", markdown_units(page)))
         .when(structured, F.col("_records.units"))
+        .when(is_json, F.transform(json_text.json_texts(text, F.col("_json")), lambda t: unit("row", t)))
     )
     title = (
         F.when(is_text, text_title(text))
@@ -168,9 +171,10 @@ def parse_documents(docs: DataFrame, content: str = "content", mime: str = "mime
         .when(is_html, F.col("_page.title"))
         .when(structured, F.col("_records.title"))
     )
-    known = is_text | is_markdown | is_html | structured
+    known = is_text | is_markdown | is_html | is_json | structured
     unsupported = F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unsupported mime type "), F.coalesce(kind, F.lit("NULL"))))
-    error = F.coalesce(F.col("_records.error"), F.col("_page.error"), unsupported)
+    broken = F.when(is_json, json_text.json_error(text, F.col("_json")))
+    error = F.coalesce(F.col("_records.error"), F.col("_page.error"), broken, unsupported)
     return read.select(
         *docs.columns,
         F.coalesce(units, F.array().cast(UNITS)).alias("units"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.functions.metadata import MetadataField, with_slots
@@ -15,7 +15,7 @@ from lodestone.functions.pricing import embed_cost
 from lodestone.functions.text import embedded_text, name_from_uri
 from lodestone.functions.vectors import l2_normalize
 from lodestone.operators.chunking import ChunkConfig, chunk_documents, explode_chunks
-from lodestone.operators.embedding import Embedder, embed_column
+from lodestone.operators.embedding import Embedder, embed_rows
 from lodestone.operators.parsing import parse_documents
 from lodestone.operators.reuse import with_stored_vectors
 from lodestone.schemas import CHUNKS, INGESTION_EVENTS
@@ -23,6 +23,7 @@ from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.files import delete
 
+CALLS_PER_SECOND = 10.0  # of a remote embedder, unless told otherwise
 CARRIED = ("document_id", "file_uri", "mime_type", "extra_json", "metadata", "external_id")
 
 
@@ -36,10 +37,12 @@ class Collection:
 
 @dataclass(frozen=True)
 class IngestReport:
-    """``documents``: status per document; ``events``: rows for ``ingestion_events``."""
+    """``documents``: status per document; ``events``: rows for ``ingestion_events``; ``totals``: chunks, tokens and times
+    of the whole batch, counted where its chunks were written."""
 
     documents: DataFrame
     events: DataFrame
+    totals: dict[str, int] = field(default_factory=dict)
 
 
 def chunked_documents(files: DataFrame, config: ChunkConfig) -> DataFrame:
@@ -59,15 +62,16 @@ def ingest(
     embedder: Embedder,
     now: datetime | None = None,
     intent: str = "ingest",
-    calls_per_second: float | None = None,
-    tasks: int = 1,
+    calls_per_second: float | None = CALLS_PER_SECOND,
 ) -> IngestReport:
     """Bring the stored chunks of ``files`` up to date.
 
     ``files`` has one row per document: ``document_id, file_uri, mime_type,
     content`` and optionally ``extra_json, metadata, external_id, job_id``.
     Chunks whose fingerprint is already stored keep their vector; only the rest
-    is sent to the embedder.  Unreadable documents keep their old chunks.
+    is sent to the embedder, at ``calls_per_second`` for all tasks together where the
+    embedder is a remote one.  Documents that cannot be read, or one of whose texts
+    the embedder refuses, fail alone and keep their old chunks.
     """
     spark = files.sparkSession
     started = time.monotonic()
@@ -85,9 +89,13 @@ def ingest(
     stored = store.read(touched, base).join(replaced, "document_id", "left_semi")
 
     matched = with_stored_vectors(rows, stored)
+    metered = calls_per_second if not embedder.local else None
+    if metered:  # two branches follow
+        matched_path = work_path(spark, "matched")
+        matched.write.parquet(matched_path)
+        matched = spark.read.schema(matched.schema).parquet(matched_path)
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
-    called = embed_column(F.when(F.col("stored_vector").isNull(), text), embedder, calls_per_second, tasks)
-    embedded = matched.withColumn("_call", called)
+    embedded = embed_rows(matched, F.when(F.col("stored_vector").isNull(), text), embedder, metered)
     embedded = with_slots(embedded, "metadata", collection.fields)
     columns = {
         "id": F.uuid(),
@@ -102,12 +110,22 @@ def ingest(
         F.coalesce("_call.tokens", F.lit(0)).alias("_tokens"),
         F.coalesce("_call.wait_ms", F.lit(0)).alias("_wait_ms"),
         F.coalesce("_call.embed_ms", F.lit(0)).alias("_embed_ms"),
+        F.col("_call.error").alias("_error"),
     )
     # Embedding costs money and ids are random: both happen once, into a table.
     fresh_path = work_path(spark, "fresh-chunks")
-    fresh.write.parquet(fresh_path)
+    seen = Observation("ingest")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c.strip("_"))
+    counted = fresh.observe(seen, F.count("*").alias("chunks"), total("_tokens"), total("_wait_ms"), total("_embed_ms"))
+    counted.write.parquet(fresh_path)
     fresh = spark.read.parquet(fresh_path)
     loop_ms = int((time.monotonic() - started) * 1000)
+    # A document with a refused text is not stored in part.
+    refused = fresh.where(F.col("_error").isNotNull()).groupBy("document_id").agg(F.min_by("_error", "chunk_index").alias("_refused"))
+    refused_path = work_path(spark, "refused")
+    refused.write.parquet(refused_path)
+    refused = spark.read.schema(refused.schema).parquet(refused_path)
+    outcome = outcome.join(refused, "document_id", "left").withColumn("error", F.coalesce("error", "_refused")).drop("_refused")
 
     counts = fresh.groupBy("document_id").agg(
         F.count("*").cast("int").alias("chunk_count"),
@@ -122,7 +140,8 @@ def ingest(
         outcome.join(counts, "document_id", "left")
         .join(before, "document_id", "left")
         .na.fill(0, ["chunk_count", "reused_chunks", "embed_tokens", "wait_ms", "embed_ms", "previous_chunks"])
-        .withColumn("stale_chunks", F.greatest(F.col("previous_chunks") - F.col("reused_chunks"), zero))
+        .withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(0) for c in ("chunk_count", "reused_chunks")})
+        .withColumn("stale_chunks", F.when(F.col("error").isNull(), F.greatest(F.col("previous_chunks") - F.col("reused_chunks"), zero)).otherwise(zero))
         .withColumn("status", F.when(F.col("error").isNull(), "complete").otherwise("failed"))
         .withColumn("name", F.coalesce("title", F.nullif(name_from_uri(F.col("file_uri")), F.lit(""))))
     )
@@ -130,16 +149,18 @@ def ingest(
     report.write.parquet(report_path)
     report = spark.read.parquet(report_path)
 
-    inserting = time.monotonic()
-    store.replace_documents(replaced, fresh.select(*CHUNKS.fieldNames()), base)
+    store.index_ms, inserting = 0, time.monotonic()
+    stored_now = lambda rows: rows.join(refused, "document_id", "left_anti")
+    store.replace_documents(stored_now(replaced), stored_now(fresh).select(*CHUNKS.fieldNames()), base)
     insert_ms = int((time.monotonic() - inserting) * 1000)
-    for path in (chunked_path, fresh_path):
+    for path in (chunked_path, fresh_path, refused_path, *([matched_path] if metered else [])):
         delete(spark, path)
     total_ms = int((time.monotonic() - started) * 1000)
-    return IngestReport(report, _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp))
+    events = _events(report, collection, embedder, intent, loop_ms, insert_ms - store.index_ms, store.index_ms, total_ms, stamp)
+    return IngestReport(report, events, seen.get)
 
 
-def _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms, stamp) -> DataFrame:
+def _events(report, collection, embedder, intent, loop_ms, insert_ms, index_ms, total_ms, stamp) -> DataFrame:
     """One event per document; stage times are those of the batch it was part of."""
     if "job_id" not in report.columns:
         report = report.withColumn("job_id", F.lit(""))
@@ -157,7 +178,7 @@ def _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms,
         "parse_chunk_ms": parse_ms,
         "rate_limit_wait_ms": F.col("wait_ms"),
         "insert_ms": F.lit(insert_ms),
-        "optimize_index_ms": F.lit(0),
+        "optimize_index_ms": F.lit(index_ms),
         "total_ms": F.lit(total_ms),
         "embed_tokens": tokens,
         "embed_cost_usd": embed_cost(F.lit(embedder.model), F.col("embed_tokens"), local),
@@ -168,9 +189,10 @@ def _events(report, collection, embedder, intent, loop_ms, insert_ms, total_ms,
 
 
 def failed_events(
-    rows: DataFrame, collection: Collection, embedder: Embedder, intent: str, now: datetime | None = None, took_ms: int = 0
+    rows: DataFrame, collection: Collection, embedder: Embedder, intent: str, now: datetime | None = None
 ) -> DataFrame:
-    """One failed event for each ``rows(document_id, file_uri, mime_type, error[, job_id])`` that never came to chunks."""
+    """One failed event for each ``rows(document_id, file_uri, mime_type, error[, job_id, took_ms])`` that never came to chunks."""
+    took = F.coalesce(F.col("took_ms"), F.lit(0)) if "took_ms" in rows.columns else F.lit(0)
     values = {
         "event_id": F.uuid(),
         "job_id": F.col("job_id") if "job_id" in rows.columns else F.lit(""),
@@ -180,8 +202,8 @@ def failed_events(
         "intent": F.lit(intent),
         "embed_model": F.lit(embedder.model),
         "status": F.lit("failed"),
-        "fetch_ms": F.lit(took_ms),
-        "total_ms": F.lit(took_ms),
+        "fetch_ms": took,
+        "total_ms": took,
     }
     zero = {f.name: F.lit(0) for f in INGESTION_EVENTS.fields if f.dataType.typeName() in ("integer", "long") and not f.nullable}
     known = {c: F.col(c) for c in ("document_id", "file_uri", "mime_type", "error")}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.embedding import Embedder
 from lodestone.operators.ranking import top_per_group
 from lodestone.plans.catalog import latest_by_uri, skip_completed, upsert
-from lodestone.plans.ingest import Collection, IngestReport, failed_events, ingest
+from lodestone.plans.ingest import CALLS_PER_SECOND, Collection, IngestReport, failed_events, ingest
 from lodestone.schemas import DOCUMENTS, JOBS
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
@@ -87,6 +86,7 @@ def run_jobs(
     uploads: DataFrame | None = None,
     get: Fetch = fetch_any,
     intent: str = "ingest",
+    calls_per_second: float | None = CALLS_PER_SECOND,
 ) -> IngestReport:
     """Run one collection's unfinished jobs as one batch.
 
@@ -107,14 +107,12 @@ def run_jobs(
     _store_jobs(catalog, running.withColumn("new_status", F.lit("processing")), stamp)
 
     content_path = work_path(spark, "content")
-    fetching = time.monotonic()
     _with_content(running, uploads, get).write.parquet(content_path)
-    fetch_ms = int((time.monotonic() - fetching) * 1000)
     content = spark.read.parquet(content_path)
     files = content.where(F.col("fetch_error").isNull()).select(
         "document_id", "file_uri", "mime_type", "extra_json", "metadata", F.col("id").alias("job_id"), "content"
     )
-    report = ingest(files, store, collection, embedder, now, intent)
+    report = ingest(files, store, collection, embedder, now, intent, calls_per_second)
 
     results = content.drop("content").join(
         report.documents.select("document_id", "name", "chunk_count", F.col("error").alias("read_error")), "document_id", "left"
@@ -131,13 +129,15 @@ def run_jobs(
     )
     _store_jobs(catalog, results.unionByName(others, allowMissingColumns=True), stamp)
     lost = content.where(F.col("fetch_error").isNotNull()).select(
-        "document_id", "file_uri", "mime_type", F.col("fetch_error").alias("error"), F.col("id").alias("job_id")
+        "document_id", "file_uri", "mime_type", F.col("fetch_error").alias("error"), F.col("id").alias("job_id"), "took_ms"
     )
-    events = report.events.withColumns(
-        {"fetch_ms": F.lit(fetch_ms).cast("long"), "total_ms": F.col("total_ms") + F.lit(fetch_ms).cast("long")}
-    )
-    lost = failed_events(lost, collection, embedder, intent, now, fetch_ms)
-    return IngestReport(report.documents, events.unionByName(lost))
+    # A document is charged with its own request, as its task measured it.
+    own = content.select("document_id", F.coalesce("took_ms", F.lit(0)).alias("_took"))
+    events = report.events.join(own, "document_id", "left")
+    took = F.coalesce("_took", F.lit(0)).cast("long")
+    events = events.withColumns({"fetch_ms": took, "total_ms": F.col("total_ms") + took}).select(*report.events.columns)
+    lost = failed_events(lost, collection, embedder, intent, now)
+    return IngestReport(report.documents, events.unionByName(lost), report.totals)
 
 
 def _with_content(running: DataFrame, uploads: DataFrame | None, get: Fetch) -> DataFrame:
@@ -156,8 +156,10 @@ def _with_content(running: DataFrame, uploads: DataFrame | None, get: Fetch) ->
         F.col("fetched.content").alias("content"),
         F.col("fetched.etag").alias("new_etag"),
         F.col("fetched.error").alias("fetch_error"),
+        F.col("fetched.took_ms").alias("took_ms"),
     )
-    return at_hand.select(*running.columns, "content", "new_etag", none.alias("fetch_error")).unionByName(fetched)
+    at_hand = at_hand.select(*running.columns, "content", "new_etag", none.alias("fetch_error"), F.lit(None).cast("long").alias("took_ms"))
+    return at_hand.unionByName(fetched)
 
 
 def _optional(rows: DataFrame, column: str, kind: str):

@@ -15,6 +15,8 @@ from lodestone.operators.fusion import HybridSettings, fuse, ranked
 from lodestone.operators.keyword import PostingLists, build_postings, keyword_search, search_postings
 from lodestone.operators.knn import knn, knn_batch
 from lodestone.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
+from lodestone.session import work_path
+from lodestone.sources.chunk_store import ChunkStore
 
 QUERY_TOP_K, RAG_TOP_K, MAX_TOP_K = 5, 2, 100
 
@@ -55,6 +57,38 @@ def search(chunks: DataFrame, text: str, vector: Sequence[float], request: Searc
     return fuse(near, found, request.settings, request.top_k, shown).orderBy("rank")
 
 
+def search_stored(store: ChunkStore, text: str, vector: Sequence[float], request: SearchRequest) -> DataFrame:
+    """:func:`search` over a stored collection, through its keyword index.
+
+    The vector pass reads ids, vectors and what the filter names; the keyword pass
+    reads posting blocks.  Texts are read for the results alone, from the buckets of
+    their documents.
+    """
+    at = store.manifest()
+    state = store.index_state(at)
+    if state is None:
+        return search(store.read(at=at), text, vector, request)
+    chunks, where = store.read(at=at), request.predicate()
+    near = knn(chunks, vector, request.top_k, where).select("id", "document_id", "vector_distance", "vector_similarity")
+    near = ranked(near, [F.col("vector_distance"), F.col("id")])
+    if request.vector_search_only:
+        hits = near
+    else:
+        asked = store.spark.createDataFrame([(0, text)], "query_id int, query_text string")
+        allowed = None if where is None else chunks.where(where).select("id")
+        found = store.words.search(state, asked, request.settings.full_text_limit, allowed)
+        hits = fuse(near, found, request.settings, request.top_k, ("document_id",))
+    # At most top_k rows: stored, so that neither pass runs twice.
+    path = work_path(store.spark, "search-hits")
+    hits.write.parquet(path)
+    hits = store.spark.read.parquet(path)
+    scores = [c for c in hits.columns if c not in ("query_id", "rank", "id", "document_id")]
+    shown = [c for c in store.schema.fieldNames() if c not in ("id", "vector")]
+    rows = store.read(store.touched(hits), at).select("id", *shown)
+    out = rows.join(F.broadcast(hits.drop("document_id")), "id")
+    return out.select("query_id", "rank", "id", *shown, *scores).orderBy("rank")
+
+
 def search_batch(
     chunks: DataFrame, queries: DataFrame, dim: int, request: SearchRequest, index: PostingLists | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -18,11 +19,12 @@ from lodestone.plans.guards import admitted
 from lodestone.plans.ingest import Collection, IngestReport, failed_events, patch_document
 from lodestone.plans.jobs import Catalog, run_jobs
 from lodestone.plans.rag import answer
-from lodestone.plans.retrieval import RAG_TOP_K, SearchRequest, at_least, search
+from lodestone.plans.retrieval import RAG_TOP_K, SearchRequest, at_least, search_stored
 from lodestone.schemas import CATALOG_TABLES
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import DEFAULT_BUCKETS, ChunkStore
-from lodestone.sources.remote import Fetch, fetch_any
+from lodestone.sources.files import write_new
+from lodestone.sources.remote import Fetch, fetch_any, head_content_type, with_types
 from lodestone.sources.snapshots import SnapshotTable
 from lodestone.sources.telemetry import append_events, prepare_events, read_events
 from lodestone.streaming.refresh import refresh_sweep
@@ -71,7 +73,7 @@ class Workspace:
         self._add("collections", new, ["slug"], ["name", "embed_model"])
         row = self._one("collections", name=name, embed_model=embedder.model)
         try:
-            self.store(row).create()
+            self.store(row).create(text_index=True)
         except Exception:
             self.tables["collections"].rewrite(lambda t: t.where(F.col("id") != row.id))
             raise
@@ -134,15 +136,20 @@ class Workspace:
         intent: str = "ingest",
         force: bool = False,
         get: Fetch = fetch_any,
+        head: Callable[[str], str | None] = head_content_type,
     ) -> IngestReport:
         """Submit ``files(file_uri, mime_type[, content, metadata, extra_json, etag])`` and run them.
 
-        Rows with content are uploads, rows without are fetched.  Rows that may not
+        Rows with content are uploads, rows without are fetched; of an address without
+        a type, the extension or else its server tells it.  Rows that may not
         be ingested become failed events with the reason, never jobs.
         """
         row = self.collection(slug)
         stamp = F.lit(now).cast("timestamp")
-        judged = admitted(files)
+        # Judged once, into a table: jobs and refusals must not see different answers.
+        path = work_path(self.spark, "judged")
+        admitted(with_types(files, head)).write.parquet(path)
+        judged = self.spark.read.parquet(path)
         files = judged.where(F.col("refused").isNull()).drop("refused")
         asked = files.withColumn("collection_id", F.lit(row.id))
         self.work.submit(rules.new_jobs(asked, intent, stamp, force))
@@ -234,7 +241,7 @@ class Workspace:
         unit = [x / norm for x in vector] if norm else vector
         path = work_path(self.spark, "results")
         # At most top_k rows: kept so that the answer and the event see the same ones.
-        search(self.store(row).read(), text, unit, request).write.parquet(path)
+        search_stored(self.store(row), text, unit, request).write.parquet(path)
         done = time.monotonic()
         figures = {
             "embed_query_tokens": tokens,
@@ -381,6 +388,14 @@ class Workspace:
             raise
         return plaintext
 
+    def first_key(self, now: datetime) -> str | None:
+        """The master key of a workspace that has no key yet, kept in its ``api_key`` file; None where there are keys."""
+        if not self.rows("api_keys").isEmpty():
+            return None
+        plaintext = self.create_key("master", now, [(None, "both")], [("*", "both")])
+        write_new(self.spark, f"{self.root}/api_key", plaintext + "\n")
+        return plaintext
+
     def key(self, plaintext: str) -> Row | None:
         return rules.validate_key(self.rows("api_keys"), plaintext).first()
 

@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Of a member named twice in a JSON object the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Whole documents travel in Arrow batches: bound a batch by bytes as well as rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }

@@ -2,40 +2,82 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.schemas import CHUNKS
+from lodestone.sources import files
 from lodestone.sources.snapshots import Manifest, SnapshotTable
+from lodestone.sources.text_index import IndexState, TextIndex
 
 DEFAULT_BUCKETS = 64
 
 
 class ChunkStore(SnapshotTable):
-    """Chunks bucketed by document, so a document's change rewrites one bucket."""
+    """Chunks bucketed by document, so a document's change rewrites one bucket.
+
+    A store created with ``text_index`` keeps a keyword index of the chunk texts:
+    every change of rows publishes the index's change with it.
+    """
 
     def __init__(
-        self, spark: SparkSession, root: str, collection: str, buckets: int = DEFAULT_BUCKETS, indexed: Iterable[str] = ()
+        self,
+        spark: SparkSession,
+        root: str,
+        collection: str,
+        buckets: int = DEFAULT_BUCKETS,
+        indexed: Iterable[str] = (),
     ) -> None:
         super().__init__(spark, f"{root}/{collection}", CHUNKS, "document_id", buckets)
         self.indexed = set(indexed)
+        self.words = TextIndex(spark, f"{self.path}/words")
+        self.index_ms = 0  # what the last change of the index took
+
+    def create(self, text_index: bool = False) -> Manifest:
+        state = IndexState().as_json() if text_index else None
+        return self.commit(self.spark.createDataFrame([], self.schema), text_index=state)
+
+    def index_state(self, at: Manifest | None = None) -> IndexState | None:
+        """The keyword index of these rows, or None where the store has none."""
+        return IndexState.from_json((at or self.manifest()).text_index)
+
+    def _index_change(self, base: Manifest, documents: DataFrame | None, old: DataFrame | None, new: DataFrame | None) -> dict | None:
+        state, started = self.index_state(base), time.monotonic()
+        if state is None:
+            return None
+        changed = self.words.change(state, documents, old, new)
+        self.index_ms = int((time.monotonic() - started) * 1000)
+        return changed.as_json()
+
+    def drop_text_index(self) -> Manifest:
+        """Searches read chunk texts from here on."""
+        base = self.manifest()
+        files.delete(self.spark, self.words.path)
+        return self._publish(Manifest(base.version + 1, base.schema_version, base.folders, None))
 
-    def create(self) -> Manifest:
-        return self.commit(self.spark.createDataFrame([], self.schema))
+    def create_text_index(self) -> Manifest:
+        """Index the chunks the store has, and keep the index from here on."""
+        base = self.manifest()
+        state = self.words.change(IndexState(), None, None, self.read(at=base)).as_json()
+        return self._publish(Manifest(base.version + 1, base.schema_version, base.folders, state))
 
     def replace_documents(self, documents: DataFrame, rows: DataFrame, base: Manifest | None = None) -> Manifest:
         """Swap all chunks of ``documents(document_id)`` for ``rows``."""
         base = base or self.manifest()
         touched = self.touched(documents)
-        others = self.read(touched, base).join(documents.select("document_id").distinct(), "document_id", "left_anti")
-        return self.commit(others.select(*self.schema.fieldNames()).unionByName(rows), touched, base)
+        held, named = self.read(touched, base), documents.select("document_id").distinct()
+        others = held.join(named, "document_id", "left_anti")
+        words = self._index_change(base, named, held.join(named, "document_id", "left_semi"), rows)
+        return self.commit(others.select(*self.schema.fieldNames()).unionByName(rows), touched, base, text_index=words)
 
     def append(self, rows: DataFrame) -> Manifest:
         base = self.manifest()
         touched = self.touched(rows)
-        return self.commit(self.read(touched, base).unionByName(rows), touched, base)
+        words = self._index_change(base, None, None, rows)
+        return self.commit(self.read(touched, base).unionByName(rows), touched, base, text_index=words)
 
     def delete_documents(self, documents: DataFrame) -> Manifest:
         return self.replace_documents(documents, self.spark.createDataFrame([], self.schema))
@@ -44,8 +86,12 @@ class ChunkStore(SnapshotTable):
         """Remove ``ids(document_id, id)``; chunks of other documents are not touched."""
         base = self.manifest()
         touched = self.touched(ids)
-        kept = self.read(touched, base).join(ids.select("document_id", "id").distinct(), ["document_id", "id"], "left_anti")
-        return self.commit(kept, touched, base)
+        held = self.read(touched, base)
+        kept = held.join(ids.select("document_id", "id").distinct(), ["document_id", "id"], "left_anti")
+        named = ids.select("document_id").distinct()
+        of_named = lambda rows: rows.join(named, "document_id", "left_semi")
+        words = self._index_change(base, named, of_named(held), of_named(kept))
+        return self.commit(kept, touched, base, text_index=words)
 
     def update_document(self, document_id: str, changes: dict[str, Column | None]) -> Manifest:
         """Set columns on every chunk of a document; None sets NULL, absent columns stay."""

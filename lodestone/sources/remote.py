@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -18,6 +19,7 @@ from lodestone.sources.landing import detect_mime, has_known_extension, is_web
 
 TIMEOUT_SECONDS = 60
 USER_AGENT = "lodestone/1.0"
+HELD_BYTES = 8 * 1024 * 1024  # of bodies, before a task hands them on
 FETCHED = T.StructType(
     [
         T.StructField("content", T.BinaryType()),
@@ -26,6 +28,7 @@ FETCHED = T.StructType(
         T.StructField("last_modified", T.StringType()),
         T.StructField("content_type", T.StringType()),
         T.StructField("error", T.StringType()),
+        T.StructField("took_ms", T.LongType()),
     ]
 )
 
@@ -38,6 +41,7 @@ class Fetched:
     last_modified: str | None = None
     content_type: str | None = None
     error: str | None = None
+    took_ms: int | None = None
 
 
 Fetch = Callable[[str, str | None, str | None], Fetched]
@@ -102,27 +106,41 @@ def fetch_any(uri: str, etag: str | None = None, last_modified: str | None = Non
     return Fetched(error="fetch: only http, https and s3 addresses are fetched")
 
 
-def fetch(rows: DataFrame, get: Fetch = fetch_any, uri: str = "file_uri", etag: str = "last_etag", seen: str | None = None) -> DataFrame:
-    """Add ``fetched`` for each URI; one failing URI is an error of its row only.
+def answered(batches: Iterator[pa.RecordBatch], get: Fetch, columns: list[str], limit: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows that end in an address, an ETag and a date, with the answer in their place.
 
-    Each row is one request, issued from whichever task holds the row.
+    A batch goes out as soon as its bodies have ``limit`` bytes, so a task holds
+    that much and one body more, however many rows came in at once.
     """
-
-    @F.arrow_udf(FETCHED)
-    def call(uris: pa.Array, etags: pa.Array, since: pa.Array) -> pa.Array:
-        out = []
-        for u, e, s in zip(uris.to_pylist(), etags.to_pylist(), since.to_pylist()):
+    for batch in batches:
+        uris, etags, since = (batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1))
+        first, held, out = 0, 0, []
+        for i, (u, e, s) in enumerate(zip(uris, etags, since), 1):
+            started = time.monotonic()
             try:
-                out.append(vars(get(u, e, s)))
+                got = get(u, e, s)
             except Exception as err:
-                out.append(vars(Fetched(error=f"fetch: {err}")))
-        return pa.array(out, to_arrow_type(FETCHED))
+                got = Fetched(error=f"fetch: {err}")
+            out.append(vars(got) | {"took_ms": int((time.monotonic() - started) * 1000)})
+            held += len(got.content or b"")
+            if held >= limit or i == batch.num_rows:
+                kept = [batch.column(k).slice(first, i - first) for k in range(batch.num_columns - 3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, to_arrow_type(FETCHED))], columns)
+                first, held, out = i, 0, []
+
 
+def fetch(rows: DataFrame, get: Fetch = fetch_any, uri: str = "file_uri", etag: str = "last_etag", seen: str | None = None) -> DataFrame:
+    """Add ``fetched`` for each URI; one failing URI is an error of its row only.
+
+    Each row is one request, issued from whichever task holds the row.
+    """
     none = F.lit(None).cast("string")
     known = F.col(etag) if etag in rows.columns else none
     since = none if seen is None else F.date_format(F.col(seen), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    # A request is a side effect: the optimizer must not repeat it.
-    return rows.withColumn("fetched", call.asNondeterministic()(F.col(uri), known, since))
+    asked = rows.select("*", F.col(uri).alias("asked_uri"), known.alias("asked_etag"), since.alias("asked_since"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("fetched", FETCHED)])
+    columns = schema.fieldNames()
+    return asked.mapInArrow(lambda batches: answered(batches, get, columns), schema)
 
 
 def probe_types(rows: DataFrame, head: Callable[[str], str | None] = head_content_type, uri: str = "file_uri") -> DataFrame:
@@ -141,3 +159,12 @@ def probe_types(rows: DataFrame, head: Callable[[str], str | None] = head_conten
     unnamed = is_web(F.col(uri)) & ~has_known_extension(F.col(uri))
     asked = rows.withColumn("_told", ask.asNondeterministic()(F.when(unnamed, F.col(uri))))
     return asked.withColumn("mime_type", detect_mime(F.col(uri), F.col("_told"))).drop("_told")
+
+
+def with_types(rows: DataFrame, head: Callable[[str], str | None] = head_content_type, uri: str = "file_uri") -> DataFrame:
+    """``rows`` with a ``mime_type`` where none is given; only addresses without one are asked for."""
+    given = F.nullif(F.col("mime_type"), F.lit("")) if "mime_type" in rows.columns else F.lit(None).cast("string")
+    named = rows.withColumn("_given", given)
+    asked = F.when(F.col("_given").isNull(), F.col(uri))
+    probed = probe_types(named.withColumn("_asked", asked), head, "_asked")
+    return probed.withColumn("mime_type", F.coalesce("_given", "mime_type")).drop("_given", "_asked")

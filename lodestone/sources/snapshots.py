@@ -29,6 +29,7 @@ class Manifest:
     version: int = 0
     schema_version: int = 0
     folders: dict[int, str] = field(default_factory=dict)
+    text_index: dict | None = None  # the state of the keyword index these rows have
 
 
 class SnapshotTable:
@@ -53,7 +54,7 @@ class SnapshotTable:
             return Manifest()
         stored = json.loads(files.read_text(self.spark, f"{self.path}/manifest/{max(names)}"))
         folders = {int(b): f for b, f in stored["folders"].items()}
-        return Manifest(stored["version"], stored["schema_version"], folders)
+        return Manifest(stored["version"], stored["schema_version"], folders, stored.get("text_index"))
 
     def read(self, buckets: Iterable[int] | None = None, at: Manifest | None = None) -> DataFrame:
         """Current rows, optionally of some buckets only; other folders are not opened."""
@@ -74,10 +75,12 @@ class SnapshotTable:
         touched: Iterable[int] | None = None,
         base: Manifest | None = None,
         schema_version: int | None = None,
+        text_index: dict | None = None,
     ) -> Manifest:
         """Publish ``rows`` as the whole content of the touched buckets (all by default).
 
-        ``base`` is the manifest the rows were computed from.
+        ``base`` is the manifest the rows were computed from.  A ``text_index`` is
+        published with them; without one that of ``base`` stays.
         """
         base = base or self.manifest()
         folder = f"commit={base.version + 1}-{uuid.uuid4().hex[:8]}"
@@ -91,10 +94,10 @@ class SnapshotTable:
             if name.startswith("bucket="):
                 kept[int(name.removeprefix("bucket="))] = folder
         version = base.schema_version if schema_version is None else schema_version
-        return self._publish(Manifest(base.version + 1, version, kept))
+        return self._publish(Manifest(base.version + 1, version, kept, text_index or base.text_index))
 
     def _publish(self, new: Manifest) -> Manifest:
-        body = {"version": new.version, "schema_version": new.schema_version, "folders": new.folders}
+        body = {"version": new.version, "schema_version": new.schema_version, "folders": new.folders, "text_index": new.text_index}
         if not files.write_new(self.spark, f"{self.path}/manifest/{new.version:012d}.json", json.dumps(body)):
             raise WriteConflict(f"version {new.version} of {self.path} was published by another writer")
         return new
@@ -123,7 +126,7 @@ class SnapshotTable:
         for number in range(base.schema_version + 1, len(steps) + 1):
             change = steps[number]
             if change is None:
-                base = self._publish(Manifest(base.version + 1, number, base.folders))
+                base = self._publish(Manifest(base.version + 1, number, base.folders, base.text_index))
             else:
                 base = self.commit(change(self.read(at=base)), None, base, number)
         return base.schema_version

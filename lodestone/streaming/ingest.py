@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.embedding import Embedder
-from lodestone.plans.ingest import Collection, failed_events, ingest
+from lodestone.plans.ingest import CALLS_PER_SECOND, Collection, failed_events, ingest
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.telemetry import append_events
 
@@ -32,6 +32,7 @@ def start_ingest(
     intent: str = "refresh",
     interval: str = "30 seconds",
     once: bool = False,
+    calls_per_second: float | None = CALLS_PER_SECOND,
 ) -> StreamingQuery:
     """Ingest each micro-batch.
 
@@ -42,7 +43,8 @@ def start_ingest(
     def run(batch: DataFrame, batch_id: int) -> None:
         files = newest_per_uri(batch).withColumn("document_id", document_id(collection))
         taken = files.where(F.col("refused").isNull())
-        report = ingest(taken.drop("refused", "modified"), store, collection, embedder, intent=intent)
+        taken = taken.drop("refused", "modified")
+        report = ingest(taken, store, collection, embedder, intent=intent, calls_per_second=calls_per_second)
         if telemetry_root:
             refused = files.where(F.col("refused").isNotNull()).withColumn("error", F.col("refused"))
             events = report.events.unionByName(failed_events(refused, collection, embedder, intent))

@@ -13,8 +13,11 @@ from lodestone.operators.keyword import build_postings, keyword_search, search_p
 from lodestone.operators.knn import knn, knn_batch
 from lodestone.plans.catalog import SYSTEM_PROMPTS
 from lodestone.plans.rag import answer
-from lodestone.plans.retrieval import SearchRequest, at_least, attach_chunks, result_stats, search, search_batch
+from lodestone.plans.retrieval import SearchRequest, at_least, attach_chunks, result_stats, search, search_batch, search_stored
+from lodestone.schemas import CHUNKS
+from lodestone.session import work_path
 from lodestone.sources.adapters import corpus, table, vectors
+from lodestone.sources.chunk_store import ChunkStore
 from queries.common import Query, rounded, tokens_sql
 
 QUERY_ID, DIM = 7, 64
@@ -154,6 +157,44 @@ def _result_stats(spark, sf) -> DataFrame:
     )
 
 
+def _stored_documents(spark, sf) -> ChunkStore:
+    """All documents as chunks of an indexed store, in three changes: a third first with other texts, which then give way.
+
+    Some rows that no document has come and go in between.
+    """
+    docs = table(spark, sf, "documents").join(vectors(spark, sf).select(F.col("id").alias("doc_id"), "vector"), "doc_id", "left")
+    padded = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    given = {
+        "id": padded,
+        "document_id": padded,
+        "chunk_text": F.col("text"),
+        "source_name": F.col("source"),
+        "vector": F.col("vector"),
+        "chunk_index": F.lit(0),
+    }
+    rows = docs.select("doc_id", *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNKS.fields])
+    plain = lambda some: some.select(*CHUNKS.fieldNames())
+    stale = rows.where("doc_id % 3 = 0").withColumn("chunk_text", F.concat(F.lit("the erthe stale "), "chunk_text"))
+    gone = rows.where("doc_id % 5 = 0").withColumns({c: F.concat(F.lit("gone"), c) for c in ("id", "document_id")})
+    store = ChunkStore(spark, work_path(spark, "stored"), "documents", buckets=8)
+    store.create(text_index=True)
+    store.append(plain(rows.where("doc_id % 3 <> 0").unionByName(stale).unionByName(gone)))
+    store.replace_documents(stale.select("document_id"), plain(rows.where("doc_id % 3 = 0")))
+    store.delete_documents(gone.select("document_id"))
+    return store
+
+
+def _keyword_stored(spark, sf) -> DataFrame:
+    store = _stored_documents(spark, sf)
+    hits = store.words.search(store.index_state(), _benchmark_queries(spark, sf), 10)
+    return rounded(hits.select("query_id", F.col("id").cast("bigint").alias("id"), "keyword_bm25_score"), 6, "keyword_bm25_score")
+
+
+def _hybrid_stored(spark, sf) -> DataFrame:
+    hits = search_stored(_stored_documents(spark, sf), WORDS, _query_vector(spark, sf), SearchRequest(top_k=20))
+    return _scores(hits.withColumn("id", F.col("id").cast("bigint")))
+
+
 def _rag(spark, sf) -> DataFrame:
     template = SYSTEM_PROMPTS["concise_rag"][2]
     done = answer(_benchmark_queries(spark, sf), _shown_results(spark, sf), template, EchoModel())
@@ -276,6 +317,13 @@ QUERIES = {
           SELECT query_id, id, round(score, 6) AS keyword_bm25_score FROM scored
           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
     ),
+    "keyword_search_stored": Query(
+        _keyword_stored,
+        f"""WITH {_bm25_cte(ALL_DOCS, BENCH_TERMS)}
+          SELECT query_id, id, round(score, 6) AS keyword_bm25_score FROM scored
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
+    ),
+    "hybrid_search_stored": Query(_hybrid_stored, _hybrid_sql(20, 0.3, 0.7, 60, 200) + HYBRID_OUT),
     "hybrid_search": Query(_hybrid, _hybrid_sql(20, 0.3, 0.7, 60, 200) + HYBRID_OUT),
     "hybrid_search_weights": Query(_hybrid_weights, _hybrid_sql(20, 0.6, 0.4, 10, 50) + HYBRID_OUT),
     "vector_search_only": Query(

@@ -14,7 +14,9 @@ from lodestone.session import work_path
 from lodestone.sources.adapters import corpus, files, ingestion_from, queries_from, table
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.telemetry import read_events
+from lodestone.streaming.jobs import accepted
 from lodestone.streaming.telemetry import as_messages, start_sink
+from lodestone.streaming.timers import due_checks, use_timers
 from queries.analytics import QUERIES as PANELS
 from queries.common import Query, rounded
 from queries.documents import windows_sql
@@ -60,7 +62,58 @@ def _indexed_search(spark, sf) -> DataFrame:
     return rounded(hits.select("id", "keyword_bm25_score"), 6, "keyword_bm25_score")
 
 
+def _once(rows: DataFrame, schema: str, spark, name: str) -> DataFrame:
+    """What a stream wrote until its input was drained."""
+    path = work_path(spark, name)
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", work_path(spark, f"{name}-checkpoint"))
+    writer.trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(schema).parquet(path)
+
+
+SLICES = 6
+
+
+def _streamed_jobs(spark, sf) -> DataFrame:
+    """Every event as a job submission, six slices of time one after the other, each with a replay of the one before."""
+    events = table(spark, sf, "events").select(F.concat(F.lit("j"), "event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    first, last = events.agg(F.min(F.unix_micros("created_at")), F.max(F.unix_micros("created_at"))).first()
+    step = (last - first) // SLICES + 1
+    part = F.floor((F.unix_micros("created_at") - first) / step)
+    path = work_path(spark, "submissions")
+    for i in range(SLICES):
+        events.where(part.isin(i - 1, i)).repartition(2, F.xxhash64("id", F.lit(i))).write.mode("append").parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    once = accepted(source, f"{3 * step // 1_000_000} seconds")
+    done = _once(once, "id string, created_at timestamp", spark, "accepted")
+    return done.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+def _streamed_checks(spark, sf) -> DataFrame:
+    """Seven collections that are named by every event, each with its own interval: when they are due, by the events' time."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    slot = F.col("user_id") % 7
+    named = events.select(
+        F.concat(F.lit("c"), slot).alias("collection_id"), ((slot + 1) * 43_200).alias("interval_s"), F.col("ts").cast("timestamp").alias("changed_at")
+    )
+    use_timers(spark)
+    due = due_checks(named, event_time="1 hour", every_missed=True)
+    done = _once(due, "collection_id string, due_at timestamp", spark, "due")
+    return done.select("collection_id", F.unix_millis("due_at").alias("due_ms"))
+
+
+CHECKS_SQL = """WITH named AS (
+    SELECT 'c' || (user_id % 7) AS collection_id, (user_id % 7 + 1) * 43200000 AS every_ms, epoch_ms(min(ts)) AS first_ms FROM events GROUP BY ALL),
+  upto AS (SELECT epoch_ms(max(ts)) - 3600000 AS now_ms FROM events)
+  SELECT collection_id, first_ms + k * every_ms AS due_ms
+  FROM (SELECT *, unnest(range(1, CAST((now_ms - first_ms) // every_ms AS BIGINT) + 1)) AS k FROM named, upto)"""
+
+
 QUERIES = {
+    "stream_jobs": Query(
+        _streamed_jobs, "SELECT 'j' || event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events"
+    ),
+    "stream_refresh_checks": Query(_streamed_checks, CHECKS_SQL),
     "stream_telemetry": Query(
         _streamed_volume, PANELS["volume_over_time"].sql.replace("WHERE occurred_at >= TIMESTAMP '2024-01-10 00:00:00'", "")
     ),

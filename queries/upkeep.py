@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import ChunkConfig
 from lodestone.operators.embedding import HashEmbedder
+from lodestone.operators.running import running_total
 from lodestone.plans import analytics, catalog, evaluation
 from lodestone.plans.ingest import Collection, ingest
 from lodestone.schemas import CHUNKS
@@ -15,7 +18,7 @@ from lodestone.sources.adapters import ingestion_events, query_events, table
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.evalsets import read_beir
 from queries.common import TELEMETRY_CTE, Query, rounded
-from queries.documents import DOCX, UNIT_OUT, as_files, chunks, trim_sql, units, units_sql
+from queries.documents import DOCX, UNIT_OUT, as_files, chunks, trim_sql, units, units_sql, windows_sql
 
 
 def _joined(rows: DataFrame, key: str, order: str, text, separator: str) -> DataFrame:
@@ -40,6 +43,37 @@ def order_files(spark, sf) -> DataFrame:
     return as_files(body, "key", "text/csv", F.concat(F.lit("key,priority\n"), F.col("body"), F.lit("\n")))
 
 
+def nested_orders(spark, sf) -> DataFrame:
+    """A customer's orders as one JSON array, each order with the list of its lines."""
+    line = F.struct(
+        F.col("l_linenumber").alias("at"),
+        F.struct(F.col("l_quantity").alias("qty"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), F.lit("").alias("note")).alias("it"),
+    )
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    held = table(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    order = F.struct(
+        F.col("o_orderkey").alias("key"),
+        F.struct(F.col("o_orderstatus").alias("status"), (F.col("o_orderstatus") == "F").alias("final")).alias("is"),
+        F.transform("ls", lambda x: x["it"]).alias("lines"),
+        F.col("o_totalprice").alias("total"),
+    )
+    listed = held.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order.alias("o")))).alias("os"))
+    return as_files(listed, "o_custkey", "application/json", F.to_json(F.transform("os", lambda x: x["o"])))
+
+
+_SHOWN = "regexp_replace(CAST(CAST({} AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '')"
+NESTED_SQL = f"""WITH lines AS (
+    SELECT l_orderkey, string_agg(
+      'lines.' || i || '.part: ' || l_partkey || chr(10) || 'lines.' || i || '.price: ' || {_SHOWN.format('l_extendedprice')}
+      || chr(10) || 'lines.' || i || '.qty: ' || {_SHOWN.format('l_quantity')} || chr(10), '' ORDER BY i) AS t
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem) GROUP BY 1)
+  SELECT CAST(o_custkey AS VARCHAR) AS document_id,
+         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS unit_index,
+         'is.final: ' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END || chr(10) || 'is.status: ' || o_orderstatus || chr(10)
+         || 'key: ' || o_orderkey || chr(10) || coalesce(t, '') || 'total: ' || {_SHOWN.format('o_totalprice')} AS text
+  FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey"""
+
+
 def order_records(spark, sf) -> DataFrame:
     """A customer's orders as the records of one XML file."""
     record = F.concat(F.lit("<order><key>"), F.col("o_orderkey"), F.lit("</key><is><status>"), F.col("o_orderstatus"), F.lit("</status></is></order>"))
@@ -72,6 +106,38 @@ UNIT_WINDOWS_SQL = f"""WITH RECURSIVE {units_sql(TALKS, 'conv_id', 'body')},
   FROM windows WHERE chunk_text <> ''"""
 
 
+def section_files(spark, sf) -> DataFrame:
+    """A conversation as a Markdown file with a section for each turn."""
+    turn = F.concat(F.lit("## "), "role", F.lit("\n"), "text")
+    body = _joined(table(spark, sf, "conversations"), "conv_id", "turn", turn, "\n\n")
+    return as_files(body, "key", "text/markdown", F.concat(F.lit("# Talk "), F.col("key"), F.lit("\n\n"), F.col("body")))
+
+
+def _sections(spark, sf) -> DataFrame:
+    rows = units(section_files(spark, sf))
+    return rows.select("document_id", "unit_index", "text", F.col("metadata")["heading"].alias("heading"))
+
+
+SECTIONS_SQL = f"""SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY turn) - 1 AS BIGINT) AS unit_index, text, heading
+  FROM (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, {trim_sql('text')} AS text,
+               '# Talk ' || conv_id || chr(10) || '## ' || role AS heading FROM conversations) WHERE text <> ''"""
+
+# Rows of a customer's orders packed below the head line, up to 60 characters.
+ROW_GROUPS_SQL = """WITH RECURSIVE lists AS (
+    SELECT o_custkey, list(o_orderkey || chr(9) || o_orderpriority ORDER BY o_orderkey) AS texts, count(*) AS n FROM orders GROUP BY 1),
+  sized AS (
+    SELECT *, list_transform(range(n + 1), lambda i: coalesce(list_sum(list_transform(texts[1:i], lambda t: length(t) + 1)), 0)) AS ends
+    FROM lists),
+  groups(o_custkey, texts, ends, n, s, c) AS (
+    SELECT o_custkey, texts, ends, n, s, coalesce(list_filter(range(s + 1, n), lambda t: 13 + ends[t + 2] - ends[s + 1] > 60)[1], n)
+    FROM (SELECT *, CAST(0 AS BIGINT) AS s FROM sized)
+    UNION ALL
+    SELECT o_custkey, texts, ends, n, s, coalesce(list_filter(range(s + 1, n), lambda t: 13 + ends[t + 2] - ends[s + 1] > 60)[1], n)
+    FROM (SELECT o_custkey, texts, ends, n, c AS s FROM groups WHERE c < n))
+  SELECT CAST(o_custkey AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY s) - 1 AS BIGINT) AS chunk_index,
+         'key' || chr(9) || 'priority' || chr(10) || array_to_string(texts[s + 1:c], chr(10)) AS chunk_text FROM groups"""
+
+
 # --- chunk store ---------------------------------------------------------------
 
 
@@ -132,6 +198,62 @@ def _event_statuses(spark, sf) -> DataFrame:
     return counted.agg(F.count("*").alias("n"), F.count_if(F.col("chunk_count") > 0).alias("with_chunks"))
 
 
+@dataclass(frozen=True)
+class ChoosyEmbedder(HashEmbedder):
+    """Refuses a call with a text that holds an at sign, as a provider's filter would."""
+
+    def embed(self, texts: list[str]) -> tuple[list[list[float]], int]:
+        if any("@" in t for t in texts):
+            raise ValueError("the input was refused")
+        return super().embed(texts)
+
+
+@dataclass(frozen=True)
+class CountingEmbedder(HashEmbedder):
+    """Bills a token for every 100 characters of a call."""
+
+    def embed(self, texts: list[str]) -> tuple[list[list[float]], int]:
+        vectors, _ = super().embed(texts)
+        return vectors, sum(len(t) // 100 for t in texts)
+
+
+def _ingest_totals(spark, sf) -> DataFrame:
+    """What the documents of an ingest add up to, beside what was observed while its chunks were written."""
+    store = ChunkStore(spark, work_path(spark, "totals"), "docs", buckets=8)
+    source = as_files(table(spark, sf, "documents"), "doc_id", "text/plain", F.col("text")).withColumn("file_uri", F.lit("upload://a"))
+    report = ingest(source, store, Collection("docs", "docs", ChunkConfig("sliding_window", 500, 50)), CountingEmbedder(64))
+    seen = report.totals
+    told = report.documents.agg(F.sum("chunk_count").alias("chunks"), F.sum("embed_tokens").alias("tokens"), F.sum("wait_ms").alias("w"), F.sum("embed_ms").alias("e"))
+    equal = (F.col("chunks") == seen["chunks"]) & (F.col("tokens") == seen["tokens"]) & (F.col("w") == seen["wait_ms"]) & (F.col("e") == seen["embed_ms"])
+    return told.select("chunks", "tokens", equal.alias("as_observed"))
+
+
+def _refused_texts(spark, sf) -> DataFrame:
+    """All documents, then all of them changed and sent to an embedder that refuses some texts."""
+    store = ChunkStore(spark, work_path(spark, "refused"), "docs", buckets=8)
+    target = Collection("docs", "docs", ChunkConfig("sliding_window", 500, 50))
+    docs = table(spark, sf, "documents")
+    ingest(as_files(docs, "doc_id", "text/plain", F.col("text")).withColumn("file_uri", F.lit("upload://a")), store, target, HashEmbedder(64))
+    changed = as_files(docs, "doc_id", "text/plain", F.concat(F.lit("* "), "text")).withColumn("file_uri", F.lit("upload://a"))
+    report = ingest(changed, store, target, ChoosyEmbedder(64), intent="refresh")
+    kept = store.read().groupBy("document_id").agg(F.count("*").alias("stored_chunks"))
+    told = report.documents.select("document_id", "status", F.col("error").isNotNull().alias("has_error"))
+    return told.join(kept, "document_id", "left").na.fill(0, ["stored_chunks"])
+
+
+REFUSED_SQL = (
+    "WITH " + windows_sql("stored", "text") + ",\n" + windows_sql("fresh", "'* ' || text")
+    + """,
+  refused AS (SELECT DISTINCT document_id FROM fresh ANTI JOIN stored USING (document_id, chunk_hash) WHERE contains(chunk_text, '@')),
+  old AS (SELECT document_id, count(*) AS n FROM stored GROUP BY 1), new AS (SELECT document_id, count(*) AS n FROM fresh GROUP BY 1)
+  SELECT d.id AS document_id, CASE WHEN r.document_id IS NULL THEN 'complete' ELSE 'failed' END AS status,
+         r.document_id IS NOT NULL AS has_error,
+         CAST(coalesce(CASE WHEN r.document_id IS NULL THEN new.n ELSE old.n END, 0) AS BIGINT) AS stored_chunks
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) d LEFT JOIN refused r ON r.document_id = d.id
+  LEFT JOIN old ON old.document_id = d.id LEFT JOIN new ON new.document_id = d.id"""
+)
+
+
 # --- evaluation ----------------------------------------------------------------
 
 
@@ -141,8 +263,12 @@ def _beir(spark, sf) -> DataFrame:
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text").write.json(f"{path}/corpus.jsonl")
     items.select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{path}/queries.jsonl")
-    judged = docs.select(
-        (F.col("doc_id") % 40).cast("string").alias("query-id"), F.col("doc_id").cast("string").alias("corpus-id"), (F.col("doc_id") % 3).alias("score")
+    # Every question has judgements, however many there are: its rank decides which documents.
+    ranked = running_total(items.select("item_id", F.lit(1).alias("one")), "one", [F.floor(F.col("item_id") / 1000)], [F.col("item_id")], "upto")
+    ranked = ranked.select("item_id", (F.col("upto") - 1).alias("rank"))
+    placed = docs.withColumn("rank", F.col("doc_id") % items.count()).join(ranked, "rank")
+    judged = placed.select(
+        F.col("item_id").cast("string").alias("query-id"), F.col("doc_id").cast("string").alias("corpus-id"), (F.col("doc_id") % 3).alias("score")
     )
     judged.write.option("sep", "\t").option("header", True).csv(f"{path}/qrels/test.tsv")
     corpus, queries, judged = read_beir(spark, path)
@@ -176,6 +302,18 @@ QUERIES = {
         f"""SELECT CAST(o_custkey AS VARCHAR) AS document_id, {NTH_ORDER} AS unit_index,
                    o_orderkey || chr(9) || o_orderpriority AS text FROM orders""",
     ),
+    "parse_markdown_sections": Query(_sections, SECTIONS_SQL),
+    "chunk_row_groups": Query(
+        lambda spark, sf: chunks(order_files(spark, sf), ChunkConfig("auto", 60, 0)).select("document_id", "chunk_index", "chunk_text"),
+        ROW_GROUPS_SQL,
+    ),
+    "parse_json_nested": Query(lambda spark, sf: units(nested_orders(spark, sf)).drop("metadata"), NESTED_SQL),
+    "ingest_refused_texts": Query(_refused_texts, REFUSED_SQL),
+    "ingest_totals": Query(
+        _ingest_totals,
+        "WITH " + windows_sql("c", "text")
+        + " SELECT count(*) AS chunks, CAST(sum(length(chunk_text) // 100) AS BIGINT) AS tokens, TRUE AS as_observed FROM c",
+    ),
     "parse_xml_records": Query(
         lambda spark, sf: units(order_records(spark, sf)).drop("metadata"),
         f"""SELECT CAST(o_custkey AS VARCHAR) AS document_id, {NTH_ORDER} AS unit_index,
@@ -208,7 +346,8 @@ QUERIES = {
         _beir,
         """SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 3 AS relevance,
                   b.text AS query_text, md5(source || chr(10) || chr(10) || d.text) AS content
-           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""",
+           FROM documents d
+           JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark) b ON b.r = d.doc_id % b.n""",
     ),
     "judge_cost": Query(
         lambda spark, sf: rounded(evaluation.judge_cost(_usage(spark, sf), "gpt-4o-mini"), 8, "estimated_usd"),

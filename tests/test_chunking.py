@@ -1,9 +1,17 @@
 import hashlib
+import os
 import random
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import plain_chunkers  # noqa: E402
+from lodestone.functions import chunkers  # noqa: E402
+from lodestone.functions.text import WHITESPACE  # noqa: E402
 from lodestone.operators.chunking import ChunkConfig, chunk_documents, explode_chunks
 from lodestone.schemas import UNITS
 
@@ -114,3 +122,33 @@ def test_fingerprint_uses_configured_strategy(spark):
     )
     row = explode_chunks(chunk_documents(df, config), config, "doc").first()
     assert row.chunk_hash == hashlib.sha256(b"1|auto|100|10|A\nbody").hexdigest()
+
+
+def plain_row(rng, sheets):
+    return rng.choice(sheets), rng.choice(["h", "h1\th2", ""]), "".join(rng.choice("ab \t") for _ in range(rng.randint(0, 12))).strip()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_documents_in_step_match_one_at_a_time(monkeypatch, seed):
+    """Random sizes and overlaps, with blanks of all kinds, long words and empty documents."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(chunkers, "BLOCK_CHARS", rng.choice([1, 50, 10_000]))
+    size, overlap = rng.randint(1, 30), rng.randint(0, 35)
+    text = lambda most: "".join(rng.choice("ab\u00e9\U0001d504  \n\t\u00a0") for _ in range(rng.randint(0, most))).strip(WHITESPACE)
+    docs = [[t for t in (text(60) for _ in range(rng.randint(0, 8))) if t] for _ in range(40)]
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    every = [t for d in docs for t in d]
+    pieces, counts = chunkers.paragraph_chunks(every, first, size, overlap)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    wanted = [[t for t, _ in plain_chunkers.paragraph_chunks(d, size, overlap)] for d in docs]
+    assert [pieces[a:b] for a, b in zip(cuts[:-1], cuts[1:])] == wanted
+    pieces, counts = chunkers.split_texts(every, size, overlap)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    assert [pieces[a:b] for a, b in zip(cuts[:-1], cuts[1:])] == [[t for t, _ in plain_chunkers._fit(u, None, size, overlap)] for u in every]
+
+    tables = [[plain_row(rng, ["s", "t", ""]) for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    rows = [r for table in tables for r in table]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in tables])])
+    pieces, counts = chunkers.row_chunks([r[2] for r in rows], [r[0] for r in rows], [r[1] for r in rows], first, size)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    assert [pieces[a:b] for a, b in zip(cuts[:-1], cuts[1:])] == [[t for t, _ in plain_chunkers.row_group_chunks(table, size)] for table in tables]

@@ -1,4 +1,6 @@
+import decimal
 import io
+import json
 import zipfile
 
 import pytest
@@ -171,3 +173,41 @@ def test_name_from_uri(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "u string").select("u", name_from_uri(F.col("u")).alias("n"))
     assert {r.u: r.n for r in df.collect()} == cases
+
+
+JSON_FILES = [
+    '{"z": 1, "a": {"b": false, "": {"c": "x"}}, "n": null, "e": ""}', "[]", "{}", "3", '"text"', "[1, 2.50, -0.0, 1e3, 1.5E-7, 12345678901234567890, 0.1]",
+    '[[["deep", ["er"]], {"k": [[]]}], {"b": 2, "a": [{"x": 1}, {"x": 10}, 3]}]', '{"q\\"uo]te": "br{ack}et [", "é": "ü\\n two"}',
+    '{"a": 1, "a": 2}', "{\"list\": [" + ",".join(map(str, range(30))) + "]}", "  [true]  ", '{"x": 123456789.125, "y": 1e22, "w": 100, "v": 1.0}',
+]
+
+
+def flat_json(path, value):
+    """The rule, plainly: members by key, elements by place, scalars that are not empty."""
+    if isinstance(value, dict):
+        return [line for k, v in sorted(value.items()) for line in flat_json(f"{path}.{k}" if path else k, v)]
+    if isinstance(value, list):
+        return [line for i, v in enumerate(value) for line in flat_json(f"{path}.{i}" if path else str(i), v)]
+    if isinstance(value, bool):
+        shown = str(value).lower()
+    elif isinstance(value, (int, float)):
+        shown = format(decimal.Decimal(repr(float(value))).normalize(), "f") if value else "0"
+    else:
+        shown = value or ""
+    return [f"{path}: {shown}"] if shown else []
+
+
+@pytest.mark.parametrize("text", JSON_FILES)
+def test_json_is_unfolded_level_by_level(spark, text):
+    root = json.loads(text)
+    elements = root if isinstance(root, list) else [root]
+    wanted = [t for t in ("\n".join(flat_json("", e)).strip() for e in elements) if t]
+    assert texts(spark, "application/json", text) == wanted
+
+
+def test_json_needs_no_python(spark):
+    files = spark.createDataFrame([("application/json", bytearray(b"[1]"))], "mime_type string, content binary")
+    rows = parse_documents(files.where("mime_type = 'application/json'")).select("units")
+    assert [r.units[0].text for r in rows.collect()] == [": 1"]
+    for broken in ("{bad", "", "[1", "nul"):
+        assert parse(spark, "application/json", broken)[2].startswith("JSONDecodeError")

@@ -23,6 +23,7 @@ def physical(df) -> str:
 def plans(spark, sf):
     # These run jobs to build their frame; the training-data operators have tests of their own.
     eager = {"stream_telemetry", "ingest_twice", "keyword_search_indexed", "store_mutations", "beir_loader", "ingest_event_statuses"}
+    eager |= {"keyword_search_stored", "hybrid_search_stored", "ingest_refused_texts", "ingest_totals", "stream_jobs", "stream_refresh_checks"}
     return {n: physical(q(spark, sf)) for n, q in contract.queries().items() if n not in eager and not OPTIONAL.match(n)}
 
 
@@ -39,7 +40,7 @@ def test_top_k_is_taken_before_the_shuffle(plans):
 
 
 def test_native_paths_stay_in_the_jvm(plans):
-    for name in ("parse_text", "parse_markdown", "chunk_sliding_window", "chunk_reuse", "knn", "keyword_search", "fingerprint"):
+    for name in ("parse_text", "parse_markdown", "parse_json", "parse_json_nested", "chunk_sliding_window", "chunk_reuse", "knn", "keyword_search", "fingerprint"):
         assert "Python" not in plans[name] and "ArrowEval" not in plans[name], name
 
 

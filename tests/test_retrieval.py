@@ -209,3 +209,30 @@ def test_rows_without_a_whole_vector_are_no_neighbours(spark):
         assert [r.id for r in knn(chunks, unit, 10).collect()] == [1, 5]
         asked = spark.createDataFrame([(0, unit), (1, None)], "query_id int, query_vector array<float>")
         assert sorted((r.query_id, r.id) for r in knn_batch(chunks, asked, 10, dim).collect()) == [(0, 1), (0, 5)]
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_skipped(spark, monkeypatch):
+    """Clustered vectors, one crowded cell, copies and rows with gaps: exact, and most pairs are never compared."""
+    monkeypatch.setattr(knn_module, "PIVOTS", 24)
+    monkeypatch.setattr(knn_module, "GROUP_VALUES", 6 * 40)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 20, (20, 6))
+    label = np.where(np.arange(600) % 3 == 0, 0, rng.integers(0, 20, 600))
+    space = {i: (centers[c] + rng.normal(0, 1, 6)).astype(np.float32).astype(float) for i, c in enumerate(label)}
+    rows = [(i, v.tolist()) for i, v in space.items()] + [(9000, [None] * 6), (9001, [1.0])]
+    space |= {7000 + i: space[i] for i in range(5)}
+    rows += [(7000 + i, space[i].tolist()) for i in range(5)]
+    asked = {q: (centers[q % 20] + rng.normal(0, 1, 6)).astype(np.float32).astype(float) for q in range(60)} | {99: np.full(6, 500.0)}
+    pairs = spark.createDataFrame(rows, "id long, vector array<float>").where(F.size("vector") == 6).repartition(5)
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in asked.items()], "query_id long, vector array<float>")
+    kinds = "query_id long, id long, vector_distance double"
+    schema = spark.createDataFrame([], kinds).schema
+    for k in (1, 7, 1000):
+        join = knn_module.CellJoin(pairs, queries, k, 6, schema)
+        found = {}
+        for r in join.result().collect():
+            found.setdefault(r.query_id, []).append((r.vector_distance, r.id))
+        for q, v in asked.items():
+            got, wanted = sorted(found[q])[:k], nearest(space, v, k)
+            assert [i for _, i in got] == [i for _, i in wanted] and np.allclose([d for d, _ in got], [d for d, _ in wanted])
+        assert join.shares.max() > 1 and (join.pruned() > 0.6 or k == 1000)

@@ -1,19 +1,25 @@
-from datetime import datetime, timezone
+import time
+from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import ChunkConfig
 from lodestone.operators.embedding import HashEmbedder
+from lodestone.plans.catalog import new_jobs
 from lodestone.plans.ingest import Collection
+from lodestone.plans.jobs import Catalog
 from lodestone.schemas import COLLECTIONS, DOCUMENTS
 from lodestone.sources.chunk_store import ChunkStore
 from lodestone.sources.evalsets import read_beir, read_squad
 from lodestone.sources.landing import allowed_scheme, detect_mime, read_landing, stream_landing, upload_error
 from lodestone.session import clean_work, work_path
-from lodestone.sources.remote import Fetched, fetch, fetch_any, fetch_local, probe_types
+from lodestone.sources.remote import Fetched, answered, fetch, fetch_any, fetch_local, probe_types
 from lodestone.sources.telemetry import read_events
 from lodestone.streaming.ingest import start_ingest
+from lodestone.streaming.jobs import accepted, start_submissions
 from lodestone.streaming.refresh import refresh_sweep
+from lodestone.streaming.timers import due_checks, use_timers
 
 NOW = datetime(2024, 1, 5, 12)
 
@@ -152,3 +158,59 @@ def test_evaluation_sets(spark, tmp_path):
         '{"question":"no","is_impossible":true,"answers":[]},{"question":"none","answers":[]}]}]}]}'
     )
     assert [tuple(r) for r in read_squad(spark, str(tmp_path / "squad.json")).collect()] == [("a_b_1", "c1", "q", "a")]
+
+
+def test_bodies_leave_a_task_before_the_next_ones_come():
+    kinds = [("id", pa.int64()), ("u", pa.string()), ("e", pa.string()), ("s", pa.string())]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "u": str(i), "e": None, "s": None} for i in range(10)], pa.schema(kinds))
+    asked = []
+
+    def get(uri, etag, since):
+        asked.append(uri)
+        return Fetched(not_modified=True) if uri == "3" else Fetched(b"x" * 600)
+
+    seen = []
+    for out in answered([batch], get, ["id", "fetched"], limit=1000):
+        held = sum(len(r["content"] or b"") for r in out.column("fetched").to_pylist())
+        assert held < 1000 + 600
+        seen.append((out.column("id").to_pylist(), len(asked)))
+    assert [i for ids, _ in seen for i in ids] == list(range(10))
+    assert all(n == ids[-1] + 1 for ids, n in seen)  # nothing is fetched before it is wanted
+
+
+def test_replayed_submissions_run_once(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "catalog"), 2)
+    files = spark.createDataFrame([(f"https://x/{i}", "text/html", "c1") for i in range(8)], "file_uri string, mime_type string, collection_id string")
+    jobs = new_jobs(files, "ingest", F.lit(NOW).cast("timestamp"))
+    jobs.write.parquet(str(tmp_path / "once"))
+    jobs = spark.read.parquet(str(tmp_path / "once"))
+    for i in range(3):  # each submission comes again and again, in another order
+        jobs.orderBy(F.hash("id", F.lit(i))).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_submissions(source, catalog, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    assert sorted(r.id for r in catalog.jobs.read().collect()) == sorted(r.id for r in jobs.collect())
+    out = accepted(source).writeStream.format("memory").queryName("accepted_jobs").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert spark.table("accepted_jobs").count() == 8
+
+
+def test_due_checks_follow_each_interval(spark, tmp_path):
+    """Collection a every hour, b every three hours from its second setting on, c switched off again."""
+    at = lambda h, m=0: NOW + timedelta(hours=h, minutes=m)
+    steps = [
+        [("a", 3600, at(0)), ("b", 3600, at(0)), ("c", 3600, at(0))],
+        [("b", 10800, at(0, 30)), ("c", 0, at(0, 40)), ("d", 1800, at(2, 15))],
+        [("z", 0, at(6, 1))],
+    ]
+    schema = "collection_id string, interval_s long, changed_at timestamp"
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    use_timers(spark)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    due = due_checks(source, event_time="1 minute", every_missed=True)
+    out = due.writeStream.format("memory").queryName("due_checks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.collection_id, (r.due_at - NOW).total_seconds() / 3600) for r in spark.table("due_checks").collect())
+    wanted = [("a", float(h)) for h in range(1, 7)] + [("b", 3.0), ("b", 6.0)] + [("d", 2.75 + k / 2) for k in range(7)]
+    assert got == sorted(w for w in wanted if w[1] <= 6)

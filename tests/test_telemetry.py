@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators.quantiles import exact_quantiles
+from lodestone.operators.quantiles import around, exact_quantiles
 from lodestone.plans import analytics
 from lodestone.schemas import INGESTION_EVENTS, QUERY_EVENTS, QUERY_TRACES
 from lodestone.sources.retention import enforce, file_listing, kept_files
@@ -169,3 +169,18 @@ def test_quantiles_of_hot_and_null_groups(spark):
     for k, v in values.items():
         assert got[k].n == len(v)
         assert [got[k].p50, got[k].p95, got[k].low, got[k].high] == pytest.approx(np.quantile(v, [0.5, 0.95, 0, 1]).tolist())
+
+
+def test_quantiles_of_skewed_values_keep_little_apart(spark):
+    """One outlier, far beyond all others, leaves the values around a quantile under 1 % of their group."""
+    rng = np.random.default_rng(4)
+    values = np.append(np.exp(rng.normal(5, 2, 60_000)), 1e15)
+    frame = spark.createDataFrame([("rag", float(v)) for v in values], "endpoint string, total_ms double")
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    got = exact_quantiles(frame, ["endpoint"], "total_ms", wanted, "n").first()
+    assert [got.p50, got.p95, got.p99] == pytest.approx(np.quantile(values, [0.5, 0.95, 0.99]).tolist(), rel=1e-12)
+    named = frame.select(F.col("endpoint").alias("k"), F.col("total_ms").alias("_v"))
+    bounds, cuts = around(named, ["k"], list(wanted.values()))
+    row = bounds.first()
+    for low, high in zip(cuts[::2], cuts[1::2]):
+        assert 0 < np.mean((values >= row[low]) & (values <= row[high])) < 0.01

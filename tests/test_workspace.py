@@ -140,3 +140,22 @@ def test_a_key_that_cannot_be_stored_leaves_no_grants(space):
     with pytest.raises(Conflict):
         space.create_key("second", NOW, [("c1", "read")], plaintext="rp_same")
     assert space.rows("key_grants").count() == before
+
+
+def test_first_key_and_types_that_servers_tell(spark, tmp_path):
+    embedders = Registry()
+    embedders.register(HashEmbedder(16))
+    space = Workspace(spark, str(tmp_path / "ws"), embedders, Registry(), ChunkConfig("auto", 200, 20), buckets=2)
+    plaintext = space.first_key(NOW)
+    assert (tmp_path / "ws" / "api_key").read_text() == plaintext + "\n"
+    assert space.may(plaintext, "any collection", "write") and space.first_key(NOW) is None
+    space.create_collection("Web", NOW)
+    files = spark.createDataFrame([("http://h/page", None), ("http://h/b.md", None), ("http://h/none", ""), ("http://h/c.txt", "text/plain")], "file_uri string, mime_type string")
+    told = {"http://h/page": "text/html; charset=utf-8"}
+    get = lambda uri, etag, since: Fetched(b"<p>One page.</p>" if uri.endswith("page") else b"# Title\n\nText.")
+    space.ingest("web_hash_embedder", files, NOW, get=get, head=told.get)
+    kinds = {r.file_uri: (r.mime_type, r.status) for r in space.list_documents("web_hash_embedder").collect()}
+    assert kinds["http://h/page"][0].startswith("text/html") and kinds["http://h/b.md"][0] == "text/markdown"
+    assert kinds["http://h/page"][1] == "complete" and kinds["http://h/c.txt"] == ("text/plain", "complete")
+    events = {r.file_uri: r.fetch_ms for r in space.events("ingestion_events").collect()}
+    assert all(ms is not None and ms < 5000 for ms in events.values())
