@@ -13,7 +13,8 @@ character ranges of the loss mask.
 
 Turns are ordered by ``turn`` (null first), then role, then text; equal rows are all
 kept.  A null text is an empty one, a null role an empty role; a null ``conv_id`` is
-a conversation of its own.  Other columns are ignored.
+a conversation of its own.  A text of any length is one segment of a part.  No turns
+give no conversations.  Other columns are ignored.
 """
 
 from __future__ import annotations

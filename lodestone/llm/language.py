@@ -8,8 +8,10 @@ is solved in it, and a batch of texts is scored by two matrix products: n-gram
 presence times landmarks, kernel values times coefficients.
 
 A null text, or one without a letter, is ``und`` with score 0.  Of equal scores the
-alphabetically first language wins.  Rows that repeat an id are judged one by one.
-Other columns are ignored.
+alphabetically first language wins.  Rows that repeat an id are judged one by one,
+and one of them is learned from.  Texts of any length are judged whole.  No documents
+give no predictions; without labelled ones every text is ``und``.  Other columns are
+ignored.
 """
 
 from __future__ import annotations

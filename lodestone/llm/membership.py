@@ -37,6 +37,13 @@ def _flagged(rows: DataFrame, id_: Column, ids: DataFrame, flag: str) -> DataFra
     return joined.select(*rows.columns, F.coalesce(F.col(bits).bitwiseAND(_bit(id_)) != 0, F.lit(False)).alias(flag))
 
 
+def outside_and_maybe(rows: DataFrame, id_: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are certainly not in ``ids(id)``, and the others, by the bitmap."""
+    flag = free_name(rows, "maybe")
+    flagged = _flagged(rows, F.col(id_), ids, flag)
+    return flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
+
+
 def with_ids(rows: DataFrame, id_: str, ids: DataFrame, few: int | None = None) -> DataFrame:
     """Rows that may be in the stored table ``ids(id)``: all that are, and no others while the set is small."""
     if ids.count() <= (FEW if few is None else few):
@@ -52,8 +59,5 @@ def without_ids(rows: DataFrame, id_: str, ids: DataFrame, few: int | None = Non
     named = ids.toDF(name)
     if ids.count() <= (FEW if few is None else few):
         return rows.join(F.broadcast(named), F.col(id_) == F.col(name), "left_anti")
-    flag = free_name(rows, "maybe")
-    flagged = _flagged(rows, F.col(id_), ids, flag)
-    sure = flagged.where(~F.col(flag)).drop(flag)
-    maybe = flagged.where(F.col(flag)).drop(flag)
+    sure, maybe = outside_and_maybe(rows, id_, ids)
     return sure.unionByName(maybe.join(named, F.col(id_) == F.col(name), "left_anti"))

@@ -10,8 +10,10 @@ White space is part of a piece only at its front, so the best path of a text is
 the best paths of its space-led segments end to end; segments repeat and are
 solved once per worker.  A vocabulary with other pieces is solved text by text.
 
-A null text gives null ids and an empty one none.  Ids are for any column named by
-the caller; other columns are kept.
+A null text gives null ids and an empty one none; a text of any length is encoded
+whole.  The piece mark U+2581 in a text is read back as a space.  Rows are encoded
+one by one, also repeated ones; no rows give no rows.  Ids are for any column named
+by the caller; other columns are kept.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ fail: rates of small hosts are drawn towards the corpus by a beta prior fitted t
 all hosts, and every document of a host above the limit is refused.
 
 Null text is a text without words.  A null host is no host: its documents stand
-on their own rules.  Rows with a repeated ``doc_id`` are judged one by one.  Other
-columns are ignored by :func:`base_metrics` and kept by :func:`passing_documents`.
+on their own rules.  Rows with a repeated ``doc_id`` are judged one by one.  Texts
+of any length are counted whole.  No documents give no verdicts, and no host rates.
+Other columns are ignored by :func:`base_metrics` and kept by
+:func:`passing_documents`.
 """
 
 from __future__ import annotations

@@ -16,8 +16,11 @@ its trigger.  The distinct phrases with the bytes under their strings are the
 
 The parse order is ``doc_id`` (null first), then start.  Rows that repeat an id are
 ordered by text.  A null text is empty and loses nothing; texts under 100 bytes
-lose nothing either.  Other columns are ignored by :func:`removed_spans` and kept
-by :func:`without_repeats`.
+lose nothing either.  Texts of any length are parsed whole.  No rows give no rows.
+Strings of 100 bytes are told apart by 64-bit hashes; bytes are not compared again.
+A null or repeated id makes the whole corpus be ordered and stored once more.
+Other columns are ignored by :func:`removed_spans` and kept by
+:func:`without_repeats`.
 """
 
 from __future__ import annotations

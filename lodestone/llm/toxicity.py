@@ -6,8 +6,10 @@ gradient descent on the likelihood of the document labels alone, over a bounded
 sample, and the fitted sentence scores then locate the offending sentences.
 
 A null text is an empty one; a text without words scores 0.  Rows that repeat an id
-are scored one by one; conflicting labels of an id count as toxic.  Other columns
-are ignored.
+are scored one by one; conflicting labels of an id count as toxic, and one row of a
+repeated id is learned from.  Texts of any length are scored whole.  Sentences end at
+the stops of any script.  No documents give no scores; without labels of both kinds
+every score is 0.  Other columns are ignored.
 """
 
 from __future__ import annotations

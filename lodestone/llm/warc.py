@@ -12,8 +12,8 @@ table, which Spark commits once, are ever read.
 
 A null payload is an empty one, a null URL an empty one; line breaks in a URL are
 percent-encoded.  Of equal payloads the row with the smallest ``page_id`` is the
-response (null last); rows that repeat its id are responses too.  Other columns
-are ignored.
+response (null last); rows that repeat its id are responses too.  A payload of any
+length is one record.  No pages give no archive.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.membership import FEW, outside_and_maybe
 from lodestone.session import work_path
 
 # Fixed values of the formats.
@@ -169,7 +170,9 @@ def with_first_pages(pages: DataFrame) -> DataFrame:
 
     Payloads are compared by SHA-1 and length.  Digests are grouped with map-side
     combining and come back by page id, so a payload that a third of all pages
-    share is never brought together.
+    share is never brought together.  The pages that repeat a payload are stored, and
+    sent to all pages while they are few; of more, only pages that a bitmap of
+    their ids lets through are shuffled.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -182,7 +185,14 @@ def with_first_pages(pages: DataFrame) -> DataFrame:
     again = again.where("page_id IS NULL OR page_id != first").distinct()
     again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("length").alias("_length"), "first")
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("length") == F.col("_length"))
-    return rows.join(again, same, "left").drop("_page", "_digest", "_length", "length")
+    path = work_path(pages.sparkSession, "warc-again")
+    again.write.parquet(path)
+    again = pages.sparkSession.read.schema(again.schema).parquet(path)
+    kept = ["page_id", "url", "payload", "digest", "first"]
+    if again.count() <= FEW:
+        return rows.join(F.broadcast(again), same, "left").select(*kept)
+    sure, maybe = outside_and_maybe(rows, "page_id", again.select(F.col("_page").alias("id")))
+    return sure.withColumn("first", F.lit(None).cast("long")).select(*kept).unionByName(maybe.join(again, same, "left").select(*kept))
 
 
 def _examples(pages: DataFrame) -> list[bytes]:

@@ -198,6 +198,21 @@ def test_a_task_begins_a_new_archive_when_one_is_full(spark, monkeypatch, tmp_pa
     assert sorted(read) == sorted(bodies)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_first_pages_of_few_and_many_repeats(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
+    html = ["a", "b", "a", None, "", "c", "a", "b"] * 5 + [f"own {i}" for i in range(60)]
+    rows = [(None if i == 17 else i, "u", h) for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    wanted = sorted((-1 if i is None else i, h or "", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows)
+    got = [(-1 if r.page_id is None else r.page_id, bytes(r.payload).decode(), r.first) for r in warc.with_first_pages(pages).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_archives_are_read_by_as_many_tasks(spark, tmp_path):
     pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").repartition(5)
     manifest = warc.write_archives(pages, f"file://{tmp_path}")
