@@ -103,8 +103,8 @@ def _streamed_checks(spark, sf) -> DataFrame:
 
 
 CHECKS_SQL = """WITH named AS (
-    SELECT 'c' || (user_id % 7) AS collection_id, (user_id % 7 + 1) * 43200000 AS every_ms, epoch_ms(min(ts)) AS first_ms FROM events GROUP BY ALL),
-  upto AS (SELECT epoch_ms(max(ts)) - 3600000 AS now_ms FROM events)
+    SELECT 'c' || (user_id % 7) AS collection_id, (user_id % 7 + 1) * 43200000 AS every_ms, epoch_us(min(ts)) // 1000 AS first_ms FROM events GROUP BY ALL),
+  upto AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS now_ms FROM events)
   SELECT collection_id, first_ms + k * every_ms AS due_ms
   FROM (SELECT *, unnest(range(1, CAST((now_ms - first_ms) // every_ms AS BIGINT) + 1)) AS k FROM named, upto)"""
 

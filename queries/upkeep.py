@@ -47,7 +47,7 @@ def nested_orders(spark, sf) -> DataFrame:
     """A customer's orders as one JSON array, each order with the list of its lines."""
     line = F.struct(
         F.col("l_linenumber").alias("at"),
-        F.struct(F.col("l_quantity").alias("qty"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), F.lit("").alias("note")).alias("it"),
+        F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.lit("").alias("note")).alias("it"),
     )
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("ls"))
     held = table(spark, sf, "orders").join(lines, "o_orderkey", "left")
@@ -66,7 +66,7 @@ NESTED_SQL = f"""WITH lines AS (
     SELECT l_orderkey, string_agg(
       'lines.' || i || '.part: ' || l_partkey || chr(10) || 'lines.' || i || '.price: ' || {_SHOWN.format('l_extendedprice')}
       || chr(10) || 'lines.' || i || '.qty: ' || {_SHOWN.format('l_quantity')} || chr(10), '' ORDER BY i) AS t
-    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem) GROUP BY 1)
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i FROM lineitem) GROUP BY 1)
   SELECT CAST(o_custkey AS VARCHAR) AS document_id,
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS unit_index,
          'is.final: ' || CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END || chr(10) || 'is.status: ' || o_orderstatus || chr(10)
