@@ -221,7 +221,8 @@ class CellJoin:
     def _sent(self, limit: DataFrame | None) -> DataFrame:
         """``cell, share, query_id, vector``: where queries go; at first, or once the k-th distance is known."""
         pivots, radius, counts, shares, k = self.pivots, self.radius, self.counts, self.shares, self.k
-        rows = self.asked.withColumn("limit", F.lit(None).cast("double")) if limit is None else self.asked.join(limit, "query_id", "left")
+        later = limit is not None
+        rows = self.asked.join(limit, "query_id", "left") if later else self.asked.withColumn("limit", F.lit(None).cast("double"))
 
         def send(batches):
             for batch in batches:
@@ -233,7 +234,7 @@ class CellJoin:
                 order = np.argsort(least, axis=1, kind="stable")
                 before = np.cumsum(counts[order], axis=1) - counts[order]
                 wanted = (before < k) & (counts[order] > 0)
-                if limit is not None:
+                if later:
                     most = batch["limit"].to_numpy(float)[good][:, None]
                     near = np.take_along_axis(least, order, axis=1)
                     # Distances to pivots lose digits in their product form: a cell within rounding is asked too.
