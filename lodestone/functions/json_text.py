@@ -22,7 +22,9 @@ EXACT_DIGITS = 15
 
 def nesting(text: Column) -> Column:
     """How deep the brackets outside strings are nested."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    brackets = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
+    # Neighbours that hold nothing are as deep as one of them.
+    brackets = F.regexp_replace(brackets, r"(?:\{\}|\[\])++", "[]")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -48,9 +50,8 @@ def plain_digits(number: Column) -> Column:
     return F.when(number == 0, "0").when(shown.contains("E"), exponent).otherwise(F.regexp_replace(shown, r"\.0$", ""))
 
 
-def _number(value: Column) -> Column:
+def _number(value: Column, decimal: Column) -> Column:
     """A number as a double prints; decimals of few digits are told by their own."""
-    decimal = F.try_variant_get(value, "$", "string")
     written = F.when(decimal.contains("."), F.regexp_replace(decimal, r"\.?0+$", "")).otherwise(decimal)
     digits = F.length(F.regexp_replace(F.regexp_replace(written, r"[-.]", ""), "^0+", ""))
     plain = ~decimal.contains("E") & (digits <= EXACT_DIGITS)
@@ -59,29 +60,36 @@ def _number(value: Column) -> Column:
 
 
 def _scalar(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(kind == "VOID", "")
-        .otherwise(_number(value))
-    )
+    """The text of a scalar; numbers that are short as they stand take no regular expression."""
+
+    def told(kind: Column, text: Column) -> Column:
+        short = (F.length(text) <= EXACT_DIGITS) & ~text.contains("E")
+        return (
+            F.when(kind.isin("STRING", "BOOLEAN"), text)
+            .when(kind == "VOID", "")
+            .when(short & (kind == "BIGINT"), text)
+            .when(short & kind.startswith("DECIMAL") & text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")))
+            .otherwise(_number(value, text))
+        )
+
+    # Only scalars get here: of a container the schema would be made from all that is in it.
+    return let(F.schema_of_variant(value), lambda kind: let(F.try_variant_get(value, "$", "string"), lambda text: told(kind, text)))
 
 
 def _children(node: Column) -> Column:
     """The node's members or elements one level down, or the node itself."""
-    members = F.map_entries(F.try_variant_get(node["value"], "$", "map<string, variant>"))
-    elements = F.try_variant_get(node["value"], "$", "array<variant>")
 
     def below(n: Column, key: Column, value: Column) -> Column:
         path = F.when(node["path"] == "", key).otherwise(F.concat(node["path"], F.lit("."), key))
         place = F.concat(node["place"], F.array(F.struct(n.cast("bigint").alias("n"), key.alias("key"))))
         return F.struct(place.alias("place"), path.alias("path"), value.alias("value"))
 
+    # A value of another kind is NULL as a map or an array.
+    members = F.map_entries(F.try_variant_get(node["value"], "$", "map<string, variant>"))
+    elements = F.try_variant_get(node["value"], "$", "array<variant>")
     of_object = F.transform(members, lambda m: below(F.lit(0), m["key"], m["value"]))
     of_array = F.transform(elements, lambda v, i: below(i, i.cast("string"), v))
-    kind = F.substring(F.schema_of_variant(node["value"]), 1, 6)
-    return F.when(kind == "OBJECT", of_object).when(kind == "ARRAY<", of_array).otherwise(F.array(node)).cast(NODES)
+    return F.coalesce(of_object, of_array, F.array(node))
 
 
 def element_lines(value: Column, levels: Column) -> Column:
@@ -91,7 +99,7 @@ def element_lines(value: Column, levels: Column) -> Column:
     step = lambda nodes, _: F.flatten(F.transform(nodes, _children))
     nodes = F.aggregate(F.sequence(F.lit(1), levels), start, step)
     told = F.transform(nodes, lambda n: F.struct(n["place"].alias("place"), n["path"].alias("path"), _scalar(n["value"]).alias("text")))
-    told = F.array_sort(F.filter(told, lambda n: F.coalesce(n["text"], F.lit("")) != ""))
+    told = F.sort_array(F.filter(told, lambda n: F.coalesce(n["text"], F.lit("")) != ""))
     return F.array_join(F.transform(told, lambda n: F.concat(n["path"], F.lit(": "), n["text"])), "\n")
 
 
@@ -101,10 +109,11 @@ def parsed_json(text: Column) -> Column:
 
 def json_texts(text: Column, value: Column) -> Column:
     """The texts of a file's elements (of the whole file, if it is no array), empty ones left out."""
-    elements = F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
-    elements = F.coalesce(elements, F.array(value))
-    of = lambda levels: F.transform(elements, lambda e: trim_unicode(element_lines(e, levels)))
-    return F.filter(let(F.greatest(nesting(text), F.lit(1)), of), lambda t: t != "")
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    # The elements of an array are one level down already; a step too many would look at every scalar once more.
+    below = nesting(text) - F.when(F.substring(F.ltrim(text), 1, 1) == "[", 1).otherwise(0)
+    of = lambda levels: F.transform(F.coalesce(listed, F.array(value)), lambda e: trim_unicode(element_lines(e, levels)))
+    return F.filter(let(F.greatest(below, F.lit(1)), of), lambda t: t != "")
 
 
 def json_error(text: Column, value: Column) -> Column:

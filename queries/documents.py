@@ -24,8 +24,9 @@ OFFICE = "application/vnd.openxmlformats-officedocument."
 DOCX, PPTX, XLSX = (OFFICE + s for s in ("wordprocessingml.document", "presentationml.presentation", "spreadsheetml.sheet"))
 
 
-def as_files(rows: DataFrame, key: str, mime: str, content: Column) -> DataFrame:
-    return spread(rows, key).select(
+def as_files(rows: DataFrame, key: str, mime: str, content: Column, grouped: bool = False) -> DataFrame:
+    """``grouped`` rows come out of a shuffle and are dealt already; to count their splits would run it."""
+    return (rows if grouped else spread(rows, key)).select(
         F.col(key).cast("string").alias("document_id"), F.lit(mime).alias("mime_type"), content.cast("binary").alias("content")
     )
 

@@ -33,14 +33,14 @@ def _joined(rows: DataFrame, key: str, order: str, text, separator: str) -> Data
 
 def talk_files(spark, sf) -> DataFrame:
     """A conversation as a text file, its turns set apart by empty lines."""
-    return as_files(_joined(table(spark, sf, "conversations"), "conv_id", "turn", F.col("text"), "\n\n"), "key", "text/plain", F.col("body"))
+    return as_files(_joined(table(spark, sf, "conversations"), "conv_id", "turn", F.col("text"), "\n\n"), "key", "text/plain", F.col("body"), grouped=True)
 
 
 def order_files(spark, sf) -> DataFrame:
     """A customer's orders as one CSV file."""
     row = F.concat(F.col("o_orderkey"), F.lit(', "'), F.col("o_orderpriority"), F.lit('"'))
     body = _joined(table(spark, sf, "orders"), "o_custkey", "o_orderkey", row, "\n")
-    return as_files(body, "key", "text/csv", F.concat(F.lit("key,priority\n"), F.col("body"), F.lit("\n")))
+    return as_files(body, "key", "text/csv", F.concat(F.lit("key,priority\n"), F.col("body"), F.lit("\n")), grouped=True)
 
 
 def nested_orders(spark, sf) -> DataFrame:
@@ -58,7 +58,7 @@ def nested_orders(spark, sf) -> DataFrame:
         F.col("o_totalprice").alias("total"),
     )
     listed = held.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order.alias("o")))).alias("os"))
-    return as_files(listed, "o_custkey", "application/json", F.to_json(F.transform("os", lambda x: x["o"])))
+    return as_files(listed, "o_custkey", "application/json", F.to_json(F.transform("os", lambda x: x["o"])), grouped=True)
 
 
 _SHOWN = "regexp_replace(CAST(CAST({} AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '')"
@@ -78,7 +78,7 @@ def order_records(spark, sf) -> DataFrame:
     """A customer's orders as the records of one XML file."""
     record = F.concat(F.lit("<order><key>"), F.col("o_orderkey"), F.lit("</key><is><status>"), F.col("o_orderstatus"), F.lit("</status></is></order>"))
     body = _joined(table(spark, sf, "orders"), "o_custkey", "o_orderkey", record, "")
-    return as_files(body, "key", "application/xml", F.concat(F.lit("<list>"), F.col("body"), F.lit("</list>")))
+    return as_files(body, "key", "application/xml", F.concat(F.lit("<list>"), F.col("body"), F.lit("</list>")), grouped=True)
 
 
 TALKS = "(SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)"
@@ -110,7 +110,7 @@ def section_files(spark, sf) -> DataFrame:
     """A conversation as a Markdown file with a section for each turn."""
     turn = F.concat(F.lit("## "), "role", F.lit("\n"), "text")
     body = _joined(table(spark, sf, "conversations"), "conv_id", "turn", turn, "\n\n")
-    return as_files(body, "key", "text/markdown", F.concat(F.lit("# Talk "), F.col("key"), F.lit("\n\n"), F.col("body")))
+    return as_files(body, "key", "text/markdown", F.concat(F.lit("# Talk "), F.col("key"), F.lit("\n\n"), F.col("body")), grouped=True)
 
 
 def _sections(spark, sf) -> DataFrame:

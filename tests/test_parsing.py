@@ -211,3 +211,23 @@ def test_json_needs_no_python(spark):
     assert [r.units[0].text for r in rows.collect()] == [": 1"]
     for broken in ("{bad", "", "[1", "nul"):
         assert parse(spark, "application/json", broken)[2].startswith("JSONDecodeError")
+
+
+def test_grouped_files_are_not_built_twice(spark, sf):
+    """Counting the splits of grouped rows would run their shuffles before the query does."""
+    from queries import upkeep
+
+    for build, tables in ((upkeep.nested_orders, 2), (upkeep.order_files, 1), (upkeep.talk_files, 1)):
+        spark.sparkContext.setJobGroup(build.__name__, "")
+        build(spark, sf)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(build.__name__)) <= tables  # a footer each
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_json_looks_for_containers_without_schemas(spark):
+    """A schema of a container is made from all that it holds; only scalars are asked for theirs."""
+    from lodestone.functions import json_text
+
+    nested = "[" * 3 + '{"a": [{"b": 100.50}, "\\"[[[", -0.0, 12, 1e3]}]' + "]" * 2
+    assert texts(spark, "application/json", nested) == ['0.0.a.0.b: 100.5\n0.0.a.1: "[[[\n0.0.a.2: 0\n0.0.a.3: 12\n0.0.a.4: 1000']
+    assert str(json_text.json_texts(F.col("t"), F.col("v"))).count("schema_of_variant") == 1
