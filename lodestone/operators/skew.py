@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Largest lookup side that is sent whole to every executor.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+KEY_ROWS = 1_000_000  # of nothing but short keys; the bytes are bounded as well
 
 
 def fits_broadcast(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.skew import KEY_ROWS, fits_broadcast
 from lodestone.schemas import CHUNKS
 from lodestone.sources import files
 from lodestone.sources.snapshots import Manifest, SnapshotTable
@@ -69,15 +70,22 @@ class ChunkStore(SnapshotTable):
         base = base or self.manifest()
         touched = self.touched(documents)
         held, named = self.read(touched, base), documents.select("document_id").distinct()
-        others = held.join(named, "document_id", "left_anti")
         words = self._index_change(base, named, held.join(named, "document_id", "left_semi"), rows)
-        return self.commit(others.select(*self.schema.fieldNames()).unionByName(rows), touched, base, text_index=words)
+        return self._without(held, named, rows, touched, base, words)
+
+    def _without(self, held: DataFrame, keys: DataFrame, rows: DataFrame | None, touched: list[int], base: Manifest, words: dict | None) -> Manifest:
+        """Publish ``held`` less the rows of ``keys``, and ``rows``; only where the keys are many is ``held`` shuffled."""
+        few = fits_broadcast(keys, KEY_ROWS)
+        others = held.join(F.broadcast(keys) if few else keys, keys.columns, "left_anti").select(*self.schema.fieldNames())
+        if few:
+            return self.commit(rows, touched, base, text_index=words, held=others)
+        return self.commit(others if rows is None else others.unionByName(rows), touched, base, text_index=words)
 
     def append(self, rows: DataFrame) -> Manifest:
         base = self.manifest()
         touched = self.touched(rows)
         words = self._index_change(base, None, None, rows)
-        return self.commit(self.read(touched, base).unionByName(rows), touched, base, text_index=words)
+        return self.commit(rows, touched, base, text_index=words, held=self.read(touched, base))
 
     def delete_documents(self, documents: DataFrame) -> Manifest:
         return self.replace_documents(documents, self.spark.createDataFrame([], self.schema))
@@ -87,11 +95,11 @@ class ChunkStore(SnapshotTable):
         base = self.manifest()
         touched = self.touched(ids)
         held = self.read(touched, base)
-        kept = held.join(ids.select("document_id", "id").distinct(), ["document_id", "id"], "left_anti")
+        lost = ids.select("document_id", "id").distinct()
         named = ids.select("document_id").distinct()
         of_named = lambda rows: rows.join(named, "document_id", "left_semi")
-        words = self._index_change(base, named, of_named(held), of_named(kept))
-        return self.commit(kept, touched, base, text_index=words)
+        words = self._index_change(base, named, of_named(held), of_named(held.join(lost, ["document_id", "id"], "left_anti")))
+        return self._without(held, lost, None, touched, base, words)
 
     def update_document(self, document_id: str, changes: dict[str, Column | None]) -> Manifest:
         """Set columns on every chunk of a document; None sets NULL, absent columns stay."""

@@ -12,6 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,21 +72,27 @@ class SnapshotTable:
 
     def commit(
         self,
-        rows: DataFrame,
+        rows: DataFrame | None,
         touched: Iterable[int] | None = None,
         base: Manifest | None = None,
         schema_version: int | None = None,
         text_index: dict | None = None,
+        held: DataFrame | None = None,
     ) -> Manifest:
         """Publish ``rows`` as the whole content of the touched buckets (all by default).
 
+        ``held`` are further rows that come from the table's own files: each file has
+        one bucket, so they are written where they are read and not shuffled.
         ``base`` is the manifest the rows were computed from.  A ``text_index`` is
         published with them; without one that of ``base`` stays.
         """
         base = base or self.manifest()
         folder = f"commit={base.version + 1}-{uuid.uuid4().hex[:8]}"
         target = f"{self.path}/data/{folder}"
-        writer = rows.select(*self.schema.fieldNames(), self.bucket().alias("bucket")).hint("rebalance", "bucket").write
+        placed = lambda some: some.select(*self.schema.fieldNames(), self.bucket().alias("bucket"))
+        sides = [placed(held)] if held is not None else []
+        sides += [placed(rows).hint("rebalance", "bucket")] if rows is not None else []
+        writer = reduce(DataFrame.unionByName, sides).write
         for column in self.indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(target)
@@ -102,17 +109,20 @@ class SnapshotTable:
             raise WriteConflict(f"version {new.version} of {self.path} was published by another writer")
         return new
 
-    def rewrite(self, change: Callable[[DataFrame], DataFrame], buckets: Iterable[int] | None = None) -> Manifest:
-        """Replace the content of some or all buckets by a function of it."""
+    def rewrite(self, change: Callable[[DataFrame], DataFrame], buckets: Iterable[int] | None = None, sized: bool = False) -> Manifest:
+        """Replace the content of some or all buckets by a function of it; ``sized``: into well-sized files, by a shuffle."""
         base = self.manifest()
         chosen = list(base.folders) if buckets is None else list(buckets)
         if not chosen:
             return base
-        return self.commit(change(self.read(chosen, base)), chosen, base)
+        rows = change(self.read(chosen, base))
+        if sized:
+            return self.commit(rows, chosen, base)
+        return self.commit(None, chosen, base, held=rows)
 
     def compact(self) -> Manifest:
         """Rewrite every bucket into well-sized files."""
-        return self.rewrite(lambda rows: rows)
+        return self.rewrite(lambda rows: rows, sized=True)
 
     def migrate(self, steps: dict[int, Callable[[DataFrame], DataFrame] | None]) -> int:
         """Apply the steps above the stored schema version, in order and without gaps.
