@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.binding import let
+
 # Unicode White_Space, the set both the expressions and the Python helpers trim.
 WHITESPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -62,6 +64,21 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def term_counts(words: Column) -> Column:
+    """Every distinct token of an array with its count: the runs of the sorted tokens, inside the row."""
+    ordered = F.sort_array(words)
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        counted = lambda s: F.transform(
+            s, lambda a, k: F.struct(F.get(t, a - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - a).alias("tf"))
+        )
+        return let(starts, counted)
+
+    # A sequence from 1 to 0 would count down.
+    return F.when(F.size(words) > 0, let(ordered, runs))
+
+
 def hash_api_key(plaintext: Column) -> Column:
     return F.sha2(plaintext, 256)
 

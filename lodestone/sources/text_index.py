@@ -24,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import term_counts, tokens
 from lodestone.operators.keyword import SCORE_DIGITS, bm25
 from lodestone.operators.ranking import top_per_group
-from lodestone.operators.skew import fits_broadcast, lookup_join
+from lodestone.operators.skew import KEY_ROWS, fits_broadcast, lookup_join
 from lodestone.session import work_path
 from lodestone.sources.files import delete
 
@@ -35,6 +35,7 @@ BLOCK = 1024  # chunks of a block, about
 FIRST_BLOCKS = 4  # scored before the bounds are used, for each query
 LITERALS = 1000  # terms or blocks named in a filter, at most; more are joined
 MERGE_AFTER = 16  # deltas
+TERM_PARTS = 4  # tasks that share a term folder
 BUCKET_ROWS = 500_000  # postings of a term folder, about; a delta has 256 folders at most
 
 POSTING = "struct<id: string, document_id: string, tf: int, length: int>"
@@ -62,8 +63,8 @@ class IndexState:
         return IndexState(tuple((n, f, b) for n, f, b in stored["deltas"]), stored["chunks"], stored["tokens"])
 
 
-def _term_bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+def _term_bucket(buckets: int, term: Column | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.col("term") if term is None else term), F.lit(buckets)).cast("int")
 
 
 def _length_class(length: Column) -> Column:
@@ -90,7 +91,7 @@ class TextIndex:
             gone, minus = self._counted(old)
         buckets = self._write_postings(number, folder, added) if added is not None else 1
         if gone is not None:
-            lost = gone.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", _term_bucket(buckets))
+            lost = gone.select(F.explode("terms").alias("t")).groupBy("t.term").agg(F.count("*").alias("df")).withColumn("bucket", _term_bucket(buckets))
             lost.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(
                 self._folder("gone", number, folder)
             )
@@ -104,43 +105,48 @@ class TextIndex:
         return f"{self.path}/{kind}/delta={number}-{folder}"
 
     def _counted(self, chunks: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-        """``id, document_id, length, term, tf`` of the chunks, with their number and tokens; each text is split once."""
+        """``id, document_id, length, terms`` of the chunks, with their number and tokens; each text is split and counted in its row."""
         words = chunks.select("id", "document_id", tokens(F.col("chunk_text")).alias("tokens"))
-        path = work_path(self.spark, "index-tokens")
-        words.write.parquet(path)
-        words = self.spark.read.schema(words.schema).parquet(path)
-        totals = words.agg(F.count("*").alias("n"), F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("t")).first()
-        listed = words.select("id", "document_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        counted = listed.groupBy("id", "document_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        # The tokens are bound by a column of their own: a filter or a second use would split the text again.
+        counted = words.select("id", "document_id", F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("terms"))
         stored = work_path(self.spark, "index-counts")
         counted.write.parquet(stored)
-        delete(self.spark, path)
-        return self.spark.read.schema(counted.schema).parquet(stored), (totals.n, totals.t or 0)
+        counted = self.spark.read.schema(counted.schema).parquet(stored)
+        totals = counted.agg(F.count("*").alias("n"), F.sum(F.greatest("length", F.lit(0))).alias("t")).first()
+        return counted, (totals.n, totals.t or 0)
 
-    def _write_postings(self, number: int, folder: str, postings: DataFrame) -> int:
-        """Cut ``id, document_id, length, term, tf`` into blocks; the number of term folders."""
-        sized = postings.withColumn("class", _length_class(F.col("length")))
+    def _write_postings(self, number: int, folder: str, counted: DataFrame) -> int:
+        """Cut ``id, document_id, length, terms`` into blocks; the number of term folders."""
+        sized = counted.where(F.size("terms") > 0).withColumn("class", _length_class(F.col("length")))
         # Lengths have few classes (four for each power of two).
-        classes = sized.groupBy("class").agg(F.approx_count_distinct("id").alias("chunks"), F.count("*").alias("n"))
-        path = work_path(self.spark, "index-classes")
-        classes.write.parquet(path)
-        classes = self.spark.read.parquet(path)
-        buckets = max(1, min(256, (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
-        shares = F.broadcast(classes.select("class", F.ceil(F.col("chunks") / BLOCK).cast("long").alias("shares")))
+        classes = sized.groupBy("class").agg(F.count("*").alias("chunks"), F.sum(F.size("terms")).alias("n")).collect()
+        buckets = max(1, min(256, sum(c.n for c in classes) // BUCKET_ROWS))
+        shares = [(c["class"], -(-c.chunks // BLOCK)) for c in classes]
+        shares = F.broadcast(self.spark.createDataFrame(shares, "class int, shares long"))
         block = F.shiftleft(F.col("class").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.col("shares"))
+        listed = sized.join(shares, "class").withColumn("block", block)
+        listed = listed.select("id", "document_id", "length", "block", F.explode("terms").alias("t"))
+        parts = listed.select(
+            _term_bucket(buckets, F.col("t.term")).alias("bucket"),
+            # A term that most chunks hold is met in several tasks; its blocks stay whole.
+            F.pmod(F.xxhash64("block"), F.lit(TERM_PARTS)).alias("part"),
+            F.col("t.term").alias("term"),
+            "block",
+            F.struct("id", "document_id", F.col("t.tf").alias("tf"), "length").alias("p"),
+        )
+        # One shuffle: what is dealt by folder and part is grouped, sorted and written where it lies.
         blocks = (
-            sized.join(shares, "class")
-            .select("term", block.alias("block"), F.struct("id", "document_id", "tf", "length").alias("p"))
-            .groupBy("term", "block")
+            parts.repartition("bucket", "part")
+            .groupBy("bucket", "part", "term", "block")
             .agg(
                 F.count("*").alias("n"),
                 F.max("p.tf").alias("most_tf"),
                 F.min("p.length").alias("least_length"),
-                F.array_sort(F.collect_list("p")).alias("postings"),
+                F.sort_array(F.collect_list("p")).alias("postings"),
             )
-            .withColumn("bucket", _term_bucket(buckets))
+            .select("term", "block", "n", "most_tf", "least_length", "postings", "bucket")
         )
-        blocks = blocks.hint("rebalance", "bucket", "term").sortWithinPartitions("bucket", "term", "block")
+        blocks = blocks.sortWithinPartitions("bucket", "term", "block")
         blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(self._folder("postings", number, folder))
         return buckets
 
@@ -151,7 +157,8 @@ class TextIndex:
             return IndexState((), state.chunks, state.tokens)
         live = self._live(state, rows.select("delta", "term", F.explode("postings").alias("p")).select("delta", "term", "p.*"))
         path = work_path(self.spark, "index-live")
-        live.drop("delta").write.parquet(path)
+        terms = F.collect_list(F.struct("term", "tf")).alias("terms")
+        live.groupBy("id", "document_id", "length").agg(terms).write.parquet(path)
         number, folder = state.next_number, uuid.uuid4().hex[:12]
         buckets = self._write_postings(number, folder, self.spark.read.parquet(path))
         delete(self.spark, path)
@@ -192,7 +199,8 @@ class TextIndex:
         if dead is None:
             return postings
         dead = dead.groupBy("document_id").agg(F.max("since").alias("since"))
-        return lookup_join(postings, dead, ["document_id"], "left").where("since IS NULL OR delta >= since").drop("since")
+        small = fits_broadcast(dead, KEY_ROWS)
+        return lookup_join(postings, dead, ["document_id"], "left", small).where("since IS NULL OR delta >= since").drop("since")
 
     def search(self, state: IndexState, queries: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
         """``query_id, id, document_id, keyword_bm25_score, rank``: the best chunks of each ``(query_id, query_text)``, ties by id.
@@ -272,11 +280,14 @@ class _Search:
         named = keys.limit(LITERALS + 1).collect()
         if len(named) <= LITERALS:
             rows = rows.where(F.col("delta").isin(sorted({r.delta for r in named})) & F.col("block").isin(sorted({r.block for r in named})))
-        wanted = blocks.select("query_id", "delta", "block").join(self.weighted, "query_id")
-        hits = lookup_join(rows, wanted, ["delta", "block", "term"])
-        hits = hits.select("query_id", "delta", "df", F.explode("postings").alias("p")).select("query_id", "delta", "df", "p.*")
+        # A chunk's block is the same for all its terms: dealt by blocks, its score is added up where it lies.
+        askers = blocks.groupBy("delta", "block").agg(F.collect_set("query_id").alias("askers"))
+        rows = rows.repartition("delta", "block").join(askers, ["delta", "block"])
+        hits = lookup_join(rows, self.weighted, ["term"], small=self.few_terms).where(F.array_contains("askers", F.col("query_id")))
+        hits = hits.select("query_id", "delta", "block", "df", F.explode("postings").alias("p")).select("query_id", "delta", "block", "df", "p.*")
         hits = self.index._live(self.state, hits)
         if self.allowed is not None:
             hits = hits.join(self.allowed.select("id"), "id", "left_semi")
         total = F.round(F.sum(self._part(F.col("tf"), F.col("length"))), SCORE_DIGITS)
-        return hits.groupBy("query_id", "id", "document_id").agg(total.alias("keyword_bm25_score"))
+        scored = hits.groupBy("delta", "block", "query_id", "id", "document_id").agg(total.alias("keyword_bm25_score"))
+        return scored.drop("delta", "block")

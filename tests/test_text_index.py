@@ -139,3 +139,34 @@ def test_stores_without_an_index_search_their_texts(spark):
     found = search_stored(plain, "one", [1.0], SearchRequest(top_k=3)).collect()
     assert [r.id for r in found] == [r.id for r in search(plain.read(), "one", [1.0], SearchRequest(top_k=3)).collect()]
     assert keyword_search(plain.read(), "one", 3).count() == 1
+
+
+def test_terms_are_counted_in_the_row_and_dealt_once(spark, store):
+    """Writing postings takes one shuffle, scoring one by blocks; nothing is repeated over salts."""
+    rows = spark.createDataFrame([("", 0), ("one Two two, 2", 4), (None, -1)], "chunk_text string, n int").select(text_index.tokens(F.col("chunk_text")).alias("t"), "n")
+    counted = rows.select("n", text_index.term_counts(F.col("t")).alias("c"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    found = {r.n: {(p.term, p.tf) for p in r.c or ()} for r in counted.collect()}
+    assert found == {0: set(), 4: {("one", 1), ("two", 2), ("2", 1)}, -1: set()}
+    store.append(chunk_rows(spark, [(f"c{i}", f"d{i}", f"w{i} the end") for i in range(60)]))
+    asked = spark.createDataFrame([(1, "the w1"), (2, "end w2")], "query_id int, query_text string")
+    one = text_index._Search(store.words, store.index_state(), asked, 5, None)
+    one.result()
+    blocks = spark.createDataFrame([(1, 1, 0)], "query_id int, delta int, block long")
+    plan = one._scored(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan
+
+
+def test_held_rows_are_not_shuffled_by_a_commit(spark):
+    plain = ChunkStore(spark, work_path(spark, "held"), "c", buckets=3)
+    plain.append(chunk_rows(spark, [(f"c{i}", f"d{i}", "one two") for i in range(50)]))
+    before = {r.id for r in plain.read().collect()}
+    spark.sparkContext.setJobGroup("null-slot", "")
+    plain.null_slot("metadata_str_1")
+    status = spark.sparkContext.statusTracker()
+    stages = [s for j in status.getJobIdsForGroup("null-slot") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) == 1
+    assert {r.id for r in plain.read().collect()} == before
+    per_folder = {r.f for r in plain.read().select(F.regexp_extract(F.input_file_name(), "bucket=([0-9]+)", 1).alias("f")).distinct().collect()}
+    assert per_folder == {"0", "1", "2"}
