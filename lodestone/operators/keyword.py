@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import term_counts, tokens
 from lodestone.operators.ranking import top_per_group
 from lodestone.operators.skew import fits_broadcast, lookup_join
 from lodestone.session import work_path
@@ -85,25 +85,21 @@ class PostingLists:
 
 
 def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "chunk_text") -> PostingLists:
-    """Term counts per chunk.
+    """Term counts per chunk; a row is a chunk, and ids are unique.
 
-    The tokens of a chunk stay in its task, so the partial aggregate has already
-    merged them when (id, term) is shuffled, and no key is hot.
+    The tokens of a chunk are counted in its row, so nothing is shuffled and no task
+    keeps more than a chunk's terms.
     """
     words = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
-    words = words.withColumn("length", F.size("tokens"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    postings = (
-        # The outer form: for the inner one Spark adds a size filter that tokenizes twice.
-        words.select("id", "length", F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("id", "term", "length")
-        .agg(F.count("*").cast("int").alias("tf"))
-    )
-    return PostingLists(postings, corpus)
+    corpus = words.withColumn("length", F.size("tokens")).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    counted = words.select("id", F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("terms"))
+    # The outer form: for the inner one Spark adds a size filter that counts twice.
+    listed = counted.select("id", "length", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    return PostingLists(listed.select("id", "t.term", "length", "t.tf"), corpus)
 
 
 TERM_BUCKETS = 256
+TASK_PARTS = 4_000_000  # (query, chunk, term) parts of scores that a task adds up, about
 
 
 def _bucket(term: Column) -> Column:
@@ -155,6 +151,10 @@ def search_postings(lists: PostingLists, queries: DataFrame, limit: int, allowed
     # At most one row per asked term, so the same size check covers it.
     weighted = asked.join(frequency, "term")
     hits = postings if allowed is None else postings.join(allowed.select("id"), "id", "left_semi")
+    # A chunk's score is added up in one task, and a task has a bounded number of parts to add, however large the corpus.
+    if small:
+        parts = weighted.agg(F.sum("df").alias("parts")).first().parts or 0
+        hits = hits.repartition(max(queries.sparkSession.sparkContext.defaultParallelism, -(-parts // TASK_PARTS)), "id")
     corpus = lists.corpus.select(F.struct("n", "average")).scalar()
     matched = lookup_join(hits, weighted, ["term"], "inner", small)
     part = bm25(F.col("tf"), F.col("length"), corpus["n"], F.col("df"), corpus["average"])

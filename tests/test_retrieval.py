@@ -12,6 +12,7 @@ from lodestone.operators import knn as knn_module
 from lodestone.operators import skew
 from lodestone.operators.completion import ChatModel, EchoModel, complete_column
 from lodestone.operators.fusion import HybridSettings, fuse
+from lodestone.operators import keyword
 from lodestone.operators.keyword import build_postings, keyword_search, query_terms, read_index, search_postings, write_index
 from lodestone.operators.knn import knn, knn_batch
 from lodestone.plans.catalog import SYSTEM_PROMPTS
@@ -236,3 +237,16 @@ def test_cells_that_cannot_hold_a_neighbour_are_skipped(spark, monkeypatch):
             got, wanted = sorted(found[q])[:k], nearest(space, v, k)
             assert [i for _, i in got] == [i for _, i in wanted] and np.allclose([d for d, _ in got], [d for d, _ in wanted])
         assert join.shares.max() > 1 and (join.pruned() > 0.6 or k == 1000)
+
+
+def test_postings_take_no_shuffle_and_tasks_a_bounded_share(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the w{i % 7} w{i % 5} w{i % 5}") for i in range(200)], "id int, chunk_text string")
+    assert "Exchange" not in build_postings(docs).postings._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(q, f"the w{q}") for q in range(5)], "query_id int, query_text string")
+    shown = lambda: sorted(tuple(r) for r in search_postings(build_postings(docs), asked, 10).collect())
+    wanted = shown()
+    monkeypatch.setattr(keyword, "TASK_PARTS", 100)
+    plan = search_postings(build_postings(docs), asked, 10)._jdf.queryExecution().executedPlan().toString()
+    # 5 queries meet "the" 200 times and a word or two of their own: more than 1,000 parts to add.
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", plan)) > 10
+    assert shown() == wanted
