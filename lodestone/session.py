@@ -21,8 +21,10 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Of a member named twice in a JSON object the last counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Whole documents travel in Arrow batches: bound a batch by bytes as well as rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Whole documents travel in Arrow batches, and a reader's Python objects take many times their bytes:
+    # what a worker holds at once is bounded by both limits, whatever the size of its task.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

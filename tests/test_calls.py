@@ -99,3 +99,21 @@ def test_only_documents_with_refused_texts_fail(spark):
     assert kept == {"a": "first text of a", "b": "second text of b", "d": "new"}
     events = {r.document_id: r.status for r in report.events.collect()}
     assert events == {"a": "failed", "b": "complete", "d": "complete"}
+
+
+def test_arrow_batches_are_bounded_whatever_the_session_says(spark):
+    """A worker's memory follows from the batch, not from the task."""
+    import pyarrow as pa
+
+    from lodestone.session import apply_runtime_conf
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        apply_runtime_conf(spark)
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+        told = [r.n for r in spark.range(5000).repartition(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(told) == 5000 and max(told) <= 1000
+    finally:
+        spark.conf.set(key, before)
