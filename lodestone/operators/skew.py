@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Largest lookup side that is sent whole to every executor.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+TASKS_A_CORE = 4  # of rows that are dealt anew: the longest task is a small share of the work
 KEY_ROWS = 1_000_000  # of nothing but short keys; the bytes are bounded as well
 
 
@@ -46,4 +47,4 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     hide behind several empty splits.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores * TASKS_A_CORE, *keys) if rows.rdd.getNumPartitions() < cores else rows

@@ -117,3 +117,11 @@ def test_arrow_batches_are_bounded_whatever_the_session_says(spark):
         assert sum(told) == 5000 and max(told) <= 1000
     finally:
         spark.conf.set(key, before)
+
+
+def test_rows_dealt_anew_make_several_tasks_a_core(spark, sf):
+    from lodestone.operators.skew import spread
+
+    rows = spark.read.parquet(f"{sf}/orders.parquet").coalesce(1)
+    dealt = spread(rows, "o_orderkey")
+    assert dealt.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and dealt.count() == rows.count()
