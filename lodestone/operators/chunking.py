@@ -261,5 +261,9 @@ def explode_chunks(chunked: DataFrame, config: ChunkConfig, *keys: str) -> DataF
     """One row per chunk with its fingerprint."""
     # The outer form: for the inner one Spark adds a size filter that computes the chunks twice.
     rows = chunked.select(*keys, F.explode_outer("chunks").alias("c")).where(F.col("c").isNotNull()).select(*keys, "c.*")
+    return rows.withColumn("chunk_hash", chunk_fingerprint(config))
+
+
+def chunk_fingerprint(config: ChunkConfig) -> Column:
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
-    return rows.withColumn("chunk_hash", fingerprint(text, config.strategy, config.size, config.overlap))
+    return fingerprint(text, config.strategy, config.size, config.overlap)

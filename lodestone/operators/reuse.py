@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["document_id", "chunk_hash"]
 
 
-def with_stored_vectors(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+def with_stored_vectors(fresh: DataFrame, stored: DataFrame, hashed: Column, deal: str, tasks: int) -> DataFrame:
     """Add ``stored_vector``: the vector of an equal chunk of the same document.
 
-    Stored chunks are first reduced to one per key, so a repeated text cannot
-    multiply rows.  The hash is part of the key, so a huge document spreads over
-    all tasks; a text repeated within it is left to adaptive skew splitting,
-    which a left join allows on the fresh side.
+    One shuffle, by the column ``deal`` of both sides, after which rows can stay where
+    they are.  A deal holds all rows of a key, so a task finds a key's vectors among its
+    own rows, and a repeated text cannot multiply them.  ``hashed`` makes a fresh row's
+    hash anew behind the shuffle, which need not carry it.
     """
-    known = stored.groupBy(*KEY).agg(F.max_by("vector", "id").alias("stored_vector"))
-    return fresh.join(known, KEY, "left")
+    known = stored.select(deal, *KEY, F.col("vector").alias("_known"))
+    rows = fresh.drop("chunk_hash").withColumn("_fresh", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    rows = rows.repartition(tasks, deal).withColumn("chunk_hash", F.coalesce("chunk_hash", hashed))
+    # Equal texts have equal vectors; of several the largest is the same on every run.
+    vector = F.max("_known").over(Window.partitionBy(deal, *KEY))
+    return rows.withColumn("stored_vector", vector).where("_fresh").drop("_fresh", "_known")
 
 
 def to_embed(fresh: DataFrame, stored: DataFrame) -> DataFrame:

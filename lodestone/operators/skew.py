@@ -19,6 +19,21 @@ def fits_broadcast(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return seen.n <= limit and (seen.bytes or 0) <= BROADCAST_BYTES
 
 
+def without_keys(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` less those of ``keys``, and whether they stayed in the tasks that read them.
+
+    Where the keys are many, those that stay may be few; only where both are many
+    the rows are shuffled.  Key columns hold no nulls.
+    """
+    on = keys.columns
+    if fits_broadcast(keys, KEY_ROWS):
+        return rows.join(F.broadcast(keys), on, "left_anti"), True
+    staying = rows.select(*on).distinct().join(keys, on, "left_anti")
+    if fits_broadcast(staying, KEY_ROWS):
+        return rows.join(F.broadcast(staying), on, "left_semi"), True
+    return rows.join(keys, on, "left_anti"), False
+
+
 def lookup_join(
     large: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", small: bool | None = None, salts: int = 16
 ) -> DataFrame:

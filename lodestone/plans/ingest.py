@@ -7,23 +7,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.functions.metadata import MetadataField, with_slots
 from lodestone.functions.pricing import embed_cost
 from lodestone.functions.text import embedded_text, name_from_uri
 from lodestone.functions.vectors import l2_normalize
-from lodestone.operators.chunking import ChunkConfig, chunk_documents, explode_chunks
+from lodestone.operators.chunking import ChunkConfig, chunk_documents, chunk_fingerprint, explode_chunks
 from lodestone.operators.embedding import Embedder, embed_rows
 from lodestone.operators.parsing import parse_documents
 from lodestone.operators.reuse import with_stored_vectors
+from lodestone.operators.skew import KEY_ROWS, TASKS_A_CORE, fits_broadcast
 from lodestone.schemas import CHUNKS, INGESTION_EVENTS
 from lodestone.session import work_path
 from lodestone.sources.chunk_store import ChunkStore
-from lodestone.sources.files import delete
+from lodestone.sources.files import delete, list_dir
 
 CALLS_PER_SECOND = 10.0  # of a remote embedder, unless told otherwise
+# Of the chunks' work table: what a task takes of a large one, and the least that is worth a task.
+DEAL_BYTES, LEAST_BYTES = 16 * 1024 * 1024, 1024 * 1024
 CARRIED = ("document_id", "file_uri", "mime_type", "extra_json", "metadata", "external_id")
 
 
@@ -55,6 +58,19 @@ def chunked_documents(files: DataFrame, config: ChunkConfig) -> DataFrame:
     return chunk_documents(parsed, config)
 
 
+def _deals(spark, path: str, buckets: int) -> int:
+    """Among how many tasks the chunks of a work table are dealt: as many for each bucket, so a bucket gets as many files."""
+    size = sum(length for *_, length, _ in list_dir(spark, path))
+    cores = spark.sparkContext.defaultParallelism * TASKS_A_CORE
+    return buckets * max(1, -(-max(size // DEAL_BYTES, min(cores, size // LEAST_BYTES)) // buckets))
+
+
+def _deal(store: ChunkStore, deals: int) -> Column:
+    """The store's bucket, cut by the text: a huge document spreads over all deals of its bucket."""
+    cut = deals // store.buckets
+    return store.bucket() * F.lit(cut) + F.pmod(F.xxhash64("chunk_hash"), F.lit(cut)).cast("int")
+
+
 def ingest(
     files: DataFrame,
     store: ChunkStore,
@@ -80,19 +96,29 @@ def ingest(
 
     # Parsing is the expensive pass, and three consumers follow: it is done once, into a table.
     chunked_path = work_path(spark, "chunked")
-    chunked_documents(files, collection.chunking).write.parquet(chunked_path)
+    chunked_documents(files, collection.chunking).write.option("compression", "zstd").parquet(chunked_path)
     chunked = spark.read.parquet(chunked_path)
     outcome = chunked.drop("chunks", "extra_json", "metadata", "external_id")
     rows = explode_chunks(chunked, collection.chunking, *CARRIED)
     replaced = outcome.where(F.col("error").isNull()).select("document_id")
     touched = store.touched(replaced)
-    stored = store.read(touched, base).join(replaced, "document_id", "left_semi")
-
-    matched = with_stored_vectors(rows, stored)
+    stored = store.read(touched, base)
+
+    # Chunks move once: where they meet their stored vectors, their task also embeds and writes them.
+    deals = _deals(spark, chunked_path, store.buckets)
+    rows, hashed = rows.withColumn("_deal", _deal(store, deals)), chunk_fingerprint(collection.chunking)
+    if any(b in base.folders for b in touched):
+        # Where the documents are many, the matching itself passes over the rest.
+        wanted = stored.join(F.broadcast(replaced), "document_id", "left_semi") if fits_broadcast(replaced, KEY_ROWS) else stored
+        matched = with_stored_vectors(rows, wanted.withColumn("_deal", _deal(store, deals)), hashed, "_deal", deals)
+    else:
+        matched = rows.drop("chunk_hash").repartition(deals, "_deal")
+        matched = matched.withColumns({"chunk_hash": hashed, "stored_vector": F.lit(None).cast(CHUNKS["vector"].dataType)})
+    matched = matched.drop("_deal")
     metered = calls_per_second if not embedder.local else None
     if metered:  # two branches follow
         matched_path = work_path(spark, "matched")
-        matched.write.parquet(matched_path)
+        matched.write.option("compression", "zstd").parquet(matched_path)
         matched = spark.read.schema(matched.schema).parquet(matched_path)
     text = embedded_text(F.col("chunk_header"), F.col("chunk_text"))
     embedded = embed_rows(matched, F.when(F.col("stored_vector").isNull(), text), embedder, metered)
@@ -112,13 +138,12 @@ def ingest(
         F.coalesce("_call.embed_ms", F.lit(0)).alias("_embed_ms"),
         F.col("_call.error").alias("_error"),
     )
-    # Embedding costs money and ids are random: both happen once, into a table.
-    fresh_path = work_path(spark, "fresh-chunks")
+    # Embedding costs money and ids are random: both happen once, into the files that are published below.
     seen = Observation("ingest")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c.strip("_"))
     counted = fresh.observe(seen, F.count("*").alias("chunks"), total("_tokens"), total("_wait_ms"), total("_embed_ms"))
-    counted.write.parquet(fresh_path)
-    fresh = spark.read.parquet(fresh_path)
+    staged = store.stage(counted, dealt=not metered)
+    fresh = store.read_staged(staged, fresh.schema)
     loop_ms = int((time.monotonic() - started) * 1000)
     # A document with a refused text is not stored in part.
     refused = fresh.where(F.col("_error").isNotNull()).groupBy("document_id").agg(F.min_by("_error", "chunk_index").alias("_refused"))
@@ -134,7 +159,7 @@ def ingest(
         F.sum("_wait_ms").alias("wait_ms"),
         F.sum("_embed_ms").alias("embed_ms"),
     )
-    before = stored.groupBy("document_id").agg(F.count("*").alias("previous_chunks"))
+    before = stored.join(replaced, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("previous_chunks"))
     zero = F.lit(0)
     report = (
         outcome.join(counts, "document_id", "left")
@@ -143,17 +168,16 @@ def ingest(
         .withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(0) for c in ("chunk_count", "reused_chunks")})
         .withColumn("stale_chunks", F.when(F.col("error").isNull(), F.greatest(F.col("previous_chunks") - F.col("reused_chunks"), zero)).otherwise(zero))
         .withColumn("status", F.when(F.col("error").isNull(), "complete").otherwise("failed"))
-        .withColumn("name", F.coalesce("title", F.nullif(name_from_uri(F.col("file_uri")), F.lit(""))))
     )
     report_path = work_path(spark, "report")
-    report.write.parquet(report_path)
+    report.write.option("compression", "zstd").parquet(report_path)
     report = spark.read.parquet(report_path)
+    report = report.withColumn("name", F.coalesce("title", F.nullif(name_from_uri(F.col("file_uri")), F.lit(""))))
 
     store.index_ms, inserting = 0, time.monotonic()
-    stored_now = lambda rows: rows.join(refused, "document_id", "left_anti")
-    store.replace_documents(stored_now(replaced), stored_now(fresh).select(*CHUNKS.fieldNames()), base)
+    store.replace_staged(replaced.join(refused, "document_id", "left_anti"), staged, refused.select("document_id"), base)
     insert_ms = int((time.monotonic() - inserting) * 1000)
-    for path in (chunked_path, fresh_path, refused_path, *([matched_path] if metered else [])):
+    for path in (chunked_path, refused_path, *([matched_path] if metered else [])):
         delete(spark, path)
     total_ms = int((time.monotonic() - started) * 1000)
     events = _events(report, collection, embedder, intent, loop_ms, insert_ms - store.index_ms, store.index_ms, total_ms, stamp)

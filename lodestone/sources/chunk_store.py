@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import KEY_ROWS, fits_broadcast
+from lodestone.operators.skew import without_keys
 from lodestone.schemas import CHUNKS
 from lodestone.sources import files
 from lodestone.sources.snapshots import Manifest, SnapshotTable
@@ -74,13 +74,33 @@ class ChunkStore(SnapshotTable):
         return self._without(held, named, rows, touched, base, words)
 
     def _without(self, held: DataFrame, keys: DataFrame, rows: DataFrame | None, touched: list[int], base: Manifest, words: dict | None) -> Manifest:
-        """Publish ``held`` less the rows of ``keys``, and ``rows``; only where the keys are many is ``held`` shuffled."""
-        few = fits_broadcast(keys, KEY_ROWS)
-        others = held.join(F.broadcast(keys) if few else keys, keys.columns, "left_anti").select(*self.schema.fieldNames())
-        if few:
+        """Publish ``held`` less the rows of ``keys``, and ``rows``; only where dropped and kept keys are many is ``held`` shuffled."""
+        others, in_place = without_keys(held, keys)
+        others = others.select(*self.schema.fieldNames())
+        if in_place:
             return self.commit(rows, touched, base, text_index=words, held=others)
         return self.commit(others if rows is None else others.unionByName(rows), touched, base, text_index=words)
 
+    def replace_staged(self, documents: DataFrame, staged: str, refused: DataFrame, base: Manifest | None = None) -> Manifest:
+        """Swap all chunks of ``documents(document_id)`` for the staged rows, less those of the documents ``refused``.
+
+        Staged files are published as they are where nothing was refused; else each is
+        written again without its refused rows.  Other documents' rows of the same
+        buckets join them, file by file.
+        """
+        base = base or self.manifest()
+        if not refused.isEmpty():
+            kept, in_place = without_keys(self.read_staged(staged), refused)
+            first, staged = staged, self.stage(kept, dealt=in_place)
+            files.delete(self.spark, f"{self.path}/staged/{first}")
+        touched, rows = self.touched(documents), self.read_staged(staged)
+        held, named = self.read(touched, base), documents.select("document_id").distinct()
+        words = self._index_change(base, named, held.join(named, "document_id", "left_semi"), rows)
+        if any(b in base.folders for b in touched):
+            others, in_place = without_keys(held, named)
+            self.stage(others, in_place, staged)
+        return self.publish_staged(staged, touched, base, words)
+
     def append(self, rows: DataFrame) -> Manifest:
         base = self.manifest()
         touched = self.touched(rows)

@@ -61,6 +61,15 @@ def write_new(spark: SparkSession, path: str, content: str | bytes) -> bool:
     return True
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder within its file system to a path that does not exist yet."""
+    fs, p = _open(spark, source)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _open(spark, path)
     return fs.delete(p, True)

@@ -9,6 +9,7 @@ complete, and never both.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -21,6 +22,9 @@ from pyspark.sql import types as T
 from lodestone.sources import files
 
 
+STAGED_HOURS = 24.0 * 7  # a writer takes no longer between its first staged row and its manifest
+
+
 class WriteConflict(RuntimeError):
     """Another writer published first; read again and retry."""
 
@@ -88,21 +92,54 @@ class SnapshotTable:
         """
         base = base or self.manifest()
         folder = f"commit={base.version + 1}-{uuid.uuid4().hex[:8]}"
-        target = f"{self.path}/data/{folder}"
         placed = lambda some: some.select(*self.schema.fieldNames(), self.bucket().alias("bucket"))
         sides = [placed(held)] if held is not None else []
         sides += [placed(rows).hint("rebalance", "bucket")] if rows is not None else []
-        writer = reduce(DataFrame.unionByName, sides).write
+        self._write(reduce(DataFrame.unionByName, sides), f"{self.path}/data/{folder}")
+        return self._publish_folder(folder, touched, base, schema_version, text_index)
+
+    def _write(self, placed: DataFrame, target: str) -> None:
+        writer = placed.write.mode("append")
         for column in self.indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(target)
-        kept = {} if touched is None else {b: f for b, f in base.folders.items() if b not in set(touched)}
-        for name, *_ in files.list_dir(self.spark, target):
+
+    def _publish_folder(
+        self, folder: str, touched: Iterable[int] | None, base: Manifest, schema_version: int | None = None, text_index: dict | None = None
+    ) -> Manifest:
+        """Publish a folder of ``data`` as the whole content of the touched buckets."""
+        gone = set(base.folders) if touched is None else set(touched)
+        kept = {b: f for b, f in base.folders.items() if b not in gone}
+        for name, *_ in files.list_dir(self.spark, f"{self.path}/data/{folder}"):
             if name.startswith("bucket="):
                 kept[int(name.removeprefix("bucket="))] = folder
         version = base.schema_version if schema_version is None else schema_version
         return self._publish(Manifest(base.version + 1, version, kept, text_index or base.text_index))
 
+    def stage(self, rows: DataFrame, dealt: bool, folder: str | None = None) -> str:
+        """Write rows by bucket where no reader looks, to be published once they are known to be good; returns the folder.
+
+        Rows that are ``dealt`` already, a bucket or few to a task, are not shuffled.
+        Columns beyond the table's own are stored too, and readers pass over them.
+        """
+        folder = folder or f"staged-{uuid.uuid4().hex}"
+        placed = rows.withColumn("bucket", self.bucket())
+        self._write(placed if dealt else placed.hint("rebalance", "bucket"), f"{self.path}/staged/{folder}")
+        return folder
+
+    def read_staged(self, folder: str, schema: T.StructType | None = None) -> DataFrame:
+        schema = schema or self.schema
+        names = [n for n, *_ in files.list_dir(self.spark, f"{self.path}/staged/{folder}") if n.startswith("bucket=")]
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/staged/{folder}/{n}" for n in names])
+
+    def publish_staged(self, staged: str, touched: Iterable[int], base: Manifest, text_index: dict | None = None) -> Manifest:
+        """Publish staged rows as the whole content of the touched buckets; these are all that they have rows of."""
+        folder = f"commit={base.version + 1}-{uuid.uuid4().hex[:8]}"
+        files.rename(self.spark, f"{self.path}/staged/{staged}", f"{self.path}/data/{folder}")
+        return self._publish_folder(folder, touched, base, None, text_index)
+
     def _publish(self, new: Manifest) -> Manifest:
         body = {"version": new.version, "schema_version": new.schema_version, "folders": new.folders, "text_index": new.text_index}
         if not files.write_new(self.spark, f"{self.path}/manifest/{new.version:012d}.json", json.dumps(body)):
@@ -142,14 +179,16 @@ class SnapshotTable:
         return base.schema_version
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete folders no recent manifest names, and older manifests."""
+        """Delete folders no recent manifest names, older manifests, and what was staged long ago and never published."""
         names = sorted(n for n, *_ in files.list_dir(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
         live: set[str] = set()
         for name in names[-keep:]:
             stored = json.loads(files.read_text(self.spark, f"{self.path}/manifest/{name}"))
             live |= set(stored["folders"].values())
         dead = [p for n, p, *_ in files.list_dir(self.spark, f"{self.path}/data") if n not in live]
-        for path in dead + [f"{self.path}/manifest/{n}" for n in names[:-keep]]:
+        old = (time.time() - STAGED_HOURS * 3600) * 1000
+        left = [p for _, p, _, modified in files.list_dir(self.spark, f"{self.path}/staged") if modified < old]
+        for path in dead + left + [f"{self.path}/manifest/{n}" for n in names[:-keep]]:
             files.delete(self.spark, path)
         return dead
 

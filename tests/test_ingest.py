@@ -1,3 +1,6 @@
+import random
+import string
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.metadata import MetadataField
 from lodestone.operators.chunking import ChunkConfig
 from lodestone.operators.embedding import HashEmbedder, HttpEmbedder, Registry, embed_column, fnv1a_32
+from lodestone.operators.skew import without_keys
 from lodestone.plans.catalog import consistent_metadata
 from lodestone.plans.ingest import Collection, ingest, patch_document
 from lodestone.plans.retrieval import SearchRequest, result_items, search
@@ -137,3 +141,63 @@ def test_embedders(spark):
     assert registry.get().model == "hash-embedder" and registry.local_models() == ["hash-embedder"]
     with pytest.raises(KeyError):
         registry.get("other")
+
+
+def _shuffled(spark) -> int:
+    """Bytes that the stages so far have written for shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def _random_docs(spark, n, size, seed):
+    rng = random.Random(seed)
+    return frame(spark, [(f"d{i}", "".join(rng.choices(string.ascii_letters + string.digits, k=size)), None) for i in range(n)])
+
+
+def test_an_ingest_shuffles_its_texts_once(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "chunks"), "c1", buckets=2)
+    target = Collection("c1", "docs", ChunkConfig("sliding_window", 500, 0))
+    docs, texts = _random_docs(spark, 40, 20_000, 1), 40 * 20_000
+    for intent in ("ingest", "refresh"):
+        before = _shuffled(spark)
+        report = ingest(docs, store, target, HashEmbedder(4), NOW, intent)
+        assert 0.5 * texts < _shuffled(spark) - before < 1.6 * texts
+    assert {(r.chunk_count, r.reused_chunks, r.stale_chunks) for r in report.documents.collect()} == {(40, 40, 0)}
+    assert store.read().count() == store.read().select("id").distinct().count() == 40 * 40
+
+
+def test_many_documents_replaced_and_refused(spark, tmp_path, monkeypatch):
+    """No list of keys fits a broadcast here, as with millions of documents."""
+
+    # Defined here, so that tasks get it by value.
+    @dataclass(frozen=True)
+    class Choosy(HashEmbedder):
+        def embed(self, texts):
+            if any("@" in t for t in texts):
+                raise ValueError("refused")
+            return super().embed(texts)
+
+    monkeypatch.setattr("lodestone.operators.skew.KEY_ROWS", 0)
+    monkeypatch.setattr("lodestone.plans.ingest.KEY_ROWS", 0)
+    store = ChunkStore(spark, str(tmp_path / "chunks"), "c1", buckets=2)
+    target = Collection("c1", "docs", ChunkConfig("sliding_window", 40, 0))
+    ingest(frame(spark, [(f"d{i}", f"old {i}. " * 20, None) for i in range(12)]), store, target, HashEmbedder(4), NOW)
+    old = {r.id for r in store.read().collect()}
+    changed = frame(spark, [(f"d{i}", f"new {i}{'@' if i % 4 == 0 else '.'} " * 20, None) for i in range(8)])
+    report = status(ingest(changed, store, target, Choosy(4), NOW, "refresh"))
+    assert {d for d, r in report.items() if r.status == "failed"} == {"d0", "d4"}
+    rows = store.read().collect()
+    assert {r.document_id for r in rows if r.chunk_text.startswith("old")} == {"d0", "d4", "d8", "d9", "d10", "d11"}
+    assert len({r.document_id for r in rows}) == 12 and {r.id for r in rows if r.document_id in ("d0", "d9")} <= old
+    assert all("@" not in r.chunk_text for r in rows)
+    counts = {d: sum(r.document_id == d for r in rows) for d in report}
+    assert all(report[d].chunk_count == counts[d] for d in report if report[d].status == "complete")
+
+
+def test_rows_without_many_keys_stay_in_their_tasks(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.skew.KEY_ROWS", 5)
+    rows = spark.range(20).selectExpr("cast(id as string) as document_id", "id")
+    for dropped, in_place in ((range(3), True), (range(17), True), (range(20), True), (range(10), False)):
+        kept, stayed = without_keys(rows, spark.createDataFrame([(str(i),) for i in dropped], "document_id string"))
+        assert stayed is in_place and sorted(r.id for r in kept.collect()) == [i for i in range(20) if i not in dropped]
