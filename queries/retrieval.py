@@ -81,17 +81,15 @@ def _keyword_batch(spark, sf) -> DataFrame:
     return rounded(hits.select("query_id", "id", "keyword_bm25_score"), 6, "keyword_bm25_score")
 
 
+def _texts(spark, sf) -> DataFrame:
+    """Every document as a chunk without its vector."""
+    return corpus(spark, sf).select("id", "chunk_text", F.lit(None).cast("string").alias("chunk_header"), F.col("source").alias("source_name"))
+
+
 def _chunks(spark, sf) -> DataFrame:
     """Every document, with the vector of the same id where there is one."""
-    docs = corpus(spark, sf)
-    return docs.join(vectors(spark, sf), "id", "left").select(
-        "id",
-        "vector",
-        "chunk_text",
-        F.lit(None).cast("string").alias("chunk_header"),
-        F.col("source").alias("source_name"),
-        F.col("label").cast("double").alias("metadata_num_1"),
-    )
+    rows = _texts(spark, sf).join(vectors(spark, sf), "id", "left")
+    return rows.select("id", "vector", "chunk_text", "chunk_header", "source_name", F.col("label").cast("double").alias("metadata_num_1"))
 
 
 def _scores(hits: DataFrame) -> DataFrame:
@@ -135,7 +133,9 @@ def _batch_queries(spark, sf) -> DataFrame:
 
 
 def _hybrid_batch_hits(spark, sf) -> DataFrame:
-    return search_batch(_chunks(spark, sf), _batch_queries(spark, sf), DIM, SearchRequest(top_k=5))
+    # Texts stay out of the join with the vectors: its shuffle would carry them for each pass.
+    postings = build_postings(_texts(spark, sf))
+    return search_batch(_chunks(spark, sf), _batch_queries(spark, sf), DIM, SearchRequest(top_k=5), postings)
 
 
 def _hybrid_batch(spark, sf) -> DataFrame:
@@ -145,7 +145,7 @@ def _hybrid_batch(spark, sf) -> DataFrame:
 
 def _shown_results(spark, sf) -> DataFrame:
     shown = ("source_name", "chunk_header", "chunk_text")
-    return attach_chunks(_hybrid_batch_hits(spark, sf), _chunks(spark, sf), _batch_queries(spark, sf), *shown)
+    return attach_chunks(_hybrid_batch_hits(spark, sf), _texts(spark, sf), _batch_queries(spark, sf), *shown)
 
 
 def _result_stats(spark, sf) -> DataFrame:

@@ -250,3 +250,14 @@ def test_postings_take_no_shuffle_and_tasks_a_bounded_share(spark, monkeypatch):
     # 5 queries meet "the" 200 times and a word or two of their own: more than 1,000 parts to add.
     assert max(int(n) for n in re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", plan)) > 10
     assert shown() == wanted
+
+
+def test_answers_keep_texts_out_of_the_join_with_vectors(spark, sf, monkeypatch):
+    from queries import retrieval
+
+    plans = []
+    told = lambda rows: plans.append(rows._jdf.queryExecution().analyzed().toString())
+    monkeypatch.setattr(retrieval, "search_batch", lambda chunks, asked, dim, request, postings: told(postings.postings) or told(postings.corpus))
+    monkeypatch.setattr(retrieval, "attach_chunks", lambda hits, chunks, *others: told(chunks))
+    retrieval._shown_results(spark, sf)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
