@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import rooted
 from lodestone.llm.membership import with_ids, without_ids
 from lodestone.llm.packing import pack_texts, unpacked
-from lodestone.llm.tables import WorkTables
+from lodestone.llm.tables import WorkTables, in_few_files
 from lodestone.llm.textbytes import LOWER, blocks, combine, flat, mix, signed, span_hashes, words
 
 
@@ -246,7 +246,7 @@ def _surviving_pairs(table: pa.Table, config: NearDupConfig) -> tuple[np.ndarray
 
 
 def _connect(members: pa.Table, left: np.ndarray, right: np.ndarray, a: int, b: int, config: NearDupConfig):
-    """Verified links of the group in rows a to b, one for each join of two components."""
+    """Verified links of the group in rows a to b, as pairs of components, one for each join of two."""
     at = slice(*np.searchsorted(left, [a, b]))
     left, right = left[at] - a, right[at] - a
     if not len(left):
@@ -258,7 +258,6 @@ def _connect(members: pa.Table, left: np.ndarray, right: np.ndarray, a: int, b:
     posting = owner[np.argsort(shingle, kind="stable")]
     start = np.searchsorted(np.sort(shingle), np.arange(shingle.max() + 2))
     first = np.cumsum(size) - size
-    node = members.column("node").to_pylist()
     parent = {c: c for c in set(members.column("component").to_pylist())}
     component = members.column("component").to_pylist()
 
@@ -281,7 +280,7 @@ def _connect(members: pa.Table, left: np.ndarray, right: np.ndarray, a: int, b:
             x, y = root(component[i]), root(component[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                yield max(node[i], node[j]), min(node[i], node[j])
+                yield component[i], component[j]
 
 
 # --- steps ---------------------------------------------------------------------
@@ -363,7 +362,7 @@ class _Run:
         return rows.mapInArrow(run, rows.schema)
 
     def settled(self, groups: DataFrame) -> DataFrame:
-        """Links across components inside each group, enough to connect what its pairs connect.
+        """Pairs of linked components inside each group, enough to connect what its pairs connect.
 
         The surviving pairs of a group are verified on full shingle sets, a member
         against all its partners at once through the group's postings.  Of the
@@ -393,7 +392,7 @@ class _Run:
 
     def packed(self, wanted: DataFrame) -> DataFrame:
         """``doc, packed`` of the documents in ``wanted(id)``; the others are left out before anything moves."""
-        ids = self.tables.write(wanted.distinct(), "wanted")
+        ids = self.tables.write(in_few_files(wanted.distinct()), "wanted")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
         texts = texts.where("doc IS NOT NULL AND text IS NOT NULL")
         return pack_texts(with_ids(texts, "doc", ids, self.config.few_ids))
@@ -414,7 +413,7 @@ class _Run:
         )
 
         placed = members.unionByName(centers)
-        rows = self.packed(placed.select(F.col("doc").alias("id"))).join(placed, "doc")
+        rows = self.packed(pairs.select(F.explode(F.array("a", "b")).alias("id"))).join(placed, "doc")
         rows = rows.repartition("b", "share").sortWithinPartitions("b", "share", "role")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,12 +449,12 @@ def _grouped(docs: DataFrame, config: NearDupConfig) -> tuple[DataFrame, WorkTab
     tables = run.tables
     sigs = tables.write(signatures(docs, config), "signatures")
     same = ["h1", "h2", "n_shingles"]
-    classes = tables.write(
+    classes = (
         sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
         .groupBy(*same)
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "classes",
+        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
+    classes = tables.write(in_few_files(classes), "classes")
     nodes = sigs.select("doc_id", *same).join(classes.select("node", *same), same, "left")
     nodes = nodes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     members = tables.write(nodes, "members")
@@ -468,18 +467,17 @@ def _grouped(docs: DataFrame, config: NearDupConfig) -> tuple[DataFrame, WorkTab
 
     buckets = tables.write(run.shared_buckets(classes), "buckets")
     stars = tables.write(run.star_pairs(buckets, classes), "stars")
-    links = tables.write(run.verified(stars).unionByName(ties), "links")
-    labels = tables.write(connected_components(links), "labels")
-    tables.drop_others(members, classes, buckets, links, labels)
+    labels = rooted(run.verified(stars).unionByName(ties))
+    tables.drop_others(members, classes, buckets)
 
     open_ = tables.write(run.open_groups(buckets, classes, labels), "open")
-    tables.drop(classes, buckets, labels)
-    links = tables.write(links.unionByName(run.settled(open_)), "all-links")
-    labels = tables.write(connected_components(links), "all-labels")
-    tables.drop_others(members, labels)
+    tables.drop(classes, buckets)
+    merged = rooted(run.settled(open_))  # of the components so far, which the rest ties together
+    tables.drop_others(members)
 
-    component = F.coalesce("component", "node")
-    named = placed.join(labels.toDF("node", "component"), "node", "left").select("doc_id", component.alias("component"))
+    named = placed.join(labels.toDF("node", "first"), "node", "left").withColumn("first", F.coalesce("first", "node"))
+    named = named.join(merged.toDF("first", "last"), "first", "left")
+    named = named.select("doc_id", F.coalesce("last", "first").alias("component"))
     named = named.groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = members.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.skew import TASKS_A_CORE
 from lodestone.session import work_path
 from lodestone.sources import files
 
@@ -39,6 +40,15 @@ class WorkTables:
         self._written = stays
 
 
+def in_few_files(grouped: DataFrame) -> DataFrame:
+    """Rows of a grouping for a work table of a few files a core, however many partitions the shuffle has.
+
+    Opening and committing a file costs more than a small partition's rows.  Not for
+    a join: the parts of a hot key, split over tasks, would meet in one task again.
+    """
+    return grouped.coalesce(grouped.sparkSession.sparkContext.defaultParallelism * TASKS_A_CORE)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -12,11 +12,12 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from lodestone.llm import chat, language, sampling, toxicity, urls, warc  # noqa: E402
+from lodestone.llm import chat, components, language, sampling, toxicity, urls, warc  # noqa: E402
 from lodestone.llm.components import connected_components  # noqa: E402
 from lodestone.session import work_path  # noqa: E402
 
@@ -263,6 +264,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_with_stars_in_few_files(spark, monkeypatch):
+    """Chains of three are stars after one round: no other round follows, and its table has a few files a core."""
+    written, stored = [], components._stored
+    monkeypatch.setattr(components, "_stored", lambda edges: written.append(stored(edges)) or written[-1])
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    links = spark.range(2000).select(F.explode(F.expr("array(struct(4 * id AS a, 4 * id + 1 AS b), struct(4 * id + 2 AS a, 4 * id + 1 AS b))")).alias("s")).select("s.*")
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.node: r.component for r in connected_components(links.unionByName(links)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {4 * k + i: 4 * k for k in range(2000) for i in range(3)}
+    assert len(written) == 2 and len(written[-1][0].inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     pipeline = importlib.import_module("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
