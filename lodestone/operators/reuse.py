@@ -12,13 +12,14 @@ def with_stored_vectors(fresh: DataFrame, stored: DataFrame, hashed: Column, dea
     """Add ``stored_vector``: the vector of an equal chunk of the same document.
 
     One shuffle, by the column ``deal`` of both sides, after which rows can stay where
-    they are.  A deal holds all rows of a key, so a task finds a key's vectors among its
+    they are.  Each of the ``tasks`` takes the deal of its number: by a hash several would
+    meet in one task, whose sort would spill.  A deal holds all rows of a key, so a task finds a key's vectors among its
     own rows, and a repeated text cannot multiply them.  ``hashed`` makes a fresh row's
     hash anew behind the shuffle, which need not carry it.
     """
     known = stored.select(deal, *KEY, F.col("vector").alias("_known"))
     rows = fresh.drop("chunk_hash").withColumn("_fresh", F.lit(True)).unionByName(known, allowMissingColumns=True)
-    rows = rows.repartition(tasks, deal).withColumn("chunk_hash", F.coalesce("chunk_hash", hashed))
+    rows = rows.repartitionById(tasks, deal).withColumn("chunk_hash", F.coalesce("chunk_hash", hashed))
     # Equal texts have equal vectors; of several the largest is the same on every run.
     vector = F.max("_known").over(Window.partitionBy(deal, *KEY))
     return rows.withColumn("stored_vector", vector).where("_fresh").drop("_fresh", "_known")

@@ -112,7 +112,7 @@ def ingest(
         wanted = stored.join(F.broadcast(replaced), "document_id", "left_semi") if fits_broadcast(replaced, KEY_ROWS) else stored
         matched = with_stored_vectors(rows, wanted.withColumn("_deal", _deal(store, deals)), hashed, "_deal", deals)
     else:
-        matched = rows.drop("chunk_hash").repartition(deals, "_deal")
+        matched = rows.drop("chunk_hash").repartitionById(deals, "_deal")
         matched = matched.withColumns({"chunk_hash": hashed, "stored_vector": F.lit(None).cast(CHUNKS["vector"].dataType)})
     matched = matched.drop("_deal")
     metered = calls_per_second if not embedder.local else None

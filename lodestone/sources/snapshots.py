@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 from lodestone.sources import files
 
 
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+# Files a task writes at once, beyond which it sorts its rows, and the bytes of a row group that each of them gathers.
+WRITERS, GROUP_BYTES = 8, 32 * 1024 * 1024
 STAGED_HOURS = 24.0 * 7  # a writer takes no longer between its first staged row and its manifest
 
 
@@ -99,10 +102,17 @@ class SnapshotTable:
         return self._publish_folder(folder, touched, base, schema_version, text_index)
 
     def _write(self, placed: DataFrame, target: str) -> None:
-        writer = placed.write.mode("append")
+        writer = placed.write.mode("append").option("parquet.block.size", GROUP_BYTES)
         for column in self.indexed:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-        writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").parquet(target)
+        writer = writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket")
+        # A task's few buckets are written side by side: sorting whole rows by bucket would spill them at size.
+        before = self.spark.conf.get(OPEN_FILES, "0")
+        self.spark.conf.set(OPEN_FILES, WRITERS)
+        try:
+            writer.parquet(target)
+        finally:
+            self.spark.conf.set(OPEN_FILES, before)
 
     def _publish_folder(
         self, folder: str, touched: Iterable[int] | None, base: Manifest, schema_version: int | None = None, text_index: dict | None = None

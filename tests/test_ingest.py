@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.metadata import MetadataField
 from lodestone.operators.chunking import ChunkConfig
 from lodestone.operators.embedding import HashEmbedder, HttpEmbedder, Registry, embed_column, fnv1a_32
+from lodestone.operators.reuse import with_stored_vectors
 from lodestone.operators.skew import without_keys
 from lodestone.plans.catalog import consistent_metadata
 from lodestone.plans.ingest import Collection, ingest, patch_document
@@ -201,3 +202,24 @@ def test_rows_without_many_keys_stay_in_their_tasks(spark, monkeypatch):
     for dropped, in_place in ((range(3), True), (range(17), True), (range(20), True), (range(10), False)):
         kept, stayed = without_keys(rows, spark.createDataFrame([(str(i),) for i in dropped], "document_id string"))
         assert stayed is in_place and sorted(r.id for r in kept.collect()) == [i for i in range(20) if i not in dropped]
+
+
+def test_a_task_takes_one_deal(spark):
+    rows = spark.range(960).selectExpr("cast(id % 16 as int) as _deal", "cast(id as string) as document_id", "cast(id as string) as chunk_hash")
+    stored = rows.where("_deal % 3 = 0").withColumn("vector", F.array(F.lit(1.0).cast("float")))
+    matched = with_stored_vectors(rows, stored, F.col("document_id"), "_deal", 16)
+    tasks = matched.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("_deal").alias("deals"), F.count("stored_vector").alias("known")).collect()
+    assert len(tasks) == 16 and {r.deals for r in tasks} == {1} and sum(r.known for r in tasks) == stored.count()
+
+
+def test_staged_rows_are_not_sorted(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "chunks"), "c1", buckets=4)
+    named = spark.range(400).select(F.col("id").cast("string").alias("document_id"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in store.schema.fields if f.name != "document_id"]
+    held = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    staged = store.stage(named.select("document_id", *blank), dealt=True)
+    plans = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = plans.apply(plans.size() - 1).physicalPlanDescription()
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
+    assert store.read_staged(staged).select("document_id").distinct().count() == 400
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == held
