@@ -8,6 +8,8 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +30,10 @@ RUNTIME_CONF = {
 }
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+OPEN_FILES, WRITERS = "spark.sql.maxConcurrentOutputFileWriters", 8  # files a task writes at once, beyond which it sorts its rows
+
+
 def build_session(
     app_name: str = "lodestone",
     master: str | None = None,
@@ -58,6 +64,26 @@ def apply_runtime_conf(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def _held(spark: SparkSession, key: str, value: str, default: str) -> Iterator[None]:
+    before = spark.conf.get(key, default)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def shuffles_released(spark: SparkSession) -> AbstractContextManager[None]:
+    """What is written here gives its shuffle files back once it is done, not when the driver next collects garbage."""
+    return _held(spark, SHUFFLE_CLEANUP, "true", "false")
+
+
+def unsorted_writes(spark: SparkSession) -> AbstractContextManager[None]:
+    """A task that writes few folders here does so side by side, without sorting its rows by folder."""
+    return _held(spark, OPEN_FILES, str(WRITERS), "0")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see.
 

@@ -19,12 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import shuffles_released, unsorted_writes
 from lodestone.sources import files
 
 
-OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
-# Files a task writes at once, beyond which it sorts its rows, and the bytes of a row group that each of them gathers.
-WRITERS, GROUP_BYTES = 8, 32 * 1024 * 1024
+GROUP_BYTES = 32 * 1024 * 1024  # of a row group, which each file that a task writes at once gathers
 STAGED_HOURS = 24.0 * 7  # a writer takes no longer between its first staged row and its manifest
 
 
@@ -107,12 +106,8 @@ class SnapshotTable:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer = writer.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket")
         # A task's few buckets are written side by side: sorting whole rows by bucket would spill them at size.
-        before = self.spark.conf.get(OPEN_FILES, "0")
-        self.spark.conf.set(OPEN_FILES, WRITERS)
-        try:
+        with shuffles_released(self.spark), unsorted_writes(self.spark):
             writer.parquet(target)
-        finally:
-            self.spark.conf.set(OPEN_FILES, before)
 
     def _publish_folder(
         self, folder: str, touched: Iterable[int] | None, base: Manifest, schema_version: int | None = None, text_index: dict | None = None
@@ -137,12 +132,16 @@ class SnapshotTable:
         self._write(placed if dealt else placed.hint("rebalance", "bucket"), f"{self.path}/staged/{folder}")
         return folder
 
+    def staged_buckets(self, folder: str) -> list[int]:
+        names = [n for n, *_ in files.list_dir(self.spark, f"{self.path}/staged/{folder}")]
+        return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+
     def read_staged(self, folder: str, schema: T.StructType | None = None) -> DataFrame:
         schema = schema or self.schema
-        names = [n for n, *_ in files.list_dir(self.spark, f"{self.path}/staged/{folder}") if n.startswith("bucket=")]
-        if not names:
+        buckets = self.staged_buckets(folder)
+        if not buckets:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/staged/{folder}/{n}" for n in names])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/staged/{folder}/bucket={b}" for b in buckets])
 
     def publish_staged(self, staged: str, touched: Iterable[int], base: Manifest, text_index: dict | None = None) -> Manifest:
         """Publish staged rows as the whole content of the touched buckets; these are all that they have rows of."""
