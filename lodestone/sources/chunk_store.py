@@ -8,8 +8,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import without_keys
+from lodestone.operators.skew import less_keys, with_keys
 from lodestone.schemas import CHUNKS
+from lodestone.session import work_path
 from lodestone.sources import files
 from lodestone.sources.snapshots import Manifest, SnapshotTable
 from lodestone.sources.text_index import IndexState, TextIndex
@@ -68,14 +69,14 @@ class ChunkStore(SnapshotTable):
     def replace_documents(self, documents: DataFrame, rows: DataFrame, base: Manifest | None = None) -> Manifest:
         """Swap all chunks of ``documents(document_id)`` for ``rows``."""
         base = base or self.manifest()
+        if self.index_state(base) is not None:
+            return self._replace_staged(documents, self.stage(rows.select(*self.schema.fieldNames()), dealt=False), base)
         touched = self.touched(documents)
-        held, named = self.read(touched, base), documents.select("document_id").distinct()
-        words = self._index_change(base, named, held.join(named, "document_id", "left_semi"), rows)
-        return self._without(held, named, rows, touched, base, words)
+        return self._without(self.read(touched, base), documents.select("document_id").distinct(), rows, touched, base, None)
 
     def _without(self, held: DataFrame, keys: DataFrame, rows: DataFrame | None, touched: list[int], base: Manifest, words: dict | None) -> Manifest:
-        """Publish ``held`` less the rows of ``keys``, and ``rows``; only where dropped and kept keys are many is ``held`` shuffled."""
-        others, in_place = without_keys(held, keys)
+        """Publish ``held`` less the rows of ``keys``, and ``rows``; ``held`` is shuffled only where :func:`less_keys` has to."""
+        others, in_place = less_keys(held, keys)
         others = others.select(*self.schema.fieldNames())
         if in_place:
             return self.commit(rows, touched, base, text_index=words, held=others)
@@ -90,22 +91,35 @@ class ChunkStore(SnapshotTable):
         """
         base = base or self.manifest()
         if not refused.isEmpty():
-            kept, in_place = without_keys(self.read_staged(staged), refused)
+            kept, in_place = less_keys(self.read_staged(staged), refused)
             first, staged = staged, self.stage(kept, dealt=in_place)
             files.delete(self.spark, f"{self.path}/staged/{first}")
+        return self._replace_staged(documents, staged, base)
+
+    def _replace_staged(self, documents: DataFrame, staged: str, base: Manifest) -> Manifest:
         touched, rows = self.touched(documents), self.read_staged(staged)
-        held, named = self.read(touched, base), documents.select("document_id").distinct()
-        words = self._index_change(base, named, held.join(named, "document_id", "left_semi"), rows)
+        held, path = self.read(touched, base), work_path(self.spark, "named")
+        documents.select("document_id").distinct().write.parquet(path)
+        named = self.spark.read.schema("document_id string").parquet(path)
+        # The index reads what was staged: what made the rows runs once, and texts are shuffled for no key.
+        words = self._index_change(base, named, with_keys(held, named), rows)
         if any(b in base.folders for b in touched):
-            others, in_place = without_keys(held, named)
+            others, in_place = less_keys(held, named)
             self.stage(others, in_place, staged)
+        files.delete(self.spark, path)
         return self.publish_staged(staged, touched, base, words)
 
     def append(self, rows: DataFrame) -> Manifest:
         base = self.manifest()
-        touched = self.touched(rows)
-        words = self._index_change(base, None, None, rows)
-        return self.commit(rows, touched, base, text_index=words, held=self.read(touched, base))
+        if self.index_state(base) is None:
+            touched = self.touched(rows)
+            return self.commit(rows, touched, base, held=self.read(touched, base))
+        staged = self.stage(rows.select(*self.schema.fieldNames()), dealt=False)
+        touched = self.staged_buckets(staged)
+        words = self._index_change(base, None, None, self.read_staged(staged))
+        if any(b in base.folders for b in touched):
+            self.stage(self.read(touched, base), True, staged)
+        return self.publish_staged(staged, touched, base, words)
 
     def delete_documents(self, documents: DataFrame) -> Manifest:
         return self.replace_documents(documents, self.spark.createDataFrame([], self.schema))
@@ -117,8 +131,8 @@ class ChunkStore(SnapshotTable):
         held = self.read(touched, base)
         lost = ids.select("document_id", "id").distinct()
         named = ids.select("document_id").distinct()
-        of_named = lambda rows: rows.join(named, "document_id", "left_semi")
-        words = self._index_change(base, named, of_named(held), of_named(held.join(lost, ["document_id", "id"], "left_anti")))
+        of_named = with_keys(held, named)
+        words = self._index_change(base, named, of_named, less_keys(of_named, lost)[0])
         return self._without(held, lost, None, touched, base, words)
 
     def update_document(self, document_id: str, changes: dict[str, Column | None]) -> Manifest:

@@ -11,6 +11,7 @@ from lodestone.operators.completion import EchoModel
 from lodestone.operators.fusion import HybridSettings
 from lodestone.operators.keyword import build_postings, keyword_search, search_postings
 from lodestone.operators.knn import knn, knn_batch
+from lodestone.operators.skew import sparse_left_join
 from lodestone.plans.catalog import SYSTEM_PROMPTS
 from lodestone.plans.rag import answer
 from lodestone.plans.retrieval import SearchRequest, at_least, attach_chunks, result_stats, search, search_batch, search_stored
@@ -162,7 +163,7 @@ def _stored_documents(spark, sf) -> ChunkStore:
 
     Some rows that no document has come and go in between.
     """
-    docs = table(spark, sf, "documents").join(vectors(spark, sf).select(F.col("id").alias("doc_id"), "vector"), "doc_id", "left")
+    docs = sparse_left_join(table(spark, sf, "documents"), vectors(spark, sf).select(F.col("id").alias("doc_id"), "vector"), ["doc_id"])
     padded = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     given = {
         "id": padded,
