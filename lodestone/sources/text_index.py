@@ -3,7 +3,7 @@
 Every change of the chunks writes one *delta*: the postings of the new chunks in
 blocks, how many chunks lost each term, and the documents whose older postings no
 longer count.  A block holds the postings of one term for chunks of about one length
-(a chunk's block follows from its bytes and id, for all its terms alike), with the
+(a chunk's block follows from its length and id, for all its terms alike), with the
 largest term count and the least length in it.  These bound what a chunk of the
 block can score, whatever the collection's averages have become, so a search
 
@@ -282,9 +282,10 @@ class TextIndex:
         number, folder = state.next_number, uuid.uuid4().hex[:12]
         buckets, plus, minus = 1, (0, 0), (0, 0)
         if new is not None:
-            words = F.array_join(tokens(F.coalesce("chunk_text", F.lit(""))), " ").alias("words")
+            split = new.select("id", "document_id", "chunk_text", tokens(F.coalesce("chunk_text", F.lit(""))).alias("tokens"))
             size = F.coalesce(F.octet_length("chunk_text"), F.lit(0)).alias("bytes")
-            buckets, plus = self._write_postings(number, folder, new.select("id", "document_id", words, size))
+            words = [F.array_join("tokens", " ").alias("words"), F.size("tokens").alias("length"), size]
+            buckets, plus = self._write_postings(number, folder, split.select("id", "document_id", *words))
         if old is not None:
             minus = self._write_lost(number, folder, old, buckets)
         if documents is not None:
@@ -312,9 +313,9 @@ class TextIndex:
         return (totals.df, totals.tokens) if totals else (0, 0)
 
     def _write_postings(self, number: int, folder: str, chunks: DataFrame) -> tuple[int, tuple[int, int]]:
-        """Cut ``id, document_id, words, bytes`` into blocks; the number of term folders, and the chunks' number and tokens."""
-        chunks = chunks.withColumn("class", _length_class(F.col("bytes")))
-        # Lengths have few classes (four for each power of two).  The bytes alone tell them, without splitting a text.
+        """Cut ``id, document_id, words, length, bytes`` into blocks; the number of term folders, and the chunks' number and tokens."""
+        chunks = chunks.withColumn("class", _length_class(F.col("length")))
+        # Lengths have few classes (four for each power of two).  Texts are split once more for them: no table of words is written.
         classes = chunks.groupBy("class").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes")).collect()
         size = sum(c.bytes for c in classes)
         buckets = max(1, min(256, size // (BUCKET_ROWS * POSTING_BYTES)))
@@ -345,7 +346,8 @@ class TextIndex:
         by_block = lambda some: some.groupBy("delta", "block")
         words = by_block(rows).cogroup(by_block(self._chunks(state))).applyInArrow(_chunk_words, "id string, document_id string, words string")
         with shuffles_released(self.spark):
-            words.withColumn("bytes", F.octet_length("words")).write.option("compression", "zstd").parquet(path)
+            size = [F.size(F.split("words", " ")).alias("length"), F.octet_length("words").alias("bytes")]
+            words.select("*", *size).write.option("compression", "zstd").parquet(path)
         number, folder = state.next_number, uuid.uuid4().hex[:12]
         buckets, _ = self._write_postings(number, folder, self.spark.read.parquet(path))
         delete(self.spark, path)
