@@ -1,6 +1,7 @@
 """What stored keyword indexes write, and the scores of their blocks."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,17 @@ def test_postings_are_numbers_and_leave_no_work_table(spark):
 
 def test_shuffles_of_a_write_are_given_back(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    kept = lambda: sum("shuffle_" in disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size()))
+
+    def kept():
+        found = disk.getAllFiles()
+        return sum("shuffle_" in found.apply(i).getName() for i in range(found.size()))
+
     before = kept()
     with shuffles_released(spark):
         spark.range(1000).repartition(3, "id").write.parquet(work_path(spark, "released"))
+    until = time.monotonic() + 20
+    while kept() > before and time.monotonic() < until:
+        time.sleep(0.2)
     assert kept() <= before
 
 
